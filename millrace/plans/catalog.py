@@ -1,10 +1,562 @@
-"""Queries over the tables, each one operator or a plan of several, with the same rows as DuckDB SQL."""
+"""Queries over the tables, each one operator or a plan of several, and DuckDB SQL for the same rows.
+
+Where the tables lack a shape, it is derived by one rule on both sides: splits from the id, 63-bit codes from the
+medians of embeddings, boxes from the numbers of lineitem.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry, labels
+from ..operators import annotations, checks, dedup, evaluation, findings, registry, sampling
+from ..sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SPLIT_SQL = "CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'val' ELSE 'train' END"
+DOCS_SQL = f"docs AS (SELECT doc_id, text, source, lang, n_chars, sha256(text) AS sha, {SPLIT_SQL} AS split FROM documents)"
+
+
+def split_of(key: str) -> Column:
+    m = F.pmod(F.col(key), F.lit(10))
+    return F.when(m == 0, "test").when(m == 1, "val").otherwise("train")
+
+
+def docs_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.sha2("text", 256).alias("sha"), split_of("doc_id").alias("split"))
+
+
+# --- exact duplicates and leakage ---------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DOCS_SQL}, r AS (SELECT *, CASE split WHEN 'test' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS p FROM docs),
+w AS (SELECT *, count(*) OVER (PARTITION BY sha) AS group_size, first_value(doc_id) OVER (PARTITION BY sha ORDER BY p, doc_id) AS keeper_id,
+first_value(split) OVER (PARTITION BY sha ORDER BY p, doc_id) AS keeper_split FROM r)
+SELECT doc_id, split, sha, group_size, keeper_id, doc_id = keeper_id AS selected,
+CASE WHEN doc_id = keeper_id AND group_size = 1 THEN 'unique' WHEN doc_id = keeper_id THEN 'kept_group_representative'
+WHEN split = keeper_split THEN 'excluded_duplicate_in_split' ELSE 'excluded_duplicate_across_splits' END AS reason FROM w""")
+def exact_dedup_keeper(spark, d):
+    kept = dedup.exact_keeper(docs_split(spark, d), "sha", "split", "doc_id")
+    return kept.select("doc_id", "split", "sha", "group_size", "keeper_id", "selected", "reason")
+
+
+@query(f"WITH {DOCS_SQL}, g AS (SELECT sha, count(*) AS n FROM docs GROUP BY sha HAVING count(*) > 1) SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_in_groups FROM g")
+def exact_group_stats(spark, d):
+    return dedup.group_stats(docs_split(spark, d), "sha")
+
+
+@query(f"WITH {DOCS_SQL} SELECT sha, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM docs GROUP BY sha HAVING count(DISTINCT split) > 1")
+def leak_check_cross_split(spark, d):
+    return dedup.cross_split_keys(docs_split(spark, d), "sha", "split").select("sha", F.array_join("splits", ",").alias("splits"))
+
+
+# --- perceptual duplicates ----------------------------------------------------------------------------------------
+
+RADIUS = 16
+CODE_SQL = """codes AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'test' WHEN vec_id % 10 = 1 THEN 'val' ELSE 'train' END AS split, embedding,
+list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(embedding[2:64], lambda x: CASE WHEN x > list_sort(embedding[2:64])[32] THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END)),
+lambda a, x: a * 2 + x) AS code FROM embeddings)"""
+PAIR_SQL = f"""{CODE_SQL}, pairs AS (SELECT x.vec_id AS left_id, y.vec_id AS right_id, x.split AS left_split, y.split AS right_split, x.embedding AS a, y.embedding AS b,
+CAST(bit_count(xor(x.code, y.code)) AS INTEGER) AS distance FROM codes x JOIN codes y ON x.vec_id < y.vec_id AND bit_count(xor(x.code, y.code)) <= {RADIUS})"""
+QUEUE_SQL = f"""{PAIR_SQL}, long AS (SELECT left_id, right_id, left_split, right_split, distance, unnest(a)::DOUBLE AS x, unnest(b)::DOUBLE AS y FROM pairs WHERE left_split <> right_split),
+measured AS (SELECT left_id, right_id, left_split, right_split, distance, round(corr(x, y), 6) AS correlation, round(avg(abs(x - y)), 6) AS mae, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse
+FROM long GROUP BY ALL),
+queue AS (SELECT *, CAST(row_number() OVER (ORDER BY distance, correlation DESC, mae, left_id, right_id) AS INTEGER) AS review_rank FROM measured)"""
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "embeddings").select("vec_id", "embedding", split_of("vec_id").alias("split"), dedup.median_hash(F.col("embedding"), 2, 63).alias("code"))
+
+
+def queued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = coded(spark, sf_dir)
+    return dedup.review_queue(dedup.hamming_pairs(rows, "vec_id", "code", RADIUS), rows, "vec_id", "split", "embedding")
+
+
+@query(f"WITH {PAIR_SQL} SELECT left_id, right_id, distance, left_split <> right_split AS cross_split FROM pairs")
+def near_dup_pairs(spark, d):
+    rows = coded(spark, d)
+    side = lambda s: rows.select(F.col("vec_id").alias(f"{s}_id"), F.col("split").alias(f"{s}_split"))
+    pairs = dedup.hamming_pairs(rows, "vec_id", "code", RADIUS).join(side("left"), "left_id").join(side("right"), "right_id")
+    return pairs.select("left_id", "right_id", "distance", (F.col("left_split") != F.col("right_split")).alias("cross_split"))
+
+
+@query(f"WITH {QUEUE_SQL} SELECT review_rank, left_id, right_id, left_split, right_split, distance, correlation, mae, rmse FROM queue")
+def near_dup_review_queue(spark, d):
+    return queued(spark, d).select("review_rank", "left_id", "right_id", "left_split", "right_split", "distance", "correlation", "mae", "rmse")
+
+
+@query(f"""WITH {QUEUE_SQL} SELECT CASE WHEN distance = 0 AND correlation >= 0.9 AND mae <= 0.05 THEN 'same_duplicate'
+WHEN distance <= 2 AND correlation >= 0.9 AND mae <= 0.08 THEN 'same_parent_near_duplicate' ELSE 'uncertain' END AS decision, count(*) AS n FROM queue GROUP BY 1""")
+def near_dup_prefill(spark, d):
+    q = queued(spark, d).select(dedup.prefill(F.col("distance"), F.col("correlation"), F.col("mae")).alias("decision"))
+    return q.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {QUEUE_SQL} SELECT DISTINCT id FROM (SELECT left_id AS id, left_split AS split FROM queue UNION ALL SELECT right_id, right_split FROM queue) WHERE split <> 'test'""")
+def blocked_ids(spark, d):
+    return dedup.blocked_ids(queued(spark, d).withColumn("decision", F.lit("pending_human_review")))
+
+
+@query(f"""WITH {QUEUE_SQL}, b AS (SELECT DISTINCT id FROM (SELECT left_id AS id, left_split AS split FROM queue UNION ALL SELECT right_id, right_split FROM queue) WHERE split <> 'test')
+SELECT split, count(*) AS n FROM codes WHERE split <> 'test' AND vec_id NOT IN (SELECT id FROM b) GROUP BY split""")
+def unblocked_by_split(spark, d):
+    blocked = dedup.blocked_ids(queued(spark, d).withColumn("decision", F.lit("pending_human_review")))
+    free = coded(spark, d).where("split <> 'test'").join(blocked, F.col("vec_id") == F.col("id"), "left_anti")
+    return free.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- registries ---------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right_only' WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'paired' END AS state
+FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id""")
+def registry_pairing(spark, d):
+    return registry.pair(t(spark, d, "documents"), t(spark, d, "labels"), "doc_id")
+
+
+@query("""SELECT source, count(*) AS n_left, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unpaired, sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) = 0 AS paired
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source""")
+def pairing_report(spark, d):
+    return registry.pairing_report(t(spark, d, "documents"), t(spark, d, "labels"), "doc_id", "source")
+
+
+@query("""SELECT l_returnflag, CASE WHEN p.p_type IS NULL THEN 'unknown_' || CAST(l_partkey AS VARCHAR) ELSE p.p_type END AS label, count(*) AS instances, count(DISTINCT l_orderkey) AS images
+FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2""")
+def label_class_counts(spark, d):
+    dim = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    return registry.class_counts(t(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_returnflag"), dim, "l_partkey", "p_type", "l_orderkey", "l_returnflag")
+
+
+@query("""WITH x AS (SELECT p_brand, unnest(string_split(p_type, ' ')) AS label FROM part) SELECT p_brand, label, count(*) AS n FROM x WHERE label <> '' GROUP BY 1, 2""")
+def multi_label_counts(spark, d):
+    packed = F.concat_ws("|", F.split("p_type", " "))
+    return registry.multi_label_counts(t(spark, d, "part").withColumn("packed", packed), labels.split_labels(F.col("packed")), "p_brand")
+
+
+@query(f"WITH {DOCS_SQL} SELECT split, source, count(*) AS n, CAST(sum(CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS n_long, CAST(sum(n_chars) AS BIGINT) AS chars FROM docs GROUP BY 1, 2")
+def split_source_counts(spark, d):
+    return docs_split(spark, d).groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") >= 1000).alias("n_long"), F.sum("n_chars").alias("chars"))
+
+
+@query("""SELECT o_orderpriority, count(DISTINCT o_custkey) AS parents, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1""")
+def distinct_parents(spark, d):
+    rows = t(spark, d, "orders").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    return rows.groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("parents"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT CAST(sum(n) AS BIGINT) AS n_all, count(*) AS k FROM c)
+SELECT o_orderpriority, n, greatest(0.1::DOUBLE, least(10.0::DOUBLE, n_all::DOUBLE / (k::DOUBLE * n::DOUBLE))) AS weight, (n_all - n)::DOUBLE / n::DOUBLE AS pos_weight FROM c, a""")
+def inverse_freq_weights(spark, d):
+    return registry.inverse_frequency(t(spark, d, "orders"), "o_orderpriority")
+
+
+@query("""SELECT conv_id, turn, role, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations) WHERE rank <= 2""")
+def first_k_per_class(spark, d):
+    return registry.first_k(t(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", ["turn"], 2)
+
+
+@query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def last_wins_ledger(spark, d):
+    return registry.last_wins(t(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+@query("""WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) SELECT source, string_agg(lang || ':' || CAST(n AS VARCHAR), ',' ORDER BY lang) AS summary FROM n GROUP BY source""")
+def source_summary_text(spark, d):
+    n = t(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return registry.summary_text(n, "source", "lang", "n")
+
+
+# --- overlay and state --------------------------------------------------------------------------------------------
+
+
+@query("""WITH led AS (SELECT doc_id, event_type, event_id FROM (SELECT event_id % 1000 AS doc_id, event_type, event_id, row_number() OVER (PARTITION BY event_id % 1000 ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)
+SELECT a.doc_id, coalesce(led.event_type, CASE WHEN a.quality = 1 THEN 'crack' ELSE 'unknown_review' END) AS canonical_label, led.doc_id IS NOT NULL AS reviewed
+FROM labels a LEFT JOIN led ON a.doc_id = led.doc_id""")
+def reviewer_overlay(spark, d):
+    ledger = registry.last_wins(t(spark, d, "events").withColumn("doc_id", F.col("event_id") % 1000), ["doc_id"], ["ts", "event_id"])
+    base = t(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "crack").otherwise("unknown_review").alias("canonical_label"))
+    return annotations.overlay(base, ledger.select("doc_id", F.col("event_type").alias("canonical_label")), ["doc_id"])
+
+
+ACTION_SQL = "CASE event_id % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'relabel' ELSE 'other' END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, event_type, {ACTION_SQL} AS action FROM events), k AS (SELECT * FROM e WHERE action <> 'other'),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM k) WHERE rn = 1),
+f AS (SELECT DISTINCT user_id FROM events)
+SELECT f.user_id, CASE l.action WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' WHEN 'relabel' THEN 'relabelled' ELSE 'pending' END AS review_state,
+CASE WHEN l.action = 'relabel' THEN l.event_type END AS review_label, coalesce(l.n, 0) AS n_reviews FROM f LEFT JOIN l ON f.user_id = l.user_id""")
+def review_state(spark, d):
+    e = t(spark, d, "events")
+    m = F.col("event_id") % 4
+    events = e.select("user_id", "ts", "event_id", F.col("event_type").alias("label"), F.when(m == 0, "approve").when(m == 1, "reject").when(m == 2, "relabel").otherwise("other").alias("action"))
+    return findings.review_state(e.select("user_id").distinct(), events, "user_id", ["ts", "event_id"]).select("user_id", "review_state", "review_label", "n_reviews")
+
+
+@query("""WITH a AS (SELECT doc_id AS k, quality AS v, 0 AS version FROM labels), b AS (SELECT doc_id AS k, toxic AS v, 1 AS version FROM labels WHERE doc_id % 3 = 0)
+SELECT k, v, version FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY version DESC) AS rn FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE rn = 1""")
+def upsert_latest(spark, d):
+    x = t(spark, d, "labels")
+    old = x.select(F.col("doc_id").alias("k"), F.col("quality").alias("v"), F.lit(0).alias("version"))
+    new = x.where(F.col("doc_id") % 3 == 0).select(F.col("doc_id").alias("k"), F.col("toxic").alias("v"), F.lit(1).alias("version"))
+    return findings.upsert(old, new, "k", "version")
+
+
+# --- selection and splits -----------------------------------------------------------------------------------------
+
+SEED, QUOTAS, TOTAL = "20260908", (("1-URGENT", 20), ("2-HIGH", 15), ("3-MEDIUM", 10)), 60
+
+
+def _quota_sql() -> str:
+    rank = f"sha256('{SEED}:' || CAST(o_orderkey AS VARCHAR))"
+    out = [f"r AS (SELECT o_orderkey, o_custkey, o_orderpriority, {rank} AS rk FROM orders)"]
+    used: list[str] = []
+    for i, (name, n) in enumerate([*QUOTAS, (None, TOTAL - sum(q for _, q in QUOTAS))]):
+        free = " AND ".join(["true", *[f"o_custkey NOT IN (SELECT o_custkey FROM s{j})" for j in range(i)]])
+        only = f" AND o_orderpriority = '{name}'" if name else ""
+        out.append(f"s{i} AS (SELECT o_orderkey, o_custkey, o_orderpriority, {i} AS step FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY rk, o_orderkey) AS g FROM r WHERE {free}{only}) WHERE g = 1 ORDER BY rk, o_orderkey LIMIT {n})")
+        used.append(f"SELECT * FROM s{i}")
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(used)
+
+
+@query(_quota_sql())
+def quota_select(spark, d):
+    return sampling.quota_select(t(spark, d, "orders"), "o_orderkey", "o_custkey", "o_orderpriority", QUOTAS, TOTAL, SEED)
+
+
+GROUP_SPLIT_SQL = """WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), w AS (SELECT *, CAST(sum(n) OVER (ORDER BY sha256('20260911:' || CAST(o_custkey AS VARCHAR)), o_custkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum,
+CAST(sum(n) OVER () AS BIGINT) AS t FROM g) SELECT o_custkey, n, CASE WHEN cum - n < greatest(1, round(t * 0.2)) THEN 'validation' ELSE 'train' END AS split FROM w"""
+
+
+@query(GROUP_SPLIT_SQL)
+def group_safe_split(spark, d):
+    return sampling.group_safe_split_large(t(spark, d, "orders").select("o_custkey"), "o_custkey", 0.2, "20260911")
+
+
+@query("""SELECT o_orderkey, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN ordinal <= floor(n * 0.8) THEN 'train' ELSE 'validation' END AS split
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS ordinal, count(*) OVER () AS n FROM orders)""")
+def row_prefix_split(spark, d):
+    return sampling.prefix_split(t(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 0.8).select("o_orderkey", "ordinal", "split")
+
+
+@query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal, count(*) OVER () AS n FROM orders), i AS (SELECT unnest(range(12)) AS i)
+SELECT DISTINCT o_orderkey, CAST(ordinal AS INTEGER) AS ordinal FROM o, i WHERE ordinal = CAST(round_even(i * (n - 1) / 11, 0) AS BIGINT)""")
+def evenly_spaced_sample(spark, d):
+    return sampling.evenly_spaced(t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 12)
+
+
+@query("""SELECT doc_id, source || '_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR), 4, '0') AS sample_id FROM documents WHERE n_chars < 200""")
+def numbered_samples(spark, d):
+    return sampling.numbered(t(spark, d, "documents").where("n_chars < 200").select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", "sample_id")
+
+
+# --- text and labels ----------------------------------------------------------------------------------------------
+
+# Words of part types stand in for label words.
+PART_RULES = ((("steel", "polished"), "crack", "with_deposit"), (("steel",), "crack", "unspecified"), (("copper",), "rust_staining", "not_applicable"), (("brass",), "spalling", "not_applicable"))
+
+
+@query("""WITH w AS (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS w FROM part)
+SELECT p_partkey, CASE WHEN contains(w, 'steel') THEN 'crack' WHEN contains(w, 'copper') THEN 'rust_staining' WHEN contains(w, 'brass') THEN 'spalling' END AS family,
+CASE WHEN contains(w, 'steel') AND contains(w, 'polished') THEN 'with_deposit' WHEN contains(w, 'steel') THEN 'unspecified' WHEN contains(w, 'copper') OR contains(w, 'brass') THEN 'not_applicable' END AS subtype FROM w""")
+def canonicalize_text_label(spark, d):
+    r = labels.canonical_text(F.col("p_type"), PART_RULES)
+    return t(spark, d, "part").select("p_partkey", r["family"].alias("family"), r["subtype"].alias("subtype"))
+
+
+@query("""SELECT page_id, regexp_replace(url, '/[0-9]+[^/]*$', '') AS parent, split_part(regexp_extract(url, '://([^/]*)', 1), '.', 1) AS prefix,
+CASE WHEN list_contains(string_split(url, '/'), 'en') THEN 'en' WHEN list_contains(string_split(url, '/'), 'fr') THEN 'fr' ELSE 'unknown' END AS split FROM pages""")
+def parent_from_name(spark, d):
+    s = F.split("url", "/")
+    split = F.when(F.array_contains(s, "en"), "en").when(F.array_contains(s, "fr"), "fr").otherwise("unknown")
+    return t(spark, d, "pages").select("page_id", F.regexp_replace("url", "/[0-9]+[^/]*$", "").alias("parent"), F.split_part(F.regexp_extract("url", "://([^/]*)", 1), F.lit("."), F.lit(1)).alias("prefix"), split.alias("split"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing, CASE WHEN json_valid(props) THEN false ELSE true END AS broken FROM events""")
+def json_props_extract(spark, d):
+    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("missing"), F.expr("try_parse_json(props) is null").alias("broken"))
+
+
+@query("""WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS link FROM pages) SELECT page_id, link, count(*) AS n FROM x GROUP BY 1, 2""")
+def link_extract(spark, d):
+    x = t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("link"))
+    return x.groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT source, CAST(sum(n_chars) AS BIGINT) AS n FROM documents GROUP BY 1)
+SELECT source, n, CASE WHEN n < 1024 THEN printf('%.2f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.2f KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.2f MiB', n / 1048576.0::DOUBLE) ELSE printf('%.2f GiB', n / 1073741824.0::DOUBLE) END AS size FROM s""")
+def size_human(spark, d):
+    s = t(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("n"))
+    return s.select("source", "n", labels.human_bytes(F.col("n")).alias("size"))
+
+
+@query("""WITH x AS (SELECT p_partkey, list_sort(list_distinct(string_split(p_type, ' '))) AS l FROM part)
+SELECT p_partkey, array_to_string(l, '|') AS packed, CAST(list_contains(l, 'STEEL') AS INTEGER) AS steel, CAST(list_contains(l, 'BRASS') AS INTEGER) AS brass FROM x""")
+def label_vectors(spark, d):
+    words = F.split("p_type", " ")
+    v = labels.label_vector(words, ["STEEL", "BRASS"])
+    return t(spark, d, "part").select("p_partkey", labels.join_labels(words).alias("packed"), v[0].alias("steel"), v[1].alias("brass"))
+
+
+# --- boxes --------------------------------------------------------------------------------------------------------
+
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+BOX_SQL = """b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_returnflag,
+CAST(l_partkey % 400 AS DOUBLE) AS x1, CAST(l_suppkey % 300 AS DOUBLE) AS y1, CAST(l_partkey % 400 AS DOUBLE) + l_quantity * 4 AS x2, CAST(l_suppkey % 300 AS DOUBLE) + l_quantity * 3 AS y2, l_discount AS score FROM lineitem)"""
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y, q = (F.col("l_partkey") % 400).cast("double"), (F.col("l_suppkey") % 300).cast("double"), F.col("l_quantity")
+    return t(spark, sf_dir, "lineitem").select(*KEY, "l_returnflag", x.alias("x1"), y.alias("y1"), (x + q * 4).alias("x2"), (y + q * 3).alias("y2"), F.col("l_discount").alias("score"))
+
+
+@query(f"""WITH {BOX_SQL}, c AS (SELECT *, greatest(0.0::DOUBLE, least(x1, 480.0::DOUBLE)) AS a, greatest(0.0::DOUBLE, least(y1, 360.0::DOUBLE)) AS b, greatest(0.0::DOUBLE, least(x2, 480.0::DOUBLE)) AS c, greatest(0.0::DOUBLE, least(y2, 360.0::DOUBLE)) AS d FROM b)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN c > a AND d > b THEN c - a END AS w, CASE WHEN c > a AND d > b THEN d - b END AS h FROM c""")
+def box_clamp(spark, d):
+    b = geometry.clamp_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(480.0), F.lit(360.0))
+    return boxes(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", b[2].alias("w"), b[3].alias("h"))
+
+
+@query(f"""WITH {BOX_SQL}, p AS (SELECT p.l_orderkey, p.l_linenumber AS p_line, p.l_partkey AS p_part, q.l_linenumber AS q_line, q.l_partkey AS q_part,
+greatest(0.0::DOUBLE, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0::DOUBLE, least(p.y2, q.y2) - greatest(p.y1, q.y1)) AS i,
+(p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) AS s FROM b p JOIN b q ON p.l_orderkey = q.l_orderkey AND p.l_returnflag = q.l_returnflag AND p.l_linenumber < q.l_linenumber)
+SELECT l_orderkey, p_line, p_part, q_line, q_part, round(i / (s - i), 9) AS iou FROM p WHERE i > 0""")
+def box_iou_pairs(spark, d):
+    b = boxes(spark, d).select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", F.array("x1", "y1", "x2", "y2").alias("box"))
+    q = b.select("l_orderkey", "l_returnflag", F.col("l_linenumber").alias("q_line"), F.col("l_partkey").alias("q_part"), F.col("box").alias("q_box"))
+    both = b.join(q, ["l_orderkey", "l_returnflag"]).where("l_linenumber < q_line")
+    return both.select("l_orderkey", F.col("l_linenumber").alias("p_line"), F.col("l_partkey").alias("p_part"), "q_line", "q_part", F.round(geometry.iou(F.col("box"), F.col("q_box")), 9).alias("iou")).where("iou > 0")
+
+
+@query(f"""WITH {BOX_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h,
+abs(x1 * y1 - x2 * y1 + x2 * y2 - x2 * y1 + x2 * y2 - x1 * y2 + x1 * y1 - x1 * y2) / 2 AS area FROM b""")
+def polygon_bbox_area(spark, d):
+    flat = F.array("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")
+    p = boxes(spark, d).withColumn("pts", geometry.points(flat))
+    b = geometry.box_of_points(F.col("pts"))
+    return p.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", b[0].alias("x"), b[1].alias("y"), b[2].alias("w"), b[3].alias("h"), geometry.polygon_area(F.col("pts")).alias("area"))
+
+
+@query(f"""WITH {BOX_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+printf('%d %.8f %.8f %.8f %.8f', l_linenumber, (x1 + (x2 - x1) / 2) / 1000, (y1 + (y2 - y1) / 2) / 500, (x2 - x1) / 1000, (y2 - y1) / 500) AS line FROM b""")
+def yolo_lines(spark, d):
+    box = F.array(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return boxes(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", annotations.label_lines(box, F.col("l_linenumber"), F.lit(1000.0), F.lit(500.0)).alias("line"))
+
+
+@query(f"""WITH {BOX_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(x2 - x1, y2 - y1) AS px_length, (x2 - x1) * (y2 - y1) AS px_area,
+greatest(x2 - x1, y2 - y1) * 0.25 / 10.0::DOUBLE AS length, least(x2 - x1, y2 - y1) * 0.25 / 10.0::DOUBLE AS max_width, (x2 - x1) * (y2 - y1) * 0.25 * 0.25 / 100.0::DOUBLE AS area FROM b""")
+def measure_isotropic(spark, d):
+    box = F.array(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    p, m = geometry.measure_pixels(box), geometry.measure_scaled(box, F.lit(0.25), F.lit("cm"), F.lit(2.0))
+    return boxes(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", p["length"].alias("px_length"), p["area"].alias("px_area"), m["length"].alias("length"), m["max_width"].alias("max_width"), m["area"].alias("area"))
+
+
+@query(f"""WITH {BOX_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest((x2 - x1) * 2, (y2 - y1) * 3) / 10 AS length, least((x2 - x1) * 2, (y2 - y1) * 3) / 10 AS max_width, (x2 - x1) * 2 * (y2 - y1) * 3 / 100 AS area FROM b""")
+def measure_homography(spark, d):
+    box = F.array(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    h = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in ((2, 0, 0), (0, 3, 0), (0, 0, 1))])
+    m = geometry.measure_projected(box, h, F.lit("cm"), F.lit(2.0))
+    return boxes(spark, d).withColumn("m", m).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "m.length", "m.max_width", "m.area")
+
+
+@query(f"""WITH {BOX_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'crack<loc_' || CAST(greatest(0, least(1000, CAST(round_even(x1 / 600 * 1000, 0) AS INTEGER))) AS VARCHAR) || '><loc_' || CAST(greatest(0, least(1000, CAST(round_even(y2 / 450 * 1000, 0) AS INTEGER))) AS VARCHAR) || '>' AS target FROM b""")
+def location_tokens(spark, d):
+    return boxes(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("crack"), labels.location_token(F.col("x1"), F.lit(600.0)), labels.location_token(F.col("y2"), F.lit(450.0))).alias("target"))
+
+
+@query(f"""WITH {BOX_SQL}, g AS (SELECT l_orderkey, l_returnflag, list([{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'n': CAST(l_linenumber AS DOUBLE), 'p': CAST(l_partkey AS DOUBLE)}}] ORDER BY score DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS xs FROM b GROUP BY 1, 2),
+k AS (SELECT l_orderkey, l_returnflag, unnest(list_reduce(xs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda a:
+greatest(0.0::DOUBLE, least(a.x2, x[1].x2) - greatest(a.x1, x[1].x1)) * greatest(0.0::DOUBLE, least(a.y2, x[1].y2) - greatest(a.y1, x[1].y1)) >= 0.3 * ((a.x2 - a.x1) * (a.y2 - a.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1)
+- greatest(0.0::DOUBLE, least(a.x2, x[1].x2) - greatest(a.x1, x[1].x1)) * greatest(0.0::DOUBLE, least(a.y2, x[1].y2) - greatest(a.y1, x[1].y1))))) > 0 THEN acc ELSE list_concat(acc, x) END)) AS r FROM g)
+SELECT l_orderkey, l_returnflag, CAST(r.n AS INTEGER) AS l_linenumber, CAST(r.p AS BIGINT) AS l_partkey FROM k""")
+def nms_dedupe(spark, d):
+    return evaluation.suppress(boxes(spark, d), "l_orderkey", "l_returnflag", ["x1", "y1", "x2", "y2"], "score", KEY[1:], 0.3).select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey")
+
+
+@query(None)
+def greedy_match(spark, d):
+    b = boxes(spark, d).withColumn("n", F.row_number().over(_by_order()))
+    predicted, true = b.where("l_linenumber % 2 = 0"), b.where("l_linenumber % 2 = 1")
+    return evaluation.greedy_match(predicted, true, "l_orderkey", "l_returnflag", ["x1", "y1", "x2", "y2"], "n", 0.3)
+
+
+def _by_order():
+    from pyspark.sql import Window as W
+
+    return W.partitionBy("l_orderkey").orderBy(*KEY[1:])
+
+
+# --- scores -------------------------------------------------------------------------------------------------------
+
+SCORED_SQL = "s AS (SELECT l.doc_id, d.lang, CAST(l.quality AS INTEGER) AS target, CAST((d.n_chars % 1000) AS DOUBLE) / 1000 AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+RATES_SQL = "tp / greatest(1.0::DOUBLE, tp + fp) AS precision, tp / greatest(1.0::DOUBLE, tp + fn) AS recall, 2 * (tp / greatest(1.0::DOUBLE, tp + fp)) * (tp / greatest(1.0::DOUBLE, tp + fn)) / greatest(1e-12::DOUBLE, tp / greatest(1.0::DOUBLE, tp + fp) + tp / greatest(1.0::DOUBLE, tp + fn)) AS f1"
+COUNTS_SQL = "CAST(sum(CASE WHEN score >= {t} AND target = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN score >= {t} AND target <> 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp, CAST(sum(CASE WHEN score < {t} AND target = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fn, CAST(sum(CASE WHEN target = 1 THEN 1 ELSE 0 END) AS BIGINT) AS support"
+GRID = [round(0.05 * i, 2) for i in range(1, 20)]
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", ((F.col("n_chars") % 1000).cast("double") / 1000).alias("score"))
+    return t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("target")).join(docs, "doc_id")
+
+
+@query(f"WITH {SCORED_SQL}, n AS (SELECT lang, {COUNTS_SQL.format(t='0.5')} FROM s GROUP BY lang) SELECT lang, tp, fp, fn, support, {RATES_SQL} FROM n")
+def binary_metrics(spark, d):
+    return evaluation.binary_metrics(scored(spark, d), "target", "score", F.lit(0.5), ["lang"])
+
+
+@query(f"""WITH {SCORED_SQL}, w AS (SELECT lang, target, CAST(sum(target) OVER o AS DOUBLE) / row_number() OVER o AS p FROM s WINDOW o AS (PARTITION BY lang ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING))
+SELECT lang, round(CASE WHEN sum(target) > 0 THEN sum(p * target) / sum(target) ELSE 0 END, 9) AS average_precision, CAST(sum(target) AS BIGINT) AS positives FROM w GROUP BY lang""")
+def average_precision(spark, d):
+    r = evaluation.average_precision(scored(spark, d), "target", "score", "doc_id", ["lang"])
+    return r.select("lang", F.round("average_precision", 9).alias("average_precision"), "positives")
+
+
+SWEEP_SQL = f"""{SCORED_SQL}, g AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in GRID)}]) AS threshold), n AS (SELECT lang, threshold, {COUNTS_SQL.format(t='threshold')} FROM s, g GROUP BY 1, 2),
+m AS (SELECT lang, threshold, {RATES_SQL} FROM n), best AS (SELECT lang, threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, threshold) AS rn FROM m) WHERE rn = 1)"""
+
+
+@query(f"WITH {SWEEP_SQL} SELECT lang, threshold, f1 FROM best")
+def threshold_sweep(spark, d):
+    return evaluation.threshold_sweep(scored(spark, d), "target", "score", GRID, ["lang"])
+
+
+@query(f"""WITH {SWEEP_SQL}, k AS (SELECT round(avg(threshold), 9) AS threshold FROM best), n2 AS (SELECT {COUNTS_SQL.format(t='threshold')} FROM s, k)
+SELECT tp, fp, fn, support, {RATES_SQL}, threshold FROM n2, k""")
+def micro_report(spark, d):
+    s = scored(spark, d)
+    best = evaluation.threshold_sweep(s, "target", "score", GRID, ["lang"])
+    mean = best.agg(F.round(F.avg("threshold"), 9).alias("threshold")).withColumn("lang", F.lit("all"))
+    return evaluation.micro_metrics(s, "target", "score", mean, "lang")
+
+
+@query(f"""WITH {SCORED_SQL}, g AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in GRID)}]) AS confidence), n AS (SELECT confidence, {COUNTS_SQL.format(t='confidence')} FROM s, g GROUP BY 1), m AS (SELECT confidence, {RATES_SQL} FROM n)
+SELECT confidence, precision, recall, f1 FROM m ORDER BY f1 DESC, recall DESC, confidence LIMIT 1""")
+def operating_point(spark, d):
+    s = scored(spark, d)
+    at = s.select("target", "score", F.explode(F.array(*[F.lit(x) for x in GRID])).alias("confidence"))
+    m = evaluation.binary_metrics(at, "target", "score", "confidence", ["confidence"])
+    return evaluation.operating_point(m.select("confidence", "precision", "recall", "f1"))
+
+
+@query("""WITH m AS (SELECT d.source, avg(CAST(l.quality AS DOUBLE)) AS metric, count(l.doc_id) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1)
+SELECT source, metric, n, CAST(row_number() OVER (ORDER BY coalesce(metric, 0) DESC, source) AS INTEGER) AS rank, CASE WHEN coalesce(metric, 1.0) < 0.85 THEN 'high' ELSE 'review' END AS priority FROM m""")
+def source_ranking(spark, d):
+    from pyspark.sql import Window as W
+
+    rows = t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels").select("doc_id", "quality", F.lit(1).alias("has")), "doc_id", "left")
+    m = rows.groupBy("source").agg(F.avg(F.col("quality").cast("double")).alias("metric"), F.count("has").alias("n"))
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc(F.coalesce("metric", F.lit(0.0))), "source")  # one row a source
+    return m.select("source", "metric", "n", F.row_number().over(order).alias("rank"), F.when(F.coalesce("metric", F.lit(1.0)) < 0.85, "high").otherwise("review").alias("priority"))
+
+
+# --- views, unions, constraints -----------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT d.doc_id, count(l.doc_id) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.n_chars >= 100 GROUP BY 1), v AS (SELECT unnest(['detection', 'segmentation', 'classification', 'florence_product']) AS task)
+SELECT doc_id, n, task FROM m, v WHERE task <> 'segmentation' OR n > 0""")
+def task_views(spark, d):
+    m = t(spark, d, "documents").where("n_chars >= 100").select("doc_id").join(t(spark, d, "labels").select("doc_id", F.lit(1).alias("has")), "doc_id", "left").groupBy("doc_id").agg(F.count("has").alias("n"))
+    return annotations.task_views(m, "n")
+
+
+@query("""SELECT 'documents' AS origin, doc_id AS id, text, source FROM documents UNION ALL SELECT 'benchmark', item_id, text, '' FROM benchmark""")
+def union_sources(spark, d):
+    a = t(spark, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text", "source")
+    b = t(spark, d, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), "text")
+    return a.unionByName(b, allowMissingColumns=True).na.fill("", ["source"])
+
+
+@query("SELECT d.doc_id, b.item_id AS locked_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def locked_test_guard(spark, d):
+    return checks.locked_texts(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "text", "item_id")
+
+
+@query("""SELECT 'price' AS rule, CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE NOT coalesce(o_totalprice > 1000, false)
+UNION ALL SELECT 'status', CAST(o_orderkey AS VARCHAR) FROM orders WHERE NOT coalesce(o_orderstatus IN ('O', 'F'), false)
+UNION ALL SELECT 'unique_customer', CAST(o_custkey AS VARCHAR) FROM orders GROUP BY o_custkey HAVING count(*) > 1
+UNION ALL SELECT 'missing', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+def constraint_violations(spark, d):
+    o, c = t(spark, d, "orders"), t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return checks.all_of(
+        checks.violations(o, "o_orderkey", {"price": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus").isin("O", "F")}),
+        checks.duplicate_keys(o, "o_custkey", "unique_customer"),
+        checks.missing_keys(c, o, "o_custkey"),
+    )
+
+
+@query(f"""WITH {BOX_SQL} SELECT sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), l_returnflag, CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))) AS finding_id, l_orderkey AS sample_id, l_returnflag AS defect_family, score AS confidence,
+x1 AS x, y1 AS y, x2 - x1 AS width, y2 - y1 AS height, greatest(x2 - x1, y2 - y1) AS length, least(x2 - x1, y2 - y1) AS max_width, (x2 - x1) * (y2 - y1) AS area, 'pending' AS review_state, CAST(NULL AS VARCHAR) AS review_label FROM b""")
+def flatten_findings(spark, d):
+    b = boxes(spark, d).withColumn("box", F.array(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    b = b.withColumn("fid", F.sha2(F.concat_ws("|", F.col("l_orderkey").cast("string"), "l_returnflag", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")), 256))
+    nested = b.select(
+        F.col("fid").alias("finding_id"), F.col("l_orderkey").alias("sample_id"),
+        F.struct(F.col("l_returnflag").alias("defect_family"), F.col("score").alias("confidence"), F.struct(F.col("box").alias("box_xywh")).alias("geometry"), geometry.measure_pixels(F.col("box")).alias("measurement")).alias("prediction"),
+        F.struct(F.lit("pending").alias("state"), F.lit(None).cast("string").alias("label")).alias("review"),
+    )
+    return findings.flatten(nested)
+
+
+@query("""WITH e AS (SELECT user_id, count(*) AS n_findings, avg(value) AS likelihood FROM events WHERE event_type <> 'view' GROUP BY 1), u AS (SELECT user_id, count(*) AS k FROM events GROUP BY 1),
+s AS (SELECT u.user_id, coalesce(n_findings, 0) AS n_findings, (coalesce(n_findings, 0) > 0 OR likelihood IS NULL) AS escalated, u.k - coalesce(n_findings, 0) AS rejected, u.user_id % 2 = 0 AS physical FROM u LEFT JOIN e ON u.user_id = e.user_id)
+SELECT count(*) AS samples, CAST(sum(n_findings) AS BIGINT) AS findings, CAST(sum(CASE WHEN escalated THEN 1 ELSE 0 END) AS BIGINT) AS escalated, CAST(sum(CASE WHEN n_findings > 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_candidates,
+CAST(sum(CASE WHEN n_findings = 0 THEN 1 ELSE 0 END) AS BIGINT) AS without_candidates, CAST(sum(rejected) AS BIGINT) AS rejected, CAST(sum(CASE WHEN physical THEN 1 ELSE 0 END) AS BIGINT) AS physical FROM s""")
+def run_summary(spark, d):
+    u = t(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "view").alias("n_findings"), F.count(F.lit(1)).alias("k"), F.avg(F.when(F.col("event_type") != "view", F.col("value"))).alias("likelihood"))
+    s = u.select("n_findings", findings.should_escalate("positive_or_uncertain", F.col("n_findings"), F.col("likelihood"), -1e18).alias("escalated"), (F.col("k") - F.col("n_findings")).alias("rejected"), (F.col("user_id") % 2 == 0).alias("physical"))
+    return findings.run_summary(s)
+
+
+@query("""SELECT event_id, CASE WHEN value > 0.5 THEN 1 ELSE 0 END AS n_detections, (CASE WHEN value > 0.5 THEN 1 ELSE 0 END > 0 OR coalesce(value / 100 < 0.2, true)) AS escalated, CASE WHEN event_id % 3 = 0 THEN 'large' ELSE 'base' END AS used FROM events""")
+def escalation_route(spark, d):
+    n = F.when(F.col("value") > 0.5, 1).otherwise(0)
+    large = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("large"))).otherwise(F.array().cast("array<string>"))
+    used = findings.prefer_large(F.array(F.lit("base")), large)
+    return t(spark, d, "events").select("event_id", n.alias("n_detections"), findings.should_escalate("positive_or_uncertain", n, F.col("value") / 100, 0.2).alias("escalated"), used[0].alias("used"))
+
+
+@query("""SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS path, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents""")
+def file_digest_manifest(spark, d):
+    docs = t(spark, d, "documents").select(F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt")).alias("p"), "text")
+    return sinks.file_digests(docs, "p", "text").select("path", "sha256", F.col("size").cast("bigint").alias("size"))
+
+
+@query("""SELECT vec_id, color, count(*) AS n FROM (SELECT vec_id, CASE WHEN x > 0.1 THEN 2 WHEN x > 0 THEN 1 ELSE 0 END AS color FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings)) GROUP BY 1, 2""")
+def palette_histogram(spark, d):
+    x = t(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("x"))
+    return x.groupBy("vec_id", F.when(F.col("x") > F.lit(0.1).cast("float"), 2).when(F.col("x") > 0, 1).otherwise(0).alias("color")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(None)
+def row_point_lookup(spark, d):
+    at = files.parquet_with_position(spark, f"{d}/labels.parquet", ["doc_id"])
+    wanted = at.where("row_index % 7 = 0").select("file_name", "row_index")
+    return files.parquet_lookup(spark, f"{d}/labels.parquet", ["doc_id", "quality", "toxic"], wanted)
+
+
+@query("""SELECT event_type, CAST(sum(CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS empty, count(DISTINCT json_extract_string(props, '$.k')) AS parents FROM events GROUP BY 1""")
+def nested_prune(spark, d):
+    k = F.from_json("props", "k string")["k"]
+    return t(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count_if(F.col("k").isNull()).alias("empty"), F.countDistinct("k").alias("parents"))
