@@ -99,7 +99,7 @@ def greedy_match(predicted: DataFrame, true: DataFrame, image: str, label: str,
     cols = [image, label, order, *box]
 
     def run(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = (x.sort_values(order) if len(x) else pd.DataFrame(columns=cols) for x in (p, t))
+        p, t = (x.sort_values(order) if order in x.columns else pd.DataFrame(columns=cols) for x in (p, t))
         free, tp, total = [tuple(r) for r in t[list(box)].itertuples(index=False)], 0, 0.0
         used = [False] * len(free)
         for a in p[list(box)].itertuples(index=False):
