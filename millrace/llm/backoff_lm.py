@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import fold, mix, small_batches, splitmix, stash
 
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 12_000_000
 CHUNK_TYPES = 1_000_000
 _CHUNKS = "chunk string, shard int, doc_id array<bigint>, train array<boolean>, length array<int>, body binary, counts binary, tokens bigint"
 _ANSWERS = "chunk string, shard int, body binary, types bigint"
@@ -78,14 +78,15 @@ class Chunk:
 def ngram_keys(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For k = 1..order: the key of the k-gram that ends at each token, and whether there is one.
 
-    The end token before a text belongs to its first k-grams; nothing before that does. Keys of unigrams are odd.
+    The end token before a text belongs to its first k-grams; nothing before that does. Keys of unigrams are odd; the
+    second bit of a key is 0, for `distinct`.
     """
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
     place = np.arange(len(tokens)) - starts
     own = hashes[tokens]
     end = hashes[0]
-    one = np.uint64(1)
-    out = [(own | one, np.ones(len(tokens), bool))]
+    rest = ~np.uint64(3)
+    out = [(own & rest | np.uint64(1), np.ones(len(tokens), bool))]
     rolled = own
     for k in range(2, order + 1):
         before = np.empty_like(rolled)
@@ -93,10 +94,22 @@ def ngram_keys(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, orde
         if k == 2:
             before[place == 0] = end
         rolled = mix(before, own)
-        out.append((rolled & ~one, place >= k - 2))
+        out.append((rolled & rest, place >= k - 2))
     return out
 
 
+def distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs where learn. The flag rides in the second bit: one sort, in place."""
+    flagged = keys | learn.astype(np.uint64) << np.uint64(1)
+    flagged.sort()
+    first = np.empty(len(flagged), bool)
+    first[:1] = True
+    np.not_equal(flagged[1:] & ~np.uint64(2), flagged[:-1] & ~np.uint64(2), out=first[1:])
+    at = np.flatnonzero(first)
+    counts = np.add.reduceat((flagged >> np.uint64(1) & np.uint64(1)).astype(np.uint32), at)
+    return flagged[at] & ~np.uint64(2), counts
+
+
 def walk(counts: list[np.ndarray], valid: list[np.ndarray], context: list[np.ndarray], total: int, types: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
     """log10 p of each token by the automaton, and by the base unigram.
 
@@ -136,9 +149,9 @@ def score_texts(docs: DataFrame, *, order: int = 2, strength: float = 100.0, doc
         learn = np.repeat(np.array(chunk.train), lengths)
         keys, counts = [], []
         for key, valid in ngram_keys(tokens, lengths, hashes, order):
-            u, inv = np.unique(key[valid], return_inverse=True)
+            u, c = distinct(key[valid], learn[valid])
             keys.append(u)
-            counts.append(np.bincount(inv, weights=learn[valid], minlength=len(u)).astype(np.uint32))
+            counts.append(c)
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         by = np.argsort(keys)
         keys, counts = keys[by], counts[by]
@@ -191,7 +204,7 @@ def score_texts(docs: DataFrame, *, order: int = 2, strength: float = 100.0, doc
         keys = np.unique(np.concatenate([key[valid] for key, valid in grams]))
         counts = [np.where(valid, values[np.minimum(np.searchsorted(keys, key), len(keys) - 1)], 0) for key, valid in grams]
         first = np.cumsum(lengths) - lengths
-        texts = values[np.searchsorted(keys, hashes[:1] | np.uint64(1))][0]
+        texts = values[np.searchsorted(keys, hashes[:1] & ~np.uint64(3) | np.uint64(1))][0]
         context = [None]
         for k in range(1, order):
             c = np.empty(len(tokens))
