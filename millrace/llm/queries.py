@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import backoff_lm, decontaminate, langid, mixing, near_dup, onebit_ann, quality, reputation, surrogates, toxicity
-from .common import fold
+from .common import fold, stash
 
 KEY = "millrace"
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -46,9 +46,20 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", fold() == 0).select("doc_id", "held_out", "lang_pred", "score")
 
 
+LABELS_SENT = 2_000_000
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text, y of the labelled documents to learn from."""
-    return docs.select("doc_id", "text").where(fold() != 0).join(labels.select("doc_id", F.col(label).cast("int").alias("y")), "doc_id")
+    """doc_id, text, y of the labelled documents to learn from.
+
+    Up to LABELS_SENT labels (of two numbers each, counted first) go to the texts; beyond that texts are joined by shuffle
+    once and kept.
+    """
+    y = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null")
+    read = docs.select("doc_id", "text").where(fold() != 0)
+    if y.count() <= LABELS_SENT:
+        return read.join(F.broadcast(y), "doc_id")
+    return stash(read.join(y, "doc_id"), "labelled")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
