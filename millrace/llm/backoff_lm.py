@@ -106,7 +106,7 @@ def distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[:1] = True
     np.not_equal(flagged[1:] & ~np.uint64(2), flagged[:-1] & ~np.uint64(2), out=first[1:])
     at = np.flatnonzero(first)
-    counts = np.add.reduceat((flagged >> np.uint64(1) & np.uint64(1)).astype(np.uint32), at)
+    counts = np.add.reduceat(flagged >> np.uint64(1) & np.uint64(1), at).astype(np.uint32)
     return flagged[at] & ~np.uint64(2), counts
 
 

@@ -23,7 +23,7 @@ TREES, DEPTH = 20, 8
 CELL = 256
 CACHE = 400_000
 _SIGNED = "r1 bigint, r2 bigint, cls binary, sig binary"
-_NEED = "cell bigint, x int, y int, tree int, cls binary"
+_NEED = "cell bigint, x int, y int, tree int, side int, cls binary"
 _LINKS = "a binary, b binary, n bigint"
 
 
@@ -157,7 +157,10 @@ class Forest:
         return docs.select(*key, F.col(text).cast("binary").alias("text")).mapInArrow(run, _SIGNED)
 
     def needed(self, classes: DataFrame) -> DataFrame:
-        """cell, x, y, tree, cls: the classes whose texts each cell needs, of classes(cls, sig)."""
+        """cell, x, y, tree, side, cls: the classes whose texts each cell needs, of classes(cls, sig).
+
+        A cell is a pair of blocks, x and y, of a prefix's members; side tells the blocks apart.
+        """
         trees, cell = self.trees, self.cell
         tries = classes.select("cls", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * 8 + 1, F.lit(8))))).alias("tree", "prefix"))
         often = tries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -178,22 +181,22 @@ class Forest:
                             mine = np.triu(mine, 1)
                         left, right = mine.any(axis=1), mine.any(axis=0)
                         x, y = i // cell, j // cell
-                        use = {i + k for k in np.flatnonzero(left)} | {j + k for k in np.flatnonzero(right)}
-                        out += [(prefix, x, y, tree, rows[k]["cls"]) for k in use]
+                        use = {(i + k, 0) for k in np.flatnonzero(left)} | {(j + k, int(j > i)) for k in np.flatnonzero(right)}
+                        out += [(prefix, x, y, tree, side, rows[k]["cls"]) for k, side in use]
                 if out:
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["cell", "x", "y", "tree", "cls"])
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["cell", "x", "y", "tree", "side", "cls"])
 
         n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return members.repartition(n, "tree", "prefix").sortWithinPartitions("tree", "prefix").mapInArrow(pick, _NEED)
 
     def links(self, cells: DataFrame) -> DataFrame:
-        """a, b, n of cells(cell, x, y, tree, cls, size, sig, text): n more linked rows for class a; edges a - b, n 0."""
+        """a, b, n of cells(cell, x, y, tree, side, cls, size, sig, text): n more linked rows for class a; edges a - b, n 0."""
         threshold, words = self.threshold, self.words
 
         def verify(batches):
             shingle = Shingler(words)
-            for (_, _, _, tree), rows in _rows_by(batches, ["cell", "x", "y", "tree"]):
+            for (_, x, y, tree), rows in _rows_by(batches, ["cell", "x", "y", "tree"]):
                 rows = list({r["cls"]: r for r in rows}.values())
                 sets = [shingle(r["text"]) for r in rows]
                 p = np.array([np.frombuffer(r["sig"], np.uint64) for r in rows])
@@ -201,6 +204,9 @@ class Forest:
                 both = common(sets, sets)
                 near = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6
                 near &= first_trees(p, p) == tree
+                side = np.array([r["side"] for r in rows])
+                if x != y:  # pairs within a block belong to that block's own cell
+                    near &= side[:, None] != side[None, :]
                 np.fill_diagonal(near, False)
                 yield from self_rows(rows, near, weight)
 
