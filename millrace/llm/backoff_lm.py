@@ -7,7 +7,7 @@ hierarchical Dirichlet: p(w | h) = (c(h w) + k p(w | h')) / (c(h) + k), h' the s
 read left to right from the state of the end token; the state carries over from token to token.
 
 The model is as large as the corpus, so no worker ever holds it. Texts are read once, in chunks of bounded size. A
-chunk's distinct n-grams go, as sorted 64-bit keys cut into shards by their high bits, to where the shard is summed;
+chunk's distinct n-grams go, as sorted keys cut into shards by their high bits, to where the shard is summed;
 the sums come back in the order asked for, and the chunk's automaton is made of them.
 """
 
@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, mix, small_batches, splitmix, stash
+from .common import fold, give_back, mix, small_batches, splitmix, stash
 
-CHUNK_CHARS = 12_000_000
-CHUNK_TYPES = 1_000_000
+CHUNK_CHARS = 6_000_000
+CHUNK_TYPES = 500_000
+KEY_BITS = 56  # of N distinct n-grams, a lookup meets another's key once in 2 ** KEY_BITS / N times
 _CHUNKS = "chunk string, shard int, doc_id array<bigint>, train array<boolean>, length array<int>, body binary, counts binary, tokens bigint"
 _ANSWERS = "chunk string, shard int, body binary, types bigint"
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -75,18 +76,25 @@ class Chunk:
         return self.chars >= CHUNK_CHARS or len(self.types) >= CHUNK_TYPES
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - KEY_BITS) & ~np.uint64(3)
+
+
+def unigram_keys(hashes: np.ndarray) -> np.ndarray:
+    return _short(hashes) | np.uint64(1)
+
+
 def ngram_keys(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For k = 1..order: the key of the k-gram that ends at each token, and whether there is one.
 
     The end token before a text belongs to its first k-grams; nothing before that does. Keys of unigrams are odd; the
-    second bit of a key is 0, for `distinct`.
+    second bit of a key is 0, for `distinct`; keys have KEY_BITS bits.
     """
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
     place = np.arange(len(tokens)) - starts
     own = hashes[tokens]
     end = hashes[0]
-    rest = ~np.uint64(3)
-    out = [(own & rest | np.uint64(1), np.ones(len(tokens), bool))]
+    out = [(unigram_keys(hashes)[tokens], np.ones(len(tokens), bool))]
     rolled = own
     for k in range(2, order + 1):
         before = np.empty_like(rolled)
@@ -94,7 +102,7 @@ def ngram_keys(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, orde
         if k == 2:
             before[place == 0] = end
         rolled = mix(before, own)
-        out.append((rolled & rest, place >= k - 2))
+        out.append((_short(rolled), place >= k - 2))
     return out
 
 
@@ -137,7 +145,7 @@ def score_texts(docs: DataFrame, *, order: int = 2, strength: float = 100.0, doc
     spark = docs.sparkSession
     small_batches(spark)
     shards = _model_shards(spark)
-    bits = np.uint64(64 - (shards.bit_length() - 1))
+    bits = np.uint64(KEY_BITS - (shards.bit_length() - 1))
     train = fold(doc_id) != 1 if train is None else F.coalesce(train, F.lit(False))
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"), train.alias("train"))
     schema = T._parse_datatype_string(_CHUNKS)
@@ -174,12 +182,16 @@ def score_texts(docs: DataFrame, *, order: int = 2, strength: float = 100.0, doc
                 if chunk.full():
                     yield rows(chunk, f"{at}.{n}")
                     n, chunk = n + 1, Chunk()
+                    give_back()
         if chunk.docs:
             yield rows(chunk, f"{at}.{n}")
+        del chunk
+        give_back()
 
     made = stash(read.mapInArrow(chunks, schema), "lm-chunks")
 
     def summed(table: pa.Table) -> pa.Table:
+        give_back()
         ask = [unpack_sorted(x.as_py()) for x in table.column("body")]
         have = [unpack(x.as_py(), np.uint32) for x in table.column("counts")]
         keys, inv = np.unique(np.concatenate(ask), return_inverse=True)
@@ -195,6 +207,7 @@ def score_texts(docs: DataFrame, *, order: int = 2, strength: float = 100.0, doc
     types = answers.agg(F.sum("types")).first()[0] or 0
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         row = left.to_pylist()[0]
         lengths = np.array(row["length"], np.int64)
         tokens, hashes = unpack(row["body"], np.uint32), unpack(row["counts"], np.uint64)
@@ -204,7 +217,7 @@ def score_texts(docs: DataFrame, *, order: int = 2, strength: float = 100.0, doc
         keys = np.unique(np.concatenate([key[valid] for key, valid in grams]))
         counts = [np.where(valid, values[np.minimum(np.searchsorted(keys, key), len(keys) - 1)], 0) for key, valid in grams]
         first = np.cumsum(lengths) - lengths
-        texts = values[np.searchsorted(keys, hashes[:1] & ~np.uint64(3) | np.uint64(1))][0]
+        texts = values[np.searchsorted(keys, unigram_keys(hashes[:1]))][0]
         context = [None]
         for k in range(1, order):
             c = np.empty(len(tokens))
