@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, decontaminate, langid, mixing, near_dup, onebit_ann, quality, reputation, surrogates, toxicity
+from . import backoff_lm, decontaminate, langid, mixing, near_dup, onebit_ann, oracles, quality, reputation, surrogates, toxicity
 from .common import fold, stash
 
 KEY = "millrace"
@@ -29,7 +29,8 @@ def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score_texts(table(spark, sf_dir, "documents"))
+    scored = backoff_lm.score_texts(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})  # sums of floats, for comparison
 
 
 def op5_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_pareto_mix, op3_latent_decontamination, op4_backoff_lm, op5_onebit_ann, op6_host_reputation, op7_langid, op8_toxicity, op9_jaccard_join, op10_quality)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_pareto_mix": oracles.MIX, "op4_backoff_lm": oracles.LM, "op5_onebit_ann": oracles.ANN, "op6_host_reputation": oracles.urls(RULES), "op9_jaccard_join": oracles.JACCARD}

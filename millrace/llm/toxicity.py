@@ -141,7 +141,7 @@ def term_statistics(labelled: DataFrame, keep: int, least: int, sure: float) ->
     return [r["term"] for r in top], np.array([r["a"] + r["b"] for r in top], float)
 
 
-def fit(labelled: DataFrame, *, terms: int = 2000, per_label: int = 1500, least: int = 3, sure: float = 10.0, k: int = 15) -> Index | None:
+def fit(labelled: DataFrame, *, terms: int = 2000, per_label: int = 1500, least: int = 3, sure: float = 20.0, k: int = 15) -> Index | None:
     """Index of labelled(doc_id, text, y 0/1); null where a label has no example.
 
     Term statistics are of all labelled rows. Indexed are about per_label examples of each label, chosen by hash. Rows
