@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import stash, word_count
 
 BINS = 4096
+SOURCES_SENT = 100_000
 
 
 def water_fill(parts: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -90,6 +91,8 @@ def pareto_mix(
         .withColumn("bin", F.floor(F.col("rank_key") / (1 + F.col("rank_key")) * BINS).cast("int"))
     )
     quota = _quota(ranked)
+    if targets.count() <= SOURCES_SENT:  # one row a source; without this a hot source's documents would meet in one task
+        quota = F.broadcast(quota)
     at = (
         ranked.alias("d")
         .join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")), "left")
