@@ -139,8 +139,21 @@ def fit(docs: DataFrame, passages: list[tuple[int, list[bytes], frozenset[bytes]
     return Space(number, loading, mass, latent.astype(np.float32), [i for i, _, _ in passages], places, [len(ws) for _, ws, _ in passages], answers)
 
 
-def candidates(docs: list[list[bytes]], space: Space, least: float):
-    """(text, passage, first word, last word, cosine) of windows near a passage."""
+def portions(docs: list[list[bytes]], words: int = 100_000):
+    """(first, end) of runs of texts of about so many words together, so that windows of long texts fit a worker."""
+    first, n = 0, 0
+    for i, d in enumerate(docs):
+        n += len(d)
+        if n >= words:
+            yield first, i + 1
+            first, n = i + 1, 0
+    if first < len(docs):
+        yield first, len(docs)
+
+
+def candidates(docs: list[list[bytes]], space: Space, least: float, begin: int = 0, end: int | None = None):
+    """(text, passage, first word, last word, cosine) of windows of some texts near a passage."""
+    docs = docs[begin:end]
     number, none = space.number, len(space.number)
     ids, blocks = [], []
     for words in docs:
@@ -177,14 +190,14 @@ def candidates(docs: list[list[bytes]], space: Space, least: float):
             for d, q, b, c in zip(which.tolist(), p.tolist(), first.tolist(), cos[r, p].tolist()):
                 if d < len(docs):
                     a = (b - int(starts[d])) * GRID
-                    yield d, q, a, a + width * GRID, c
+                    yield begin + d, q, a, a + width * GRID, c
 
 
 def leaks(docs: list[list[bytes]], space: Space, *, near: float, verbatim: float, partial: float, answered: float) -> dict[tuple[int, int], tuple[float, float, float, int]]:
     """For (text, item): cosine, share of the passage in the longest common subsequence, share of the answer, place."""
     out: dict[tuple[int, int], tuple[float, float, float, int]] = {}
     done: set[tuple[int, int, int]] = set()
-    for d, p, a, b, cos in candidates(docs, space, near):
+    for d, p, a, b, cos in (x for part in portions(docs) for x in candidates(docs, space, near, *part)):
         n = space.length[p]
         mid = (a + b) // 2 // n if n else 0
         if (d, p, mid) in done:  # a neighbouring window has covered this stretch

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, small_batches
+from .common import give_back, mix, small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
 LETTER = re.compile(r"[^\W\d_]")
-MAX_PIECE, MAX_WORD, CACHE = 16, 32, 800_000
+MAX_PIECE, MAX_WORD, CACHE = 16, 32, 300_000
 UNKNOWN, SCALE = 1e-7, 20.0
 _PIECES = "lang string, docs bigint, piece array<string>, p array<double>"
 
@@ -282,6 +282,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], *
                 k = int(np.argmax(x))
                 pred[i], score[i] = langs[k], float(1 / np.exp(x - x[k]).sum())
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in kept], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+        give_back()
 
     if keep:
         docs = docs.drop("lang_pred", "score")
