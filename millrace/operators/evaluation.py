@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -65,62 +66,94 @@ def operating_point(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.max_by(F.struct(*metrics.columns), F.struct("f1", "recall", -F.col("confidence"))).alias("b")).select("b.*")
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """From a stream sorted by keys: frames that hold whole groups only, and where groups begin, with the end."""
+    held: list[pd.DataFrame] = []
+
+    def out() -> tuple[pd.DataFrame, list[int]]:
+        pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+        same = np.ones(len(pdf), bool)
+        for k in keys:
+            v = pdf[k].to_numpy()
+            same[1:] &= (v[1:] == v[:-1]) | (pd.isna(v[1:]) & pd.isna(v[:-1]))
+        same[0] = False
+        return pdf, [*np.flatnonzero(~same).tolist(), len(pdf)]
+
+    for b in batches:
+        if len(b):
+            held.append(b)
+            pdf, cuts = out()
+            if len(cuts) > 2:
+                yield pdf.iloc[: cuts[-2]], cuts[:-1]
+            held = [pdf.iloc[cuts[-2] :]]
+    if held:
+        yield out()
+
+
+def _overlap(a: tuple, b: tuple) -> float:
+    """Intersection over union of x1, y1, x2, y2."""
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return 0.0
+    union = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]) + max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) - w * h
+    return w * h / union if union > 0 else 0.0
+
+
 def suppress(boxes: DataFrame, image: str, label: str, box: Sequence[str], score: str, tie: Sequence[str], threshold: float = 0.85) -> DataFrame:
     """Greedy suppression in each image: by falling score (ties by `tie`), a box goes if one kept of its label overlaps by
     threshold or more. Whole rows of boxes come back.
 
-    The order makes each image a sequence, so an image is one group of a pandas function; images spread over tasks.
+    The order makes an image and label a sequence; rows come sorted, and a task goes through its groups in one pass.
     """
-    x1, y1, x2, y2 = box
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
 
-        pdf = pdf.sort_values([score, *tie], ascending=[False] + [True] * len(tie), kind="stable")
-        b, labels = pdf[[x1, y1, x2, y2]].to_numpy(float), pdf[label].to_numpy()
-        area = np.maximum(0, b[:, 2] - b[:, 0]) * np.maximum(0, b[:, 3] - b[:, 1])
-        live = np.ones(len(b), bool)
-        for i in range(len(b)):
-            if live[i]:
-                w = np.maximum(0, np.minimum(b[i, 2], b[i + 1 :, 2]) - np.maximum(b[i, 0], b[i + 1 :, 0]))
-                h = np.maximum(0, np.minimum(b[i, 3], b[i + 1 :, 3]) - np.maximum(b[i, 1], b[i + 1 :, 1]))
-                union = area[i] + area[i + 1 :] - w * h
-                over = np.divide(w * h, union, out=np.zeros_like(union), where=union > 0)
-                live[i + 1 :] &= ~((over >= threshold) & (labels[i + 1 :] == labels[i]))
-        return pdf[live]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, cuts in _whole_groups(batches, [image, label]):
+            rows, live = list(pdf[list(box)].itertuples(index=False, name=None)), np.ones(len(pdf), bool)
+            for a, b in zip(cuts, cuts[1:]):
+                kept: list[tuple] = []
+                for i in range(a, b):
+                    if any(_overlap(k, rows[i]) >= threshold for k in kept):
+                        live[i] = False
+                    else:
+                        kept.append(rows[i])
+            yield pdf[live]
 
-    return boxes.groupBy(image).applyInPandas(run, boxes.schema)
+    return boxes.repartition(F.col(image), F.col(label)).sortWithinPartitions(image, label, F.desc(score), *tie).mapInPandas(run, boxes.schema)
 
 
 def greedy_match(predicted: DataFrame, true: DataFrame, image: str, label: str, box: Sequence[str], order: str, threshold: float = 0.5, tie: str = "lowest") -> DataFrame:
     """image, label, tp, fp, fn, support, iou_sum: each prediction in order takes the free true box of its label that
     overlaps most, if by threshold; of equals the lowest or the highest in order."""
-    x1, y1, x2, y2 = box
     cols = [image, label, order, *box]
+    both = predicted.select(*cols, F.lit(1).alias("_side")).unionByName(true.select(*cols, F.lit(0).alias("_side")))
+    kinds = dict(both.dtypes)
 
-    def run(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = (x.sort_values(order) if order in x.columns else pd.DataFrame(columns=cols) for x in (p, t))
-        free, tp, total = [tuple(r) for r in t[list(box)].itertuples(index=False)], 0, 0.0
-        used = [False] * len(free)
-        for a in p[list(box)].itertuples(index=False):
+    def match(p: list[tuple], t: list[tuple]) -> tuple[int, float]:
+        free, tp, total = list(range(len(t))), 0, 0.0
+        for a in p:
             best, at = 0.0, -1
-            for j, b in enumerate(free):
-                if not used[j]:
-                    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-                    both = max(0.0, w) * max(0.0, h)
-                    union = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]) + max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) - both
-                    v = both / union if union > 0 else 0.0
-                    if v > best or (tie == "highest" and v == best and v > 0):
-                        best, at = v, j
+            for j in free:
+                v = _overlap(a, t[j])
+                if v > best or (tie == "highest" and v == best and v > 0):
+                    best, at = v, j
             if at >= 0 and best >= threshold:
-                used[at] = True
-                tp += 1
-                total += best
-        return pd.DataFrame([(*key, tp, len(p) - tp, len(free) - tp, len(free), total)])
+                free.remove(at)
+                tp, total = tp + 1, total + best
+        return tp, total
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, cuts in _whole_groups(batches, [image, label]):
+            rows, side = list(pdf[list(box)].itertuples(index=False, name=None)), pdf["_side"].to_numpy()
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                n = int((side[a:b] == 0).sum())  # true boxes come first
+                tp, total = match(rows[a + n : b], rows[a : a + n])
+                out.append((tp, b - a - n - tp, n - tp, n, total))
+            head = pdf.iloc[cuts[:-1]][[image, label]].reset_index(drop=True)
+            yield pd.concat([head, pd.DataFrame(out, columns=["tp", "fp", "fn", "support", "iou_sum"])], axis=1)
 
-    kinds = {f.name: f.dataType.simpleString() for f in predicted.schema.fields}
     schema = f"{image} {kinds[image]}, {label} {kinds[label]}, tp bigint, fp bigint, fn bigint, support bigint, iou_sum double"
-    return predicted.select(*cols).groupBy(image, label).cogroup(true.select(*cols).groupBy(image, label)).applyInPandas(lambda k, p, t: run(k, p, t), schema)
+    return both.repartition(F.col(image), F.col(label)).sortWithinPartitions(image, label, "_side", order).mapInPandas(run, schema)
 
 
 def mask_metrics(pixels: DataFrame, p: str, t: str, by: Sequence[str] = ()) -> DataFrame:

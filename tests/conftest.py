@@ -22,3 +22,6 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
