@@ -47,18 +47,32 @@ def require_none(found: DataFrame, show: int = 5) -> None:
         raise ConstraintError("; ".join(f"{r['rule']}: {r['key']}" for r in some))
 
 
+def _runs(words: Column, n: int) -> Column:
+    """Hashes of all runs of n words."""
+    many = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    names = [f"w{i}" for i in range(n)]
+    zipped = F.arrays_zip(*[F.slice(words, i + 1, many).alias(x) for i, x in enumerate(names)])
+    return F.transform(zipped, lambda z: F.xxhash64(*[z[x] for x in names]))
+
+
 def locked_texts(docs: DataFrame, locked: DataFrame, doc_id: str, text: str, locked_id: str, words: int = 8) -> DataFrame:
-    """doc_id, locked_id of documents that contain a locked text as it is. Both are met on runs of words: the locked
-    text's first run must be among the document's, then the whole is compared."""
-    def runs(c: Column) -> Column:
-        w = F.split(c, r"\s+")
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
-
-    inner = F.slice(F.split(F.trim(F.col("l_text")), r"\s+"), 2, words)  # the first word may begin inside a longer one
-    left = locked.select(F.col(locked_id).alias("locked_id"), F.col(text).alias("l_text")).where("trim(l_text) <> ''").withColumn("h", F.when(F.size(inner) == words, F.xxhash64(F.array_join(inner, " "))))
-    right = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("d_text"), F.explode(F.array_distinct(runs(F.col(text)))).alias("h"))
-    near = right.join(left.where("h is not null"), "h")
-    return near.where(F.contains("d_text", "l_text")).select("doc_id", "locked_id").distinct()
+    """doc_id, locked_id of documents that contain a locked text as it is.
+
+    Both are met on a run of words from inside the locked text (its first and last word may be parts of longer ones in
+    the document), of `words` words or of one where it is shorter; then the whole is compared. Locked texts of under
+    three words and documents without id are left out.
+    """
+    split = lambda c: F.split(F.trim(c), r"\s+")
+    items = locked.select(F.col(locked_id).alias("locked_id"), F.col(text).alias("l_text"), split(F.col(text)).alias("w")).where("size(w) >= 3")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("d_text"))
+    found = []
+    for n, which in ((words, F.size("w") >= words + 2), (1, F.size("w") < words + 2)):
+        anchor = items.where(which).select("locked_id", F.xxhash64(*[F.get("w", F.lit(i + 1)) for i in range(n)]).alias("h"))
+        runs = texts.select("doc_id", F.explode(_runs(split(F.col("d_text")), n)).alias("h"))
+        found.append(runs.join(anchor, "h").select("doc_id", "locked_id"))
+    near = found[0].unionByName(found[1]).distinct()  # texts join again only here
+    both = near.join(texts, "doc_id").join(items.select("locked_id", "l_text"), "locked_id")
+    return both.where(F.contains("d_text", "l_text")).select("doc_id", "locked_id").distinct()
 
 
 def finding_errors(findings: DataFrame) -> DataFrame:
