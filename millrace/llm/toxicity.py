@@ -59,20 +59,21 @@ class Index:
         best, found = np.empty(0), np.empty(0, np.int64)
         at, step = 0, 4
         while at < len(order) and (len(best) < k or bound[order[at]] >= best[-1] - 1e-12):
-            for block in order[at : at + step]:
-                if len(best) >= k and bound[block] < best[-1] - 1e-12:
-                    break
-                a, n = self.into[terms, block], self.into[terms, block + 1] - self.into[terms, block]
-                ends = np.cumsum(n)
-                flat = np.arange(ends[-1]) + np.repeat(a - ends + n, n)
-                score = np.bincount(self.at[flat] - block * BLOCK, weights=self.w[flat] * np.repeat(weights, n), minlength=BLOCK)
-                if block * BLOCK <= skip < (block + 1) * BLOCK:
-                    score[skip - block * BLOCK] = 0.0
-                hit = np.flatnonzero(score > 0)
-                best, found = np.concatenate([best, score[hit]]), np.concatenate([found, hit + block * BLOCK])
-                by = np.lexsort((found, -best))[:k]
-                best, found = best[by], found[by]
-            at, step = at + step, step * 2
+            batch = order[at : at + step]
+            if len(best) >= k:
+                batch = batch[bound[batch] >= best[-1] - 1e-12]
+            first = self.into[terms[:, None], batch]
+            n = (self.into[terms[:, None], batch + 1] - first).ravel()
+            ends = np.cumsum(n)
+            flat = np.arange(ends[-1]) + np.repeat(first.ravel() - ends + n, n)
+            place = np.repeat(np.tile((np.arange(len(batch)) - batch) * BLOCK, len(terms)), n)  # from example to place in batch
+            score = np.bincount(self.at[flat] + place, weights=self.w[flat] * np.repeat(np.repeat(weights, len(batch)), n), minlength=len(batch) * BLOCK)
+            ids = (batch[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = np.flatnonzero((score > 0) & (ids != skip))
+            best, found = np.concatenate([best, score[hit]]), np.concatenate([found, ids[hit]])
+            by = np.lexsort((found, -best))[:k]
+            best, found = best[by], found[by]
+            at, step = at + step, len(order)
         return found, best
 
     def vector(self, words: set[str], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
