@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from compare import duck_rows, spark_rows
 
 from millrace.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("MILLRACE_SF", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
