@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 # Second labels that, before a country's two letters, belong to the public suffix.
 SECOND = ("ac", "co", "com", "edu", "gov", "go", "mil", "ne", "net", "or", "org")
 
@@ -87,7 +89,7 @@ def host_reputation(outcomes: DataFrame, *, low: float = 1.0, high: float = 1000
 
     Each has its keys and a, b of its beta posterior, prior included. Rows of one group are summed before any shuffle.
     """
-    hosts = outcomes.groupBy("suffix", "domain", "host").agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n"))
+    hosts = stash(outcomes.groupBy("suffix", "domain", "host").agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n")), "host-counts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     every = suffixes.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
@@ -97,9 +99,10 @@ def host_reputation(outcomes: DataFrame, *, low: float = 1.0, high: float = 1000
         prior = above.withColumn("prior", F.col("a") / (F.col("a") + F.col("b"))).drop("a", "b", "strength")
         known = groups.join(prior, keys) if keys else groups.join(F.broadcast(prior))  # one row
         s = _strength(known, low, high)
-        return known.join(F.broadcast(s)).withColumns(  # one row
+        out = known.join(F.broadcast(s)).withColumns(  # one row
             {"a": F.col("prior") * F.col("strength") + F.col("bad"), "b": (1 - F.col("prior")) * F.col("strength") + F.col("n") - F.col("bad")}
-        ).drop("bad", "n", "prior", "strength")
+        )
+        return stash(out.drop("bad", "n", "prior", "strength"), "host-levels")  # each level is read several times
 
     by_suffix = shrink(suffixes, every, [])
     by_domain = shrink(domains, by_suffix, ["suffix"])
