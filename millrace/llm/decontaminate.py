@@ -6,10 +6,16 @@ gives a latent space. Every text is read whole as overlapping windows of three l
 the cosine of its latent vector, over the length of its whole TF-IDF vector, is a candidate. A candidate is a leak if the longest common subsequence of words holds most
 of the passage, or half of it together with its answer: the answer's words where the benchmark has that column, else
 the passage's rarest words.
+
+The space has fewer dimensions than a large benchmark has passages, and then keeps little of each. So a stretch is a
+candidate too, whatever its cosine, if it holds so many of a passage's rarest words as a leak must hold: a common
+subsequence of c of n words has at least k of its words among any n - c + k of the passage. No leak within twice the
+passage's length is missed, however large benchmark and corpus are.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +27,7 @@ from .common import small_batches
 
 PASSAGE, STRIDE, LEAST = 64, 48, 5
 GRID = 8
+SHELF = 64
 _DF = "word binary, n bigint"
 _PARTIAL = "part binary"
 _FOUND = "doc_id bigint, item_id bigint, cosine double, lcs double, answer double, at bigint"
@@ -55,6 +62,27 @@ class Space:
     places: list[dict[bytes, int]]
     length: list[int]
     answer: list[frozenset[bytes]]
+    least: np.ndarray  # of a passage's rarest words, how many a leak holds
+    shelves: list[tuple[np.ndarray, np.ndarray]]  # for SHELF passages each: who[into[w]:into[w + 1]] have w among their rarest
+
+
+def shelves_of(lists: list[list[int]], df: np.ndarray, partial: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Space.least and Space.shelves of passages as word numbers, for leaks of at least the share `partial` of a passage."""
+    least, shelves = np.zeros(len(lists), np.int64), []
+    for i in range(0, len(lists), SHELF):
+        term, who = [], []
+        for p, ws in enumerate(lists[i : i + SHELF], i):
+            need = max(1, math.ceil(partial * len(ws) - 1e-9))
+            least[p] = max(min(2, need), need // 4)
+            w, times = np.unique(ws, return_counts=True)
+            by = np.lexsort((w, df[w]))
+            rare = w[by[: np.searchsorted(np.cumsum(times[by]), len(ws) - need + least[p]) + 1]]
+            term.append(rare)
+            who.append(np.full(len(rare), p))
+        t, p = np.concatenate(term), np.concatenate(who)
+        by = np.lexsort((p, t))
+        shelves.append((np.searchsorted(t[by], np.arange(len(df) + 2)), p[by]))
+    return least, shelves
 
 
 def passages_of(items: list[tuple[int, bytes | None, bytes | None]]) -> list[tuple[int, list[bytes], frozenset[bytes]]]:
@@ -87,13 +115,14 @@ def document_frequency(docs: DataFrame, text: str, vocabulary: set[bytes]) -> tu
     return found, found.pop(b"", 0)
 
 
-def fit(docs: DataFrame, passages: list[tuple[int, list[bytes], frozenset[bytes]]], *, text: str = "text", rank: int = 96, rounds: int = 3, seed: int = 5) -> Space:
-    """The latent space of some passages, words weighed by their rarity in docs."""
+def fit(docs: DataFrame, passages: list[tuple[int, list[bytes], frozenset[bytes]]], *, text: str = "text", partial: float = 0.5, rank: int = 96, rounds: int = 3, seed: int = 5) -> Space:
+    """The latent space of some passages and their rarest words, words weighed by their rarity in docs."""
     spark = docs.sparkSession
     vocabulary = sorted({w for _, ws, _ in passages for w in ws})
     df, total = document_frequency(docs, text, set(vocabulary))
     number = {w: i for i, w in enumerate(vocabulary)}
-    idf = np.log((total + 1) / (np.array([df.get(w, 0) for w in vocabulary], float) + 1)) + 1e-3
+    often = np.array([df.get(w, 0) for w in vocabulary], float)
+    idf = np.log((total + 1) / (often + 1)) + 1e-3
     size = min(rank + 8, len(vocabulary), len(passages))
     dims = min(rank, size)
     rows = spark.createDataFrame([([number[w] for w in ws],) for _, ws, _ in passages], "words array<int>").repartition(max(1, -(-len(passages) // 2000)))
@@ -136,7 +165,7 @@ def fit(docs: DataFrame, passages: list[tuple[int, list[bytes], frozenset[bytes]
         rare = sorted(p, key=lambda w: (-idf[number[w]], w))[: max(3, len(p) // 4)]
         answers.append(answer or frozenset(rare))
     mass = np.append(idf, np.log(total + 2)).astype(np.float32) ** 2
-    return Space(number, loading, mass, latent.astype(np.float32), [i for i, _, _ in passages], places, [len(ws) for _, ws, _ in passages], answers)
+    return Space(number, loading, mass, latent.astype(np.float32), [i for i, _, _ in passages], places, [len(ws) for _, ws, _ in passages], answers, *shelves_of([[number[w] for w in ws] for _, ws, _ in passages], often, partial))
 
 
 def portions(docs: list[list[bytes]], words: int = 100_000):
@@ -151,9 +180,8 @@ def portions(docs: list[list[bytes]], words: int = 100_000):
         yield first, len(docs)
 
 
-def candidates(docs: list[list[bytes]], space: Space, least: float, begin: int = 0, end: int | None = None):
-    """(text, passage, first word, last word, cosine) of windows of some texts near a passage."""
-    docs = docs[begin:end]
+def numbered(docs: list[list[bytes]], space: Space) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of some texts, each filled up to whole cells of GRID, and each text's first cell and the end."""
     number, none = space.number, len(space.number)
     ids, blocks = [], []
     for words in docs:
@@ -161,10 +189,13 @@ def candidates(docs: list[list[bytes]], space: Space, least: float, begin: int =
         n += [none] * (-len(n) % GRID)
         ids += n
         blocks.append(len(n) // GRID)
-    if not ids:
+    return np.array(ids, np.int64), np.cumsum([0] + blocks)
+
+
+def candidates(ids: np.ndarray, starts: np.ndarray, space: Space, least: float):
+    """(text, passage, first word, last word, cosine) of windows of some texts near a passage."""
+    if not len(ids):
         return
-    starts = np.cumsum([0] + blocks)
-    ids = np.array(ids)
     pad = np.zeros((8, space.loading.shape[1] + 1), np.float32)
     one = np.empty((len(ids) // GRID + 8, pad.shape[1]), np.float32)
     for i in range(0, len(ids), 1 << 16):  # what is gathered at once fits the cache
@@ -188,40 +219,82 @@ def candidates(docs: list[list[bytes]], space: Space, least: float, begin: int =
             first = at[r] * step
             which = np.searchsorted(starts, first, side="right") - 1
             for d, q, b, c in zip(which.tolist(), p.tolist(), first.tolist(), cos[r, p].tolist()):
-                if d < len(docs):
+                if d < len(starts) - 1:
                     a = (b - int(starts[d])) * GRID
-                    yield begin + d, q, a, a + width * GRID, c
+                    yield d, q, a, a + width * GRID, c
+
+
+def holding(ids: np.ndarray, starts: np.ndarray, space: Space):
+    """(text, passage, i) where words (i - 1) n to (i + 2) n, n the passage's length, hold as many of its rarest words as a leak."""
+    if not len(ids):
+        return
+    n = np.array(space.length)
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts) * GRID)
+    place = np.arange(len(ids)) - starts[text] * GRID
+    span = int(place.max()) + 6  # no stretch meets another text or passage
+    for into, who in space.shelves:
+        many = into[ids + 1] - into[ids]
+        live = np.flatnonzero(many)
+        many = many[live]
+        ends = np.cumsum(many)
+        if not len(live):
+            continue
+        p = who[np.arange(ends[-1]) + np.repeat(into[ids[live]] - ends + many, many)]
+        at = np.repeat(live, many)
+        key, count = np.unique((p * (len(starts) - 1) + text[at]) * span + place[at] // n[p] + 2, return_counts=True)
+        sums = np.append(0, np.cumsum(count))
+        held = lambda x, far: sums[np.searchsorted(key, x + far, side="right")] - sums[np.searchsorted(key, x - far)]
+        enough = lambda x, far: x[held(x, far) >= space.least[x // span // (len(starts) - 1)]]
+        some = enough(key, 2)
+        mid = enough(np.unique(np.concatenate([some - 1, some, some + 1])), 1)
+        p, d = np.divmod(mid // span, len(starts) - 1)
+        for d, q, i in zip(d.tolist(), p.tolist(), (mid % span - 2).tolist()):
+            if i >= 0:
+                yield d, q, i
 
 
 def leaks(docs: list[list[bytes]], space: Space, *, near: float, verbatim: float, partial: float, answered: float) -> dict[tuple[int, int], tuple[float, float, float, int]]:
     """For (text, item): cosine, share of the passage in the longest common subsequence, share of the answer, place."""
     out: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-    done: set[tuple[int, int, int]] = set()
-    for d, p, a, b, cos in (x for part in portions(docs) for x in candidates(docs, space, near, *part)):
-        n = space.length[p]
-        mid = (a + b) // 2 // n if n else 0
-        if (d, p, mid) in done:  # a neighbouring window has covered this stretch
-            continue
-        done.add((d, p, mid))
-        lo, hi = max(0, min(a, mid * n) - n), max(b, mid * n + n) + n
-        words = docs[d][lo:hi]
-        share = lcs(space.places[p], n, words) / n
-        if share < partial:
-            continue
-        have = len(space.answer[p].intersection(words)) / max(1, len(space.answer[p]))
-        if share >= verbatim or have >= answered:
-            key = (d, space.item[p])
-            if key not in out or share > out[key][1]:
-                out[key] = (cos, share, have, lo)
+    for begin, end in portions(docs):
+        ids, starts = numbered(docs[begin:end], space)
+        done: set[tuple[int, int, int]] = set()
+
+        def judge(d: int, p: int, lo: int, hi: int, cos: float | None) -> None:
+            n, words = space.length[p], docs[begin + d][lo:hi]
+            share = lcs(space.places[p], n, words) / n
+            if share < partial:
+                return
+            have = len(space.answer[p].intersection(words)) / max(1, len(space.answer[p]))
+            if share >= verbatim or have >= answered:
+                key = (begin + d, space.item[p])
+                if key not in out or share > out[key][1]:
+                    out[key] = (latent_cosine(ids[starts[d] * GRID + lo :][: len(words)], p, space) if cos is None else cos, share, have, lo)
+
+        for d, p, a, b, cos in candidates(ids, starts, space, near):
+            n = space.length[p]
+            mid = (a + b) // 2 // n
+            if (d, p, mid) not in done:  # else a neighbouring window has covered this stretch
+                done.add((d, p, mid))
+                judge(d, p, max(0, min(a, mid * n) - n), max(b, mid * n + n) + n, cos)
+        for d, p, mid in holding(ids, starts, space):
+            if (d, p, mid) not in done:
+                n = space.length[p]
+                judge(d, p, max(0, mid * n - n), mid * n + 2 * n, None)
     return out
 
 
-def _spaces(docs: DataFrame, benchmark: DataFrame, text: str, answer: str | None, block: int) -> list[Space]:
+def latent_cosine(ids: np.ndarray, p: int, space: Space) -> float:
+    """Cosine of some words and a passage as for windows."""
+    return float(space.loading[ids].sum(axis=0) @ space.latent[p] / math.sqrt(max(space.mass[ids].sum(), 1e-12)))
+
+
+def _spaces(docs: DataFrame, benchmark: DataFrame, text: str, answer: str | None, block: int, partial: float) -> list[Space]:
     """Latent spaces of the benchmark, `block` passages at most in each: what a task holds has that bound."""
     cols = [F.col("item_id").cast("bigint"), F.col("text").cast("binary"), (F.col(answer).cast("binary") if answer else F.lit(None).cast("binary"))]
     every = passages_of([(r[0], r[1] and bytes(r[1]), r[2] and bytes(r[2])) for r in benchmark.select(*cols).toLocalIterator()])
     every.sort(key=lambda x: (x[0], x[1]))
-    return [fit(docs, every[i : i + block], text=text) for i in range(0, len(every), block)]
+    return [fit(docs, every[i : i + block], text=text, partial=partial) for i in range(0, len(every), block)]
 
 
 OPTIONS = {"near": 0.3, "verbatim": 0.8, "partial": 0.5, "answered": 0.6}
@@ -240,7 +313,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     opts = OPTIONS | options
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     out = spark.createDataFrame([], _FOUND)
-    for space in _spaces(docs, benchmark, text, answer, block):
+    for space in _spaces(docs, benchmark, text, answer, block, opts["partial"]):
         held = spark.sparkContext.broadcast(space)
 
         def search(batches, held=held):
@@ -260,7 +333,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ans
     """docs without the rows that leak an item, columns as they were; see find_leaks."""
     small_batches(docs.sparkSession)
     opts = OPTIONS | options
-    for space in _spaces(docs, benchmark, text, answer, block):
+    for space in _spaces(docs, benchmark, text, answer, block, opts["partial"]):
         held = docs.sparkSession.sparkContext.broadcast(space)
         at = docs.columns.index(text)
 

@@ -165,6 +165,20 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(d, b.limit(0)).count() == 0 and decontaminate.find_leaks(d.limit(0), b).count() == 0
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    r = random.Random(8)
+    even = lambda n: " ".join(f"w{r.randrange(20000)}" for _ in range(n))
+    items = [(i, even(r.randint(15, 60))) for i in range(2500)]
+    docs = []
+    for i in range(120):
+        t = even(150).split()
+        t[i : i + 1] = items[i * 20][1].split()
+        docs.append((i, " ".join(t)))
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(i, i * 20) for i in range(120)}
+    assert all(x["lcs"] == 1 for x in got)
+
+
 def test_lcs():
     r = random.Random(7)
     for _ in range(50):
