@@ -10,7 +10,8 @@ the passage's rarest words.
 The space has fewer dimensions than a large benchmark has passages, and then keeps little of each. So a stretch is a
 candidate too, whatever its cosine, if it holds so many of a passage's rarest words as a leak must hold: a common
 subsequence of c of n words has at least k of its words among any n - c + k of the passage. No leak within twice the
-passage's length is missed, however large benchmark and corpus are.
+passage's length is missed, however large benchmark and corpus are, or however much the words around a short item weigh.
+Of an item of under five words, half would say nothing: it is a leak where all of it occurs as a run of words.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ class Space:
     places: list[dict[bytes, int]]
     length: list[int]
     answer: list[frozenset[bytes]]
+    whole: list[list[bytes] | None]  # words of passages under LEAST words
     least: np.ndarray  # of a passage's rarest words, how many a leak holds
     shelves: list[tuple[np.ndarray, np.ndarray]]  # for SHELF passages each: who[into[w]:into[w + 1]] have w among their rarest
 
@@ -72,7 +74,7 @@ def shelves_of(lists: list[list[int]], df: np.ndarray, partial: float) -> tuple[
     for i in range(0, len(lists), SHELF):
         term, who = [], []
         for p, ws in enumerate(lists[i : i + SHELF], i):
-            need = max(1, math.ceil(partial * len(ws) - 1e-9))
+            need = max(1, math.ceil(partial * len(ws) - 1e-9)) if len(ws) >= LEAST else len(ws)
             least[p] = max(min(2, need), need // 4)
             w, times = np.unique(ws, return_counts=True)
             by = np.lexsort((w, df[w]))
@@ -86,11 +88,11 @@ def shelves_of(lists: list[list[int]], df: np.ndarray, partial: float) -> tuple[
 
 
 def passages_of(items: list[tuple[int, bytes | None, bytes | None]]) -> list[tuple[int, list[bytes], frozenset[bytes]]]:
-    """(item, words, answer words) of passages of at most PASSAGE words; items of under LEAST words have none."""
+    """(item, words, answer words) of passages of at most PASSAGE words; items without words have none."""
     out = []
     for i, text, answer in items:
         w = words_of(text)
-        if i is None or len(w) < LEAST:
+        if i is None or not w:
             continue
         for a in range(0, max(1, len(w) - (PASSAGE - STRIDE)), STRIDE):
             out.append((i, w[a : a + PASSAGE], frozenset(words_of(answer))))
@@ -165,7 +167,7 @@ def fit(docs: DataFrame, passages: list[tuple[int, list[bytes], frozenset[bytes]
         rare = sorted(p, key=lambda w: (-idf[number[w]], w))[: max(3, len(p) // 4)]
         answers.append(answer or frozenset(rare))
     mass = np.append(idf, np.log(total + 2)).astype(np.float32) ** 2
-    return Space(number, loading, mass, latent.astype(np.float32), [i for i, _, _ in passages], places, [len(ws) for _, ws, _ in passages], answers, *shelves_of([[number[w] for w in ws] for _, ws, _ in passages], often, partial))
+    return Space(number, loading, mass, latent.astype(np.float32), [i for i, _, _ in passages], places, [len(ws) for _, ws, _ in passages], answers, [ws if len(ws) < LEAST else None for _, ws, _ in passages], *shelves_of([[number[w] for w in ws] for _, ws, _ in passages], often, partial))
 
 
 def portions(docs: list[list[bytes]], words: int = 100_000):
@@ -261,12 +263,12 @@ def leaks(docs: list[list[bytes]], space: Space, *, near: float, verbatim: float
         done: set[tuple[int, int, int]] = set()
 
         def judge(d: int, p: int, lo: int, hi: int, cos: float | None) -> None:
-            n, words = space.length[p], docs[begin + d][lo:hi]
+            n, words, whole = space.length[p], docs[begin + d][lo:hi], space.whole[p]
             share = lcs(space.places[p], n, words) / n
-            if share < partial:
+            if share < partial or whole and not any(words[i : i + n] == whole for i in range(len(words) - n + 1)):
                 return
             have = len(space.answer[p].intersection(words)) / max(1, len(space.answer[p]))
-            if share >= verbatim or have >= answered:
+            if whole or share >= verbatim or have >= answered:
                 key = (begin + d, space.item[p])
                 if key not in out or share > out[key][1]:
                     out[key] = (latent_cosine(ids[starts[d] * GRID + lo :][: len(words)], p, space) if cos is None else cos, share, have, lo)
@@ -305,7 +307,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
 
     lcs is the share of the item's passage in the longest common subsequence with the text, answer that of its answer's
     words there, `at` the place in words. Texts are read whole. Null and empty texts leak nothing; items whose id is
-    null or that have under five words are not sought. Repeated rows are reported each; repeated items once for each id.
+    null or that have no word are not sought; items of under five words are leaked where they occur whole. Repeated rows are reported each; repeated items once for each id.
     Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession

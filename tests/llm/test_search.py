@@ -179,6 +179,20 @@ def test_leaks_of_a_large_benchmark(spark):
     assert all(x["lcs"] == 1 for x in got)
 
 
+def test_leaks_of_short_items(spark):
+    r = random.Random(9)
+    common, rare = [f"c{i}" for i in range(30)], lambda: f"r{r.randrange(10**6)}"
+    items = [(i, " ".join(r.sample(common, 4) + [f"k{i}"] * (i % 5 + 1))) for i in range(20)] + [(20, "c1 k99"), (21, "k98"), (22, "c2 c3 k97 c4"), (23, "--")]
+    docs = []
+    for i, t in items:
+        around = [rare() for _ in range(60)]
+        around[30:30] = t.split()
+        docs.append((i, " ".join(around)))
+    docs += [(100, "k99 c1"), (101, "c2 c3 x k97 c4"), (102, "k98x")] + [(200 + i, " ".join(common)) for i in range(300)]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(i, i) for i in range(23)}
+
+
 def test_lcs():
     r = random.Random(7)
     for _ in range(50):
