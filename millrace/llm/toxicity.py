@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the starts of words. Of all terms of all labelled texts those are kept that tell the classes apart
-best, by likelihood ratio, so that vectors hold what matters for the label; their document frequencies, over all
-labelled texts, give the weights. A bounded number of labelled examples is indexed: postings by term, with the largest
-weight of each block of examples. A query's blocks are taken by their upper bounds until none can beat the k-th best,
+Terms are words and the starts of words. All terms of the examples are indexed, none is left out. A term weighs
+(1 + log of its count in the text) times its IDF, times the root of its likelihood ratio between the classes, so that
+words that matter for the label count most; both are counted over all labelled texts. A bounded number of labelled
+examples is indexed: postings by term, with the largest weight of each block of examples. A query's blocks are taken by their upper bounds until none can beat the k-th best,
 which makes the search exact. Votes weigh by distance; a logistic map of the vote, fitted on the examples themselves
 with each left out of its own vote, gives the score. The neighbours found are the evidence.
 """
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +23,18 @@ from .common import small_batches
 STARTS = (4, 5)
 BLOCK = 64
 CACHE = 400_000
-_TERMS = "term string, y int, n bigint"
+FLOOR = 0.1
+_TERMS = "term bigint, y int, n bigint"
 _SCORED = "doc_id bigint, score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>"
 
 
-def words_of(text: str | None) -> set[str]:
-    """Distinct lower-cased words, without marks at their ends."""
-    return {x for w in set((text or "").lower().split()) if (x := w.strip("\"'.,;:!?()[]{}<>|*&%$#@~^_-+=/\\"))}
+def words_of(text: str | None) -> dict[str, int]:
+    """Lower-cased words, without marks at their ends, and how often each occurs."""
+    out: dict[str, int] = {}
+    for w in (text or "").lower().split():
+        if x := w.strip("\"'.,;:!?()[]{}<>|*&%$#@~^_-+=/\\"):
+            out[x] = out.get(x, 0) + 1
+    return out
 
 
 def terms_of(word: str) -> list[str]:
@@ -40,7 +46,7 @@ class Index:
     """Examples as postings by term and block: examples at[into[t, b]:into[t, b+1]], weights w; peak: block maxima."""
 
     number: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # IDF times a term's factor for the classes
     into: np.ndarray
     at: np.ndarray
     w: np.ndarray
@@ -76,19 +82,24 @@ class Index:
             at, step = at + step, len(order)
         return found, best
 
-    def vector(self, words: set[str], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, words: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """A text's terms and unit weights."""
-        number, got = self.number, set()
-        for w in words:
+        number, got = self.number, {}
+        for w, n in words.items():
             t = known.get(w)
             if t is None:
                 if len(known) >= CACHE:
                     known.clear()
                 t = known[w] = tuple(number[x] for x in terms_of(w) if x in number)
-            got.update(t)
-        t = np.array(sorted(got), np.int64)
-        v = self.idf[t]
-        return t, v / max(np.sqrt((v**2).sum()), 1e-12)
+            for x in t:
+                got[x] = got.get(x, 0) + n
+        t = np.fromiter(got, np.int64, len(got))
+        by = np.argsort(t)
+        return t[by], self.weights(t[by], np.fromiter(got.values(), float, len(got))[by])
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        v = self.idf[terms] * (1 + np.log(counts))
+        return v / max(np.sqrt((v**2).sum()), 1e-12)
 
     def vote(self, found: np.ndarray, best: np.ndarray) -> float:
         """Share of label 1 by weights 1 / (1.02 - cosine) ** 2, with one vote of weight 1 for the overall rate."""
@@ -113,73 +124,93 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50)
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
-def term_statistics(labelled: DataFrame, keep: int, least: int, sure: float) -> tuple[list[str], np.ndarray]:
-    """The `keep` terms of greatest likelihood ratio, `sure` at least, over all labelled(text, y), and their document frequencies."""
+def term_statistics(labelled: DataFrame, number: dict[str, int]) -> np.ndarray:
+    """In how many labelled(text, y) of each label each numbered term occurs, as two rows."""
+    held = labelled.sparkSession.sparkContext.broadcast(number)
 
     def count(batches):
-        held: list[dict[str, int]] = [{}, {}]
-        rows = lambda: pa.RecordBatch.from_arrays(
-            [pa.array([t for h in held for t in h], pa.string()), pa.array([y for y in (0, 1) for _ in held[y]], pa.int32()), pa.array([n for h in held for n in h.values()], pa.int64())], names=["term", "y", "n"]
-        )
+        number, n = held.value, np.zeros((2, len(held.value)), np.int64)
+        known: dict[str, tuple[int, ...]] = {}
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = held[y]
-                for x in {x for w in words_of(t) for x in terms_of(w)}:
-                    h[x] = h.get(x, 0) + 1
-            if len(held[0]) + len(held[1]) > 500_000:
-                yield rows()
-                held = [{}, {}]
-        yield rows()
-
-    sizes = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = [float(sizes.get(y, 0)) for y in (0, 1)]
-    if not all(n):
-        return [], np.empty(0)
-    by = labelled.select("text", "y").mapInArrow(count, _TERMS).groupBy("term").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("b"))
-    both = F.col("a") + F.col("b")
-    part = lambda c, size: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * F.lit(sum(n)) / (both * F.lit(size)))).otherwise(0.0)
-    top = by.where(both >= least).withColumn("g", 2 * (part("a", n[0]) + part("b", n[1]))).where(F.col("g") >= sure).orderBy(F.desc("g"), "term").limit(keep).collect()
-    return [r["term"] for r in top], np.array([r["a"] + r["b"] for r in top], float)
-
-
-def fit(labelled: DataFrame, *, terms: int = 2000, per_label: int = 1500, least: int = 3, sure: float = 20.0, k: int = 15) -> Index | None:
+                got = set()
+                for w in words_of(t):
+                    x = known.get(w)
+                    if x is None:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        x = known[w] = tuple(number[x] for x in terms_of(w) if x in number)
+                    got.update(x)
+                n[y, np.fromiter(got, np.int64, len(got))] += 1
+        y, t = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(y, pa.int32()), pa.array(n[y, t], pa.int64())], names=["term", "y", "n"])
+
+    out = np.zeros((2, len(number)))
+    got = labelled.select("text", "y").mapInArrow(count, _TERMS).groupBy("term", "y").agg(F.sum("n").alias("n")).toArrow()  # terms of the examples
+    out[got.column("y").to_numpy(), got.column("term").to_numpy()] = got.column("n").to_numpy()
+    held.destroy()
+    return out
+
+
+def likelihood_ratio(n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of terms that occur in n[y] of sizes[y] texts: how much likelier their counts are with a share for each label."""
+    both = n.sum(axis=0)
+    part = [np.where(c > 0, c * np.log(np.maximum(c, 1) * sizes.sum() / np.maximum(both * size, 1)), 0.0) for c, size in zip(n, sizes)]
+    return np.maximum(2 * (part[0] + part[1]), 0)
+
+
+def fit(labelled: DataFrame, *, per_label: int = 1500, k: int = 15) -> Index | None:
     """Index of labelled(doc_id, text, y 0/1); null where a label has no example.
 
-    Term statistics are of all labelled rows. Indexed are about per_label examples of each label, chosen by hash. Rows
-    of other labels and null texts are ignored.
+    Term statistics are of all labelled rows. Indexed are about per_label examples of each label, chosen by hash, with
+    all their terms. Rows of other labels and null texts are ignored.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.where("text is not null and y in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("y").cast("int").alias("y"))
-    names, df = term_statistics(rows, terms, least, sure)
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return None
     share = F.when(F.col("y") == 1, min(1.0, per_label / sizes[1])).otherwise(min(1.0, per_label / sizes[0]))
-    index = Index({t: i for i, t in enumerate(names)}, np.log(1 + sum(sizes.values()) / (df + 1)), *[np.empty(0)] * 6)
 
-    def vectors(batches):
-        known: dict[str, tuple[int, ...]] = {}
+    def terms(batches):
         for b in batches:
-            got = [index.vector(words_of(t), known)[0].tolist() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "y", "terms"])
+            names, counts = [], []
+            for t in b.column(1).to_pylist():
+                got: dict[str, int] = {}
+                for w, n in words_of(t).items():
+                    for x in terms_of(w):
+                        got[x] = got.get(x, 0) + n
+                by = sorted(got)
+                names.append(by)
+                counts.append([got[x] for x in by])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "y", "terms", "counts"])
 
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
-    got = sorted(chosen.mapInArrow(vectors, "doc_id bigint, y int, terms array<bigint>").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["y"], r["terms"]))
-    vecs = []
-    for r in got:
-        t = np.array(r["terms"], np.int64)
-        v = index.idf[t]
-        vecs.append((t, v / max(np.sqrt((v**2).sum()), 1e-12)))
+    table = chosen.mapInArrow(terms, "doc_id bigint, y int, terms array<string>, counts array<int>").toArrow()  # bounded by per_label
+    every = pc.list_flatten(table.column("terms")).combine_chunks()
+    names = pc.unique(every).sort().to_pylist()
+    number = {t: i for i, t in enumerate(names)}
+    flat = pc.index_in(every, value_set=pa.array(names, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    tf = pc.list_flatten(table.column("counts")).to_numpy().astype(float)
+    cuts = np.append(0, np.cumsum(pc.list_value_length(table.column("terms")).to_numpy()))
+    got = [{"doc_id": i, "y": y, "terms": flat[a:b], "counts": tf[a:b]} for i, y, a, b in zip(table.column("doc_id").to_pylist(), table.column("y").to_pylist(), cuts, cuts[1:])]
+    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["y"], r["terms"].tolist()))
+    n = term_statistics(rows, number)
+    idf = np.log(1 + sum(sizes.values()) / (n.sum(axis=0) + 1))
+    index = Index(number, idf * (np.sqrt(likelihood_ratio(n, np.array([sizes[0], sizes[1]], float))) + FLOOR), *[np.empty(0)] * 6)
+    vecs = [(r["terms"], index.weights(r["terms"], r["counts"])) for r in got]
     term = np.concatenate([t for t, _ in vecs]) if vecs else np.empty(0, np.int64)
     who = np.repeat(np.arange(len(vecs)), [len(t) for t, _ in vecs])
     w = np.concatenate([v for _, v in vecs]) if vecs else np.empty(0)
     by = np.lexsort((who, term))
-    index.at, index.w = who[by], w[by]
+    index.at, index.w = who[by].astype(np.int32), w[by]
     blocks = -(-len(vecs) // BLOCK)
-    index.into = np.searchsorted(term[by] * blocks + who[by] // BLOCK, np.arange(len(names))[:, None] * blocks + np.arange(blocks + 1))
-    index.peak = np.zeros((len(names), blocks))
-    np.maximum.at(index.peak, (term, who // BLOCK), w)
+    ends = np.append(0, np.cumsum(np.bincount(term * blocks + who // BLOCK, minlength=len(names) * blocks))).astype(np.int32)
+    index.into = np.column_stack([ends[:-1].reshape(len(names), blocks), ends[blocks::blocks] if blocks else ends[:0]])
+    peak = np.zeros((len(names), blocks), np.float32)
+    np.maximum.at(peak, (term, who // BLOCK), w.astype(np.float32))
+    index.peak = np.nextafter(peak, np.float32(2), out=peak, where=peak > 0)  # not below the weights
     index.doc_id = np.array([-1 if r["doc_id"] is None else r["doc_id"] for r in got], np.int64)
     index.label = np.array([r["y"] for r in got], float)
     true = sizes[1] / sum(sizes.values())
@@ -201,7 +232,7 @@ def score_toxicity(docs: DataFrame, index: Index | None, *, k: int = 15, doc_id:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    held = spark.sparkContext.broadcast(index)  # bounded by terms and per_label
+    held = spark.sparkContext.broadcast(index)  # bounded by per_label
 
     def scores(batches):
         ix = held.value
@@ -215,9 +246,9 @@ def score_toxicity(docs: DataFrame, index: Index | None, *, k: int = 15, doc_id:
                     why.append([])
                     continue
                 terms, weights = ix.vector(words_of(t), known)
-                key = terms.tobytes()
+                key = terms.tobytes() + weights.tobytes()
                 if key not in memo:
-                    if len(memo) >= 20_000:
+                    if len(memo) >= 2_000:  # keys of whole texts
                         memo.clear()
                     found, best = ix.search(terms, weights, k)
                     memo[key] = ix.score(ix.vote(found, best)), [{"doc_id": int(ix.doc_id[i]), "label": int(ix.label[i]), "cosine": float(c)} for i, c in zip(found, best)]

@@ -48,6 +48,16 @@ def test_toxicity(spark, docs):
     assert toxicity.score_toxicity(docs.limit(0), index).count() == 0
 
 
+def test_toxic_neighbours_by_all_words(spark):
+    texts = [(i, f"a{i} b{i} c{i} c{i} c{i} shared", i % 2) for i in range(40)]
+    index = toxicity.fit(spark.createDataFrame(texts, "doc_id bigint, text string, y int"))
+    assert {"a7", "b7", "c7", "shared"} <= set(index.number)
+    asked = [(100 + i, f"c{i} c{i} b{i} other") for i in (7, 8)] + [(200, "c3 c3 c3 c5"), (201, "c3 c5 c5 c5")]
+    got = {r["doc_id"]: r["evidence"] for r in toxicity.score_toxicity(spark.createDataFrame(asked, "doc_id bigint, text string"), index).collect()}
+    assert got[107][0]["doc_id"] == 7 and got[108][0]["doc_id"] == 8
+    assert [e["doc_id"] for e in got[200][:2]] == [3, 5] and [e["doc_id"] for e in got[201][:2]] == [5, 3]
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     lab = queries.labelled(docs, labels, "quality")
