@@ -21,12 +21,12 @@ from .common import row_key, stash
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b",
-    "secret": r"\b(?:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?(?:\"[^\"\s]{6,}\"|[^\s\"]{6,})",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?(?:\"[^\"\s]{6,}\"|[^\s\"]{6,})",
     "iban": r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}(?:\s?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d.])(?:\d{4}[ -]?){3}\d{4}(?![\d.]\d|\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
-    "phone": r"(?<![\d(+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "phone": r"(?<![\d(+])\+\d{1,3}(?: (?!(?:\d{1,3}\.){3}\d)|[.-]?)\(?\d{2,4}\)?(?:(?: (?!(?:\d{1,3}\.){3}\d)|[.-]?)\d{2,4}){2,3}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "name": r"(?<!\p{L})(?:Mrs\.?|Mr\.?|Ms\.?|Miss|Sir|Herr|Frau|Mme|Monsieur|Madame|Señora|Señor|Sra\.|Sr\.|Signora|Signor|г-жа|г-н|Κυρία|Κύριος)[  ]\p{Lu}\p{L}+(?:[- ]\p{Lu}\p{L}+){0,2}",
 }
 # Honorifics by the gender they show.
@@ -65,7 +65,7 @@ def normal(kind: Column, m: Column) -> Column:
     digits = F.regexp_replace(m, r"[^0-9A-Za-z]", "")
     return (
         F.when(kind == "email", F.lower(m))
-        .when(kind == "secret", F.regexp_replace(m, r"^[a-z_]+\s?[=:]\s?\"?|\"$", ""))
+        .when(kind == "secret", F.regexp_replace(m, r"^[A-Za-z_-]+\s?[=:]\s?\"?|\"$", ""))
         .when(kind.isin("card", "phone", "ssn", "iban"), digits)
         .otherwise(m)
     )
@@ -142,7 +142,7 @@ def surrogate(m: Column, kind: Column, key: str, attempt: Column) -> Column:
     d = _digest(key, kind, norm, attempt.cast("string"))
     email = F.concat(_shaped(F.regexp_replace(F.lower(m), "@.*$", ""), key, kind, norm, attempt), F.lit("@"), F.substring(d, 1, 6), F.lit(".example.org"))
     octets = F.concat_ws(".", F.lit("10"), *[_number(d, i, 256).cast("string") for i in range(3)])
-    value = F.regexp_extract(m, r"^([a-z_]+\s?[=:]\s?\"?)", 1)
+    value = F.regexp_extract(m, r"^([A-Za-z_-]+\s?[=:]\s?\"?)", 1)
     hidden = F.concat(value, _shaped(norm, key, kind, norm, attempt), F.when(m.endswith('"'), '"').otherwise(""))
     phone = F.concat(F.regexp_extract(m, r"^(\+\d{1,3}[ .-]?)", 1), _shaped(F.regexp_replace(m, r"^\+\d{1,3}[ .-]?", ""), key, kind, norm, attempt))
     keyed = F.concat(F.substring(m, 1, 4), _shaped(F.substring(m, 5, 200), key, kind, norm, attempt))

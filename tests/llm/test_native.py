@@ -126,6 +126,16 @@ def test_pii(spark):
     assert surrogates.replace_pii(d.limit(0), key="k").count() == 0
 
 
+def test_pii_keywords_and_neighbours(spark):
+    texts = ['TOKEN = "ABCDEF0123"', "Password: Hunter22x", "DB_PASSWORD=s3cretvalue", "x-api-key: q1w2e3r4", "call +1 (415) 555-0199 10.20.30.40 now", "+49 10.20.30.40", "+49.30.12.34.56"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in surrogates.replace_pii(d, key="k").collect()}
+    for i, form in enumerate([r'TOKEN = "[A-Z]{6}\d{4}"', r"Password: [A-Z][a-z]{5}\d\d[a-z]", r"DB_PASSWORD=[a-z]\d[a-z]{9}", r"x-api-key: ([a-z]\d){4}", r"call \+1 \(\d{3}\) \d{3}-\d{4} 10(\.\d+){3} now", r"\+49 10(\.\d+){3}", r"\+49(\.\d\d){4}"]):
+        assert re.fullmatch(form, got[i]["text"]) and got[i]["text"] != texts[i]
+    assert got[4]["pii_kinds"] == ["ip", "phone"] and got[5]["pii_kinds"] == ["ip"] and got[6]["pii_kinds"] == ["phone"]
+    assert not any(x in r["text"] for r in got.values() for x in ("20.30.40", "555-0199", "ABCDEF", "Hunter", "s3cret", "q1w2"))
+
+
 @pytest.mark.parametrize("inline", [1000, 0])
 def test_pii_collisions(spark, monkeypatch, inline):
     real = surrogates.surrogate
