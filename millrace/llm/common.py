@@ -37,6 +37,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over the cores where its source has fewer parts than those: a small file is one part otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows that a Python worker gets at once, for texts can be very long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -51,6 +57,18 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of an operator's own that clash with none of df's, whatever their case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """128 bits that stand for a row's id and text; nulls are allowed."""
     return [F.xxhash64(F.col(doc_id), F.col(text)).alias("_r1"), F.xxhash64(F.lit(7), F.col(text), F.col(doc_id)).alias("_r2")]

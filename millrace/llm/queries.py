@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import backoff_lm, decontaminate, langid, mixing, near_dup, onebit_ann, oracles, quality, reputation, surrogates, toxicity
 from .common import fold, stash
 
-KEY = "millrace"
+PII_KEY = "spark.millrace.pii.key"  # where the key of surrogates is set; without it they can be made again by anyone
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 
@@ -16,8 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_KEY, "millrace")
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key=KEY)
+    return surrogates.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii_key(spark))
 
 
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,8 +140,8 @@ def test_pii_keywords_and_neighbours(spark):
 def test_pii_collisions(spark, monkeypatch, inline):
     real = surrogates.surrogate
 
-    def clashing(m, kind, key, attempt):
-        return F.when((kind == "ip") & (attempt == 0), F.lit("10.1.1.1")).otherwise(real(m, kind, key, attempt))
+    def clashing(kind, norm, key, attempt):
+        return F.when((kind == "ip") & (attempt == 0), F.lit("10.1.1.1")).otherwise(real(kind, norm, key, attempt))
 
     monkeypatch.setattr(surrogates, "surrogate", clashing)
     ips = [f"8.8.{i}.{j}" for i in range(3) for j in range(5)]
@@ -149,3 +149,48 @@ def test_pii_collisions(spark, monkeypatch, inline):
     new = {r["doc_id"]: re.findall(r"[\d.]+", r["text"]) for r in surrogates.replace_pii(d, key="k", inline=inline).collect()}
     assert len({v[0] for v in new.values()}) == len(ips) and len({v[1] for v in new.values()}) == 1
     assert not {x for v in new.values() for x in v} & set(ips) and new[0][0] == new[0][1]
+
+
+def luhn(digits):
+    d = [int(c) for c in digits]
+    return (sum(d[1::2]) + sum(x * 2 - 9 * (x > 4) for x in d[::2])) % 10 == 0
+
+
+def test_pii_odd_texts(spark):
+    long = "Ab1-" * 250_000
+    texts = ["password: ******", "secret=пароль12", "token=" + long, "a@" + "b." * 30_000 + "com", "secret=!!!!!!!!", "order 1234 5678 9012 3456", "card 4111-1111-1111-1111 or 4111111111111111", "+1555-123-4567 is +1 555-123-4567 and +49 30 1234567", "sk-" + "aB3" * 200, "GB82 WEST 1234 5698 7654 32"]
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)] + [(None, None, None, None)], "doc_id bigint, text string, _found string, _row string")
+    out = surrogates.replace_pii(d, key="k")
+    assert out.columns == [*d.columns, "pii_count", "pii_kinds"]
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert len(got) == len(texts) + 1 and got[0] == texts[0] and got[3] == texts[3] and got[5] == texts[5] and got[None] is None
+    assert re.fullmatch("secret=[а-я]{6}[0-9]{2}", got[1]) and got[1] != texts[1]
+    assert len(got[2]) == len(texts[2]) and re.fullmatch("token=([A-Z][a-z][0-9]-)+", got[2]) and got[2] != texts[2]
+    assert re.fullmatch("secret=[0-9a-f]{12}", got[4])
+    a, b = re.fullmatch(r"card (\d{4}-\d{4}-\d{4}-\d{4}) or (\d{16})", got[6]).groups()
+    assert a.replace("-", "") == b and luhn(b) and b[0] == "4" and b != "4" + "1" * 15
+    a, b, c = re.fullmatch(r"\+1(\d{3}-\d{3}-\d{4}) is \+1 (\d{3}-\d{3}-\d{4}) and \+49 (\d\d \d{7})", got[7]).groups()
+    assert a == b != "555-123-4567" and c != "30 1234567"
+    assert re.fullmatch("sk-[A-Za-z0-9]{600}", got[8]) and got[8][4:] != texts[8][4:]
+    iban = got[9].replace(" ", "")
+    assert iban != texts[9].replace(" ", "") and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_pii_names(spark):
+    texts = ["Mr John Smith met Dr. John Smith. Then John Smith left; Smith and SMITH too, Smithson not.", "Frau Smith of Berlin, Prof. Dr. Anna Smith", "John Smith alone", "Herr Dr. Otto Groß, Groß"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_pii(d, key="k").collect()}
+    g, s, g2, s2, g3, s3, s4, s5 = re.fullmatch(r"Mr (\w+) (\w+) met Dr\. (\w+) (\w+)\. Then (\w+) (\w+) left; (\w+) and (\w+) too, Smithson not\.", got[0]).groups()
+    assert g == g2 == g3 and g in surrogates.GIVEN[("latin", "m")] and s == s2 == s3 == s4 and s5 == s.upper() and s != "Smith"
+    a, b, c = re.fullmatch(r"Frau (\w+) of Berlin, Prof\. Dr\. (\w+) (\w+)", got[1]).groups()
+    assert a == c == s and b != "Anna" and got[2] == texts[2]
+    assert re.fullmatch(r"Herr Dr\. (?!Otto)\w+ (\w+), \1", got[3])
+
+
+def test_pii_keeps_entities_apart(spark):
+    given = [a + b for a in ("Ab", "Ce", "Di", "Fo", "Gu", "Ha", "Je", "Ki", "Lo", "Mu") for b in ("ra", "lo", "ni", "te", "su", "ma", "do")]
+    lines = [f"Mrs {x} Weber, +1 (555) {i:03d}-4567, 4000 0000 0000 {i:04d}, u{i}@x.com, password=abc{i:04d}" for i, x in enumerate(given)]
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    rows = [re.match(r"Mrs (\S+) (\S+), (.{17}), (.{19}), (\S+), password=(\S+)", r["text"]).groups() for r in surrogates.replace_pii(d, key="k").collect()]
+    assert len({r[0] for r in rows}) == len(given) and len({r[1] for r in rows}) == 1 and all(len({r[i] for r in rows}) == len(rows) for i in (2, 4, 5))
+    assert not {r[0] for r in rows} & set(given) and all(r[0] in surrogates.GIVEN[("latin", "f")] or r[0].endswith("a") for r in rows)
