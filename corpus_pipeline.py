@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, langid, mixing, near_dup, surrogates
 from millrace.llm.common import fold, stash
-from millrace.llm.queries import KEY, table
+from millrace.llm.queries import pii_key, table
 
 CERTAIN = 0.5
 
@@ -30,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets get surrogates."""
-    return surrogates.replace_pii(docs, key=KEY).select(*docs.columns)
+    return surrogates.replace_pii(docs, key=pii_key(spark)).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
