@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 RECORDS_PER_BATCH = 500
+BYTES_PER_BATCH = 16 << 20
+_SPACE = {str: re.compile(r"[ \t-\r]"), bytes: re.compile(rb"[ \t-\r]")}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,12 +46,34 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+OFTEN = 1000
+
+
+def join_often(rows: DataFrame, once: DataFrame, keys: list[str]) -> DataFrame:
+    """rows left join once, which has one row a key; null keys match nothing.
+
+    Keys that hold more than one in OFTEN of the rows, fewer than OFTEN keys, are counted first and joined by broadcast:
+    no task gets a hot key's rows.
+    """
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.count()
+    hot = stash(counted.where(F.col("_n") > total / OFTEN).drop("_n").join(once, keys), "often")
+    if hot.isEmpty():
+        return rows.join(once, keys, "left")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(once, keys, "left")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that a Python worker gets at once, for texts can be very long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > RECORDS_PER_BATCH:
-        spark.conf.set(key, str(RECORDS_PER_BATCH))
+    """Bound the rows and bytes that a Python worker gets at once, for texts can be very long.
+
+    Plans read these settings when they run, so they stay set in the session; smaller ones of the session's own are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", RECORDS_PER_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)):
+        n, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).lower()).groups()
+        now = int(n) << 10 * "bkmgt".index(unit[:1] or "b")
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
@@ -79,6 +104,16 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def stretches(text: str | bytes, size: int):
+    """text in parts of about `size` characters or bytes, cut at white space only, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        gap = _SPACE[type(text)].search(text, at + size) if at + size < len(text) else None
+        end = gap.end() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, on uint64 with wrap-around."""
     with np.errstate(over="ignore"):
