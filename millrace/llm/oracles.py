@@ -44,11 +44,11 @@ FROM tok LEFT JOIN uni ON tok.v = uni.v LEFT JOIN bi ON tok.u = bi.u AND tok.v =
 SELECT doc_id, held_out, count(*) AS n_tokens, CAST(sum(CASE WHEN c > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_known, any_value(n) AS train_tokens, round(sum(log10(p)), 6) AS base_score,
 round(sum(log10((cuv + 100.0::DOUBLE * p) / (cu + 100.0::DOUBLE))), 6) AS score FROM s GROUP BY doc_id, doc, held_out"""
 
-ANN = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64
+ANN = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64
 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, 65), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i]))), lambda a, x: a + x)) AS score
-FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, 65), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i]))), lambda a, x: a + x)) AS score
+FROM e q JOIN e c ON q.r <> c.r WHERE q.vec_id % 100 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score, vec_id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM n WHERE rank <= 10"""
 
 
 def _shrunk(name: str, groups: str, above: str, keys: str) -> str:
