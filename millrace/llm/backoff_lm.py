@@ -1,14 +1,16 @@
 """Score texts with an n-gram language model run as a weighted backoff automaton.
 
-States are n-grams of up to order - 1 tokens seen in training, from the empty one up; an arc of state h for token w has
-weight log p(w | h) where h w was seen, and every state but the empty one has a failure arc to its suffix. Smoothing is
-hierarchical Dirichlet: p(w | h) = (c(h w) + k p(w | h')) / (c(h) + k), h' the suffix of h, p(w) the base unigram
-(c + 0.5) / (N + 0.5 (V + 1)); so a failure arc weighs log(k / (c(h) + k)), and all probabilities sum to 1. A text is
-read left to right from the state of the end token; the state carries over from token to token.
+States are n-grams of up to order - 1 tokens seen in training, from the empty one up. Where h w was seen, state h has an
+arc for token w with weight log p(w | h), to the longest suffix of h w that is a state; every state but the empty one
+has a failure arc to its suffix, and the empty state an arc for every token. Smoothing is hierarchical Dirichlet:
+p(w | h) = (c(h w) + k p(w | h')) / (c(h) + k), h' the suffix of h, p(w) the base unigram (c + 0.5) / (N + 0.5 (V + 1));
+so a failure arc weighs log(k / (c(h) + k)), and all probabilities sum to 1. A text is read once, left to right, from
+the state of the end token; the state carries over from token to token and the weights of the arcs taken add up.
 
 The model is as large as the corpus, so no worker ever holds it. Texts are read once, in chunks of bounded size. A
 chunk's distinct n-grams go, as sorted keys cut into shards by their high bits, to where the shard is summed;
-the sums come back in the order asked for, and the chunk's automaton is made of them.
+the sums come back in the order asked for. Of them the part of the automaton is built that the chunk's texts can reach,
+and all its texts are read through it side by side.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from .common import fold, give_back, mix, small_batches, splitmix, stash
 
 CHUNK_CHARS = 6_000_000
 CHUNK_TYPES = 500_000
-KEY_BITS = 56  # of N distinct n-grams, a lookup meets another's key once in 2 ** KEY_BITS / N times
+KEY_BITS = 56  # two of them are flags: of N distinct n-grams, a lookup meets another's key once in 2 ** 54 / N times
+LANE = 512
 _CHUNKS = "chunk string, shard int, doc_id array<bigint>, train array<boolean>, length array<int>, body binary, counts binary, tokens bigint"
 _ANSWERS = "chunk string, shard int, body binary, types bigint"
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -118,17 +121,111 @@ def distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return flagged[at] & ~np.uint64(2), counts
 
 
-def walk(counts: list[np.ndarray], valid: list[np.ndarray], context: list[np.ndarray], total: int, types: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
-    """log10 p of each token by the automaton, and by the base unigram.
-
-    The state before a token is the longest suffix with a count; from it failure arcs go down to the longest n-gram that
-    was seen. Orders are worked through for all tokens at once: where a state is missing (context 0) the factor is 1.
+class Table:
+    """Places of keys in a sorted array of distinct keys that are spread evenly over `bits` bits."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 64) -> None:
+        top = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, np.uint64(bits - top)
+        self.first = np.append(np.searchsorted(keys, np.arange(1 << top, dtype=np.uint64) << self.shift), len(keys)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        out = np.full(len(wanted), -1, np.int32)
+        if not len(self.keys):
+            return out
+        bucket = (wanted >> self.shift).astype(np.int64)
+        at, end, live = self.first[bucket], self.first[bucket + 1], None
+        while len(at):
+            have = self.keys[np.minimum(at, len(self.keys) - 1)]
+            want = wanted if live is None else wanted[live]
+            hit = (have == want) & (at < end)
+            spots = np.flatnonzero(hit)
+            out[spots if live is None else live[spots]] = at[spots]
+            on = np.flatnonzero((have < want) & (at + 1 < end))
+            live = on if live is None else live[on]
+            at, end = at[on] + 1, end[on]
+        return out
+
+
+class Automaton:
+    """The part of the model that some texts can reach.
+
+    grams[k - 1][t] is the number of the k-gram that ends at token t, or -1; n-gram g occurs counts[g] times. A state's
+    number is its n-gram's, the empty state is -1.
     """
-    base = (counts[0] + 0.5) / (total + 0.5 * (types + 1))
-    p = base
-    for k in range(1, len(counts)):
-        p = np.where(valid[k], (counts[k] + strength * p) / (context[k] + strength), p)
-    return np.log10(p), np.log10(base)
+
+    def __init__(self, tokens: np.ndarray, types: int, grams: list[np.ndarray], counts: np.ndarray, end: int, total: int, vocabulary: int, strength: float) -> None:
+        order, self.types = len(grams), types
+        seen = counts > 0
+        suffix = np.full(len(counts), -1, np.int32)
+        p = np.empty(len(counts))
+        p[grams[0]] = (counts[grams[0]] + 0.5) / (total + 0.5 * (vocabulary + 1))
+        self.base = np.empty(types)
+        self.base[tokens] = np.log10(p[grams[0]])
+        keys, arcs = [], []
+        for k in range(1, order):
+            at = np.flatnonzero(grams[k] >= 0)
+            g, context = grams[k][at], grams[k - 1][at - 1]  # before a text is an end token: of the text before, or the last
+            suffix[g] = grams[k - 1][at]
+            p[g] = (counts[g] + strength * p[suffix[g]]) / (counts[context] + strength)
+            live = np.flatnonzero(seen[g])
+            g, which = np.unique(g[live], return_index=True)
+            keys.append(splitmix(context[live][which].astype(np.uint64) * np.uint64(types) + tokens[at[live][which]]))
+            arcs.append(g)
+        key, gram = (np.concatenate(keys), np.concatenate(arcs)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int32))
+        by = np.argsort(key)
+        self.arcs, gram = Table(key[by]), gram[by]
+        longest = np.zeros(len(counts), bool)
+        if order > 1:
+            longest[grams[order - 1][grams[order - 1] >= 0]] = True
+        self.weight, self.into = np.log10(p[gram]), np.where(longest[gram], suffix[gram], gram)
+        self.fail, self.back = suffix, np.log10(strength / (counts + strength))
+        self.single = np.full(types, -1, np.int32)
+        if order > 1:
+            self.single[tokens] = np.where(seen[grams[0]], grams[0], -1)
+        self.start = end if order > 1 and seen[end] else -1
+        self.reach = order - 1
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a token from some states, and the weights of the arcs taken."""
+        state, gain, after = state.copy(), np.zeros(len(state)), np.empty(len(state), np.int32)
+        live = np.flatnonzero(state >= 0)
+        while len(live):
+            arc = self.arcs.find(splitmix(state[live].astype(np.uint64) * np.uint64(self.types) + token[live]))
+            hit = arc >= 0
+            some, arc = live[hit], arc[hit]
+            gain[some] += self.weight[arc]
+            after[some] = self.into[arc]
+            state[some] = -2  # done
+            live = live[~hit]
+            gain[live] += self.back[state[live]]
+            state[live] = self.fail[state[live]]
+            live = live[state[live] >= 0]
+        empty = np.flatnonzero(state == -1)
+        gain[empty] += self.base[token[empty]]
+        after[empty] = self.single[token[empty]]
+        return after, gain
+
+    def read(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 probabilities of texts. Stretches of LANE tokens are read side by side: a state remembers `reach` tokens,
+        so a later stretch of a text begins so many tokens earlier, at the empty state, without counting them."""
+        many = -(-lengths // LANE)
+        text = np.repeat(np.arange(len(lengths)), many)
+        piece = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        warm = np.where(piece > 0, self.reach, 0)
+        begin = (np.cumsum(lengths) - lengths)[text] + piece * LANE - warm
+        size = np.minimum(lengths[text] - piece * LANE, LANE) + warm
+        by = np.argsort(-size, kind="stable")
+        text, warm, begin, size = text[by], warm[by], begin[by], size[by]
+        state, score = np.where(warm > 0, -1, self.start).astype(np.int32), np.zeros(len(text))
+        if self.reach == 0:
+            state[:] = -1
+        live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")  # of size above t
+        for t, n in enumerate(live.tolist()):
+            state[:n], gain = self.step(state[:n], tokens[begin[:n] + t])
+            score[:n] += np.where(warm[:n] <= t, gain, 0)
+        return np.bincount(text, weights=score, minlength=len(lengths))
 
 
 def _model_shards(spark) -> int:
@@ -213,22 +310,23 @@ def score_texts(docs: DataFrame, *, order: int = 2, strength: float = 100.0, doc
         tokens, hashes = unpack(row["body"], np.uint32), unpack(row["counts"], np.uint64)
         back = sorted(zip(right.column("shard").to_pylist(), right.column("body").to_pylist()))
         values = np.concatenate([unpack(x, np.uint64) for _, x in back]).astype(np.float64)
-        grams = ngram_keys(tokens, lengths, hashes, order)
-        keys = np.unique(np.concatenate([key[valid] for key, valid in grams]))
-        counts = [np.where(valid, values[np.minimum(np.searchsorted(keys, key), len(keys) - 1)], 0) for key, valid in grams]
+        keyed = ngram_keys(tokens, lengths, hashes, order)
+        table = Table(np.unique(np.concatenate([key[valid] for key, valid in keyed])), KEY_BITS)
+        grams = []
+        for key, valid in keyed:
+            g = table.find(key)
+            g[~valid] = -1
+            grams.append(g)
+        del keyed
         first = np.cumsum(lengths) - lengths
-        texts = values[np.searchsorted(keys, unigram_keys(hashes[:1]))][0]
-        context = [None]
-        for k in range(1, order):
-            c = np.empty(len(tokens))
-            c[1:] = counts[k - 1][:-1]
-            c[first] = texts if k == 1 else 0
-            context.append(c)
-        logs, base = walk(counts, [v for _, v in grams], context, total, types, strength)
-        known = (counts[0] > 0).astype(np.int64)
+        end = int(table.find(unigram_keys(hashes[:1]))[0])
+        automaton = Automaton(tokens, len(hashes), grams, values, end, total, types, strength)
+        known = (values[grams[0]] > 0).astype(np.int64)
+        del grams, table
+        logs, base = automaton.read(tokens, lengths), automaton.base[tokens]
         n = len(lengths)
         return pa.table(
-            [pa.array(row["doc_id"], pa.int64()), pa.array([not x for x in row["train"]], pa.bool_()), pa.array(lengths), pa.array(np.add.reduceat(known, first)), pa.array(np.full(n, total, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(logs, first))],
+            [pa.array(row["doc_id"], pa.int64()), pa.array([not x for x in row["train"]], pa.bool_()), pa.array(lengths), pa.array(np.add.reduceat(known, first)), pa.array(np.full(n, total, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(logs)],
             names=[x.split()[0] for x in _SCORES.split(", ")],
         )
 
