@@ -1,12 +1,17 @@
 """Join near duplicates by n-gram Jaccard similarity with a MinHash LSH forest.
 
-Texts of one set of shingles are one class and are handled once. A class has a signature; each tree of the forest is a
-prefix trie over a stretch of it, kept as sorted prefixes. Prefixes are shortened from their full depth until texts at
-the threshold share a prefix in some tree with the target probability; classes with a common prefix of that depth are
-candidates. A pair belongs to the first tree in which it matches. Signatures tell which members of a prefix have pairs
-there; only their texts travel, and their pairs are verified exactly on shingle sets, in cells of bounded size. A cell
-gives link counts and a spanning forest of its links, never the pairs, so that results stay linear in the input; links
-become groups by star contraction.
+Texts of one set of shingles are one class and are handled once. A class has a label in each tree of the forest: its
+signature's values there, in order. A tree is the prefix trie of its labels, kept as labels sorted by (tree, prefix).
+Classes are matched on whole labels first; then the matched prefixes are shortened by one value at a time, each time
+adding the pairs that share no longer prefix in any tree. Every pair is verified exactly on shingle sets. A verified
+pair of similarity s was to be found at depth d with probability 1 - (1 - s ** d) ** trees, so that the pairs found tell
+how many were missed; shortening ends when that share is within the target, or at the depth where even a pair at the
+threshold would be found almost surely.
+
+A pair belongs to the first tree in which it has its longest common prefix. A prefix's members are dealt to cells, pairs
+of blocks of bounded size, before they are brought together; labels tell which members of a cell have new pairs there;
+only their texts travel. A cell gives link counts and a spanning forest of its links, never the pairs, so that results
+stay linear in the input; links become groups by star contraction.
 """
 
 from __future__ import annotations
@@ -17,23 +22,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, splitmix, stash
+from .common import join_often, mix, small_batches, splitmix, spread, stash
 
 TREES, DEPTH = 20, 8
 CELL = 256
 CACHE = 400_000
 _SIGNED = "r1 bigint, r2 bigint, cls binary, sig binary"
-_NEED = "cell bigint, x int, y int, tree int, side int, cls binary"
-_LINKS = "a binary, b binary, n bigint"
+_CELL = ["tree", "prefix", "x", "y"]
+_NEED = "tree int, prefix binary, x int, y int, side int, cls binary"
+_LINKS = "a binary, b binary, n bigint, alike int"
+BINS = 1000
+
+
+def found_share(similarity: float, trees: int, depth: int) -> float:
+    """The probability that two sets share a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def prefix_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
     """The greatest depth at which a pair at the threshold shares a prefix in some tree with probability recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and found_share(threshold, trees, depth) < recall:
         depth -= 1
     return depth
 
 
+def missed(found: dict[float, int], threshold: float, trees: int, depth: int) -> float:
+    """How many pairs matching at that depth has missed, by the pairs found of each similarity and one at the threshold."""
+    share = {s: found_share(s, trees, depth) for s in found}
+    return sum(n * (1 - share[s]) / share[s] for s, n in found.items()) + 1 - found_share(threshold, trees, depth)
+
+
 class Shingler:
     """Texts to sorted distinct 64-bit shingles. Words are lower-cased (A-Z) and split at ASCII white space."""
 
@@ -81,11 +99,31 @@ def class_key(s: np.ndarray) -> bytes:
         return np.array([splitmix(s).sum(), splitmix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum() + np.uint64(len(s))], np.uint64).tobytes()
 
 
-def first_trees(prefixes: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """For each pair of rows, the first tree in which they share the prefix; TREES or more: none."""
-    out = np.full((len(prefixes), len(others)), prefixes.shape[1], np.int16)
-    for t in range(prefixes.shape[1] - 1, -1, -1):
-        out[prefixes[:, t][:, None] == others[:, t][None, :]] = t
+def prefixes(labels: list[bytes], trees: int, depth: int) -> np.ndarray:
+    """For each class and tree a hash of its label's first values."""
+    m = np.frombuffer(b"".join(labels), ">u2").reshape(len(labels), trees, -1).astype(np.uint64)
+    p = np.full(m.shape[:2], np.uint64(depth))
+    for d in range(depth):
+        p = mix(p, m[:, :, d])
+    return p
+
+
+def first_trees(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each pair of rows, the first tree in which they share the prefix; as many as there are trees: none."""
+    out = np.full((len(own), len(others)), own.shape[1], np.int16)
+    for t in range(own.shape[1] - 1, -1, -1):
+        out[own[:, t][:, None] == others[:, t][None, :]] = t
+    return out
+
+
+def new_pairs(labels: list[bytes], trees: int, depth: int, full: int, tree: int) -> np.ndarray:
+    """Which pairs of classes have their longest common prefix at that depth, first in that tree."""
+    p = prefixes(labels, trees, depth)
+    out = first_trees(p, p) == tree
+    if depth < full:
+        p = prefixes(labels, trees, depth + 1)
+        out &= first_trees(p, p) == trees
+    np.fill_diagonal(out, False)
     return out
 
 
@@ -130,14 +168,14 @@ def _rows_by(batches, keys: list[str]):
 class Forest:
     """Parameters of one join and its steps."""
 
-    def __init__(self, *, threshold: float = 0.8, words: int = 5, trees: int = TREES, depth: int = DEPTH, recall: float = 0.999, cell: int = CELL, seed: int = 17) -> None:
-        self.threshold, self.words, self.trees, self.cell, self.seed = threshold, words, trees, cell, seed
-        self.depth = prefix_depth(threshold, trees, depth, recall)
+    def __init__(self, *, threshold: float = 0.8, words: int = 5, trees: int = TREES, depth: int = DEPTH, recall: float = 0.9999, surely: float = 0.999, cell: int = CELL, seed: int = 17) -> None:
+        self.threshold, self.words, self.trees, self.depth, self.recall, self.cell, self.seed = threshold, words, trees, depth, recall, cell, seed
+        self.least = prefix_depth(threshold, trees, depth, surely)
 
     def sign(self, docs: DataFrame, text: str, key: list) -> DataFrame:
-        """r1, r2, cls, sig for each row: class and prefixes (one hash a tree). Both null without a word."""
+        """r1, r2, cls, sig for each row: class and labels of its trees, two bytes a value. Both null without a word."""
         small_batches(docs.sparkSession)
-        words, trees, depth, seed = self.words, self.trees, self.depth, self.seed
+        words, size, seed = self.words, self.trees * self.depth, self.seed
 
         def run(batches):
             shingle = Shingler(words)
@@ -146,69 +184,69 @@ class Forest:
                 full = [i for i, s in enumerate(sets) if len(s)]
                 cls, sig = [None] * len(sets), [None] * len(sets)
                 if full:
-                    m = signatures([sets[i] for i in full], trees * depth, seed).reshape(len(full), trees, depth).astype(np.uint64)
-                    p = np.zeros((len(full), trees), np.uint64)
-                    for d in range(depth):
-                        p = mix(p, m[:, :, d])
+                    m = signatures([sets[i] for i in full], size, seed).astype(">u2")  # low bits: minima are small
                     for k, i in enumerate(full):
-                        cls[i], sig[i] = class_key(sets[i]), p[k].tobytes()
+                        cls[i], sig[i] = class_key(sets[i]), m[k].tobytes()
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], names=["r1", "r2", "cls", "sig"])
 
         return docs.select(*key, F.col(text).cast("binary").alias("text")).mapInArrow(run, _SIGNED)
 
-    def needed(self, classes: DataFrame) -> DataFrame:
-        """cell, x, y, tree, side, cls: the classes whose texts each cell needs, of classes(cls, sig).
+    def tries(self, classes: DataFrame) -> DataFrame:
+        """tree, label, cls of classes(cls, sig) that share a prefix of the least depth with another, sorted by label."""
+        width = 2 * self.depth
+        labels = classes.select("cls", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.substring(F.col("sig"), t * width + 1, F.lit(width)))).alias("tree", "label"))
+        keyed = labels.withColumn("prefix", F.xxhash64("tree", F.substring("label", 1, 2 * self.least)))
+        often = keyed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "prefix")
+        return keyed.join(often, ["tree", "prefix"]).select("tree", "label", "cls").sortWithinPartitions("tree", "label")
+
+    def needed(self, tries: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+        """tree, prefix, x, y, side, cls: the classes whose texts each cell needs to verify the new pairs at that depth.
 
         A cell is a pair of blocks, x and y, of a prefix's members; side tells the blocks apart.
         """
-        trees, cell = self.trees, self.cell
-        tries = classes.select("cls", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * 8 + 1, F.lit(8))))).alias("tree", "prefix"))
-        often = tries.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = tries.join(often, ["tree", "prefix"]).join(classes, "cls").select("tree", "prefix", "cls", "sig")
+        trees, full = self.trees, self.depth
+        keyed = tries.select("tree", "cls", F.substring("label", 1, 2 * depth).alias("prefix"))
+        often = keyed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        blocks = F.ceil(F.col("n") / self.cell).cast("int")
+        dealt = keyed.join(often, ["tree", "prefix"]).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), blocks).cast("int"))
+        dealt = dealt.select("tree", "prefix", "cls", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        cells = dealt.select("tree", "prefix", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls").join(classes.select("cls", "sig"), "cls")
 
         def pick(batches):
-            for (tree, prefix), rows in _rows_by(batches, ["tree", "prefix"]):
-                rows.sort(key=lambda r: r["cls"])
-                p = np.array([np.frombuffer(r["sig"], np.uint64) for r in rows])
-                blocks = range(0, len(rows), cell)
-                out = []
-                for i in blocks:
-                    for j in blocks:
-                        if j < i:
-                            continue
-                        mine = first_trees(p[i : i + cell], p[j : j + cell]) == tree
-                        if i == j:
-                            mine = np.triu(mine, 1)
-                        left, right = mine.any(axis=1), mine.any(axis=0)
-                        x, y = i // cell, j // cell
-                        use = {(i + k, 0) for k in np.flatnonzero(left)} | {(j + k, int(j > i)) for k in np.flatnonzero(right)}
-                        out += [(prefix, x, y, tree, side, rows[k]["cls"]) for k, side in use]
-                if out:
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["cell", "x", "y", "tree", "side", "cls"])
+            for (tree, prefix, x, y), rows in _rows_by(batches, _CELL):
+                mine = new_pairs([r["sig"] for r in rows], trees, depth, full, tree)
+                side = np.array([r["side"] for r in rows])
+                if x != y:  # pairs within a block belong to that block's own cell
+                    mine &= side[:, None] != side[None, :]
+                use = np.flatnonzero(mine.any(axis=1))
+                if len(use):
+                    n = len(use)
+                    yield pa.RecordBatch.from_arrays([pa.array([tree] * n, pa.int32()), pa.array([prefix] * n, pa.binary()), pa.array([x] * n, pa.int32()), pa.array([y] * n, pa.int32()), pa.array(side[use], pa.int32()), pa.array([rows[i]["cls"] for i in use], pa.binary())], names=[*_CELL, "side", "cls"])
 
         n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return members.repartition(n, "tree", "prefix").sortWithinPartitions("tree", "prefix").mapInArrow(pick, _NEED)
+        return cells.select(*_CELL, "side", "cls", "sig").repartition(n, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(pick, _NEED)
 
-    def links(self, cells: DataFrame) -> DataFrame:
-        """a, b, n of cells(cell, x, y, tree, side, cls, size, sig, text): n more linked rows for class a; edges a - b, n 0."""
-        threshold, words = self.threshold, self.words
+    def links(self, cells: DataFrame, depth: int) -> DataFrame:
+        """a, b, n, alike of cells(tree, prefix, x, y, side, cls, size, sig, text): n more linked rows for class a; edges a - b, n 0;
+        and, without a and b, n pairs of a similarity in thousandths."""
+        threshold, words, trees, full = self.threshold, self.words, self.trees, self.depth
 
         def verify(batches):
             shingle = Shingler(words)
-            for (_, x, y, tree), rows in _rows_by(batches, ["cell", "x", "y", "tree"]):
-                rows = list({r["cls"]: r for r in rows}.values())
+            for (tree, _, x, y), rows in _rows_by(batches, _CELL):
                 sets = [shingle(r["text"]) for r in rows]
-                p = np.array([np.frombuffer(r["sig"], np.uint64) for r in rows])
                 sizes, weight = np.array([len(s) for s in sets]), np.array([r["size"] for r in rows], np.int64)
                 both = common(sets, sets)
-                near = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6
-                near &= first_trees(p, p) == tree
+                union = sizes[:, None] + sizes[None, :] - both
+                near = (both >= threshold * union - 1e-6) & new_pairs([r["sig"] for r in rows], trees, depth, full, tree)
                 side = np.array([r["side"] for r in rows])
-                if x != y:  # pairs within a block belong to that block's own cell
+                if x != y:
                     near &= side[:, None] != side[None, :]
-                np.fill_diagonal(near, False)
                 yield from self_rows(rows, near, weight)
+                i, j = np.nonzero(np.triu(near))
+                alike, n = np.unique((both[i, j] * BINS // union[i, j]).astype(np.int32), return_counts=True)
+                if len(n):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary()), pa.array(n, pa.int64()), pa.array(alike, pa.int32())], names=["a", "b", "n", "alike"])
 
         def self_rows(rows, near, weight):
             gain = near.astype(np.int64) @ weight
@@ -224,10 +262,25 @@ class Forest:
                     out += [(rows[j]["cls"], rows[k]["cls"], 0) for j in new]
                     todo += new.tolist()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "n"])
+                cols = [pa.array(c, k) for c, k in zip(zip(*out), (pa.binary(), pa.binary(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(out), pa.int32())], names=["a", "b", "n", "alike"])
 
         n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return cells.repartition(n, "cell", "x", "y", "tree").sortWithinPartitions("cell", "x", "y", "tree").mapInArrow(verify, _LINKS)
+        return cells.select(*_CELL, "side", "cls", "size", "sig", "text").repartition(n, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(verify, _LINKS)
+
+    def join(self, classes: DataFrame, texts: DataFrame, tries: DataFrame) -> DataFrame:
+        """Links (a, b, n) of classes(cls, sig): prefixes are shortened until the target recall."""
+        every, found = None, {}
+        for depth in range(self.depth, self.least - 1, -1):
+            need = stash(self.needed(tries, classes, depth), "nd-need")
+            part = stash(self.links(need.join(texts, "cls"), depth), "nd-links")
+            every = part if every is None else every.unionByName(part)
+            for r in part.where("alike is not null").groupBy("alike").agg(F.sum("n").alias("n")).collect():  # at most BINS rows
+                s = max(r["alike"] / BINS, self.threshold)
+                found[s] = found.get(s, 0) + r["n"]
+            if missed(found, self.threshold, self.trees, depth) <= (1 - self.recall) * sum(found.values()):
+                break
+        return every.where("alike is null").select("a", "b", "n")
 
 
 def groups_of(edges: DataFrame) -> DataFrame:
@@ -253,9 +306,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     the least id of all rows joined by links (null if all are null); n_links is the number of other rows a row is
     linked with; first marks one row of each group, the least by id (nulls last), to keep. Shingles are of `words`
     words; a shorter text is one shingle. Null texts and those without a word are linked to nothing and are first.
-    Repeated rows are linked rows. Other columns are ignored. An empty table gives an empty result.
+    Repeated rows are linked rows. Texts are read whole. Other columns are ignored. An empty table gives an empty result.
 
-    A pair at the threshold is missed with a probability of 1 - recall at most; every pair found is verified.
+    Of the links between different texts a share of 1 - recall is missed by estimate, or, at the least depth, a pair at the
+    threshold with a probability of 1 - surely; every pair found is verified.
     """
     return _resolve(_signed(docs, doc_id, text, forest or Forest()), docs, doc_id, text, forest or Forest()).select("doc_id", "class_id", "n_links", "first")
 
@@ -265,7 +319,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str, forest: Forest) -> DataFrame:
-    d = _keyed(docs, doc_id, text)
+    d = spread(_keyed(docs, doc_id, text))
     return stash(forest.sign(d, "text", [F.col("doc_id").alias("r1"), F.xxhash64("text").alias("r2")]), "nd-signed")
 
 
@@ -274,18 +328,18 @@ def _resolve(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, forest:
     order = F.struct(F.col("r1").isNull().alias("null"), F.col("r1").alias("id"), F.col("r2").alias("hash"))
     classes = signed.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("least"), F.min("sig").alias("sig"))
     classes = stash(classes, "nd-classes")
-    need = stash(forest.needed(classes.select("cls", "sig")), "nd-need")
-    wanted = need.select("cls").distinct().join(classes, "cls").select("cls", "size", "sig", F.col("least.id").alias("i"), F.col("least.hash").alias("h"))
+    tries = stash(forest.tries(classes.select("cls", "sig")), "nd-tries")
+    wanted = tries.select("cls").distinct().join(classes, "cls").select("cls", "size", "sig", F.col("least.id").alias("i"), F.col("least.hash").alias("h"))
     texts = _keyed(docs, doc_id, text).withColumn("h", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == wanted["h"])).select("cls", "size", "sig", F.col("text").cast("binary").alias("text"))
-    texts = texts.groupBy("cls").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("text").alias("text"))
-    links = stash(forest.links(need.join(texts, "cls")), "nd-links")
+    texts = stash(texts.groupBy("cls").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("text").alias("text")), "nd-texts")
+    links = forest.join(classes.select("cls", "sig"), texts, tries)
     counts = links.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("more"))
     roots = groups_of(links.where("b is not null").select("a", "b")).select(F.col("node").alias("cls"), "root")
     known = classes.join(counts, "cls", "left").join(roots, "cls", "left").select("cls", "size", "least", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("root", "cls").alias("root"))
     known = stash(known, "nd-known")
     heads = known.groupBy("root").agg(F.min("least").alias("head"))
-    known = known.join(heads, "root").select("cls", "size", "more", "head")
-    return signed.join(known, "cls", "left").select(
+    known = stash(known.join(heads, "root").select("cls", "size", "more", "head"), "nd-known")
+    return join_often(signed.select("r1", "r2", "cls"), known, ["cls"]).select(
         F.col("r1").alias("doc_id"),
         F.when(F.col("cls").isNull(), F.col("r1")).otherwise(F.col("head.id")).alias("class_id"),
         F.coalesce(F.col("more") + F.col("size") - 1, F.lit(0)).cast("bigint").alias("n_links"),
