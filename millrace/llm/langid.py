@@ -4,14 +4,15 @@ The pieces are those of a fixed public vocabulary. Each language has a probabili
 expectation maximisation on a bounded sample of labelled texts. A word's probability in a language is the sum over all
 its segmentations into pieces, by a forward recursion over its characters; a text's is the product over its words.
 Words are lower-cased and stand with the vocabulary's mark of a word's start. A character that no piece holds counts as
-a piece of its own with a fixed small probability, so that every word has a segmentation.
+a piece of its own with a fixed small probability, so that every word has a segmentation. Words may be of any length, as
+in scripts without spaces: sums over long ones are taken on logarithms.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, mix, small_batches
+from .common import give_back, mix, small_batches, spread, stretches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
 LETTER = re.compile(r"[^\W\d_]")
-MAX_PIECE, MAX_WORD, CACHE = 16, 32, 300_000
+LONG, CACHE, AT_ONCE = 32, 300_000, 200_000
 UNKNOWN, SCALE = 1e-7, 20.0
 _PIECES = "lang string, docs bigint, piece array<string>, p array<double>"
 
@@ -35,7 +36,7 @@ def pieces_of(path: str = VOCABULARY) -> frozenset[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return frozenset(p for p in found if p == p.lower() and len(p) <= MAX_PIECE)
+    return frozenset(p for p in found if p == p.lower())
 
 
 def _codes(text: str) -> np.ndarray:
@@ -52,9 +53,10 @@ class Pieces:
         self.names = names
         every = {p[:n]: -1 for p in names for n in range(1, len(p))}
         every.update((p, i) for i, p in enumerate(names))
+        self.longest = max(map(len, names))
         number = []
         keys = []
-        for n in range(1, MAX_PIECE + 1):
+        for n in range(1, self.longest + 1):
             some = [x for x in every if len(x) == n]
             if some:
                 table = _codes("".join(some)).reshape(len(some), n)
@@ -79,11 +81,7 @@ def _index(path: str) -> Pieces:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words; longer ones than MAX_WORD characters are cut into such parts, so that nothing is left out."""
-    out = (text or "").lower().split()
-    if max(map(len, out), default=0) > MAX_WORD:
-        out = [w[i : i + MAX_WORD] for w in out for i in range(0, len(w), MAX_WORD)]
-    return out
+    return (text or "").lower().split()
 
 
 class Lattices:
@@ -106,7 +104,7 @@ class Lattices:
         live, key = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
         single = np.zeros(len(codes), bool)
         start, piece, chars = [], [], []
-        for n in range(1, MAX_PIECE + 1):
+        for n in range(1, index.longest + 1):
             fits = left[live] >= n
             live, key = live[fits], key[fits]
             key = mix(key, codes[live + n - 1])
@@ -120,14 +118,19 @@ class Lattices:
                 single[live[hit]] = True
         alone = np.flatnonzero(~single)
         start, piece, chars = np.concatenate([*start, alone]), np.concatenate([*piece, np.full(len(alone), len(index.names))]), np.concatenate([*chars, np.ones(len(alone), np.int64)])
-        self.start = start + word[start]
+        self.word = word[start]  # of each arc
+        self.start = start + self.word
         self.end = self.start + chars
         self.piece, self.chars = piece, chars.astype(float)
-        place = self.start - self.first[word[start]]
-        until = place + chars
-        top = int(self.length.max(initial=0))
-        self.up = [self._runs(arcs, self.end) for arcs in self._levels(until, self.end, range(1, top + 1))]
-        self.down = [self._runs(arcs, self.start) for arcs in self._levels(place, self.start, range(top))]
+        self.place = self.start - self.first[self.word]
+
+    @cached_property
+    def up(self) -> list:
+        return [self._runs(arcs, self.end) for arcs in self._levels(self.end - self.first[self.word], self.end, range(1, int(self.length.max(initial=0)) + 1))]
+
+    @cached_property
+    def down(self) -> list:
+        return [self._runs(arcs, self.start) for arcs in self._levels(self.place, self.start, range(int(self.length.max(initial=0))))]
 
     @staticmethod
     def _levels(places: np.ndarray, nodes: np.ndarray, wanted: range) -> list[np.ndarray]:
@@ -148,6 +151,25 @@ class Lattices:
             a[nodes] = np.add.reduceat(a[self.start[arcs]] * weight[arcs], at, axis=0)
         return a
 
+    def _log_sums(self, out: np.ndarray, levels: list, at_end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        for arcs, at, nodes in levels:
+            x = out[at_end[arcs]] + weight[arcs]
+            top = np.maximum.reduceat(x, at, axis=0)
+            many = np.diff(at, append=len(arcs))
+            out[nodes] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many, axis=0)), at, axis=0))
+        return out
+
+    def log_forward(self, weight: np.ndarray) -> np.ndarray:
+        """As forward, of and on logarithms: for words of any length."""
+        a = np.full((self.nodes, *weight.shape[1:]), -np.inf)
+        a[self.first] = 0.0
+        return self._log_sums(a, self.up, self.start, weight)
+
+    def log_backward(self, weight: np.ndarray) -> np.ndarray:
+        b = np.full(self.nodes, -np.inf)
+        b[self.last] = 0.0
+        return self._log_sums(b, self.down[::-1], self.end, weight)
+
     def backward(self, weight: np.ndarray) -> np.ndarray:
         b = np.zeros(self.nodes)
         b[self.last] = 1.0
@@ -156,11 +178,28 @@ class Lattices:
         return b
 
 
+def parts_of(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places of short words and of long ones, in portions of bounded size; long ones by length."""
+    size = np.array([len(w) for w in words], np.int64)
+    short, long = np.flatnonzero(size <= LONG), np.argsort(size, kind="stable")
+    long = long[size[long] > LONG]
+    cut = lambda at, most: np.split(at, np.flatnonzero(np.diff(np.cumsum(size[at] + 1) // most)) + 1) if len(at) else []
+    return cut(short, 160_000), cut(long, 20_000)
+
+
 def log_probs(words: list[str], index: Pieces, probs: np.ndarray) -> np.ndarray:
     """log of each word's probability in each language: probs has a row for each piece, the last for unknown."""
-    lat = Lattices(words, index)
-    scaled = probs[lat.piece] * (SCALE**lat.chars)[:, None]  # keeps long words from underflow; taken back below
-    return np.log(np.maximum(lat.forward(scaled)[lat.last], 1e-300)) - (lat.length * np.log(SCALE))[:, None]
+    out, logs = np.empty((len(words), probs.shape[1])), None
+    short, long = parts_of(words)
+    for at in short:
+        lat = Lattices([words[i] for i in at], index)
+        scaled = probs[lat.piece] * (SCALE**lat.chars)[:, None]  # keeps words from underflow; taken back below
+        out[at] = np.log(np.maximum(lat.forward(scaled)[lat.last], 1e-300)) - (lat.length * np.log(SCALE))[:, None]
+    for at in long:
+        logs = np.log(probs) if logs is None else logs
+        lat = Lattices([words[i] for i in at], index)
+        out[at] = lat.log_forward(logs[lat.piece])[lat.last]
+    return out
 
 
 def fit_one(counts: dict[str, int], index: Pieces, rounds: int, smooth: float) -> np.ndarray:
@@ -168,14 +207,21 @@ def fit_one(counts: dict[str, int], index: Pieces, rounds: int, smooth: float) -
     n = len(index.names)
     p = np.full(n + 1, 1.0 / n)
     p[n] = UNKNOWN
-    lat = Lattices(list(counts), index)
-    c = np.array(list(counts.values()), float)
-    word = np.repeat(np.arange(len(c)), lat.length + 1)
+    words, c = list(counts), np.array(list(counts.values()), float)
+    short, long = parts_of(words)
     for _ in range(rounds):
-        w = p[lat.piece] * SCALE**lat.chars
-        a, b = lat.forward(w), lat.backward(w)
-        share = c / np.maximum(a[lat.last], 1e-300)
-        want = np.bincount(lat.piece, weights=share[word[lat.start]] * a[lat.start] * w * b[lat.end], minlength=n + 1)[:n] + smooth
+        want = np.full(n, smooth)
+        for at in short:
+            lat = Lattices([words[i] for i in at], index)
+            w = p[lat.piece] * SCALE**lat.chars
+            a, b = lat.forward(w), lat.backward(w)
+            share = c[at] / np.maximum(a[lat.last], 1e-300)
+            want += np.bincount(lat.piece, weights=share[lat.word] * a[lat.start] * w * b[lat.end], minlength=n + 1)[:n]
+        for at in long:
+            lat = Lattices([words[i] for i in at], index)
+            w = np.log(p)[lat.piece]
+            a, b = lat.log_forward(w), lat.log_backward(w)
+            want += np.bincount(lat.piece, weights=c[at][lat.word] * np.exp(a[lat.start] + w + b[lat.end] - a[lat.last][lat.word]), minlength=n + 1)[:n]
         p[:n] = want / want.sum() * (1 - UNKNOWN)
     return p
 
@@ -184,7 +230,8 @@ def fit(labelled: DataFrame, *, path: str = VOCABULARY, per_lang: int = 400, rou
     """Languages by code point, log priors, and probabilities (pieces + unknown by languages) from labelled(text, lang).
 
     Learns piece probabilities from about per_lang texts of each language, chosen by hash of the text; all labelled
-    texts count for the priors. Rows whose lang or text is null are ignored.
+    texts count for the priors. Rows whose lang or text is null are ignored; of an empty table nothing is learned, and all
+    texts are then undetermined.
     """
     spark = labelled.sparkSession
     small_batches(spark)
@@ -232,18 +279,31 @@ class Scorer:
             new = list(words)
         if len(self.known) + len(new) > len(self.rows):
             self.rows = np.resize(self.rows, (len(self.known) + len(new), self.rows.shape[1]))
-        for i in range(0, len(new), 20_000):
-            part, n = new[i : i + 20_000], len(self.known)
-            self.rows[n : n + len(part)] = log_probs(part, self.index, self.probs)
-            self.known.update(zip(part, range(n, n + len(part))))
+        n = len(self.known)
+        self.rows[n : n + len(new)] = log_probs(new, self.index, self.probs)
+        self.known.update(zip(new, range(n, n + len(new))))
 
     def texts(self, texts: list[str]) -> np.ndarray:
-        """Sums over the words of texts that have a word each."""
-        split = [words_of(t) for t in texts]
-        self.learn({w for x in split for w in x})
-        known = self.known
-        at = np.array([known[w] for x in split for w in x], np.int64)
-        return np.add.reduceat(self.rows[at], np.cumsum([0] + [len(x) for x in split[:-1]]), axis=0)
+        """Sums over the words of texts, of which AT_ONCE characters are held as words at a time."""
+        out, held, size = np.zeros((len(texts), self.probs.shape[1])), [], 0
+
+        def add() -> None:
+            self.learn({w for _, x in held for w in x})
+            known = self.known
+            at = np.array([known[w] for _, x in held for w in x], np.int64)
+            np.add.at(out, [i for i, _ in held], np.add.reduceat(self.rows[at], np.cumsum([0] + [len(x) for _, x in held[:-1]]), axis=0))
+
+        for i, t in enumerate(texts):
+            for part in stretches(t, AT_ONCE):
+                if words := words_of(part):
+                    held.append((i, words))
+                    size += len(part)
+                    if size >= AT_ONCE:
+                        add()
+                        held, size = [], 0
+        if held:
+            add()
+        return out
 
 
 _scorers: dict[bytes, Scorer] = {}
@@ -288,6 +348,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], *
         docs = docs.drop("lang_pred", "score")
     else:
         docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias(text))
+    docs = spread(docs)
     kept = docs.columns if keep else ["doc_id"]
     fields = [f for f in docs.schema.fields if f.name in kept]
     return docs.mapInArrow(say, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
