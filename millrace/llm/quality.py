@@ -5,7 +5,8 @@ sum of the index vectors of its neighbours over the whole corpus. Words share a
 table has one size for every corpus. The stream of a text is its lower-cased words without the marks at their ends, and
 a marker of its own for each word that ends in marks, is in capitals, or repeats the word before. A document is the
 mean of its rows, weighted down by their frequency, and the shares of the markers. The network (one hidden layer, tanh)
-is trained in numpy on a bounded sample of labelled documents; its temperature is fitted on a part of it held back.
+is trained in numpy on a bounded sample of labelled documents, half of each label where there are enough. Its temperature
+is fitted on a part of the sample held back, at the sample's rate; only then are the logits shifted to the true rate.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, splitmix
+from .common import small_batches, splitmix, spread, stretches
 
 ROWS, DIMS, HOTS, REACH = 1 << 14, 32, 2, 2
 MARKS = 64
-CACHE = 500_000
+CACHE, AT_ONCE = 500_000, 1_000_000
 GROUPS = 16
 _END = re.compile(rb"[^A-Za-z0-9\x80-\xff]+$")
 _PART = "grp int, part binary"
@@ -65,6 +66,15 @@ class Stream:
             last = w
         return np.array(out, np.int64)
 
+    def features(self, text: bytes | None, vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """`pooled` of a text, of which AT_ONCE characters are held as words at a time. The first word of a later part
+        doesn't count as a repeat."""
+        sums = None
+        for part in stretches(text or b"", AT_ONCE):
+            s = summed(self.rows(part), vectors, weight)
+            sums = s if sums is None else tuple(a + b for a, b in zip(sums, s))
+        return pooled(*(sums or summed(np.empty(0, np.int64), vectors, weight)))
+
 
 def index_vectors(seed: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row HOTS coordinates and their signs."""
@@ -85,11 +95,9 @@ def context_vectors(docs: DataFrame, *, text: str = "text", seed: int = 7) -> tu
 
     def gather(batches):
         table, stream = np.zeros((ROWS, width)), Stream()
-        for b in batches:
-            docs = [stream.rows(t) for t in b.column(0).to_pylist()]
-            if not docs:
-                continue
-            r = np.concatenate([x for d in docs for x in (d, np.full(REACH, -1))])
+
+        def count(held: list[np.ndarray]) -> None:
+            r = np.concatenate([x for d in held for x in (d, np.full(REACH, -1))])
             for gap in range(1, REACH + 1):
                 a, c = r[:-gap], r[gap:]
                 ok = (a >= 0) & (c >= 0)
@@ -98,6 +106,18 @@ def context_vectors(docs: DataFrame, *, text: str = "text", seed: int = 7) -> tu
                     for x, y in ((a, c), (c, a)):
                         table[:, :DIMS] += np.bincount(x * DIMS + at[y, h], weights=sign[y, h], minlength=ROWS * DIMS).reshape(ROWS, DIMS)
             table[:, DIMS] += np.bincount(r[r >= 0], minlength=ROWS)
+
+        for b in batches:
+            held, size = [], 0
+            for t in b.column(0).to_pylist():
+                for part in stretches(t or b"", AT_ONCE):  # so many characters are held as words at a time
+                    held.append(stream.rows(part))
+                    size += len(part)
+                    if size >= AT_ONCE:
+                        count(held)
+                        held, size = [], 0
+            if held:
+                count(held)
         parts = [table[g * per : (g + 1) * per].astype(np.float32).tobytes() for g in range(GROUPS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(GROUPS), pa.int32()), pa.array(parts, pa.binary())], names=["grp", "part"])
 
@@ -109,7 +129,7 @@ def context_vectors(docs: DataFrame, *, text: str = "text", seed: int = 7) -> tu
                 sums[g] = sums[g] + x if g in sums else x.astype(float)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], names=["grp", "part"])
 
-    parts = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(gather, _PART)
+    parts = spread(docs.select(F.col(text).cast("binary").alias("text"))).mapInArrow(gather, _PART)
     table = np.zeros((ROWS, width), np.float32)
     for r in parts.repartition(GROUPS, "grp").mapInArrow(add, _PART).collect():  # one row a group
         table[r["grp"] * per : (r["grp"] + 1) * per] = np.frombuffer(r["part"], np.float32).reshape(per, width)
@@ -117,13 +137,15 @@ def context_vectors(docs: DataFrame, *, text: str = "text", seed: int = 7) -> tu
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), counts
 
 
-def pooled(rows: np.ndarray, vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """A document's features: weighted mean of its rows' vectors, shares of markers, whether it has words, log length."""
-    n = len(rows)
-    marks = np.bincount(rows[rows < MARKS], minlength=MARKS) / max(n, 1)
+def summed(rows: np.ndarray, vectors: np.ndarray, weight: np.ndarray) -> tuple:
+    """What `pooled` is made of, to be added up over parts of a text: words, markers, weights, weighted vectors."""
     w = weight[rows]
-    mean = (vectors[rows] * w[:, None]).sum(axis=0) / max(w.sum(), 1e-9) if n else np.zeros(vectors.shape[1])
-    return np.concatenate([mean, np.sqrt(marks), [float(n > 0), np.log1p(n) / 10]])
+    return len(rows), np.bincount(rows[rows < MARKS], minlength=MARKS), w.sum(), (vectors[rows] * w[:, None]).sum(axis=0)
+
+
+def pooled(n: int, marks: np.ndarray, weight: float, vector: np.ndarray) -> np.ndarray:
+    """A document's features: weighted mean of its rows' vectors, shares of markers, whether it has words, log length."""
+    return np.concatenate([vector / max(weight, 1e-9), np.sqrt(marks / max(n, 1)), [float(n > 0), np.log1p(n) / 10]])
 
 
 @dataclass
@@ -137,18 +159,22 @@ class Model:
     layers: tuple[np.ndarray, np.ndarray, np.ndarray, float] | None
     temperature: float
     rate: float
+    shift: float = 0.0  # of the logits, from the sample's rate to the true one
 
-    def features(self, rows: list[np.ndarray]) -> np.ndarray:
-        return (np.array([pooled(r, self.vectors, self.weight) for r in rows]) - self.centre) / self.spread
+    def features(self, pools: list[np.ndarray]) -> np.ndarray:
+        return (np.array(pools) - self.centre) / self.spread
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
         return np.tanh(x @ w1 + b1) @ w2 + b2
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        if self.layers is None:
-            return np.full(len(rows), self.rate)
-        return 1 / (1 + np.exp(-np.clip(self.logits(self.features(rows)) / self.temperature, -60, 60)))
+    def scores(self, stream: Stream, texts: list[bytes | None]) -> np.ndarray:
+        if self.layers is None or not texts:
+            return np.full(len(texts), self.rate)
+        return self.calibrated(self.logits(self.features([stream.features(t, self.vectors, self.weight) for t in texts])))
+
+    def calibrated(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(logits / self.temperature + self.shift, -60, 60)))
 
 
 def train(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, seed: int = 3):
@@ -189,7 +215,8 @@ def fit(docs: DataFrame, labelled: DataFrame, *, text: str = "text", sample: int
     """Word table from all texts of docs; network from about `sample` rows of labelled(doc_id, text, y 0/1), half of each
     label where there are enough, chosen by hash and weighted back to the true rate by a shift of the logits.
 
-    Rows of other labels are ignored, null texts count as empty.
+    Rows of other labels are ignored, null texts count as empty. Where a label has no row, as in an empty table, the model
+    answers the labels' rate.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -209,7 +236,7 @@ def fit(docs: DataFrame, labelled: DataFrame, *, text: str = "text", sample: int
     def pool(batches):
         stream = Stream()
         for b in batches:
-            x = [pooled(stream.rows(t), *held.value).astype(np.float32) for t in b.column(1).to_pylist()]
+            x = [stream.features(t, *held.value).astype(np.float32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([v.tolist() for v in x], pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000)
@@ -223,7 +250,7 @@ def fit(docs: DataFrame, labelled: DataFrame, *, text: str = "text", sample: int
     part = np.random.default_rng(1).permutation(len(x)) % 5 == 0
     w1, b1, w2, b2 = train(x[~part], y[~part])
     shift = np.log(rate / (1 - rate)) - np.log(y.mean() / (1 - y.mean()))
-    model = Model(vectors, weight, centre, spread, (w1, b1, w2, b2 + shift), 1.0, rate)
+    model = Model(vectors, weight, centre, spread, (w1, b1, w2, b2), 1.0, rate, float(shift))
     z = model.logits(x[part])
     model.temperature = temperature_of(z, y[part]) if part.any() else 1.0
     return model
@@ -242,7 +269,7 @@ def score_quality(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text
     def scores(batches):
         stream = Stream()
         for b in batches:
-            got = held.value.scores([stream.rows(t) for t in b.column(1).to_pylist()]) if b.num_rows else []
+            got = held.value.scores(stream, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(scores, _SCORED)
+    return spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))).mapInArrow(scores, _SCORED)
