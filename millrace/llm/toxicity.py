@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, spread, stretches
 
 STARTS = (4, 5)
 BLOCK = 64
-CACHE = 400_000
+CACHE, AT_ONCE = 400_000, 1_000_000
 FLOOR = 0.1
 _TERMS = "term bigint, y int, n bigint"
 _SCORED = "doc_id bigint, score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>"
@@ -31,7 +31,7 @@ _SCORED = "doc_id bigint, score double, evidence array<struct<doc_id:bigint,labe
 def words_of(text: str | None) -> dict[str, int]:
     """Lower-cased words, without marks at their ends, and how often each occurs."""
     out: dict[str, int] = {}
-    for w in (text or "").lower().split():
+    for w in (w for part in stretches(text or "", AT_ONCE) for w in part.lower().split()):
         if x := w.strip("\"'.,;:!?()[]{}<>|*&%$#@~^_-+=/\\"):
             out[x] = out.get(x, 0) + 1
     return out
@@ -51,7 +51,7 @@ class Index:
     at: np.ndarray
     w: np.ndarray
     peak: np.ndarray
-    doc_id: np.ndarray
+    doc_id: list[int | None]
     label: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
@@ -198,7 +198,7 @@ def fit(labelled: DataFrame, *, per_label: int = 1500, k: int = 15) -> Index | N
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["y"], r["terms"].tolist()))
     n = term_statistics(rows, number)
     idf = np.log(1 + sum(sizes.values()) / (n.sum(axis=0) + 1))
-    index = Index(number, idf * (np.sqrt(likelihood_ratio(n, np.array([sizes[0], sizes[1]], float))) + FLOOR), *[np.empty(0)] * 6)
+    index = Index(number, idf * (np.sqrt(likelihood_ratio(n, np.array([sizes[0], sizes[1]], float))) + FLOOR), *[np.empty(0)] * 4, [], np.empty(0))
     vecs = [(r["terms"], index.weights(r["terms"], r["counts"])) for r in got]
     term = np.concatenate([t for t, _ in vecs]) if vecs else np.empty(0, np.int64)
     who = np.repeat(np.arange(len(vecs)), [len(t) for t, _ in vecs])
@@ -211,7 +211,7 @@ def fit(labelled: DataFrame, *, per_label: int = 1500, k: int = 15) -> Index | N
     peak = np.zeros((len(names), blocks), np.float32)
     np.maximum.at(peak, (term, who // BLOCK), w.astype(np.float32))
     index.peak = np.nextafter(peak, np.float32(2), out=peak, where=peak > 0)  # not below the weights
-    index.doc_id = np.array([-1 if r["doc_id"] is None else r["doc_id"] for r in got], np.int64)
+    index.doc_id = [r["doc_id"] for r in got]
     index.label = np.array([r["y"] for r in got], float)
     true = sizes[1] / sum(sizes.values())
     index.rate = true
@@ -251,11 +251,11 @@ def score_toxicity(docs: DataFrame, index: Index | None, *, k: int = 15, doc_id:
                     if len(memo) >= 2_000:  # keys of whole texts
                         memo.clear()
                     found, best = ix.search(terms, weights, k)
-                    memo[key] = ix.score(ix.vote(found, best)), [{"doc_id": int(ix.doc_id[i]), "label": int(ix.label[i]), "cosine": float(c)} for i, c in zip(found, best)]
+                    memo[key] = ix.score(ix.vote(found, best)), [{"doc_id": ix.doc_id[i], "label": int(ix.label[i]), "cosine": float(c)} for i, c in zip(found, best)]
                 s, e = memo[key]
                 score.append(s)
                 why.append(e)
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(why, kind)], names=["doc_id", "score", "evidence"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scores, _SCORED)
+    return spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(scores, _SCORED)
