@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import stash, word_count
 
 BINS = 4096
-SOURCES_SENT = 100_000
+SOURCES_SENT, SIZES_SENT = 100_000, 100_000
 
 
 def water_fill(parts: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -80,7 +80,9 @@ def pareto_mix(
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), ((u.cast("double") + 0.5) / float(1 << 48)).alias("u"))
     sized = stash(read, "mix-sizes")  # ids and sizes; texts are read once
     targets = stash(source_targets(sized.select("source", "size"), weights, most), "mix-targets")
-    copies = _expected(sized, targets, most, temper)
+    copies = stash(_expected(sized, targets, most, temper), "mix-copies")
+    if copies.count() <= SIZES_SENT:  # one row for each size in a source; beyond that a hot size's rows are split by adaptive execution
+        copies = F.broadcast(copies)
     ranked = (
         sized.alias("d")
         .join(copies.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")), "left")
@@ -98,10 +100,12 @@ def pareto_mix(
         .join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")), "left")
         .select("d.*", "q.edge", "q.rest")
     )
-    in_bin = W.partitionBy("source", "bin").orderBy("rank_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    met = F.coalesce(F.col("bin") == F.col("edge"), F.lit(False))  # only these rows, one bin of a source, are put in order
+    in_bin = W.partitionBy("source").orderBy("rank_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(in_bin), F.lit(0))
-    extra = F.when(F.col("bin") < F.col("edge"), 1).when(F.col("bin") == F.col("edge"), (before + F.col("size") / 2 <= F.col("rest")).cast("int")).otherwise(0)
-    return at.withColumn("extra", extra).select(
+    edge = at.where(met).withColumn("extra", (before + F.col("size") / 2 <= F.col("rest")).cast("int"))
+    others = at.where(~met).withColumn("extra", F.coalesce((F.col("bin") < F.col("edge")).cast("int"), F.lit(0)))
+    return edge.unionByName(others).select(
         "doc_id", "source", "size", "source_size", "target", "expected", (F.col("size") * (F.col("whole") + F.col("extra"))).cast("long").alias("taken")
     )
 
