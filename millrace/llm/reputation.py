@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import join_often, stash
 
 # Second labels that, before a country's two letters, belong to the public suffix.
 SECOND = ("ac", "co", "com", "edu", "gov", "go", "mil", "ne", "net", "or", "org")
@@ -97,7 +97,7 @@ def host_reputation(outcomes: DataFrame, *, low: float = 1.0, high: float = 1000
 
     def shrink(groups: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
         prior = above.withColumn("prior", F.col("a") / (F.col("a") + F.col("b"))).drop("a", "b", "strength")
-        known = groups.join(prior, keys) if keys else groups.join(F.broadcast(prior))  # one row
+        known = join_often(groups, prior, keys) if keys else groups.join(F.broadcast(prior))  # one row
         s = _strength(known, low, high)
         out = known.join(F.broadcast(s)).withColumns(  # one row
             {"a": F.col("prior") * F.col("strength") + F.col("bad"), "b": (1 - F.col("prior")) * F.col("strength") + F.col("n") - F.col("bad")}
@@ -131,6 +131,7 @@ def judge_urls(
     """
     read = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = read.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("_name", name_of(F.col("host")))
+    judged = stash(judged, "urls-judged")  # hosts and paths, without the pages' other columns: read several times
     if labelled is None:
         marks = judged.where("_rule is not null").select("_name", (F.col("_rule.verdict") == "block").cast("long").alias("bad"))
     else:
@@ -138,15 +139,14 @@ def judge_urls(
     marks = marks.where("_name <> ''").select(F.col("_name").alias("host"), domain_of(F.col("_name")).alias("domain"), suffix_of(F.col("_name")).alias("suffix"), "bad")
     by_host, by_domain, by_suffix, every = host_reputation(marks)
     names = judged.select("_name").distinct().select(F.col("_name").alias("host"), domain_of(F.col("_name")).alias("domain"), suffix_of(F.col("_name")).alias("suffix"))
-    pick = lambda t, keys: t.select(*keys, F.struct("a", "b").alias("ab"))
-    known = (
-        names.join(pick(by_host, ["suffix", "domain", "host"]).withColumnRenamed("ab", "h"), ["suffix", "domain", "host"], "left")
-        .join(pick(by_domain, ["suffix", "domain"]).withColumnRenamed("ab", "d"), ["suffix", "domain"], "left")
-        .join(pick(by_suffix, ["suffix"]).withColumnRenamed("ab", "s"), ["suffix"], "left")
-        .join(F.broadcast(pick(every, []).withColumnRenamed("ab", "e")))  # one row
-        .withColumn("p", F.coalesce("h", "d", "s", "e"))
-        .select(F.col("host").alias("_name"), (F.col("p.a") / (F.col("p.a") + F.col("p.b"))).alias("p_bad"), lower_bound(F.col("p.a"), F.col("p.b"), z).alias("bound"))
-    )
-    return judged.join(known, "_name", "left").select(
+    names = stash(names, "host-names")
+    pick = lambda t, keys, to: t.select(*keys, F.struct("a", "b").alias(to))
+    known = names.join(pick(by_host, ["suffix", "domain", "host"], "h"), ["suffix", "domain", "host"], "left")
+    known = join_often(known, pick(by_domain, ["suffix", "domain"], "d"), ["suffix", "domain"])
+    known = join_often(known, pick(by_suffix, ["suffix"], "s"), ["suffix"])
+    known = known.join(F.broadcast(pick(every, [], "e"))).withColumn("p", F.coalesce("h", "d", "s", "e"))  # one row
+    known = known.select(F.col("host").alias("_name"), (F.col("p.a") / (F.col("p.a") + F.col("p.b"))).alias("p_bad"), lower_bound(F.col("p.a"), F.col("p.b"), z).alias("bound"))
+    judged = join_often(judged, stash(known, "host-known"), ["_name"])
+    return judged.select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), F.when(F.col("bound") > threshold, "block").otherwise("allow")).alias("verdict"), "p_bad", "bound"
     )
