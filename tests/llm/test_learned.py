@@ -98,3 +98,47 @@ def test_temperature():
     z = rng.normal(0, 2, 5000)
     y = (rng.random(5000) < 1 / (1 + np.exp(-z))).astype(float)
     assert quality.temperature_of(3 * z, y) == pytest.approx(3, rel=0.15)
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.5])
+def test_quality_is_calibrated(spark, rate):
+    """Texts of a and b whose share of a tells the label, but not surely; labels as rare as `rate`."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(6000):
+        y = int(rng.random() < rate)
+        rows.append((i, " ".join(rng.choice(["alpha", "beta"], 12, p=[0.45 + 0.2 * y, 0.55 - 0.2 * y])), y))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, y int")
+    model = quality.fit(d, d.where("doc_id < 4500"), sample=6000)
+    got = quality.score_quality(d.where("doc_id >= 4500"), model).join(d.select("doc_id", "y"), "doc_id").collect()
+    s, y = np.array([r["score"] for r in got]), np.array([r["y"] for r in got])
+    assert abs(s.mean() - y.mean()) < 0.03
+    high = s > np.median(s)
+    assert abs(s[high].mean() - y[high].mean()) < 0.05 and abs(s[~high].mean() - y[~high].mean()) < 0.05
+
+
+def test_network_by_hand(spark):
+    import numpy as np
+
+    model = quality.Model(np.eye(4), np.full(4, 0.5), np.zeros(4 + quality.MARKS + 2), np.ones(4 + quality.MARKS + 2), None, 2.0, 0.3, -1.0)
+    assert model.scores(quality.Stream(), [b"a", None]).tolist() == [0.3, 0.3]
+    rng = np.random.default_rng(0)
+    w1, b1, w2, b2 = rng.standard_normal((len(model.centre), 3)), rng.standard_normal(3), rng.standard_normal(3), 0.7
+    model.layers = (w1, b1, w2, b2)
+    x = rng.standard_normal((5, len(model.centre)))
+    want = [1 / (1 + np.exp(-((sum(w2[j] * np.tanh(sum(v[i] * w1[i, j] for i in range(len(v))) + b1[j]) for j in range(3)) + b2) / 2.0 - 1.0))) for v in x]
+    assert np.allclose(model.calibrated(model.logits(x)), want)
+
+
+def test_very_long_texts(spark, docs):
+    """Texts of a million characters are read whole: what tells comes last."""
+    filler = "der die das und " * 60_000
+    d = spark.createDataFrame([(1, "short", "en", 0), (2, filler, "de", 0), (3, "the and of with this " * 50_000, "en", 1), (4, "ab" * 50_000, None, 0)], "doc_id bigint, text string, lang string, y int")
+    model = langid.fit(docs.where("lang in ('en', 'de')").select("text", "lang"))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(d, model).where("doc_id in (2, 3)").collect()} == {2: "de", 3: "en"}
+    q = quality.fit(d, d.unionByName(d.withColumn("doc_id", F.col("doc_id") + 10)))
+    assert quality.score_quality(d, q).where("score between 0 and 1").count() == 4
+    index = toxicity.fit(d.select("doc_id", "text", "y"))
+    assert toxicity.score_toxicity(d, index).where("score between 0 and 1").count() == 4

@@ -73,21 +73,40 @@ def test_packing():
 
 def test_ann_is_exact(spark):
     rng = np.random.default_rng(0)
-    v = rng.standard_normal((700, 16)).astype(np.float32)
+    v = rng.standard_normal((700, 16))
     v[50:90] = v[3]
     rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] + [1.0] * 15, 0), (1003, [None] + [1.0] * 15, 0), (1004, [1.0] * 5, 0), (None, [1.0] * 16, 0), (7, v[7].tolist(), 0)]
-    got = onebit_ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int"), every=20, k=10, cell=128, query_cell=9).collect()
+    rows += [(20, v[20].tolist(), 0), (20, v[21].tolist(), 0), (2000, [1e200] * 16, 0), (2001, [1e200] * 15 + [-1e200], 0), (2002, [1.7e308, -1.7e308] * 8, 0), (2020, [1e-200] * 16, 0), (2021, [2e-200] * 16, 0)]
+    got = onebit_ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, row int"), every=20, k=10, cell=128, query_cell=9).collect()
     ok = [(i, np.array(x, float)) for i, x, _ in rows if i is not None and x is not None and len(x) == 16 and None not in x and np.isfinite(x).all() and any(x)]
-    want = set()
-    for q, x in [(i, x) for i, x in ok if i % 20 == 0]:
-        d = sorted((float(np.sqrt(((x - y) ** 2).sum())), i) for i, y in ok if i != q)[:10]
-        want |= {(q, n + 1, i, round(s, 9)) for n, (s, i) in enumerate(d)}
-    assert {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got} == want
-    few = onebit_ann.nearest(spark.createDataFrame(rows[:3], "vec_id bigint, embedding array<float>, score int")).collect()
+
+    def distance(x, y):
+        top = max(np.abs(x / 2 - y / 2).max(), 1e-300)
+        with np.errstate(over="ignore"):
+            return float(2 * (top * np.sqrt((((x / 2 - y / 2) / top) ** 2).sum())))
+
+    want = collections.Counter()
+    for a, (q, x) in enumerate(ok):
+        if q % 20 == 0:
+            d = sorted((float(f"{distance(x, y):.9g}"), i) for b, (i, y) in enumerate(ok) if a != b)[:10]
+            want.update((q, n + 1, i, s) for n, (s, i) in enumerate(d))
+    assert collections.Counter((r["query_id"], r["rank"], r["vec_id"], float(f"{r['score']:.9g}")) for r in got) == want
+    assert sum(r["query_id"] == 20 for r in got) == 30 and sum(r["query_id"] == 2000 for r in got) == 10
+    few = onebit_ann.nearest(spark.createDataFrame(rows[:3], "vec_id bigint, embedding array<double>, score int")).collect()
     assert [r["vec_id"] for r in few] and len(few) == 2
     assert onebit_ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_inner_products_of_packed_bits():
+    rng = np.random.default_rng(4)
+    for dims in (5, 64, 100):
+        v, u = rng.standard_normal((50, dims)), rng.standard_normal(dims)
+        u /= np.linalg.norm(u)
+        got, off = onebit_ann.inner_products(u, onebit_ann.pack(v > 0))
+        want = np.where(v > 0, 1, -1) @ u / np.sqrt(dims)
+        assert (np.abs(got - want) <= off + 1e-12).all() and off < 0.2
+
+
 def shingles(t, n=5):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
@@ -138,6 +157,40 @@ def test_prefix_depth():
     assert 1 - (1 - 0.8**d) ** 20 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
 
 
+def test_forest_shortens_until_the_target(spark):
+    # many pairs far above the threshold and none near it: whole labels find them all, and no prefix is shortened
+    assert near_dup.missed({0.99: 10**6}, 0.8, 20, 8) < 1e-4 * 10**6
+    # pairs at the threshold: the estimate falls with each value taken off
+    lost = [near_dup.missed({0.8: 1000}, 0.8, 20, d) for d in (8, 7, 6, 5)]
+    assert lost == sorted(lost, reverse=True) and 20 < lost[0] < 40 and lost[-1] < 1
+    r, depths = random.Random(3), []
+    real = near_dup.Forest.needed
+    rows = [words(r, 60, 5000) for _ in range(20)]
+    near_dup.Forest.needed = lambda self, tries, classes, depth: depths.append(depth) or real(self, tries, classes, depth)
+    try:
+        d = spark.createDataFrame([(i, t + f" x{i // 20}") for i, t in enumerate(rows * 2)], "doc_id bigint, text string")
+        loose = near_dup.near_duplicates(d, forest=near_dup.Forest(recall=0.5)).where("n_links > 0").count()
+        many = list(depths)
+        depths.clear()
+        near_dup.near_duplicates(d).count()
+    finally:
+        near_dup.Forest.needed = real
+    assert loose == 40 and many == [8] and depths == [8, 7, 6, 5]
+
+
+def test_new_pairs_by_hand():
+    rng = np.random.default_rng(1)
+    m = rng.integers(0, 2, (30, 4, 6)).astype(">u2")
+    labels = [x.tobytes() for x in m]
+    for depth in range(1, 7):
+        for tree in range(4):
+            got = near_dup.new_pairs(labels, 4, depth, 6, tree)
+            for i in range(30):
+                for j in range(30):
+                    same = [next((d for d in range(6) if m[i, t, d] != m[j, t, d]), 6) for t in range(4)]
+                    assert got[i, j] == (i != j and max(same) == depth and same.index(depth) == tree)
+
+
 def test_leaks(spark):
     r = random.Random(6)
     even = lambda r, n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
@@ -217,7 +270,7 @@ def test_segmentations_are_summed():
         if not s:
             return np.ones(2)
         out, single = np.zeros(2), False
-        for k in range(1, min(langid.MAX_PIECE, len(s)) + 1):
+        for k in range(1, len(s) + 1):
             if s[:k] in number:
                 out += probs[number[s[:k]]] * ways(s[k:])
                 single |= k == 1
@@ -227,6 +280,32 @@ def test_segmentations_are_summed():
     assert np.allclose(langid.log_probs(some, index, probs), np.log([ways(langid.START + w) for w in some]))
 
 
+def test_long_words_are_not_cut():
+    index = langid._index(langid.VOCABULARY)
+    n, number = len(index.names), {p: i for i, p in enumerate(index.names)}
+    probs = np.random.default_rng(1).random((n + 1, 2)) / n
+    some = ["abcdefgh" * 3, "straßenbahn" * 30, "日本語" * 400, "x" * 33, "a"]
+    for w, got in zip(some, langid.log_probs(some, index, probs)):
+        s = langid.START + w
+        a = [np.zeros(2)] + [None] * len(s)
+        for j in range(1, len(s) + 1):
+            ways = [a[i] + np.log(probs[number[s[i:j]]]) for i in range(max(0, j - index.longest), j) if s[i:j] in number]
+            a[j] = np.logaddexp.reduce(ways + ([] if s[j - 1] in number else [a[j - 1] + np.log(probs[n])]))
+        assert np.allclose(got, a[-1])
+    both = {"in" * 20: 2, "the": 3}
+    p = langid.fit_one(both, index, 2, 0.05)
+    assert abs(p[:-1].sum() + langid.UNKNOWN - 1) < 1e-9 and (p > 0).all()
+
+
+def test_parts_of_long_texts_keep_sums():
+    index = langid._index(langid.VOCABULARY)
+    probs = np.random.default_rng(1).random((len(index.names) + 1, 2)) / len(index.names)
+    texts = ["the cat " * 60_000, "a", " b c "]
+    got = langid.Scorer(probs, langid.VOCABULARY).texts(texts)
+    the, cat, a, b, c = langid.log_probs(["the", "cat", "a", "b", "c"], index, probs)
+    assert np.allclose(got, [60_000 * (the + cat), a, b + c])
+
+
 def test_toxic_search_is_exact():
     rng = np.random.default_rng(2)
     terms, n = 40, 300
