@@ -99,3 +99,26 @@ def calibration_error(status: Column, method: Column, unit: Column, uncertainty:
         .when(homography.isNotNull() & (F.abs(determinant(homography)) < 1e-12), "singular")
         .when((method == "camera_planar_calibration") & homography.isNull(), "needs_homography")
     )
+
+
+def clamp_xywh(box: Column, width: Column, height: Column) -> Column:
+    """struct(box, rejected) of an x, y, w, h box within the image; rejected is 1 where nothing is left, and box null."""
+    b = clamp_box(box[0], box[1], box[0] + box[2], box[1] + box[3], width, height)
+    return F.struct(b.alias("box"), b.isNull().cast("int").alias("rejected"))
+
+
+def first_polygon(polygons: Column) -> Column:
+    """The first of flat polygons that has three points or more, as pairs; null if none has."""
+    return F.get(F.filter(F.transform(polygons, points), lambda p: p.isNotNull()), F.lit(0))
+
+
+def largest_polygon(polygons: Column) -> Column:
+    """Of polygons as pairs the one of greatest area, the first of equals."""
+    sized = F.transform(polygons, lambda p, i: F.struct(polygon_area(p).alias("area"), (-i).alias("place"), p.alias("points")))
+    return F.array_max(sized)["points"]
+
+
+def prompt_box(boxes: Column, width: Column, height: Column) -> Column:
+    """The first x, y, w, h box as corners within the image, the far ones on its last pixel at most; null without one."""
+    b = F.get(boxes, F.lit(0))
+    return F.when(b.isNotNull(), F.array(F.greatest(b[0], F.lit(0.0)), F.greatest(b[1], F.lit(0.0)), F.least(b[0] + b[2], width - 1), F.least(b[1] + b[3], height - 1)))

@@ -133,3 +133,73 @@ def location_token(v: Column, extent: Column) -> Column:
 def seeded_rank(key: Column, seed: str) -> Column:
     """A fixed random order of keys: the SHA-256 of seed:key."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
+
+
+def prefix_of(path: Column) -> Column:
+    """A file name's part before the first underscore."""
+    return F.split_part(stem(path), F.lit("_"), F.lit(1))
+
+
+def has_ends(path: Column, prefix: str, suffix: str) -> Column:
+    """Whether a path begins with prefix and ends with suffix, the suffix without regard to case."""
+    return path.startswith(prefix) & F.lower(path).endswith(suffix.lower())
+
+
+def path_fits(path: Column, root: str, splits: list[str], folders: list[str]) -> Column:
+    """Whether a path is root/split/folder/name of known splits and folders."""
+    p = F.split(path, "/")
+    return (F.size(p) == 4) & (p[0] == root) & p[1].isin(*splits) & p[2].isin(*folders) & (p[3] != "")
+
+
+def held_out_path(path: Column) -> Column:
+    """Whether a folder of the path is named test, whatever its case and the slashes."""
+    return F.lower(F.translate(path, "\\", "/")).contains("/test/")
+
+
+def record_id(source: str, split: Column, path: Column) -> Column:
+    return F.concat_ws("_", F.lit(source), split, stem(path))
+
+
+def paired_name(mask: Column, mark: str = "_lab", ending: str = ".png") -> Column:
+    """The image's name of a mask's: without its mark; null if it has none."""
+    return F.when(mask.endswith(mark + ending), F.concat(F.substr(mask, F.lit(1), F.length(mask) - len(mark + ending)), F.lit(ending)))
+
+
+def coerced(value: Column, known: list[str], default: str = "unknown") -> Column:
+    return F.when(value.isin(*known), value).otherwise(default)
+
+
+def canonical_set(native: Column, table=NATIVE_LABELS, unknown: str = "unknown_review") -> Column:
+    """Sorted distinct canonical labels of an array of native ones; unknown ones are left out."""
+    found = F.transform(native, lambda x: lookup(x, table, "label", "strength")["label"])
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != unknown))))
+
+
+def map_value(table: Column, key: Column, default: Column) -> Column:
+    return F.coalesce(F.try_element_at(table, key), default)
+
+
+def zip_shortest(**arrays: Column) -> Column:
+    """Structs of the arrays' members by place, as many as the shortest has."""
+    n = F.least(*[F.size(a) for a in arrays.values()]) if len(arrays) > 1 else F.size(next(iter(arrays.values())))
+    return F.arrays_zip(*[F.slice(a, F.lit(1), n).alias(k) for k, a in arrays.items()])
+
+
+def utc_text(time: Column) -> Column:
+    """A time as ISO text in UTC to the second, with Z."""
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), time.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def compact_json(value: Column) -> Column:
+    """JSON without spaces; null fields are written."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded half to even on the number's shortest decimal text, as decimal arithmetic does."""
+    return F.bround(value.cast("string").cast(f"decimal(38,{min(digits + 12, 18)})"), digits).cast("double")
+
+
+def shard_split(source: Column) -> Column:
+    """The split that a shard's file name begins with, as in train-00001-of-00009."""
+    return F.regexp_extract(source, r"(?:^|/)([A-Za-z]+)[_-][^/]*$", 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..functions.labels import NATIVE_LABELS, join_labels, lookup
+from ..functions.labels import NATIVE_LABELS, join_labels, lookup, zip_shortest
 
 OVERLAID = ("canonical_label", "annotation_status", "reviewer_id", "review_notes")
 # The views of one master manifest and whether a view needs annotations.
@@ -68,3 +68,51 @@ def targets(annotations: Column, labels: list[str]) -> Column:
     known = F.filter(positive(annotations), lambda a: a["canonical_label"].isin(labels))
     corners = lambda b: F.array(b[0], b[1], b[0] + b[2], b[1] + b[3])
     return F.transform(known, lambda a: F.struct(a["canonical_label"].alias("label"), corners(a["box_xywh"]).alias("box_xyxy")))
+
+
+def indexed(rows: DataFrame, array: str, index: str = "annotation_index") -> DataFrame:
+    """One row a member of an array, with its place from 0; rows without members go."""
+    others = [c for c in rows.columns if c != array]
+    return rows.select(*others, F.posexplode(array).alias(index, array))
+
+
+def training_pairs(rows: DataFrame, annotations: str = "annotations") -> DataFrame:
+    """sample columns, annotation_index, box_xywh, polygon: positive annotations that have both a box and a polygon."""
+    each = indexed(rows, annotations).where(F.col(f"{annotations}.annotation_status") == "positive")
+    both = each.withColumns({"box_xywh": F.col(f"{annotations}.box_xywh"), "polygon": geometry.first_polygon(F.col(f"{annotations}.polygons"))}).drop(annotations)
+    return both.where("box_xywh is not null and polygon is not null")
+
+
+def status_rows(listing: DataFrame, constants: dict[str, object]) -> DataFrame:
+    """listing with the same values in every row."""
+    return listing.withColumns({k: F.lit(v) for k, v in constants.items()})
+
+
+def without_field(record: Column, *fields: str) -> Column:
+    """A struct without some fields, of binary data for one."""
+    return record.dropFields(*fields)
+
+
+def eligible(rows: DataFrame, eligibility: str = "eligibility", geometry_qc: str = "geometry_qc") -> DataFrame:
+    return rows.where((F.coalesce(F.col(eligibility), F.lit("")) != "") & (F.col(geometry_qc) == "passed"))
+
+
+def normalise_sources(**sources: DataFrame) -> DataFrame:
+    """One table of annotations of sources, each a table source(sample_id, payload) and of one payload form.
+
+    s2ds and uav: {"masks": [{"label", "pixels", "box"}]}; cif: {"objects": {"category": [], "bbox": []}}, zipped to the
+    shorter; voc: {"object": [{"name", "box"}]}. What a payload lacks is an empty list; broken payloads give no rows.
+    """
+    one = "label string, box_xywh array<double>"
+    forms = {
+        "cif": ("objects struct<category:array<string>,bbox:array<array<double>>>", lambda p: F.transform(zip_shortest(label=p["objects"]["category"], box_xywh=p["objects"]["bbox"]), lambda z: F.struct(z["label"].alias("label"), z["box_xywh"].alias("box_xywh")))),
+        "voc": ("object array<struct<name:string,box:array<double>>>", lambda p: F.transform(p["object"], lambda o: F.struct(o["name"].alias("label"), o["box"].alias("box_xywh")))),
+    }
+    masks = ("masks array<struct<label:string,pixels:bigint,box:array<double>>>", lambda p: F.transform(F.filter(p["masks"], lambda m: m["pixels"] > 0), lambda m: F.struct(m["label"].alias("label"), m["box"].alias("box_xywh"))))
+    out = None
+    for name, df in sources.items():
+        schema, each = forms.get(name, masks)
+        parsed = df.select(F.lit(name).alias("source"), "sample_id", F.from_json("payload", schema).alias("p"))
+        rows = parsed.select("source", "sample_id", F.posexplode(F.coalesce(each(F.col("p")), F.array().cast(f"array<struct<{one.replace(' ', ':').replace(',:', ',')}>>"))).alias("annotation_index", "a")).select("source", "sample_id", "annotation_index", "a.*")
+        out = rows if out is None else out.unionByName(rows)
+    return normalise(out, "label")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import held_out_path
+
 
 class ConstraintError(ValueError):
     """Rows that a constraint forbids were found."""
@@ -47,43 +49,112 @@ def require_none(found: DataFrame, show: int = 5) -> None:
         raise ConstraintError("; ".join(f"{r['rule']}: {r['key']}" for r in some))
 
 
-def _runs(words: Column, n: int) -> Column:
-    """Hashes of all runs of n words."""
-    many = F.greatest(F.size(words) - (n - 1), F.lit(0))
-    names = [f"w{i}" for i in range(n)]
-    zipped = F.arrays_zip(*[F.slice(words, i + 1, many).alias(x) for i, x in enumerate(names)])
-    return F.transform(zipped, lambda z: F.xxhash64(*[z[x] for x in names]))
+LOCKED_CHARS = 2_000_000
 
 
-def locked_texts(docs: DataFrame, locked: DataFrame, doc_id: str, text: str, locked_id: str, words: int = 8) -> DataFrame:
-    """doc_id, locked_id of documents that contain a locked text as it is.
+def locked_texts(docs: DataFrame, locked: DataFrame, doc_id: str, text: str, locked_id: str) -> DataFrame:
+    """doc_id, locked_id for each row of docs and locked text that it contains as it is, of any length, once a pair of rows.
 
-    Both are met on a run of words from inside the locked text (its first and last word may be parts of longer ones in
-    the document), of `words` words or of one where it is shorter; then the whole is compared. Locked texts of under
-    three words and documents without id are left out.
+    The locked texts are a stated set: they go out in blocks of LOCKED_CHARS characters, and each block is sought in one
+    pass over all documents by an automaton of all its texts. Null and empty locked texts are in no document; documents
+    and locked texts without an id are reported with null.
     """
-    split = lambda c: F.split(F.trim(c), r"\s+")
-    items = locked.select(F.col(locked_id).alias("locked_id"), F.col(text).alias("l_text"), split(F.col(text)).alias("w")).where("size(w) >= 3")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("d_text"))
-    found = []
-    for n, which in ((words, F.size("w") >= words + 2), (1, F.size("w") < words + 2)):
-        anchor = items.where(which).select("locked_id", F.xxhash64(*[F.get("w", F.lit(i + 1)) for i in range(n)]).alias("h"))
-        runs = texts.select("doc_id", F.explode(_runs(split(F.col("d_text")), n)).alias("h"))
-        found.append(runs.join(anchor, "h").select("doc_id", "locked_id"))
-    near = found[0].unionByName(found[1]).distinct()  # texts join again only here
-    both = near.join(texts, "doc_id").join(items.select("locked_id", "l_text"), "locked_id")
-    return both.where(F.contains("d_text", "l_text")).select("doc_id", "locked_id").distinct()
+    kind = f"`doc_id` {docs.schema[doc_id].dataType.simpleString()}, `locked_id` {locked.schema[locked_id].dataType.simpleString()}"
+    out = docs.sparkSession.createDataFrame([], kind)
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    block: dict[str, list] = {}
+    size = 0
+
+    def sought(block: dict[str, list]) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches):
+            import ahocorasick
+            import pyarrow as pa
+
+            find, ids = ahocorasick.Automaton(), held.value
+            for t in ids:
+                find.add_word(t, t)
+            find.make_automaton()
+            for b in batches:
+                rows = [(i, k) for i, t in enumerate(b.column(1).to_pylist()) if t for x in sorted({x for _, x in find.iter(t)}) for k in ids[x]]
+                at = pa.array([i for i, _ in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([k for _, k in rows], theirs)], names=["doc_id", "locked_id"])
+
+        return read.mapInArrow(run, kind)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    theirs = to_arrow_type(locked.schema[locked_id].dataType)
+    for r in locked.select(F.col(locked_id).alias("i"), F.col(text).alias("t")).where("t <> ''").toLocalIterator():
+        block.setdefault(r["t"], []).append(r["i"])
+        size += len(r["t"])
+        if size >= LOCKED_CHARS:
+            out, block, size = out.unionByName(sought(block)), {}, 0
+    return out.unionByName(sought(block)) if block else out
 
 
 def finding_errors(findings: DataFrame) -> DataFrame:
-    """Violations of flat findings: families, scores, boxes, and measurements that need a calibration."""
+    """Violations of flat findings: families, scores, boxes, states, and, where there is such a column, physical
+    measurements that need a calibration."""
+    physical = {"physical": physical_rule(F.col("measurement_kind"), F.col("calibration_status"), F.col("calibration_method"))} if "measurement_kind" in findings.columns else {}
     return violations(
         findings,
         "finding_id",
-        {
+        physical
+        | {
             "family": F.col("defect_family").isNotNull(),
             "confidence": F.col("confidence").between(0, 1),
             "box": (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("width") > 0) & (F.col("height") > 0),
             "state": F.col("review_state").isin("pending", "approved", "rejected", "relabelled"),
         },
     )
+
+
+def held_out(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """Violations: rows whose path lies in a test folder."""
+    return rows.where(held_out_path(F.col(path))).select(F.lit("held_out_path").alias("rule"), F.col(key).cast("string").alias("key"))
+
+
+def physical_rule(measured: Column, status: Column, method: Column) -> Column:
+    """Holds unless a measurement is physical without a valid calibration and a method; for `violations`."""
+    return (F.coalesce(measured, F.lit("")) != "physical") | (F.coalesce(status == "valid", F.lit(False)) & (F.coalesce(method, F.lit("")) != ""))
+
+
+# The first bytes of the image formats that an annotation may have.
+SIGNATURES = {".png": "89504E470D0A1A0A", ".jpg": "FFD8FF", ".jpeg": "FFD8FF", ".bmp": "424D", ".tif": "49492A00"}
+
+
+def format_error(path: Column, content: Column) -> Column:
+    """Why an annotation file is refused, null if it is not: its ending is not known, its JSON does not parse, or its first
+    bytes are of no such image."""
+    ending = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+    json = F.try_parse_json(content.cast("string"))
+    head = F.hex(F.substring(content.cast("binary"), 1, 8))
+    wrong = F.lit(False)
+    for e, signature in SIGNATURES.items():
+        wrong = wrong | ((ending == e) & ~head.startswith(signature))
+    return F.when(~ending.isin(".json", *SIGNATURES), "unsupported_format").when((ending == ".json") & json.isNull(), "broken_json").when(wrong, "broken_image")
+
+
+def first_errors(found: DataFrame, by: str = "rule", show: int = 5) -> DataFrame:
+    """by, n, errors: how many violations, and the first few keys in order."""
+    return found.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("key")), 1, show).alias("errors"))
+
+
+def ledger_errors(decisions: DataFrame, labels: list[str], states: list[str]) -> DataFrame:
+    """Violations of reviewers' decisions(sample_id, canonical_label, annotation_status): one known label, a known state."""
+    one = F.coalesce(F.col("canonical_label").isin(*labels), F.lit(False))
+    return violations(decisions, "sample_id", {"single_label": ~F.coalesce(F.col("canonical_label").rlike(r"[|;]"), F.lit(False)), "label": one, "state": F.col("annotation_status").isin(*states)})
+
+
+def changed_files(manifest: DataFrame, files: DataFrame, path: str, content: str) -> DataFrame:
+    """path, problem (missing or mismatch) of manifest(path, sha256) against files as they are now: before they are used."""
+    now = files.select(F.col(path).alias("path"), F.sha2(F.col(content).cast("binary"), 256).alias("_now"))
+    problem = F.when(F.col("_now").isNull(), "missing").when(F.lower("sha256") != F.col("_now"), "mismatch")
+    return manifest.join(now, "path", "left").select("path", problem.alias("problem")).where("problem is not null")
+
+
+def subset(a: DataFrame, b: DataFrame, key: str, rule: str = "subset") -> DataFrame:
+    """Keys of a that b lacks."""
+    return missing_keys(a, b, key, rule)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil, comb
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stash
+from .sampling import ordinals
+from .skew import join_often
+
 
 def split_order(split: Column, order: tuple[str, ...] = ("test", "val", "train")) -> Column:
     """Rank of a split when one row of a group is to be kept; unknown ones last."""
@@ -18,11 +24,12 @@ def split_order(split: Column, order: tuple[str, ...] = ("test", "val", "train")
 def exact_keeper(rows: DataFrame, key: str, split: str, record: str, order: tuple[str, ...] = ("test", "val", "train")) -> DataFrame:
     """rows with group_size, keeper_id, keeper_split, selected and reason: one row of each group of equal key is kept.
 
-    The keeper has the first split in order, of those the least record id. A first pass aggregates (size and keeper by
-    key, combined before the shuffle), so that a hot key is not sorted in one task.
+    The keeper has the first split in order, of those the least record id. A null key is a group too. A first pass
+    aggregates (size and keeper by key, combined before the shuffle) and keeps the groups; the rows of hot groups meet
+    their keeper by broadcast, so that neither pass brings a hot key's rows together.
     """
     best = F.struct(split_order(F.col(split), order).alias("p"), F.col(record).alias("id"), F.col(split).alias("split"))
-    groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("_best"))
+    groups = stash(rows.groupBy(key).agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("_best")), "groups")
     kept = F.col(record) == F.col("_best.id")
     reason = (
         F.when(kept & (F.col("group_size") == 1), "unique")
@@ -31,7 +38,7 @@ def exact_keeper(rows: DataFrame, key: str, split: str, record: str, order: tupl
         .otherwise("excluded_duplicate_across_splits")
     )
     return (
-        rows.join(groups, key)
+        join_often(rows, groups, [key], "group_size")
         .withColumns({"keeper_id": F.col("_best.id"), "keeper_split": F.col("_best.split"), "selected": kept, "reason": reason})
         .drop("_best")
     )
@@ -59,23 +66,43 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
+def banding(codes: int, radius: int, bits: int) -> tuple[int, int]:
+    """(bands, flips) of least work by estimate: two codes within radius agree on one of the bands but for `flips` bits,
+    bands * (flips + 1) > radius. A code is looked up by all values within flips of its band's."""
+
+    def work(bands: int, flips: int) -> float:
+        width = bits / bands
+        probes = sum(comb(ceil(width), i) for i in range(flips + 1))
+        return bands * probes * (codes * 4 + codes * codes / 2 / 2**width)
+
+    options = [(m, radius // m) for m in range(1, radius + 2) if sum(comb(ceil(bits / m), i) for i in range(radius // m + 1)) <= 4096]
+    return min(options, key=lambda o: work(*o))
+
+
 def hamming_pairs(rows: DataFrame, record: str, code: str, radius: int, bits: int = 63) -> DataFrame:
     """left_id, right_id, distance of all pairs within radius, left_id < right_id.
 
-    Codes within radius agree on one of radius + 1 bands of bits; pairs come from equal bands and are then checked. Equal
-    codes are paired as one code: bands join distinct codes, and only then are the rows of each code put back.
+    Codes within radius agree on one of some bands of bits but for a few flips (see `banding`); a pair comes from the first
+    such band and is then checked. Equal codes are paired as one code: bands join distinct codes, and only then are the
+    rows of each code put back.
     """
-    n = radius + 1
+    codes = stash(rows.select(F.col(code).alias("c")).where("c is not null").distinct(), "codes")
+    n, flips = banding(max(codes.count(), 1), radius, bits)
     cuts = [round(i * bits / n) for i in range(n + 1)]
-    codes = rows.select(F.col(code).alias("c")).where("c is not null").distinct()
-    bands = codes.select("c", F.posexplode(F.array(*[F.shiftrightunsigned("c", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(n)])).alias("band", "part"))
+    part = lambda c, i: F.shiftrightunsigned(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
+    masks = lambda i: [sum(1 << b for b in some) for k in range(flips + 1) for some in combinations(range(cuts[i + 1] - cuts[i]), k)]
+    bands = codes.select("c", F.posexplode(F.array(*[part("c", i) for i in range(n)])).alias("band", "part"))
+    flipped = lambda own, i: F.transform(F.from_json(F.lit(str(masks(i))), "array<bigint>"), lambda m: own.bitwiseXOR(m))
+    near_by = F.array(*[flipped(part("c", i), i) for i in range(n)])
+    probes = codes.select("c", F.posexplode(near_by).alias("band", "parts")).select("c", "band", F.explode("parts").alias("part")) if flips else bands
+    apart = F.array(*[F.bit_count(part(F.col("x.c").bitwiseXOR(F.col("y.c")), i)) for i in range(n)])
     near = (
         bands.alias("x")
-        .join(bands.alias("y"), ["band", "part"])
+        .join(probes.alias("y"), ["band", "part"])
         .where("x.c < y.c")
+        .where(hamming(F.col("x.c"), F.col("y.c")) <= radius)
+        .where(F.array_position(F.transform(apart, lambda d: (d <= flips).cast("int")), 1) == F.col("band") + 1)
         .select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-        .where(hamming(F.col("a"), F.col("b")) <= radius)
-        .distinct()
         .unionByName(codes.select(F.col("c").alias("a"), F.col("c").alias("b")))
     )
     left = rows.select(F.col(record).alias("i"), F.col(code).alias("a"))
@@ -84,6 +111,12 @@ def hamming_pairs(rows: DataFrame, record: str, code: str, radius: int, bits: in
     return both.select(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id"), hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
+def ranked_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs(left_id, right_id, distance, cross_split, exact) with pair_rank: across splits first, then equal bytes, then by
+    distance and ids."""
+    return ordinals(pairs, [F.desc("cross_split"), F.desc("exact"), F.col("distance"), F.col("left_id"), F.col("right_id")], "pair_rank")
+
+
 def array_likeness(a: Column, b: Column) -> Column:
     """struct(correlation, mae, rmse) of two arrays of doubles; without variance the correlation is 1 if equal else 0."""
     n = F.size(a).cast("double")
@@ -103,15 +136,19 @@ def review_queue(pairs: DataFrame, rows: DataFrame, record: str, split: str, vec
     like = both.withColumn("k", array_likeness(F.col("left_v"), F.col("right_v"))).select(
         "left_id", "right_id", "left_split", "right_split", "distance", F.round("k.correlation", 6).alias("correlation"), F.round("k.mae", 6).alias("mae"), F.round("k.rmse", 6).alias("rmse")
     )
-    order = W.orderBy("distance", F.desc("correlation"), "mae", "left_id", "right_id")  # the queue is for people to read
-    return like.withColumn("review_rank", F.row_number().over(order))
+    order = [F.col("distance"), F.desc("correlation"), F.col("mae"), F.col("left_id"), F.col("right_id")]
+    return ordinals(like, order, "review_rank").withColumn("review_rank", F.col("review_rank").cast("int"))
+
+
+# Least correlation, and greatest mean error of a duplicate and of a near duplicate, for a first decision.
+ALIKE, SAME, CLOSE = 0.90, 0.05, 0.08
 
 
 def prefill(distance: Column, correlation: Column, mae: Column, near: int = 2) -> Column:
     """A first decision for reviewers from three measures."""
     return (
-        F.when((distance == 0) & (correlation >= 0.90) & (mae <= 0.05), "same_duplicate")
-        .when((distance <= near) & (correlation >= 0.90) & (mae <= 0.08), "same_parent_near_duplicate")
+        F.when((distance == 0) & (correlation >= ALIKE) & (mae <= SAME), "same_duplicate")
+        .when((distance <= near) & (correlation >= ALIKE) & (mae <= CLOSE), "same_parent_near_duplicate")
         .otherwise("uncertain")
     )
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry
+from .skew import running_sums
+
 
 def _rates(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     p = tp / F.greatest(F.lit(1.0), tp + fp)
@@ -27,11 +28,11 @@ def binary_metrics(rows: DataFrame, target: str, score: str, threshold: str | Co
 
 
 def average_precision(rows: DataFrame, target: str, score: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
-    """average_precision and positives for each of by: mean precision at the positives by falling score, ties by `tie`."""
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(score), tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-    at = rows.withColumn("_p", F.sum(F.col(target)).over(w) / F.count(F.lit(1)).over(w))
+    """average_precision and positives for each of by: mean precision at the positives by falling score, ties by `tie`.
+    A label of any size: its rows are ranked by ranges of the score."""
+    at = running_sums(rows.select(*by, target, score, tie), by, [F.desc(score), F.col(tie)], {"_t": F.col(target).cast("bigint"), "_n": F.lit(1).cast("bigint")})
     n = F.sum(target)
-    return at.groupBy(*by).agg(F.when(n > 0, F.sum(F.col("_p") * F.col(target)) / n).otherwise(0.0).alias("average_precision"), n.alias("positives"))
+    return at.groupBy(*by).agg(F.when(n > 0, F.sum(F.col("_t") / F.col("_n") * F.col(target)) / n).otherwise(0.0).alias("average_precision"), n.alias("positives"))
 
 
 def threshold_sweep(rows: DataFrame, target: str, score: str, grid: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -66,94 +67,39 @@ def operating_point(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.max_by(F.struct(*metrics.columns), F.struct("f1", "recall", -F.col("confidence"))).alias("b")).select("b.*")
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
-    """From a stream sorted by keys: frames that hold whole groups only, and where groups begin, with the end."""
-    held: list[pd.DataFrame] = []
-
-    def out() -> tuple[pd.DataFrame, list[int]]:
-        pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
-        same = np.ones(len(pdf), bool)
-        for k in keys:
-            v = pdf[k].to_numpy()
-            same[1:] &= (v[1:] == v[:-1]) | (pd.isna(v[1:]) & pd.isna(v[:-1]))
-        same[0] = False
-        return pdf, [*np.flatnonzero(~same).tolist(), len(pdf)]
-
-    for b in batches:
-        if len(b):
-            held.append(b)
-            pdf, cuts = out()
-            if len(cuts) > 2:
-                yield pdf.iloc[: cuts[-2]], cuts[:-1]
-            held = [pdf.iloc[cuts[-2] :]]
-    if held:
-        yield out()
-
-
-def _overlap(a: tuple, b: tuple) -> float:
-    """Intersection over union of x1, y1, x2, y2."""
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    union = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]) + max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) - w * h
-    return w * h / union if union > 0 else 0.0
-
-
 def suppress(boxes: DataFrame, image: str, label: str, box: Sequence[str], score: str, tie: Sequence[str], threshold: float = 0.85) -> DataFrame:
     """Greedy suppression in each image: by falling score (ties by `tie`), a box goes if one kept of its label overlaps by
-    threshold or more. Whole rows of boxes come back.
-
-    The order makes an image and label a sequence; rows come sorted, and a task goes through its groups in one pass.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, cuts in _whole_groups(batches, [image, label]):
-            rows, live = list(pdf[list(box)].itertuples(index=False, name=None)), np.ones(len(pdf), bool)
-            for a, b in zip(cuts, cuts[1:]):
-                kept: list[tuple] = []
-                for i in range(a, b):
-                    if any(_overlap(k, rows[i]) >= threshold for k in kept):
-                        live[i] = False
-                    else:
-                        kept.append(rows[i])
-            yield pdf[live]
-
-    return boxes.repartition(F.col(image), F.col(label)).sortWithinPartitions(image, label, F.desc(score), *tie).mapInPandas(run, boxes.schema)
+    threshold or more. Whole rows of boxes come back. The order makes an image and label a sequence: one fold over it."""
+    corners = F.array(*[F.col(c).cast("double") for c in box])
+    each = F.struct((-F.col(score)).alias("_s"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)], corners.alias("_b"), F.struct(*boxes.columns).alias("_r"))
+    packed = boxes.groupBy(F.col(image).alias("_image"), F.col(label).alias("_label")).agg(F.array_sort(F.collect_list(each)).alias("_l"))
+    step = lambda kept, x: F.when(F.exists(kept, lambda k: geometry.iou(k["_b"], x["_b"]) >= threshold), kept).otherwise(F.concat(kept, F.array(x)))
+    return packed.select(F.explode(F.aggregate("_l", F.slice("_l", 1, 0), step)).alias("k")).select("k._r.*")
 
 
 def greedy_match(predicted: DataFrame, true: DataFrame, image: str, label: str, box: Sequence[str], order: str, threshold: float = 0.5, tie: str = "lowest") -> DataFrame:
     """image, label, tp, fp, fn, support, iou_sum: each prediction in order takes the free true box of its label that
-    overlaps most, if by threshold; of equals the lowest or the highest in order."""
-    cols = [image, label, order, *box]
-    both = predicted.select(*cols, F.lit(1).alias("_side")).unionByName(true.select(*cols, F.lit(0).alias("_side")))
-    kinds = dict(both.dtypes)
-
-    def match(p: list[tuple], t: list[tuple]) -> tuple[int, float]:
-        free, tp, total = list(range(len(t))), 0, 0.0
-        for a in p:
-            best, at = 0.0, -1
-            for j in free:
-                v = _overlap(a, t[j])
-                if v > best or (tie == "highest" and v == best and v > 0):
-                    best, at = v, j
-            if at >= 0 and best >= threshold:
-                free.remove(at)
-                tp, total = tp + 1, total + best
-        return tp, total
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, cuts in _whole_groups(batches, [image, label]):
-            rows, side = list(pdf[list(box)].itertuples(index=False, name=None)), pdf["_side"].to_numpy()
-            out = []
-            for a, b in zip(cuts, cuts[1:]):
-                n = int((side[a:b] == 0).sum())  # true boxes come first
-                tp, total = match(rows[a + n : b], rows[a : a + n])
-                out.append((tp, b - a - n - tp, n - tp, n, total))
-            head = pdf.iloc[cuts[:-1]][[image, label]].reset_index(drop=True)
-            yield pd.concat([head, pd.DataFrame(out, columns=["tp", "fp", "fn", "support", "iou_sum"])], axis=1)
-
-    schema = f"{image} {kinds[image]}, {label} {kinds[label]}, tp bigint, fp bigint, fn bigint, support bigint, iou_sum double"
-    return both.repartition(F.col(image), F.col(label)).sortWithinPartitions(image, label, "_side", order).mapInPandas(run, schema)
+    overlaps most, if by threshold; of equals the lowest or the highest in order. One fold over an image's predictions."""
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        each = F.struct(F.col(order).alias("o"), F.array(*[F.col(c).cast("double") for c in box]).alias("b"))
+        return rows.groupBy(image, label).agg(F.array_sort(F.collect_list(each)).alias(name))
+
+    both = side(predicted, "_p").join(side(true, "_t"), [image, label], "full_outer")
+    kind = both.schema["_p"].dataType.simpleString()
+    none = F.array().cast(kind)
+    both = both.withColumns({"_p": F.coalesce("_p", none), "_t": F.coalesce("_t", none)})
+
+    def step(acc: Column, p: Column) -> Column:
+        first = (lambda i: -i) if tie == "lowest" else (lambda i: i)
+        best = F.array_max(F.transform(acc["free"], lambda t, i: F.struct(geometry.iou(p["b"], t["b"]).alias("v"), first(i).alias("i"), t["o"].alias("o"))))
+        hit = F.coalesce((best["v"] >= threshold) & (best["v"] > 0), F.lit(False))
+        free = F.when(hit, F.filter(acc["free"], lambda t: t["o"] != best["o"])).otherwise(acc["free"])
+        return F.struct(free.alias("free"), (acc["tp"] + hit.cast("bigint")).alias("tp"), (acc["total"] + F.when(hit, best["v"]).otherwise(0.0)).alias("total"))
+
+    start = F.struct(F.col("_t").alias("free"), F.lit(0).cast("bigint").alias("tp"), F.lit(0.0).alias("total"))
+    done = both.select(image, label, F.size("_p").cast("bigint").alias("_n"), F.size("_t").cast("bigint").alias("support"), F.aggregate("_p", start, step).alias("m"))
+    return done.select(image, label, F.col("m.tp").alias("tp"), (F.col("_n") - F.col("m.tp")).alias("fp"), (F.col("support") - F.col("m.tp")).alias("fn"), "support", F.col("m.total").alias("iou_sum"))
 
 
 def mask_metrics(pixels: DataFrame, p: str, t: str, by: Sequence[str] = ()) -> DataFrame:

@@ -39,9 +39,10 @@ def review_state(findings: DataFrame, events: DataFrame, key: str, order: list[s
 
 
 def build_findings(detections: DataFrame, sample: str, label: str, box: str, score: str, measured: Column) -> DataFrame:
-    """Nested findings from detections(sample, label, box x y w h, score): id, prediction and an empty review."""
+    """Nested findings from detections(sample, label, box x y w h, score): id, prediction and an empty review. The id is a
+    name-based UUID of the compact JSON of those four."""
     return detections.select(
-        F.sha2(F.concat_ws("|", F.col(sample).cast("string"), F.col(label), F.array_join(F.col(box).cast("array<string>"), ","), F.col(score).cast("string")), 256).alias("finding_id"),
+        uuid5(F.to_json(F.struct(F.col(sample).cast("string").alias("sample_id"), F.col(label).alias("label"), F.col(box).alias("box"), F.col(score).alias("score")), {"ignoreNullFields": "false"})).alias("finding_id"),
         F.col(sample).alias("sample_id"),
         F.struct(F.col(label).alias("defect_family"), F.col(score).alias("confidence"), F.struct(F.col(box).alias("box_xywh")).alias("geometry"), measured.alias("measurement"), F.lit(True).alias("immutable")).alias("prediction"),
         F.struct(F.lit("pending").alias("state"), F.lit(None).cast("string").alias("label")).alias("review"),
@@ -84,3 +85,52 @@ def merge_partial(old: DataFrame, new: DataFrame, key: str, allowed: list[str])
     """old with the non-null values of new in allowed columns; other columns of new are ignored."""
     part = new.select(key, *[F.col(c).alias(f"_n_{c}") for c in allowed])
     return old.join(part, key, "left").withColumns({c: F.coalesce(f"_n_{c}", c) for c in allowed}).drop(*[f"_n_{c}" for c in allowed])
+
+
+def processing_status(attempts: DataFrame, key: str, order: list[str], outcome: str = "outcome") -> DataFrame:
+    """key, status (completed, failed or processing) and attempts of the last attempt of each key by order."""
+    last = attempts.groupBy(key).agg(F.max_by(F.col(outcome), F.struct(*order)).alias("_o"), F.count(F.lit(1)).alias("attempts"))
+    return last.select(key, F.when(F.col("_o") == "ok", "completed").when(F.col("_o") == "error", "failed").otherwise("processing").alias("status"), "attempts")
+
+
+def pending(rows: DataFrame, done: DataFrame, key: str, resume: bool = True) -> DataFrame:
+    """rows whose key has no result yet; all of them without resume."""
+    return rows.join(done.select(key), key, "left_anti") if resume else rows
+
+
+def recovered(stored: DataFrame, text: str, schema: str, key: str) -> DataFrame:
+    """Stored JSON records by their fields; corrupt ones, and ones without the key, are left out."""
+    return stored.select(F.from_json(text, schema).alias("r")).select("r.*").where(F.col(key).isNotNull())
+
+
+def ready(**there: DataFrame) -> DataFrame:
+    """One row: for each table whether it has a row, and ready, whether all have."""
+    out = None
+    for name, df in there.items():
+        one = df.select(F.lit(1).alias("x")).limit(1).agg((F.count("x") > 0).alias(name))
+        out = one if out is None else out.crossJoin(F.broadcast(one))  # one row each
+    all_of = F.lit(True)
+    for name in there:
+        all_of = all_of & F.col(name)
+    return out.withColumn("ready", all_of)
+
+
+def throughput(runs: DataFrame, by: str, seconds: str, matched: str) -> DataFrame:
+    """For each of by: images, images a second, mean seconds, and the mean of the matched overlaps that are not null."""
+    total = F.sum(seconds)
+    return runs.groupBy(by).agg(F.count(F.lit(1)).alias("images"), F.when(total > 0, F.count(F.lit(1)) / total).alias("per_second"), F.avg(seconds).alias("mean_seconds"), F.avg(matched).alias("mean_iou"))
+
+
+def asset_inventory(assets: DataFrame, model: str, path: str, content: str, wanted: DataFrame) -> DataFrame:
+    """model, files, bytes, ready: of files by model against wanted(model, path, sha256); ready if every wanted file is
+    there with its digest."""
+    have = assets.select(F.col(model).alias("model"), F.col(path).alias("path"), F.sha2(F.col(content).cast("binary"), 256).alias("_have"), F.octet_length(F.col(content).cast("binary")).alias("_size"))
+    both = wanted.join(have, ["model", "path"], "full_outer")
+    good = F.col("sha256").isNull() | F.coalesce(F.col("sha256") == F.col("_have"), F.lit(False))
+    return both.groupBy("model").agg(F.count("_have").alias("files"), F.coalesce(F.sum("_size"), F.lit(0)).alias("bytes"), (F.bool_and(good) & (F.count("sha256") > 0)).alias("ready"))
+
+
+def smoke_summary(records: DataFrame, text: str) -> DataFrame:
+    """model, runs, passed, mean_seconds, samples of JSON records {model, sample, ok, seconds}."""
+    r = records.select(F.from_json(text, "model string, sample string, ok boolean, seconds double").alias("r")).select("r.*").where("model is not null")
+    return r.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.bool_and("ok"), F.lit(False)).alias("passed"), F.avg("seconds").alias("mean_seconds"), F.array_join(F.array_sort(F.collect_set("sample")), "|").alias("samples"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import seeded_rank
+from ..sources.sinks import stash
+from .checks import ConstraintError
 
 
 def quota_select(rows: DataFrame, key: str, group: str, label: str, quotas: Sequence[tuple[str, int]], total: int, seed: str) -> DataFrame:
@@ -36,19 +38,11 @@ def quota_select(rows: DataFrame, key: str, group: str, label: str, quotas: Sequ
     return chosen.drop("_rank")
 
 
-def group_safe_split(rows: DataFrame, group: str, fraction: float, seed: str) -> DataFrame:
-    """group, n, split: groups in hash order go to validation until it has its fraction of rows, and then to train."""
-    by = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    every = W.partitionBy(F.lit(0))
-    order = every.orderBy(seeded_rank(F.col(group), seed), group).rowsBetween(W.unboundedPreceding, -1)
-    before, total = F.coalesce(F.sum("n").over(order), F.lit(0)), F.sum("n").over(every)
-    val = before < F.greatest(F.lit(1), F.round(total * fraction))
-    return by.select(group, "n", F.when(val, "validation").otherwise("train").alias("split"))
-
-
 def group_safe_split_large(rows: DataFrame, group: str, fraction: float, seed: str, bins: int = 4096) -> DataFrame:
-    """The same for any number of groups: hash ranks are binned, whole bins go to either side, and only the bin in which
-    validation fills up is ordered."""
+    """group, n, split: groups in hash order go to validation until it has its fraction of rows, and then to train.
+
+    Hash ranks are binned, whole bins go to either side, and only the bin in which validation fills up is ordered.
+    """
     by = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_rank", seeded_rank(F.col(group), seed))
     by = by.withColumn("_bin", F.conv(F.substring("_rank", 1, 3), 16, 10).cast("int") % bins)
     size = by.groupBy("_bin").agg(F.sum("n").alias("words"))  # at most `bins` rows
@@ -60,19 +54,66 @@ def group_safe_split_large(rows: DataFrame, group: str, fraction: float, seed: s
     return by.join(F.broadcast(place), "_bin").select(group, "n", F.when(before < F.col("_want"), "validation").otherwise("train").alias("split"))
 
 
+def ordinals(rows: DataFrame, order: Sequence[str | Column], name: str = "ordinal") -> DataFrame:
+    """rows with their place from 1 by an order without ties. No task sees all rows: ranges of the order are numbered each
+    and kept, and what the ranges before hold, one number a range, is added."""
+    part, place = "_part", "_place"
+    ranged = rows.repartitionByRange(*[c if isinstance(c, Column) else F.col(c) for c in order]).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    kept = stash(ranged.withColumns({part: F.shiftright(at, 33), place: at.bitwiseAND(F.lit((1 << 33) - 1))}), "ordinals")
+    sizes = kept.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(part, before.alias("_before"))
+    return kept.join(F.broadcast(starts), part).withColumn(name, F.col("_before") + F.col(place) + 1).drop(part, place, "_before")
+
+
 def prefix_split(rows: DataFrame, order: Sequence[str], fraction: float) -> DataFrame:
     """rows with ordinal (from 1) and split: the first fraction by order is train."""
-    every = W.partitionBy(F.lit(0))
-    n = F.row_number().over(every.orderBy(*order))
-    return rows.withColumn("ordinal", n).withColumn("split", F.when(F.col("ordinal") <= F.floor(F.count(F.lit(1)).over(every) * fraction), "train").otherwise("validation"))
+    placed = ordinals(rows, order)
+    many = F.broadcast(placed.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    return placed.crossJoin(many).withColumn("split", F.when(F.col("ordinal") <= F.floor(F.col("_n") * fraction), "train").otherwise("validation")).drop("_n")
+
+
+def _at_places(rows: DataFrame, order: Sequence[str], places) -> DataFrame:
+    """rows with ordinal from 0, at places(N), an array of a few."""
+    placed = ordinals(rows, order).withColumn("ordinal", F.col("ordinal") - 1)
+    wanted = placed.agg(F.count(F.lit(1)).alias("_n")).select(F.explode(F.array_distinct(places(F.col("_n")))).alias("ordinal"))
+    return placed.join(F.broadcast(wanted), "ordinal")  # as many as places
 
 
 def evenly_spaced(rows: DataFrame, order: Sequence[str], count: int) -> DataFrame:
     """The rows at places round(i (N - 1) / (count - 1)), i from 0, half to even, with their ordinal from 0."""
-    every = W.partitionBy(F.lit(0))
-    n = rows.withColumn("ordinal", F.row_number().over(every.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(every))
-    at = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (count - 1), 0).cast("int"))
-    return n.where(F.array_contains(at, F.col("ordinal"))).drop("_n")
+    return _at_places(rows, order, lambda n: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (n - 1) / (count - 1), 0).cast("bigint")))
+
+
+def probe(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The first, the middle and the last row by order, with their ordinal from 0; a row that is several comes once."""
+    return _at_places(rows, order, lambda n: F.filter(F.array(F.lit(0).cast("bigint"), F.floor(n / 2), n - 1), lambda i: (i >= 0) & (i < n)))
+
+
+def head(rows: DataFrame, order: Sequence[str], n: int, where: Column | None = None) -> DataFrame:
+    """The first n rows by order, of those that fit: a top-k, no full sort."""
+    return (rows if where is None else rows.where(where)).orderBy(*order).limit(n)
+
+
+def by_ids(rows: DataFrame, key: str, ids: Sequence, limit: int | None = None) -> DataFrame:
+    """Rows of an explicit list of ids, in the list's order with their `place` in it, the first `limit` if given; an id that
+    no row has raises."""
+    kind = rows.schema[key].dataType.simpleString()
+    wanted = rows.sparkSession.createDataFrame([(i, n) for n, i in enumerate(dict.fromkeys(ids))], f"`{key}` {kind}, place int")
+    unknown = sorted(r[0] for r in wanted.join(rows.select(key), key, "left_anti").select(key).collect())  # of the list
+    if unknown:
+        raise ConstraintError(f"unknown ids: {unknown[:5]}")
+    found = rows.join(F.broadcast(wanted), key)  # the caller's list
+    return found if limit is None else found.where(F.col("place") < limit)
+
+
+def relabel(split: Column, names: Mapping[str, str]) -> Column:
+    """A split's other name, where it has one."""
+    out = split
+    for old, new in names.items():
+        out = F.when(split == old, new).otherwise(out)
+    return out
 
 
 def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:

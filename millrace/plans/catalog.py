@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, labels
 from ..operators import annotations, checks, dedup, evaluation, findings, registry, sampling
-from ..sources import files, sinks
+from ..sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,10 +135,11 @@ def registry_pairing(spark, d):
     return registry.pair(t(spark, d, "documents"), t(spark, d, "labels"), "doc_id")
 
 
-@query("""SELECT source, count(*) AS n_left, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unpaired, sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) = 0 AS paired
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source""")
+@query("""WITH d AS (SELECT doc_id, source FROM documents WHERE doc_id % 17 <> 3), j AS (SELECT d.source, d.doc_id AS l, x.doc_id AS r FROM d FULL OUTER JOIN labels x ON d.doc_id = x.doc_id),
+g AS (SELECT source, count(l) AS n_left, CAST(sum(CASE WHEN l IS NOT NULL AND r IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unpaired, CAST(sum(CASE WHEN l IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_right_only FROM j GROUP BY source)
+SELECT *, n_unpaired = 0 AND n_right_only = 0 AND n_left = CASE source WHEN 'src0' THEN 5 ELSE -1 END AS paired FROM g""")
 def pairing_report(spark, d):
-    return registry.pairing_report(t(spark, d, "documents"), t(spark, d, "labels"), "doc_id", "source")
+    return registry.pairing_report(t(spark, d, "documents").where("doc_id % 17 <> 3"), t(spark, d, "labels"), "doc_id", "source", {"src0": 5})
 
 
 @query("""SELECT l_returnflag, CASE WHEN p.p_type IS NULL THEN 'unknown_' || CAST(l_partkey AS VARCHAR) ELSE p.p_type END AS label, count(*) AS instances, count(DISTINCT l_orderkey) AS images
@@ -257,18 +258,18 @@ def group_safe_split(spark, d):
 @query("""SELECT o_orderkey, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN ordinal <= floor(n * 0.8) THEN 'train' ELSE 'validation' END AS split
 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS ordinal, count(*) OVER () AS n FROM orders)""")
 def row_prefix_split(spark, d):
-    return sampling.prefix_split(t(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 0.8).select("o_orderkey", "ordinal", "split")
+    return sampling.prefix_split(t(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 0.8).select("o_orderkey", F.col("ordinal").cast("int").alias("ordinal"), "split")
 
 
 @query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal, count(*) OVER () AS n FROM orders), i AS (SELECT unnest(range(12)) AS i)
 SELECT DISTINCT o_orderkey, CAST(ordinal AS INTEGER) AS ordinal FROM o, i WHERE ordinal = CAST(round_even(i * (n - 1) / 11, 0) AS BIGINT)""")
 def evenly_spaced_sample(spark, d):
-    return sampling.evenly_spaced(t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 12)
+    return sampling.evenly_spaced(t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 12).withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
-@query("""SELECT doc_id, source || '_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR), 4, '0') AS sample_id FROM documents WHERE n_chars < 200""")
+@query("""SELECT doc_id, source || '_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR), 4, '0') AS sample_id FROM documents""")
 def numbered_samples(spark, d):
-    return sampling.numbered(t(spark, d, "documents").where("n_chars < 200").select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", "sample_id")
+    return sampling.numbered(t(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", "sample_id")
 
 
 # --- text and labels ----------------------------------------------------------------------------------------------
@@ -395,11 +396,21 @@ def nms_dedupe(spark, d):
     return evaluation.suppress(boxes(spark, d), "l_orderkey", "l_returnflag", ["x1", "y1", "x2", "y2"], "score", KEY[1:], 0.3).select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey")
 
 
-@query(None)
+OVERLAP = "greatest(0.0::DOUBLE, least(t.x2, p.x2) - greatest(t.x1, p.x1)) * greatest(0.0::DOUBLE, least(t.y2, p.y2) - greatest(t.y1, p.y1))"
+AREAS = "((t.x2 - t.x1) * (t.y2 - t.y1) + (p.x2 - p.x1) * (p.y2 - p.y1))"
+
+
+@query(f"""WITH {BOX_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS n FROM b),
+g AS (SELECT l_orderkey, l_returnflag, coalesce(list({{'o': n, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY n) FILTER (WHERE l_linenumber % 2 = 0), []) AS ps, coalesce(list({{'o': n, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY n) FILTER (WHERE l_linenumber % 2 = 1), []) AS ts FROM n GROUP BY 1, 2),
+f AS (SELECT l_orderkey, l_returnflag, len(ps) AS np, len(ts) AS nt, list_reduce(list_prepend({{'ts': ts, 'p': NULL, 'tp': 0::BIGINT, 's': 0.0::DOUBLE}}, list_transform(ps, lambda p: {{'ts': ts, 'p': p, 'tp': 0::BIGINT, 's': 0.0::DOUBLE}})), lambda a, x:
+list_transform([list_sort(list_transform(list_filter(a.ts, lambda t: true), lambda t: {{'v': list_transform([x.p], lambda p: {OVERLAP} / ({AREAS} - {OVERLAP}))[1], 'i': -t.o, 'o': t.o}}), 'DESC')[1]], lambda m:
+CASE WHEN m.v >= 0.3 THEN {{'ts': list_filter(a.ts, lambda t: t.o <> m.o), 'p': x.p, 'tp': a.tp + 1, 's': a.s + m.v}} ELSE {{'ts': a.ts, 'p': x.p, 'tp': a.tp, 's': a.s}} END)[1]) AS r FROM g)
+SELECT l_orderkey, l_returnflag, r.tp AS tp, np - r.tp AS fp, nt - r.tp AS fn, CAST(nt AS BIGINT) AS support, round(r.s, 9) AS iou_sum FROM f""")
 def greedy_match(spark, d):
     b = boxes(spark, d).withColumn("n", F.row_number().over(_by_order()))
     predicted, true = b.where("l_linenumber % 2 = 0"), b.where("l_linenumber % 2 = 1")
-    return evaluation.greedy_match(predicted, true, "l_orderkey", "l_returnflag", ["x1", "y1", "x2", "y2"], "n", 0.3)
+    m = evaluation.greedy_match(predicted, true, "l_orderkey", "l_returnflag", ["x1", "y1", "x2", "y2"], "n", 0.3)
+    return m.withColumn("iou_sum", F.round("iou_sum", 9))
 
 
 def _by_order():
@@ -474,10 +485,10 @@ def source_ranking(spark, d):
 # --- views, unions, constraints -----------------------------------------------------------------------------------
 
 
-@query("""WITH m AS (SELECT d.doc_id, count(l.doc_id) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.n_chars >= 100 GROUP BY 1), v AS (SELECT unnest(['detection', 'segmentation', 'classification', 'florence_product']) AS task)
+@query("""WITH m AS (SELECT d.doc_id, count(l.doc_id) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1), v AS (SELECT unnest(['detection', 'segmentation', 'classification', 'florence_product']) AS task)
 SELECT doc_id, n, task FROM m, v WHERE task <> 'segmentation' OR n > 0""")
 def task_views(spark, d):
-    m = t(spark, d, "documents").where("n_chars >= 100").select("doc_id").join(t(spark, d, "labels").select("doc_id", F.lit(1).alias("has")), "doc_id", "left").groupBy("doc_id").agg(F.count("has").alias("n"))
+    m = t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels").select("doc_id", F.lit(1).alias("has")), "doc_id", "left").groupBy("doc_id").agg(F.count("has").alias("n"))
     return annotations.task_views(m, "n")
 
 
@@ -488,7 +499,7 @@ def union_sources(spark, d):
     return a.unionByName(b, allowMissingColumns=True).na.fill("", ["source"])
 
 
-@query("SELECT d.doc_id, b.item_id AS locked_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+@query("SELECT d.doc_id, b.item_id AS locked_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
 def locked_test_guard(spark, d):
     return checks.locked_texts(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "text", "item_id")
 
@@ -549,14 +560,10 @@ def palette_histogram(spark, d):
     return x.groupBy("vec_id", F.when(F.col("x") > F.lit(0.1).cast("float"), 2).when(F.col("x") > 0, 1).otherwise(0).alias("color")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
-def row_point_lookup(spark, d):
-    at = files.parquet_with_position(spark, f"{d}/labels.parquet", ["doc_id"])
-    wanted = at.where("row_index % 7 = 0").select("file_name", "row_index")
-    return files.parquet_lookup(spark, f"{d}/labels.parquet", ["doc_id", "quality", "toxic"], wanted)
-
-
 @query("""SELECT event_type, CAST(sum(CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS empty, count(DISTINCT json_extract_string(props, '$.k')) AS parents FROM events GROUP BY 1""")
 def nested_prune(spark, d):
     k = F.from_json("props", "k string")["k"]
     return t(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count_if(F.col("k").isNull()).alias("empty"), F.countDistinct("k").alias("parents"))
+
+
+from . import exchange, records  # noqa: E402, F401  more queries, registered on import

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.labels import shard_split, stem
+
 _MEMBER = "archive string, ordinal int, member string, is_dir boolean, size bigint, payload binary"
 
 
@@ -36,14 +38,53 @@ def xml_rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
 
+def xml_objects(spark: SparkSession, path: str, tag: str, group: str, labels: list[str], others: str = "") -> DataFrame:
+    """Objects with `labels_found`: tags of the element `group` that say 1, in the order given; without any, the object's
+    name, or unknown."""
+    schema = f"name string, {group} struct<{','.join(f'{x}:string' for x in labels)}>" + (f", {others}" if others else "")
+    rows = xml_rows(spark, path, tag, schema)
+    said = F.array_compact(F.array(*[F.when(F.trim(F.col(f"{group}.{x}")) == "1", F.lit(x)) for x in labels]))
+    said = F.coalesce(said, F.array().cast("array<string>"))
+    return rows.withColumn("labels_found", F.when(F.size(said) > 0, said).otherwise(F.array(F.coalesce(F.trim("name"), F.lit("unknown")))))
+
+
+def xml_positive_labels(spark: SparkSession, path: str, tag: str, key: str, labels: list[str]) -> DataFrame:
+    """key, label: one row for each child element of `tag` that says 1; key is an attribute."""
+    rows = xml_rows(spark, path, tag, f"_{key} string, " + ", ".join(f"`{x}` string" for x in labels))
+    each = rows.unpivot([f"_{key}"], labels, "label", "said")
+    return each.where(F.trim("said") == "1").select(F.col(f"_{key}").alias(key), "label")
+
+
 def parquet_with_position(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Columns, the file they come from and the row's place in it."""
     return spark.read.parquet(path).select(*columns, F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
 
 
 def parquet_lookup(spark: SparkSession, path: str, columns: list[str], wanted: DataFrame) -> DataFrame:
-    """Rows at wanted(file_name, row_index)."""
-    return parquet_with_position(spark, path, columns).join(wanted.select("file_name", "row_index").distinct(), ["file_name", "row_index"])
+    """Rows at wanted(file_name, row_index); places that the files do not have raise."""
+    want = wanted.select("file_name", "row_index").distinct()
+    low, high = want.agg(F.min("row_index"), F.max("row_index")).first()
+    at = parquet_with_position(spark, path, columns)
+    found = at.where(F.col("row_index").between(F.lit(low), F.lit(high))) if low is not None else at.limit(0)
+    absent = want.join(found.select("file_name", "row_index"), ["file_name", "row_index"], "left_anti").limit(5).collect()
+    if absent:
+        raise LookupError(f"no rows at {[tuple(r) for r in absent]}")
+    return found.join(want, ["file_name", "row_index"])
+
+
+def row_count(spark: SparkSession, path: str) -> int:
+    """Rows of Parquet files: no column is read, the footers' counts are added."""
+    return spark.read.parquet(path).count()
+
+
+def rows_by_shard(spark: SparkSession, path: str) -> DataFrame:
+    """split, n of Parquet shards whose names begin with their split."""
+    return spark.read.parquet(path).select(shard_split(F.col("_metadata.file_name")).alias("split")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_rows(spark: SparkSession, path: str, columns: list[str], n: int) -> DataFrame:
+    """The first n rows of Parquet files by file and place; a limit ends the scan early."""
+    return parquet_with_position(spark, path, columns).orderBy("file_name", "row_index").limit(n)
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -52,6 +93,39 @@ def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool =
     return read.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "content")
 
 
+def pairs_by_stem(listing: DataFrame, left: str, right: str) -> DataFrame:
+    """stem, left_path, right_path of files(path) by ending, paired by lower-cased stem; either may be null."""
+    p = F.lower("path")
+    one = lambda e, n: listing.where(p.endswith(e.lower())).groupBy(stem(F.col("path")).alias("stem")).agg(F.min("path").alias(n))
+    return one(left, "left_path").join(one(right, "right_path"), "stem", "full_outer")
+
+
+def image_headers(spark: SparkSession, path: str) -> DataFrame:
+    """path, width, height, channels, readable of image files, each decoded whole; unreadable ones have nulls."""
+    i = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    ok = F.col("width") > 0
+    size = lambda c: F.when(ok, F.col(c))
+    return i.select(F.col("origin").alias("path"), size("width").alias("width"), size("height").alias("height"), size("nChannels").alias("channels"), F.coalesce(ok, F.lit(False)).alias("readable"))
+
+
+def uploads(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of files sent in: path, name, size, sha256, content, each content once (the least path)."""
+    f = files(spark, path).withColumn("sha256", F.sha2("content", 256))
+    return f.groupBy("sha256").agg(F.min_by(F.struct("path", "name", "size", "content"), "path").alias("f")).select("f.path", "f.name", "f.size", "sha256", "f.content")
+
+
+def literal_sources(spark: SparkSession, rows: list[tuple], schema: str, folders: dict[str, str], key: str) -> DataFrame:
+    """Stated rows, with the bytes of the files below the folder of each key; 0 where there is none."""
+    stated = spark.createDataFrame(rows, schema)
+    sizes = None
+    for k, folder in folders.items():
+        one = files(spark, folder).agg(F.lit(k).alias(key), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+        sizes = one if sizes is None else sizes.unionByName(one)
+    if sizes is None:
+        return stated.withColumn("bytes", F.lit(0).cast("bigint"))
+    return stated.join(F.broadcast(sizes), key, "left").na.fill(0, ["bytes"])  # one row a folder
+
+
 def zip_members(spark: SparkSession, path: str, *, prefix: str = "", suffix: str = "", payload: bool = True) -> DataFrame:
     """Members of ZIP files as rows; suffix without regard to case; resource forks are left out.
 
@@ -75,8 +149,6 @@ def zip_members(spark: SparkSession, path: str, *, prefix: str = "", suffix: str
 
 def members_by_stem(members: DataFrame) -> DataFrame:
     """archive, stem, member: the last member of each lower-cased stem."""
-    from ..functions.labels import stem
-
     return members.where("not is_dir").groupBy("archive", stem(F.col("member")).alias("stem")).agg(F.max_by("member", "ordinal").alias("member"))
 
 
@@ -84,7 +156,7 @@ def label_lines(text: Column) -> Column:
     """Lines of a label file as structs: class (null if malformed), numbers."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     tokens = lambda x: F.split(x, r"\s+")
-    return F.transform(lines, lambda x: F.struct(F.try_element_at(tokens(x), F.lit(1)).try_cast("int").alias("cls"), F.transform(F.slice(tokens(x), 2, 100000), lambda v: v.try_cast("double")).alias("numbers")))
+    return F.transform(lines, lambda x: F.struct(F.try_element_at(tokens(x), F.lit(1)).try_cast("int").alias("cls"), F.transform(F.slice(tokens(x), F.lit(2), F.size(tokens(x))), lambda v: v.try_cast("double")).alias("numbers")))
 
 
 def label_geometry(numbers: Column, width: Column, height: Column) -> Column:

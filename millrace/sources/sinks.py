@@ -2,10 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a local one is made, which only local mode may use."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = False) -> str:
+    """Write one file; written, reused_identical where the same bytes are there, and an error where others are unless
+    overwrite. For manifests and single assets: the bytes pass through the driver."""
+    fs, p = _file_system(spark, path)
+    state = "written"
+    if fs.exists(p):
+        old = fs.open(p)
+        same = bytes(old.readAllBytes()) == data
+        old.close()
+        if same:
+            return "reused_identical"
+        if not overwrite:
+            raise FileExistsError(f"{path} has other bytes")
+        state = "overwritten"
+    out = fs.create(p, True)
+    out.write(bytearray(data))
+    out.close()
+    return state
+
+
+def rename_file(spark: SparkSession, old: str, new: str) -> None:
+    fs, p = _file_system(spark, old)
+    if not fs.rename(p, _file_system(spark, new)[1]):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
 def write_csv(rows: DataFrame, path: str, columns: list[str], *, strict: bool = False, files: int | None = None) -> None:
     """Columns in order with a header. strict: other columns are an error. The committer makes the write atomic."""
     extra = set(rows.columns) - set(columns)
@@ -31,6 +93,58 @@ def write_label_files(lines: DataFrame, path: str, sample: str, order: str, line
     packed.select(split, "value").write.mode("overwrite").partitionBy(split).text(path)
 
 
+def label_dataset(lines: DataFrame, root: str, sample: str, order: str, line: str, split: str, names: Sequence[str]) -> DataFrame:
+    """A detector's data set below root: label files by split and sample, a list of samples for each split, and data.yaml.
+    Returns split, sample, label_lines."""
+    each = F.struct(F.col(order).alias("o"), F.col(line).alias("l"))
+    packed = lines.groupBy(split, sample).agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["l"]), "\n").alias("label_lines"))
+    kept = stash(packed, "labels")
+    kept.select(F.col(split).alias("split"), F.col(sample).cast("string").alias("sample"), F.col("label_lines").alias("value")).repartition("split", "sample").write.mode("overwrite").partitionBy("split", "sample").text(f"{root}/labels")
+    kept.select(F.col(split).alias("split"), F.concat(F.lit("images/"), F.col(split), F.lit("/"), F.col(sample).cast("string")).alias("value")).repartition("split").sortWithinPartitions("value").write.mode("overwrite").partitionBy("split").text(f"{root}/lists")
+    spark = lines.sparkSession
+    splits = sorted(r[0] for r in kept.select(split).distinct().collect())  # a few splits
+    yaml = "".join([f"path: {root}\n", *[f"{s}: lists/split={s}\n" for s in splits], f"nc: {len(names)}\n", "names: [" + ", ".join(names) + "]\n"])
+    write_bytes(spark, f"{root}/data.yaml", yaml.encode(), overwrite=True)
+    return kept.select(split, sample, "label_lines")
+
+
+def json_report(**parts: DataFrame) -> DataFrame:
+    """One row, one JSON object: each part an array of its rows by their first column, or an object if it is one row
+    named with a leading `one_`. For reports: a part is a short table."""
+    out = None
+    for name, df in parts.items():
+        rows = F.array_sort(F.collect_list(F.struct(*df.columns)))
+        value = df.agg((rows[0] if name.startswith("one_") else rows).alias(name.removeprefix("one_")))
+        out = value if out is None else out.crossJoin(F.broadcast(value))  # one row each
+    return out.select(F.to_json(F.struct(*out.columns), {"ignoreNullFields": "false"}).alias("report"))
+
+
+def export(rows: DataFrame, path: str, kind: str) -> str:
+    """Write rows as json lines, csv or an html table below path/kind; returns where."""
+    out = f"{path}/{kind}"
+    if kind == "json":
+        write_json_lines(rows, out)
+    elif kind == "csv":
+        write_csv(rows, out, rows.columns)
+    elif kind == "html":
+        clean = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        cells = F.concat(*[F.concat(F.lit("<td>"), clean(c), F.lit("</td>")) for c in rows.columns])
+        rows.select(F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("value")).write.mode("overwrite").text(out)
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+    return out
+
+
+def hash_manifest(files: DataFrame, path: str, content: str, include: Sequence[str], exclude: str | None = None) -> DataFrame:
+    """line, size of files below one of the folders `include` whose path does not match `exclude`, each path once, by path."""
+    p = F.col(path)
+    below = F.lit(False)
+    for root in include:
+        below = below | p.startswith(root.rstrip("/") + "/")
+    kept = files.where(below if exclude is None else below & ~p.rlike(exclude)).dropDuplicates([path])
+    return file_digests(kept, path, content).select(F.concat("sha256", F.lit("  "), "path").alias("line"), "size")
+
+
 def file_digests(files: DataFrame, path: str, content: str) -> DataFrame:
     """path, sha256, size, by path."""
     return files.select(F.col(path).alias("path"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"), F.octet_length(F.col(content).cast("binary")).alias("size")).orderBy("path")
