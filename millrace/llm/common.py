@@ -4,66 +4,26 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_often  # noqa: F401
+from ..sources.sinks import stash  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 RECORDS_PER_BATCH = 500
 BYTES_PER_BATCH = 16 << 20
 _SPACE = {str: re.compile(r"[ \t-\r]"), bytes: re.compile(rb"[ \t-\r]")}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a local one is made, which only local mode may use."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df dealt evenly over the cores where its source has fewer parts than those: a small file is one part otherwise."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-OFTEN = 1000
-
-
-def join_often(rows: DataFrame, once: DataFrame, keys: list[str]) -> DataFrame:
-    """rows left join once, which has one row a key; null keys match nothing.
-
-    Keys that hold more than one in OFTEN of the rows, fewer than OFTEN keys, are counted first and joined by broadcast:
-    no task gets a hot key's rows.
-    """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
-    hot = stash(counted.where(F.col("_n") > total / OFTEN).drop("_n").join(once, keys), "often")
-    if hot.isEmpty():
-        return rows.join(once, keys, "left")
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(once, keys, "left")
-    return rows.join(F.broadcast(hot), keys).unionByName(rest)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows and bytes that a Python worker gets at once, for texts can be very long.
 
