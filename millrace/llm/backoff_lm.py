@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import fold, give_back, mix, small_batches, splitmix, stash
 
-CHUNK_CHARS = 6_000_000
-CHUNK_TYPES = 500_000
+CHUNK_CHARS = 4_500_000
+CHUNK_TYPES = 400_000
 KEY_BITS = 56  # two of them are flags: of N distinct n-grams, a lookup meets another's key once in 2 ** 54 / N times
 LANE = 512
 _CHUNKS = "chunk string, shard int, doc_id array<bigint>, train array<boolean>, length array<int>, body binary, counts binary, tokens bigint"
@@ -169,10 +169,12 @@ class Automaton:
             g, context = grams[k][at], grams[k - 1][at - 1]  # before a text is an end token: of the text before, or the last
             suffix[g] = grams[k - 1][at]
             p[g] = (counts[g] + strength * p[suffix[g]]) / (counts[context] + strength)
-            live = np.flatnonzero(seen[g])
-            g, which = np.unique(g[live], return_index=True)
-            keys.append(splitmix(context[live][which].astype(np.uint64) * np.uint64(types) + tokens[at[live][which]]))
+            place = np.full(len(counts), -1, np.int32)
+            place[g] = np.arange(len(g))  # any of its places will do
+            g = np.flatnonzero((place >= 0) & seen).astype(np.int32)
+            keys.append(splitmix(context[place[g]].astype(np.uint64) * np.uint64(types) + tokens[at[place[g]]]))
             arcs.append(g)
+            del at, context, place
         key, gram = (np.concatenate(keys), np.concatenate(arcs)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int32))
         by = np.argsort(key)
         self.arcs, gram = Table(key[by]), gram[by]
@@ -308,16 +310,22 @@ def score_texts(docs: DataFrame, *, order: int = 2, strength: float = 100.0, doc
         row = left.to_pylist()[0]
         lengths = np.array(row["length"], np.int64)
         tokens, hashes = unpack(row["body"], np.uint32), unpack(row["counts"], np.uint64)
-        back = sorted(zip(right.column("shard").to_pylist(), right.column("body").to_pylist()))
-        values = np.concatenate([unpack(x, np.uint64) for _, x in back]).astype(np.float64)
         keyed = ngram_keys(tokens, lengths, hashes, order)
-        table = Table(np.unique(np.concatenate([key[valid] for key, valid in keyed])), KEY_BITS)
+        every = np.concatenate([key[valid] for key, valid in keyed])
+        every.sort()
+        table = Table(every[np.append(True, every[1:] != every[:-1])], KEY_BITS)
+        del every
         grams = []
-        for key, valid in keyed:
-            g = table.find(key)
-            g[~valid] = -1
-            grams.append(g)
-        del keyed
+        while keyed:
+            key, valid = keyed.pop(0)
+            grams.append(table.find(key))
+            grams[-1][~valid] = -1
+        values, n = np.empty(len(table.keys)), 0
+        for _, x in sorted(zip(right.column("shard").to_pylist(), right.column("body").to_pylist())):
+            part = unpack(x, np.uint64)
+            values[n : n + len(part)] = part
+            n += len(part)
+        del key, valid, part
         first = np.cumsum(lengths) - lengths
         end = int(table.find(unigram_keys(hashes[:1]))[0])
         automaton = Automaton(tokens, len(hashes), grams, values, end, total, types, strength)
