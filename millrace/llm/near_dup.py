@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,32 +100,29 @@ def class_key(s: np.ndarray) -> bytes:
         return np.array([splitmix(s).sum(), splitmix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum() + np.uint64(len(s))], np.uint64).tobytes()
 
 
-def prefixes(labels: list[bytes], trees: int, depth: int) -> np.ndarray:
-    """For each class and tree a hash of its label's first values."""
-    m = np.frombuffer(b"".join(labels), ">u2").reshape(len(labels), trees, -1).astype(np.uint64)
-    p = np.full(m.shape[:2], np.uint64(depth))
+def labels_of(signatures: list[bytes], trees: int) -> np.ndarray:
+    """Classes by trees by values."""
+    return np.frombuffer(b"".join(signatures), ">u2").reshape(len(signatures), trees, -1).astype(np.uint64)
+
+
+def prefixes(labels: np.ndarray, depth: int) -> np.ndarray:
+    """For each class and tree a hash of its label's first values; of a depth beyond the whole label none are equal."""
+    if depth > labels.shape[2]:
+        return np.arange(labels.shape[0] * labels.shape[1], dtype=np.uint64).reshape(labels.shape[:2])
+    p = np.full(labels.shape[:2], np.uint64(depth))
     for d in range(depth):
-        p = mix(p, m[:, :, d])
+        p = mix(p, labels[:, :, d])
     return p
 
 
-def first_trees(own: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """For each pair of rows, the first tree in which they share the prefix; as many as there are trees: none."""
-    out = np.full((len(own), len(others)), own.shape[1], np.int16)
+def new_pairs(own: np.ndarray, longer: np.ndarray, tree: int) -> np.ndarray:
+    """Which pairs of classes share a prefix first in that tree, and no longer one in any, of hashes of both depths."""
+    first = np.full((len(own), len(own)), own.shape[1], np.int16)
+    new = np.ones(first.shape, bool)
     for t in range(own.shape[1] - 1, -1, -1):
-        out[own[:, t][:, None] == others[:, t][None, :]] = t
-    return out
-
-
-def new_pairs(labels: list[bytes], trees: int, depth: int, full: int, tree: int) -> np.ndarray:
-    """Which pairs of classes have their longest common prefix at that depth, first in that tree."""
-    p = prefixes(labels, trees, depth)
-    out = first_trees(p, p) == tree
-    if depth < full:
-        p = prefixes(labels, trees, depth + 1)
-        out &= first_trees(p, p) == trees
-    np.fill_diagonal(out, False)
-    return out
+        first[own[:, t][:, None] == own[:, t][None, :]] = t
+        new &= longer[:, t][:, None] != longer[:, t][None, :]
+    return (first == tree) & new
 
 
 def common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -150,19 +148,24 @@ def common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _rows_by(batches, keys: list[str]):
-    """Groups of a sorted stream of record batches: (key, list of row dicts), in order."""
-    now, held = None, []
+def _whole_groups(batches, keys: list[str]):
+    """Of a stream of record batches sorted by keys: tables of whole groups, and where groups begin, with the end."""
+    held = None
     for b in batches:
-        for row in b.to_pylist():
-            k = tuple(row[x] for x in keys)
-            if k != now:
-                if held:
-                    yield now, held
-                now, held = k, []
-            held.append(row)
-    if held:
-        yield now, held
+        t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+        if not t.num_rows:
+            continue
+        new = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            c = t.column(k).chunk(0)
+            new |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(new) + 1
+        if len(cuts):
+            yield t.slice(0, cuts[-1]), np.append(0, cuts)
+            t = t.slice(cuts[-1])
+        held = t
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
 
 
 class Forest:
@@ -204,7 +207,7 @@ class Forest:
 
         A cell is a pair of blocks, x and y, of a prefix's members; side tells the blocks apart.
         """
-        trees, full = self.trees, self.depth
+        trees = self.trees
         keyed = tries.select("tree", "cls", F.substring("label", 1, 2 * depth).alias("prefix"))
         often = keyed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         blocks = F.ceil(F.col("n") / self.cell).cast("int")
@@ -213,15 +216,22 @@ class Forest:
         cells = dealt.select("tree", "prefix", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls").join(classes.select("cls", "sig"), "cls")
 
         def pick(batches):
-            for (tree, prefix, x, y), rows in _rows_by(batches, _CELL):
-                mine = new_pairs([r["sig"] for r in rows], trees, depth, full, tree)
-                side = np.array([r["side"] for r in rows])
-                if x != y:  # pairs within a block belong to that block's own cell
-                    mine &= side[:, None] != side[None, :]
-                use = np.flatnonzero(mine.any(axis=1))
-                if len(use):
-                    n = len(use)
-                    yield pa.RecordBatch.from_arrays([pa.array([tree] * n, pa.int32()), pa.array([prefix] * n, pa.binary()), pa.array([x] * n, pa.int32()), pa.array([y] * n, pa.int32()), pa.array(side[use], pa.int32()), pa.array([rows[i]["cls"] for i in use], pa.binary())], names=[*_CELL, "side", "cls"])
+            for table, cuts in _whole_groups(batches, _CELL):
+                labels = labels_of(table.column("sig").to_pylist(), trees)
+                p, q = prefixes(labels, depth), prefixes(labels, depth + 1)
+                tree, side, x, y = (table.column(c).to_numpy() for c in ("tree", "side", "x", "y"))
+                use, size = np.zeros(len(p), bool), np.diff(cuts)
+                at = cuts[:-1][size == 2]  # most groups: all at once
+                same = p[at] == p[at + 1]
+                pair = same.any(axis=1) & (same.argmax(axis=1) == tree[at]) & (q[at] != q[at + 1]).all(axis=1) & ((x[at] == y[at]) | (side[at] != side[at + 1]))
+                use[at] = use[at + 1] = pair
+                for a, n in zip(cuts[:-1][size > 2].tolist(), size[size > 2].tolist()):
+                    mine = new_pairs(p[a : a + n], q[a : a + n], tree[a])
+                    np.fill_diagonal(mine, False)
+                    if x[a] != y[a]:  # pairs within a block belong to that block's own cell
+                        mine &= side[a : a + n, None] != side[None, a : a + n]
+                    use[a : a + n] = mine.any(axis=1)
+                yield from table.filter(pa.array(use)).select([*_CELL, "side", "cls"]).to_batches()
 
         n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return cells.select(*_CELL, "side", "cls", "sig").repartition(n, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(pick, _NEED)
@@ -229,24 +239,29 @@ class Forest:
     def links(self, cells: DataFrame, depth: int) -> DataFrame:
         """a, b, n, alike of cells(tree, prefix, x, y, side, cls, size, sig, text): n more linked rows for class a; edges a - b, n 0;
         and, without a and b, n pairs of a similarity in thousandths."""
-        threshold, words, trees, full = self.threshold, self.words, self.trees, self.depth
+        threshold, words, trees = self.threshold, self.words, self.trees
 
         def verify(batches):
             shingle = Shingler(words)
-            for (tree, _, x, y), rows in _rows_by(batches, _CELL):
-                sets = [shingle(r["text"]) for r in rows]
-                sizes, weight = np.array([len(s) for s in sets]), np.array([r["size"] for r in rows], np.int64)
-                both = common(sets, sets)
-                union = sizes[:, None] + sizes[None, :] - both
-                near = (both >= threshold * union - 1e-6) & new_pairs([r["sig"] for r in rows], trees, depth, full, tree)
-                side = np.array([r["side"] for r in rows])
-                if x != y:
-                    near &= side[:, None] != side[None, :]
-                yield from self_rows(rows, near, weight)
-                i, j = np.nonzero(np.triu(near))
-                alike, n = np.unique((both[i, j] * BINS // union[i, j]).astype(np.int32), return_counts=True)
-                if len(n):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary()), pa.array(n, pa.int64()), pa.array(alike, pa.int32())], names=["a", "b", "n", "alike"])
+            for table, cuts in _whole_groups(batches, _CELL):
+                labels = labels_of(table.column("sig").to_pylist(), trees)
+                p, q = prefixes(labels, depth), prefixes(labels, depth + 1)
+                for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                    rows = table.slice(a, b - a).to_pylist()
+                    sets = [shingle(r["text"]) for r in rows]
+                    sizes, weight = np.array([len(s) for s in sets]), np.array([r["size"] for r in rows], np.int64)
+                    both = common(sets, sets)
+                    union = sizes[:, None] + sizes[None, :] - both
+                    near = (both >= threshold * union - 1e-6) & new_pairs(p[a:b], q[a:b], rows[0]["tree"])
+                    np.fill_diagonal(near, False)
+                    side = np.array([r["side"] for r in rows])
+                    if rows[0]["x"] != rows[0]["y"]:
+                        near &= side[:, None] != side[None, :]
+                    yield from self_rows(rows, near, weight)
+                    i, j = np.nonzero(np.triu(near))
+                    alike, n = np.unique((both[i, j] * BINS // union[i, j]).astype(np.int32), return_counts=True)
+                    if len(n):
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary()), pa.array(n, pa.int64()), pa.array(alike, pa.int32())], names=["a", "b", "n", "alike"])
 
         def self_rows(rows, near, weight):
             gain = near.astype(np.int64) @ weight
@@ -339,7 +354,7 @@ def _resolve(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, forest:
     known = stash(known, "nd-known")
     heads = known.groupBy("root").agg(F.min("least").alias("head"))
     known = stash(known.join(heads, "root").select("cls", "size", "more", "head"), "nd-known")
-    return join_often(signed.select("r1", "r2", "cls"), known, ["cls"]).select(
+    return join_often(signed.select("r1", "r2", "cls"), known, ["cls"], "size").select(
         F.col("r1").alias("doc_id"),
         F.when(F.col("cls").isNull(), F.col("r1")).otherwise(F.col("head.id")).alias("class_id"),
         F.coalesce(F.col("more") + F.col("size") - 1, F.lit(0)).cast("bigint").alias("n_links"),

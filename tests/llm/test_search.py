@@ -181,14 +181,14 @@ def test_forest_shortens_until_the_target(spark):
 def test_new_pairs_by_hand():
     rng = np.random.default_rng(1)
     m = rng.integers(0, 2, (30, 4, 6)).astype(">u2")
-    labels = [x.tobytes() for x in m]
+    labels = near_dup.labels_of([x.tobytes() for x in m], 4)
     for depth in range(1, 7):
         for tree in range(4):
-            got = near_dup.new_pairs(labels, 4, depth, 6, tree)
+            got = near_dup.new_pairs(near_dup.prefixes(labels, depth), near_dup.prefixes(labels, depth + 1), tree)
             for i in range(30):
                 for j in range(30):
                     same = [next((d for d in range(6) if m[i, t, d] != m[j, t, d]), 6) for t in range(4)]
-                    assert got[i, j] == (i != j and max(same) == depth and same.index(depth) == tree)
+                    assert i == j or got[i, j] == (max(same) == depth and same.index(depth) == tree)
 
 
 def test_leaks(spark):
