@@ -154,3 +154,23 @@ def expand_aliases(names: DataFrame, name: str, ordinal: str, aliases: Mapping[s
     if bad := sorted(r["name"] for r in odd.limit(5).collect()):
         raise ConstraintError(f"unknown names: {', '.join(bad)}")
     return once.select("name", F.col("place._o").alias("place"), F.col("place._p").alias("member"))
+
+
+def split_counts(rows: DataFrame, by: Sequence[str], conditions: Mapping[str, Column], sums: Mapping[str, str]) -> DataFrame:
+    """For each of by its rows, rows that fit each condition, and sums of columns."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in conditions.items()], *[F.sum(c).alias(k) for k, c in sums.items()])
+
+
+def parent_counts(rows: DataFrame, by: Sequence[str], parent: str) -> DataFrame:
+    """For each of by its distinct parents, nulls and blanks left out, its rows, and the rows without a parent."""
+    known = F.when(F.coalesce(F.col(parent).cast("string"), F.lit("")) != "", F.col(parent))
+    return rows.groupBy(*by).agg(F.countDistinct(known).alias("parents"), F.count(F.lit(1)).alias("n"), F.count_if(known.isNull()).alias("empty"))
+
+
+def union_sources(sources: Mapping[str, DataFrame], name: str, fill: Mapping[str, object]) -> DataFrame:
+    """All rows of all sources with their source's name; columns that a source lacks are filled."""
+    out = None
+    for k, df in sources.items():
+        rows = df.select(F.lit(k).alias(name), *df.columns)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out.na.fill(dict(fill))

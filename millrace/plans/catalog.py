@@ -157,13 +157,13 @@ def multi_label_counts(spark, d):
 
 @query(f"WITH {DOCS_SQL} SELECT split, source, count(*) AS n, CAST(sum(CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS n_long, CAST(sum(n_chars) AS BIGINT) AS chars FROM docs GROUP BY 1, 2")
 def split_source_counts(spark, d):
-    return docs_split(spark, d).groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") >= 1000).alias("n_long"), F.sum("n_chars").alias("chars"))
+    return registry.split_counts(docs_split(spark, d), ["split", "source"], {"n_long": F.col("n_chars") >= 1000}, {"chars": "n_chars"})
 
 
 @query("""SELECT o_orderpriority, count(DISTINCT o_custkey) AS parents, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1""")
 def distinct_parents(spark, d):
     rows = t(spark, d, "orders").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
-    return rows.groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("parents"), F.count(F.lit(1)).alias("n"))
+    return registry.parent_counts(rows, ["o_orderpriority"], "o_custkey").drop("empty")
 
 
 @query("""WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT CAST(sum(n) AS BIGINT) AS n_all, count(*) AS k FROM c)
@@ -494,9 +494,9 @@ def task_views(spark, d):
 
 @query("""SELECT 'documents' AS origin, doc_id AS id, text, source FROM documents UNION ALL SELECT 'benchmark', item_id, text, '' FROM benchmark""")
 def union_sources(spark, d):
-    a = t(spark, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text", "source")
-    b = t(spark, d, "benchmark").select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), "text")
-    return a.unionByName(b, allowMissingColumns=True).na.fill("", ["source"])
+    a = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    b = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return registry.union_sources({"documents": a, "benchmark": b}, "origin", {"source": ""})
 
 
 @query("SELECT d.doc_id, b.item_id AS locked_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
@@ -562,8 +562,11 @@ def palette_histogram(spark, d):
 
 @query("""SELECT event_type, CAST(sum(CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS empty, count(DISTINCT json_extract_string(props, '$.k')) AS parents FROM events GROUP BY 1""")
 def nested_prune(spark, d):
-    k = F.from_json("props", "k string")["k"]
-    return t(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count_if(F.col("k").isNull()).alias("empty"), F.countDistinct("k").alias("parents"))
+    """A table of nested records is written, and only one of its leaves is read."""
+    path = sinks.new_path(spark, "nested")
+    nested = F.struct(F.from_json("props", "k string")["k"].alias("k"), F.col("value").alias("other"))
+    t(spark, d, "events").select("event_type", nested.alias("objects")).write.parquet(path)
+    return registry.parent_counts(spark.read.parquet(path).select("event_type", "objects.k"), ["event_type"], "k").select("event_type", "empty", "parents")
 
 
 from . import exchange, records  # noqa: E402, F401  more queries, registered on import
