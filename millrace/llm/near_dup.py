@@ -199,8 +199,13 @@ class Forest:
         width = 2 * self.depth
         labels = classes.select("cls", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.substring(F.col("sig"), t * width + 1, F.lit(width)))).alias("tree", "label"))
         keyed = labels.withColumn("prefix", F.xxhash64("tree", F.substring("label", 1, 2 * self.least)))
-        often = keyed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "prefix")
-        return keyed.join(often, ["tree", "prefix"]).select("tree", "label", "cls").sortWithinPartitions("tree", "label")
+        return self._often(keyed).select("tree", "label", "cls").sortWithinPartitions("tree", "label")
+
+    @staticmethod
+    def _often(keyed: DataFrame) -> DataFrame:
+        """Rows of keyed whose tree and prefix several have, with their number n; a hot prefix's rows stay where they are."""
+        often = stash(keyed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nd-often")
+        return join_often(keyed, often, ["tree", "prefix"], "n").where("n is not null")
 
     def needed(self, tries: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
         """tree, prefix, x, y, side, cls: the classes whose texts each cell needs to verify the new pairs at that depth.
@@ -209,9 +214,8 @@ class Forest:
         """
         trees = self.trees
         keyed = tries.select("tree", "cls", F.substring("label", 1, 2 * depth).alias("prefix"))
-        often = keyed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         blocks = F.ceil(F.col("n") / self.cell).cast("int")
-        dealt = keyed.join(often, ["tree", "prefix"]).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), blocks).cast("int"))
+        dealt = self._often(keyed).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), blocks).cast("int"))
         dealt = dealt.select("tree", "prefix", "cls", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         cells = dealt.select("tree", "prefix", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls").join(classes.select("cls", "sig"), "cls")
 
