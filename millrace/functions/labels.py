@@ -203,3 +203,11 @@ def rounded(value: Column, digits: int) -> Column:
 def shard_split(source: Column) -> Column:
     """The split that a shard's file name begins with, as in train-00001-of-00009."""
     return F.regexp_extract(source, r"(?:^|/)([A-Za-z]+)[_-][^/]*$", 1)
+
+
+def archive_report(output: Column, code: Column) -> Column:
+    """struct(everything_ok, folders, files, size, compressed, diagnostic) of an archive tool's test report; numbers that it
+    does not name are null, the diagnostic is the end of a report of failure."""
+    number = lambda k: F.regexp_extract(output, rf"(?m)^{k}:\s+(\d+)\s*$", 1).try_cast("bigint")
+    ok = (code == 0) & output.contains("Everything is Ok")
+    return F.struct(ok.alias("everything_ok"), *[number(k).alias(k.lower()) for k in ("Folders", "Files", "Size", "Compressed")], F.when(~ok, F.right(output, F.lit(2000))).alias("diagnostic"))

@@ -158,3 +158,24 @@ def changed_files(manifest: DataFrame, files: DataFrame, path: str, content: str
 def subset(a: DataFrame, b: DataFrame, key: str, rule: str = "subset") -> DataFrame:
     """Keys of a that b lacks."""
     return missing_keys(a, b, key, rule)
+
+
+# Sizes above this many bytes are stated roughly, and may be off by this share.
+ROUGH_FROM, ROUGH = 1_000_000_000, 0.05
+
+
+def download_state(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """key, state of expected(key, bytes, sha256, md5; each may be null) against actual(key, bytes, sha256, md5): missing,
+    wrong_size, rough_size (a warning: a large size that is off by more), wrong_sha256, wrong_md5 or verified."""
+    have = actual.select(key, *[F.col(c).alias(f"_{c}") for c in ("bytes", "sha256", "md5")], F.lit(1).alias("_there"))
+    rough, off = F.col("bytes") > ROUGH_FROM, F.abs(F.col("_bytes") - F.col("bytes"))
+    differs = lambda c: F.lower(c) != F.lower(f"_{c}")
+    state = (
+        F.when(F.col("_there").isNull(), "missing")
+        .when(~rough & (off > 0), "wrong_size")
+        .when(differs("sha256"), "wrong_sha256")
+        .when(differs("md5"), "wrong_md5")
+        .when(rough & (off / F.col("bytes") > ROUGH), "rough_size")
+        .otherwise("verified")
+    )
+    return expected.join(have, key, "left").select(key, state.alias("state"))

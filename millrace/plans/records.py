@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, labels
 from ..operators import annotations, checks, dedup, evaluation, findings, images, inference, registry, sampling
-from ..sources import sinks
+from ..sources import files, sinks
 from .catalog import BOX_SQL, CODE_SQL, RADIUS, boxes, coded, docs_split, query, t
 
 # --- joins --------------------------------------------------------------------------------------------------------
@@ -434,3 +434,31 @@ def micro_at_half(spark, d):
     rows = t(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("target")).join(docs, "doc_id")
     m = evaluation.binary_metrics(rows, "target", "score", F.lit(0.5))
     return m.select(F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'missing' WHEN o_orderkey % 6 = 1 THEN 'wrong_size' WHEN o_orderkey % 6 = 2 THEN 'wrong_sha256' WHEN o_orderkey % 6 = 3 THEN 'rough_size' WHEN o_orderkey % 6 = 4 THEN 'wrong_md5' ELSE 'verified' END AS state FROM orders""")
+def download_verification(spark, d):
+    m = F.col("o_orderkey") % 6
+    big = F.lit(2_000_000_000).cast("bigint")
+    o = t(spark, d, "orders")
+    expected = o.select("o_orderkey", F.when(m == 3, big).when(m == 5, big).otherwise(100).alias("bytes"), F.when(m == 2, "A").alias("sha256"), F.when(m == 4, "b").alias("md5"))
+    actual = o.where(m != 0).select("o_orderkey", F.when(m == 1, 101).when(m == 3, big * 2).when(m == 5, big + 1000).otherwise(100).alias("bytes"), F.lit("c").alias("sha256"), F.lit("d").alias("md5"))
+    return checks.download_state(expected, actual, "o_orderkey")
+
+
+@query("""SELECT n_nationkey, n_nationkey % 3 <> 0 AS everything_ok, CAST(n_nationkey * 10 AS BIGINT) AS files, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_regionkey AS BIGINT) END AS folders, n_nationkey % 3 = 0 AS explained FROM nation""")
+def archive_reports(spark, d):
+    k = F.col("n_nationkey")
+    text = F.concat(F.when(k % 3 != 0, "Everything is Ok\n").otherwise("ERROR: Data Error\n"), F.when(k % 2 == 0, F.concat(F.lit("\nFolders: "), F.col("n_regionkey").cast("string"))).otherwise(""), F.lit("\nFiles: "), (k * 10).cast("string"), F.lit("\nSize:       99\n"))
+    r = labels.archive_report(text, F.lit(0))
+    return t(spark, d, "nation").select("n_nationkey", r["everything_ok"].alias("everything_ok"), r["files"].alias("files"), r["folders"].alias("folders"), r["diagnostic"].isNotNull().alias("explained"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS request, field, CASE WHEN field = 'image' THEN CAST(doc_id AS VARCHAR) || '.txt' END AS filename, CASE WHEN field = 'image' THEN sha256(text) ELSE sha256('note') END AS sha256 FROM documents, (SELECT unnest(['note', 'image']) AS field) WHERE doc_id % 5 <> 0""")
+def form_uploads(spark, d):
+    end = F.lit("\r\n")
+    key = F.col("doc_id").cast("string")
+    head = lambda *x: F.concat(F.lit("--b0undary"), end, F.lit("Content-Disposition: form-data; "), *x, end, end)
+    body = F.concat(head(F.lit('name="note"')), F.lit("note"), end, head(F.lit('name="image"; filename="'), key, F.lit('.txt"')), F.col("text"), end, F.lit("--b0undary--"), end)
+    rows = t(spark, d, "documents").select(key.alias("request"), F.when(F.col("doc_id") % 5 == 0, "text/plain").otherwise("multipart/form-data; boundary=b0undary").alias("kind"), body.alias("body"))
+    return files.form_parts(rows, "request", "kind", "body").select("request", "field", "filename", F.sha2("content", 256).alias("sha256"))

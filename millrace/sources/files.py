@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pyarrow as pa
@@ -177,3 +178,31 @@ def optional(spark: SparkSession, path: str, schema: str, read) -> tuple[DataFra
 def links(text: Column) -> Column:
     """Targets of Markdown links."""
     return F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1))
+
+
+_PART = "request string, ordinal int, field string, filename string, content binary"
+
+
+def form_parts(requests: DataFrame, request: str, content_type: str, body: str) -> DataFrame:
+    """Parts of multipart/form-data bodies: request, ordinal, field, filename (null for plain fields), content. Bodies of
+    other types, or without their boundary, have none. A body is one row in a task."""
+    name, file = re.compile(rb'[;\s]name="([^"]*)"'), re.compile(rb'[;\s]filename="([^"]*)"')
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for key, kind, data in zip(*[c.to_pylist() for c in b.columns]):
+                mark = re.search(r'boundary="?([^";,]+)', kind or "")
+                if not mark or not (kind or "").lower().startswith("multipart/form-data"):
+                    continue
+                parts = (b"\r\n" + (data or b"")).split(b"\r\n--" + mark[1].encode())
+                for n, part in enumerate(parts[1:]):
+                    head, gap, content = part.partition(b"\r\n\r\n")
+                    if part.startswith(b"--") or not gap or not (field := name.search(head)):
+                        continue
+                    f = file.search(head)
+                    out.append((key, n, field[1].decode("utf-8", "replace"), f and f[1].decode("utf-8", "replace"), content))
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["request", "ordinal", "field", "filename", "content"])
+
+    return requests.select(F.col(request).cast("string"), F.col(content_type), F.col(body).cast("binary")).mapInArrow(run, _PART)

@@ -196,3 +196,12 @@ def test_bands_hold_every_pair():
         for radius in range(17):
             bands, flips = dedup.banding(n, radius, 63)
             assert bands * (flips + 1) > radius
+
+
+def test_heat_and_boxes():
+    h = images.heat(np.array([[1.0, 3.0], [2.0, 1.0]]))
+    assert h.tolist() == [[0, 1], [0.5, 0]] and images.heat(np.ones((2, 2))).tolist() == [[0, 0], [0, 0]]
+    out = images.heat_overlay(np.zeros((2, 2, 3), np.uint8), h, 1.0)
+    assert out[0, 1].tolist() == [127, 0, 0] and out[1, 0].tolist() == [127, 255, 127] and out[0, 0].tolist() == [0, 0, 127]
+    d = images.draw_boxes(np.zeros((8, 8, 3), np.uint8), [[1, 1, 6, 5]], width=1)
+    assert (d[..., 0] == 255).sum() == 18 and d[1, 1, 0] == 255 and d[3, 3, 0] == 0
