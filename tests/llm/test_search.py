@@ -334,3 +334,48 @@ def test_toxic_search_is_exact():
 def test_fold(spark):
     got = {r["doc_id"]: r["f"] for r in spark.range(50).select("id").withColumnRenamed("id", "doc_id").withColumn("f", fold()).collect()}
     assert all(v == zlib.crc32(str(k).encode()) % 5 for k, v in got.items())
+
+
+def test_very_long_texts_are_read_whole(spark):
+    """300,000 words, what tells at their end: a leak, a near copy, words to count and to score."""
+    from millrace.llm import mixing
+
+    r = random.Random(11)
+    long = " ".join(f"w{r.randrange(5000)}" for _ in range(300_000))
+    item = " ".join(f"k{i}" for i in range(30))
+    rows = [(1, f"{long} {item}", "a"), (2, long, "a"), (3, "short text of six words here", "b"), (4, None, "b")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    b = spark.createDataFrame([(7, item), (8, item)], "item_id bigint, text string")
+    assert {(x["doc_id"], x["item_id"], x["lcs"]) for x in decontaminate.find_leaks(d, b).collect()} == {(1, 7, 1.0), (1, 8, 1.0)}
+    near = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in near_dup.near_duplicates(d).collect()}
+    assert near == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    lm = {x["doc_id"]: x for x in backoff_lm.score_texts(d, train=d["doc_id"] != 1).collect()}
+    assert lm[1]["n_tokens"] == 300_031 and lm[1]["n_known"] == 300_001 and lm[4]["n_tokens"] == 1
+    words = long.split()
+    pairs, single = collections.Counter(zip(["</s>", *words], [*words, "</s>"])), collections.Counter([*words, "</s>"])
+    for w in ["short text of six words here".split(), []]:
+        pairs.update(zip(["</s>", *w], [*w, "</s>"]))
+        single.update([*w, "</s>"])
+    n, v = sum(single.values()), len(single)
+    p = lambda a, w: (pairs[(a, w)] + 100 * (single[w] + 0.5) / (n + 0.5 * (v + 1))) / (single[a] + 100)
+    assert lm[2]["score"] == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip(["</s>", *words], [*words, "</s>"])), abs=1e-4)
+    assert {x["doc_id"]: x["size"] for x in mixing.pareto_mix(d).collect()} == {1: 300_030, 2: 300_000, 3: 6, 4: 0}
+
+
+def test_corpus_axes_by_hand(spark):
+    """The leading axis of the corpus's passages is that of a dense decomposition."""
+    r = np.random.default_rng(2)
+    many = 40
+    texts = [r.choice(many + 1, r.integers(1, 200), p=np.append(np.arange(many, 0, -1) ** 2.0, 500) / (sum(i * i for i in range(1, many + 1)) + 500)).astype(np.uint32) for _ in range(60)]
+    idf = r.random(many) + 0.5
+    rows = []
+    for t in texts:
+        for i in range(0, len(t), decontaminate.PASSAGE):
+            n = np.bincount(t[i : i + decontaminate.PASSAGE], minlength=many + 1)[:many]
+            a = np.log1p(n) * idf
+            if a.any():
+                rows.append(a / np.linalg.norm(a))
+    want = np.linalg.svd(np.array(rows))[2][0]
+    d = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "doc_id bigint, words binary").repartition(5)
+    got = decontaminate.corpus_axes(d, np.arange(many + 1), idf, 4, 3)
+    assert got.shape == (many, 4) and abs(got[:, 0] @ want) > 0.99
