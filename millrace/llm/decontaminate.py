@@ -76,6 +76,8 @@ class Space:
     whole: list[list[int] | None]  # words of passages under LEAST words
     least: np.ndarray  # of a passage's rarest words, how many a leak holds
     shelves: list[tuple[np.ndarray, np.ndarray]]  # for SHELF passages each: who[into[w]:into[w + 1]] have w among their rarest
+    held: tuple[np.ndarray, np.ndarray]  # passage * words + word of what passages hold, rising, and how often
+    need: np.ndarray  # words of a passage that a leak has in common with it
 
 
 def shelves_of(lists: list[list[int]], df: np.ndarray, partial: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -237,7 +239,7 @@ def fit(words: DataFrame, passages: list[tuple[int, list[int], frozenset[int]]],
         answers.append(answer or frozenset(used[rare].tolist()))
     mass = np.append(idf, np.log(total + 2)).astype(np.float32) ** 2
     short = [ws.tolist() if len(ws) < LEAST else None for ws in lists]
-    return Space(own, loading, mass, latent.astype(np.float32), [i for i, _, _ in passages], places, [len(ws) for ws in lists], answers, short, *shelves_of([ws.tolist() for ws in lists], often, partial))
+    return Space(own, loading, mass, latent.astype(np.float32), [i for i, _, _ in passages], places, [len(ws) for ws in lists], answers, short, *shelves_of([ws.tolist() for ws in lists], often, partial), (key, count), np.array([math.ceil(partial * len(ws) - 1e-9) if len(ws) >= LEAST else len(ws) for ws in lists]))
 
 
 def portions(docs: list[np.ndarray], words: int = 100_000):
@@ -323,6 +325,29 @@ def holding(ids: np.ndarray, starts: np.ndarray, space: Space):
                 yield d, q, i
 
 
+def sharing(ids: np.ndarray, starts: np.ndarray, space: Space, found, words: int = 2_000_000):
+    """Those of `holding` whose stretch has as many words in common with the passage, in any order, as a leak must have."""
+    (own, times), many = space.held, len(space.loading) - 1
+    every = np.array(list(found), np.int64).reshape(-1, 3)
+    n = np.array(space.length)[every[:, 1]]
+    lo = np.maximum(0, (every[:, 2] - 1) * n)
+    hi = np.minimum((every[:, 2] + 2) * n, (starts[every[:, 0] + 1] - starts[every[:, 0]]) * GRID)
+    size = np.maximum(hi - lo, 0)
+    for part in np.split(np.arange(len(every)), np.flatnonzero(np.diff(np.cumsum(size) // words)) + 1):
+        k = size[part]
+        at = np.arange(k.sum()) + np.repeat(starts[every[part, 0]] * GRID + lo[part] - np.cumsum(k) + k, k)
+        word, which = ids[at], np.repeat(np.arange(len(part)), k)
+        live = word < many
+        key, count = np.unique(which[live] * many + word[live], return_counts=True)
+        which, word = np.divmod(key, many)
+        want = every[part, 1][which] * many + word
+        place = np.minimum(np.searchsorted(own, want), len(own) - 1)
+        both = np.where(own[place] == want, np.minimum(times[place], count), 0)
+        common = np.bincount(which, weights=both, minlength=len(part))
+        for d, p, mid in every[part][common >= space.need[every[part, 1]]].tolist():
+            yield d, p, mid
+
+
 def leaks(docs: list[np.ndarray], space: Space, *, near: float, verbatim: float, partial: float, answered: float) -> dict[tuple[int, int], tuple[float, float, float, int]]:
     """For (text, item): cosine, share of the passage in the longest common subsequence, share of the answer, place."""
     out: dict[tuple[int, int], tuple[float, float, float, int]] = {}
@@ -349,10 +374,9 @@ def leaks(docs: list[np.ndarray], space: Space, *, near: float, verbatim: float,
             if (d, p, mid) not in done:  # else a neighbouring window has covered this stretch
                 done.add((d, p, mid))
                 judge(d, p, max(0, min(a, mid * n) - n), max(b, mid * n + n) + n, cos)
-        for d, p, mid in holding(ids, starts, space):
-            if (d, p, mid) not in done:
-                n = space.length[p]
-                judge(d, p, max(0, mid * n - n), mid * n + 2 * n, None)
+        for d, p, mid in sharing(ids, starts, space, (h for h in holding(ids, starts, space) if h not in done)):
+            n = space.length[p]
+            judge(d, p, max(0, mid * n - n), mid * n + 2 * n, None)
     return out
 
 
