@@ -95,3 +95,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc
         pass
+
+
+SENT = 200_000
+
+
+def join_sized(rows: DataFrame, once: DataFrame, keys: list[str], width: int = 1) -> DataFrame:
+    """rows left join once, one row a key: sent to all tasks if it has at most SENT / width rows, which are counted first,
+    and beyond that by shuffle without hot tasks. `width` is how many values a row holds."""
+    if once.count() <= SENT // width:
+        return rows.join(F.broadcast(once), keys, "left")
+    return join_often(rows, once, keys)

@@ -86,3 +86,43 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.d
 reach AS (SELECT a, b FROM p UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
 c AS (SELECT a, least(min(b), a) AS class_id FROM reach GROUP BY a), k AS (SELECT a, count(*) AS n FROM p GROUP BY a)
 SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(k.n, 0) AS n_links FROM documents d LEFT JOIN c ON d.doc_id = c.a LEFT JOIN k ON d.doc_id = k.a"""
+
+# The article of pages as these tables have them: headings and paragraphs, with bold text and line breaks.
+PAGES = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(
+regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS b FROM a),
+t AS (SELECT page_id, url, regexp_replace(array_to_string(list_filter(b, lambda x: x <> ''), chr(10)), '&amp\b', '&', 'g') AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t"""
+
+TERMS = r"regexp_extract_all(translate(coalesce({0}, ''), '%s', '%s'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')" % (UPPER, LOWER)
+
+SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS.format('text')} AS w FROM documents),
+s AS (SELECT r, doc_id, len(w)::BIGINT AS n, w FROM d WHERE len(w) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM s),
+i AS (SELECT DISTINCT item_id, unnest({TERMS.format('text')}) AS t FROM benchmark),
+p AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(w) AS t FROM s) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY t, docs),
+c AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score FROM i JOIN p USING (t) JOIN f USING (t), g GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT * FROM k WHERE rank <= 50"""
+
+
+def _rounds(n: int, dims: int = 64) -> str:
+    """Assignments a0 to a{n} of vectors v to centroids c0 to c{n}, each moved by the assignment before."""
+    out = []
+    for i in range(n + 1):
+        square = f"list_reduce(list_prepend(0::BIGINT, list_transform(range(1, {dims + 1}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))), lambda a, y: a + y)"
+        out.append(f"a{i} AS (SELECT r, min(struct_pack(d := d, k := k)) AS b FROM (SELECT r, k, {square} AS d FROM v, c{i} c) GROUP BY r)")
+        if i < n:
+            out.append(f"m{i} AS (SELECT b.k AS k, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM (SELECT b, x, unnest(range(1, {dims + 1})) AS j FROM a{i} JOIN v USING (r)) GROUP BY ALL)")
+            out.append(f"c{i + 1} AS (SELECT o.k, coalesce(l, o.x) AS x FROM c{i} o LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS l FROM m{i} GROUP BY k) q ON o.k = q.k)")
+    return ",\n".join(out)
+
+
+CENTROIDS = f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS x FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT k, x FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS k, x FROM v) WHERE k < 16),
+{_rounds(3)},
+j AS (SELECT vec_id, b.k AS k, b.d AS d FROM a3 JOIN v USING (r)), s AS (SELECT k, sum(d)::BIGINT AS d FROM j GROUP BY k)
+SELECT vec_id, CAST(j.k AS INTEGER) AS cluster, j.d::BIGINT AS distance, s.d AS cluster_inertia, (SELECT sum(d)::BIGINT FROM j) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM j JOIN s ON j.k = s.k JOIN c3 ON j.k = c3.k"""

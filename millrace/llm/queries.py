@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, decontaminate, langid, mixing, near_dup, onebit_ann, oracles, quality, reputation, surrogates, toxicity
+from . import backoff_lm, centroids, decontaminate, langid, mixing, near_dup, onebit_ann, oracles, quality, reputation, site_templates, surrogates, threshold_search, toxicity
 from .common import fold, stash
 
 PII_KEY = "spark.millrace.pii.key"  # where the key of surrogates is set; without it they can be made again by anyone
@@ -84,5 +84,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_pareto_mix, op3_latent_decontamination, op4_backoff_lm, op5_onebit_ann, op6_host_reputation, op7_langid, op8_toxicity, op9_jaccard_join, op10_quality)}
-ORACLES = {"op2_pareto_mix": oracles.MIX, "op4_backoff_lm": oracles.LM, "op5_onebit_ann": oracles.ANN, "op6_host_reputation": oracles.urls(RULES), "op9_jaccard_join": oracles.JACCARD}
+def op11_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.main_text(table(spark, sf_dir, "pages"))
+
+
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_digests(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_pareto_mix, op3_latent_decontamination, op4_backoff_lm, op5_onebit_ann, op6_host_reputation, op7_langid, op8_toxicity, op9_jaccard_join, op10_quality, op11_site_templates, op12_threshold_search, op13_centroids)}
+ORACLES = {"op2_pareto_mix": oracles.MIX, "op4_backoff_lm": oracles.LM, "op5_onebit_ann": oracles.ANN, "op6_host_reputation": oracles.urls(RULES), "op9_jaccard_join": oracles.JACCARD, "op11_site_templates": oracles.PAGES, "op12_threshold_search": oracles.SEARCH, "op13_centroids": oracles.CENTROIDS}
