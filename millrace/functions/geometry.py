@@ -30,6 +30,12 @@ def points(flat: Column) -> Column:
     return F.when(ok, F.transform(F.sequence(F.lit(0), F.floor(F.size(flat) / 2).cast("int") - 1), lambda i: F.array(F.get(flat, i * 2), F.get(flat, i * 2 + 1))))
 
 
+def pixel_polygon(flat: Column, width: Column, height: Column) -> Column:
+    """x, y, x, y... as pairs clipped to the image, to four decimals; null if the length is odd or there are under three."""
+    inside = lambda v, most: F.round(F.greatest(F.lit(0.0), F.least(v, most)), 4)
+    return F.transform(points(flat), lambda p: F.array(inside(p[0], width), inside(p[1], height)))
+
+
 def box_of_points(pts: Column) -> Column:
     """x, y, w, h around points."""
     xs, ys = F.transform(pts, lambda p: p[0]), F.transform(pts, lambda p: p[1])

@@ -70,6 +70,76 @@ def targets(annotations: Column, labels: list[str]) -> Column:
     return F.transform(known, lambda a: F.struct(a["canonical_label"].alias("label"), corners(a["box_xywh"]).alias("box_xyxy")))
 
 
+def with_targets(rows: DataFrame, key: str, annotations: str, labels: list[str]) -> DataFrame:
+    """rows with targets; a row that has none raises, naming its key."""
+    found = targets(F.col(annotations), labels)
+    none = F.raise_error(F.concat(F.lit("no targets for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    out = rows.withColumn("targets", found)
+    kind = out.schema["targets"].dataType
+    return out.withColumn("targets", F.when(F.size("targets") > 0, F.col("targets")).otherwise(none.cast(kind)))
+
+
+# Class numbers of one source, and colours of another's masks, to native label, canonical label and strength.
+CLASS_NUMBERS = {
+    1: ("Algae", "unknown_review", "excluded"),
+    2: ("Crack", "crack", "direct"),
+    3: ("Net-Crack", "crack", "direct"),
+    4: ("Crack with Precipitation", "crack", "direct"),
+    5: ("Rust", "rust_staining", "direct_visual"),
+    6: ("Spalling", "spalling", "direct"),
+}
+MASK_COLOURS = {
+    (255, 255, 255, 255): ("crack", "crack", "direct"),
+    (255, 0, 0, 255): ("spalling", "spalling", "direct"),
+    (255, 255, 0, 255): ("corrosion", "rust_staining", "weak"),
+    (0, 255, 255, 255): ("efflorescence", "efflorescence_leaching", "direct"),
+}
+_MAPPED = "struct<native_label:string,canonical_label:string,mapping_strength:string>"
+
+
+def _mapped(native: Column, canonical: str, strength: str) -> Column:
+    return F.struct(native.alias("native_label"), F.lit(canonical).alias("canonical_label"), F.lit(strength).alias("mapping_strength"))
+
+
+def class_number(number: Column) -> Column:
+    """struct(native_label, canonical_label, mapping_strength) of a class number; unknown ones are for review."""
+    out = _mapped(F.concat(F.lit("unknown_"), number.cast("string")), "unknown_review", "unknown")
+    for n, (native, canonical, strength) in CLASS_NUMBERS.items():
+        out = F.when(number == n, _mapped(F.lit(native), canonical, strength)).otherwise(out)
+    return out
+
+
+def mask_colour(rgba: Column) -> Column:
+    """The same of a mask's colour, an array of four; null for other colours, which mean nothing."""
+    out = F.lit(None).cast(_MAPPED)
+    for colour, (native, canonical, strength) in MASK_COLOURS.items():
+        out = F.when(rgba == F.array(*[F.lit(c) for c in colour]), _mapped(F.lit(native), canonical, strength)).otherwise(out)
+    return out
+
+
+def from_class_numbers(rows: DataFrame, sample: str, objects: str, width: Column, height: Column) -> DataFrame:
+    """sample, annotation_id, the three labels, box_xywh (clipped), polygons_xy, segmentation_provenance and
+    rejected_geometry_count of objects, a struct of arrays category_id, bbox, segmentation (a list of flat polygons each) and
+    id, by place. Excluded classes go. The id is the place where there is none."""
+    o = F.col(objects)
+    place = rows.select(F.col(sample), o.alias("o"), width.cast("double").alias("w"), height.cast("double").alias("h"), F.posexplode(o["category_id"]).alias("i", "number")).withColumn("m", class_number(F.col("number")))
+    box = F.get("o.bbox", F.col("i"))
+    judged = F.transform(F.coalesce(F.get("o.segmentation", F.col("i")), F.array().cast("array<array<double>>")), lambda p: geometry.pixel_polygon(p, F.col("w"), F.col("h")))
+    good = F.filter(judged, lambda p: p.isNotNull())
+    return place.where("m.mapping_strength <> 'excluded'").select(
+        sample, F.coalesce(F.get("o.id", F.col("i")).cast("string"), F.col("i").cast("string")).alias("annotation_id"), "m.*",
+        geometry.clamp_box(box[0], box[1], box[0] + box[2], box[1] + box[3], F.col("w"), F.col("h")).alias("box_xywh"), good.alias("polygons_xy"),
+        F.when(F.size(good) > 0, "native_polygon").otherwise("unavailable_after_geometry_qc").alias("segmentation_provenance"), (F.size(judged) - F.size(good)).alias("rejected_geometry_count"),
+    )
+
+
+def from_mask_colours(colours: DataFrame, sample: str) -> DataFrame:
+    """sample, annotation_id, the three labels, box_xywh, pixel_count of colours(sample, rgba, pixel_count, box_xywh), one row
+    a colour that a mask has: those that mean something."""
+    known = colours.where("pixel_count > 0").withColumn("m", mask_colour(F.col("rgba"))).where("m is not null")
+    return known.select(sample, F.concat(F.lit("color-"), F.array_join(F.col("rgba").cast("array<string>"), "-")).alias("annotation_id"), "m.*", "box_xywh", "pixel_count")
+
+
 def indexed(rows: DataFrame, array: str, index: str = "annotation_index") -> DataFrame:
     """One row a member of an array, with its place from 0; rows without members go."""
     others = [c for c in rows.columns if c != array]

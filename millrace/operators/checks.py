@@ -121,8 +121,8 @@ def physical_rule(measured: Column, status: Column, method: Column) -> Column:
     return (F.coalesce(measured, F.lit("")) != "physical") | (F.coalesce(status == "valid", F.lit(False)) & (F.coalesce(method, F.lit("")) != ""))
 
 
-# The first bytes of the image formats that an annotation may have.
-SIGNATURES = {".png": "89504E470D0A1A0A", ".jpg": "FFD8FF", ".jpeg": "FFD8FF", ".bmp": "424D", ".tif": "49492A00"}
+# The first bytes of the image formats that an annotation may have, TIFF in either byte order.
+SIGNATURES = {".png": ("89504E470D0A1A0A",), ".jpg": ("FFD8FF",), ".jpeg": ("FFD8FF",), ".tif": ("49492A00", "4D4D002A"), ".tiff": ("49492A00", "4D4D002A")}
 
 
 def format_error(path: Column, content: Column) -> Column:
@@ -132,8 +132,11 @@ def format_error(path: Column, content: Column) -> Column:
     json = F.try_parse_json(content.cast("string"))
     head = F.hex(F.substring(content.cast("binary"), 1, 8))
     wrong = F.lit(False)
-    for e, signature in SIGNATURES.items():
-        wrong = wrong | ((ending == e) & ~head.startswith(signature))
+    for e, signatures in SIGNATURES.items():
+        known = F.lit(False)
+        for s in signatures:
+            known = known | head.startswith(s)
+        wrong = wrong | ((ending == e) & ~known)
     return F.when(~ending.isin(".json", *SIGNATURES), "unsupported_format").when((ending == ".json") & json.isNull(), "broken_json").when(wrong, "broken_image")
 
 
@@ -166,15 +169,18 @@ ROUGH_FROM, ROUGH = 1_000_000_000, 0.05
 
 def download_state(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """key, state of expected(key, bytes, sha256, md5; each may be null) against actual(key, bytes, sha256, md5): missing,
-    wrong_size, rough_size (a warning: a large size that is off by more), wrong_sha256, wrong_md5 or verified."""
+    wrong_size, rough_size (a warning: a large size that is off by more), wrong_sha256, wrong_md5, unknown (what is expected
+    is not known of the actual one) or verified."""
     have = actual.select(key, *[F.col(c).alias(f"_{c}") for c in ("bytes", "sha256", "md5")], F.lit(1).alias("_there"))
     rough, off = F.col("bytes") > ROUGH_FROM, F.abs(F.col("_bytes") - F.col("bytes"))
     differs = lambda c: F.lower(c) != F.lower(f"_{c}")
+    unknown = lambda c: F.col(c).isNotNull() & F.col(f"_{c}").isNull()
     state = (
         F.when(F.col("_there").isNull(), "missing")
         .when(~rough & (off > 0), "wrong_size")
         .when(differs("sha256"), "wrong_sha256")
         .when(differs("md5"), "wrong_md5")
+        .when(unknown("bytes") | unknown("sha256") | unknown("md5"), "unknown")
         .when(rough & (off / F.col("bytes") > ROUGH), "rough_size")
         .otherwise("verified")
     )

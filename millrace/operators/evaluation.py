@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from .boxes import greedy_match, overlaps, suppress  # noqa: F401
 from .skew import running_sums
 
 
@@ -58,8 +58,11 @@ def micro_metrics(rows: DataFrame, target: str, score: str, thresholds: DataFram
 
 
 def micro_metrics_own(rows: DataFrame, target: str, score: str, thresholds: DataFrame, label: str) -> DataFrame:
-    """Metrics over all labels, each at its own threshold."""
-    return binary_metrics(rows.join(thresholds.select(label, "threshold"), label), target, score, "threshold")
+    """Metrics over all labels, each at its own threshold; a label without one raises."""
+    each = rows.join(thresholds.select(label, "threshold"), label, "left")
+    missing = F.raise_error(F.concat(F.lit("no threshold for label "), F.coalesce(F.col(label).cast("string"), F.lit("null"))))
+    own = F.when(F.col("threshold").isNotNull(), F.col("threshold")).otherwise(missing.cast("double"))
+    return binary_metrics(each.withColumn("threshold", own), target, score, "threshold")
 
 
 def operating_point(metrics: DataFrame) -> DataFrame:
@@ -67,41 +70,6 @@ def operating_point(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.max_by(F.struct(*metrics.columns), F.struct("f1", "recall", -F.col("confidence"))).alias("b")).select("b.*")
 
 
-def suppress(boxes: DataFrame, image: str, label: str, box: Sequence[str], score: str, tie: Sequence[str], threshold: float = 0.85) -> DataFrame:
-    """Greedy suppression in each image: by falling score (ties by `tie`), a box goes if one kept of its label overlaps by
-    threshold or more. Whole rows of boxes come back. The order makes an image and label a sequence: one fold over it."""
-    corners = F.array(*[F.col(c).cast("double") for c in box])
-    each = F.struct((-F.col(score)).alias("_s"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)], corners.alias("_b"), F.struct(*boxes.columns).alias("_r"))
-    packed = boxes.groupBy(F.col(image).alias("_image"), F.col(label).alias("_label")).agg(F.array_sort(F.collect_list(each)).alias("_l"))
-    step = lambda kept, x: F.when(F.exists(kept, lambda k: geometry.iou(k["_b"], x["_b"]) >= threshold), kept).otherwise(F.concat(kept, F.array(x)))
-    return packed.select(F.explode(F.aggregate("_l", F.slice("_l", 1, 0), step)).alias("k")).select("k._r.*")
-
-
-def greedy_match(predicted: DataFrame, true: DataFrame, image: str, label: str, box: Sequence[str], order: str, threshold: float = 0.5, tie: str = "lowest") -> DataFrame:
-    """image, label, tp, fp, fn, support, iou_sum: each prediction in order takes the free true box of its label that
-    overlaps most, if by threshold; of equals the lowest or the highest in order. One fold over an image's predictions."""
-
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        each = F.struct(F.col(order).alias("o"), F.array(*[F.col(c).cast("double") for c in box]).alias("b"))
-        return rows.groupBy(image, label).agg(F.array_sort(F.collect_list(each)).alias(name))
-
-    both = side(predicted, "_p").join(side(true, "_t"), [image, label], "full_outer")
-    kind = both.schema["_p"].dataType.simpleString()
-    none = F.array().cast(kind)
-    both = both.withColumns({"_p": F.coalesce("_p", none), "_t": F.coalesce("_t", none)})
-
-    def step(acc: Column, p: Column) -> Column:
-        first = (lambda i: -i) if tie == "lowest" else (lambda i: i)
-        best = F.array_max(F.transform(acc["free"], lambda t, i: F.struct(geometry.iou(p["b"], t["b"]).alias("v"), first(i).alias("i"), t["o"].alias("o"))))
-        hit = F.coalesce((best["v"] >= threshold) & (best["v"] > 0), F.lit(False))
-        free = F.when(hit, F.filter(acc["free"], lambda t: t["o"] != best["o"])).otherwise(acc["free"])
-        return F.struct(free.alias("free"), (acc["tp"] + hit.cast("bigint")).alias("tp"), (acc["total"] + F.when(hit, best["v"]).otherwise(0.0)).alias("total"))
-
-    start = F.struct(F.col("_t").alias("free"), F.lit(0).cast("bigint").alias("tp"), F.lit(0.0).alias("total"))
-    done = both.select(image, label, F.size("_p").cast("bigint").alias("_n"), F.size("_t").cast("bigint").alias("support"), F.aggregate("_p", start, step).alias("m"))
-    return done.select(image, label, F.col("m.tp").alias("tp"), (F.col("_n") - F.col("m.tp")).alias("fp"), (F.col("support") - F.col("m.tp")).alias("fn"), "support", F.col("m.total").alias("iou_sum"))
-
-
 def mask_metrics(pixels: DataFrame, p: str, t: str, by: Sequence[str] = ()) -> DataFrame:
     """bce, dice_loss (smoothed by 1) and iou (at 0.5) of probabilities p against targets t of 0/1."""
     q = F.least(F.greatest(F.col(p), F.lit(1e-7)), F.lit(1 - 1e-7))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import seeded_rank
 from ..sources.sinks import stash
 from .checks import ConstraintError
+from .skew import running_sums
 
 
 def quota_select(rows: DataFrame, key: str, group: str, label: str, quotas: Sequence[tuple[str, int]], total: int, seed: str) -> DataFrame:
@@ -41,17 +42,22 @@ def quota_select(rows: DataFrame, key: str, group: str, label: str, quotas: Sequ
 def group_safe_split_large(rows: DataFrame, group: str, fraction: float, seed: str, bins: int = 4096) -> DataFrame:
     """group, n, split: groups in hash order go to validation until it has its fraction of rows, and then to train.
 
-    Hash ranks are binned, whole bins go to either side, and only the bin in which validation fills up is ordered.
+    Hash ranks are binned, whole bins go to either side, and only the bin in which validation fills up is ordered. A split
+    that leaves a side empty raises.
     """
     by = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_rank", seeded_rank(F.col(group), seed))
-    by = by.withColumn("_bin", F.conv(F.substring("_rank", 1, 3), 16, 10).cast("int") % bins)
+    by = stash(by.withColumn("_bin", F.conv(F.substring("_rank", 1, 3), 16, 10).cast("int") % bins), "groups")
     size = by.groupBy("_bin").agg(F.sum("n").alias("words"))  # at most `bins` rows
     every = W.partitionBy(F.lit(0))
     upto = F.sum("words").over(every.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
     place = size.select("_bin", F.coalesce(upto, F.lit(0)).alias("_before"), F.greatest(F.lit(1), F.round(F.sum("words").over(every) * fraction)).alias("_want"))
     inside = W.partitionBy("_bin").orderBy("_rank", group).rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return by.join(F.broadcast(place), "_bin").select(group, "n", F.when(before < F.col("_want"), "validation").otherwise("train").alias("split"))
+    out = by.join(F.broadcast(place), "_bin").select(group, "n", F.when(before < F.col("_want"), "validation").otherwise("train").alias("split"))
+    sides = [r[0] for r in out.select("split").distinct().collect()]
+    if len(sides) < 2:
+        raise ConstraintError(f"groups cannot be split: all are in {sides[0] if sides else 'neither side'}")
+    return out
 
 
 def ordinals(rows: DataFrame, order: Sequence[str | Column], name: str = "ordinal") -> DataFrame:
@@ -74,16 +80,19 @@ def prefix_split(rows: DataFrame, order: Sequence[str], fraction: float) -> Data
     return placed.crossJoin(many).withColumn("split", F.when(F.col("ordinal") <= F.floor(F.col("_n") * fraction), "train").otherwise("validation")).drop("_n")
 
 
-def _at_places(rows: DataFrame, order: Sequence[str], places) -> DataFrame:
-    """rows with ordinal from 0, at places(N), an array of a few."""
+def _at_places(rows: DataFrame, order: Sequence[str], places, least: int = 0) -> DataFrame:
+    """rows with ordinal from 0, at places(N), an array of a few. Fewer rows than `least` raise."""
     placed = ordinals(rows, order).withColumn("ordinal", F.col("ordinal") - 1)
+    if least and (n := placed.count()) < least:
+        raise ConstraintError(f"{n} rows for {least} places")
     wanted = placed.agg(F.count(F.lit(1)).alias("_n")).select(F.explode(F.array_distinct(places(F.col("_n")))).alias("ordinal"))
     return placed.join(F.broadcast(wanted), "ordinal")  # as many as places
 
 
 def evenly_spaced(rows: DataFrame, order: Sequence[str], count: int) -> DataFrame:
-    """The rows at places round(i (N - 1) / (count - 1)), i from 0, half to even, with their ordinal from 0."""
-    return _at_places(rows, order, lambda n: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (n - 1) / (count - 1), 0).cast("bigint")))
+    """The rows at places round(i (N - 1) / (count - 1)), i from 0, half to even, with their ordinal from 0; fewer rows than
+    count raise."""
+    return _at_places(rows, order, lambda n: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (n - 1) / (count - 1), 0).cast("bigint")), count)
 
 
 def probe(rows: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -117,6 +126,7 @@ def relabel(split: Column, names: Mapping[str, str]) -> Column:
 
 
 def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """rows with sample_id: the group's name and a four-digit number from 1 in the order given."""
-    n = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    return rows.withColumn("sample_id", F.format_string("%s_%04d", F.col(group), n))
+    """rows with sample_id: the group's name and a four-digit number from 1 in the order given, which has no ties. A group is
+    numbered by ranges of the order, so that one with nearly all rows is spread over the tasks."""
+    placed = running_sums(rows, [group], [F.col(c) for c in order], {"_place": F.lit(1).cast("bigint")})
+    return placed.withColumn("sample_id", F.format_string("%s_%04d", F.col(group), F.col("_place"))).drop("_place")

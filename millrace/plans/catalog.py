@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, labels
 from ..operators import annotations, checks, dedup, evaluation, findings, registry, sampling
+from ..operators.boxes import overlaps
 from ..sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,10 +345,10 @@ greatest(0.0::DOUBLE, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0.0::
 (p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) AS s FROM b p JOIN b q ON p.l_orderkey = q.l_orderkey AND p.l_returnflag = q.l_returnflag AND p.l_linenumber < q.l_linenumber)
 SELECT l_orderkey, p_line, p_part, q_line, q_part, round(i / (s - i), 9) AS iou FROM p WHERE i > 0""")
 def box_iou_pairs(spark, d):
-    b = boxes(spark, d).select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", F.array("x1", "y1", "x2", "y2").alias("box"))
-    q = b.select("l_orderkey", "l_returnflag", F.col("l_linenumber").alias("q_line"), F.col("l_partkey").alias("q_part"), F.col("box").alias("q_box"))
-    both = b.join(q, ["l_orderkey", "l_returnflag"]).where("l_linenumber < q_line")
-    return both.select("l_orderkey", F.col("l_linenumber").alias("p_line"), F.col("l_partkey").alias("p_part"), "q_line", "q_part", F.round(geometry.iou(F.col("box"), F.col("q_box")), 9).alias("iou")).where("iou > 0")
+    each = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.array("x1", "y1", "x2", "y2").alias("b"))
+    b = boxes(spark, d).select("l_orderkey", "l_returnflag", each.alias("v"))
+    both = overlaps(b, b, ["l_orderkey", "l_returnflag"]).where("l.line < r.line")
+    return both.select("l_orderkey", F.col("l.line").alias("p_line"), F.col("l.part").alias("p_part"), F.col("r.line").alias("q_line"), F.col("r.part").alias("q_part"), F.round("iou", 9).alias("iou"))
 
 
 @query(f"""WITH {BOX_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h,

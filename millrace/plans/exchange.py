@@ -147,8 +147,21 @@ def label_dataset(spark, d):
     root = sinks.new_path(spark, "dataset")
     rows = docs_split(spark, d).where("lang is not null").select("split", "source", "doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), "lang").alias("line"))
     sinks.label_dataset(rows, root, "source", "doc_id", "line", "split", ["crack", "spalling"])
-    read = spark.read.text(f"{root}/labels", wholetext=True)
-    return read.select("split", F.col("sample").alias("source"), F.rtrim("value", F.lit("\n")).alias("label_lines"))
+    read = spark.read.option("recursiveFileLookup", True).text(f"{root}/labels", wholetext=True)
+    part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), r"/labels/([^/]+)/([^/]+)[.]txt$", i)
+    return read.select(part(1).alias("split"), part(2).alias("source"), F.rtrim("value", F.lit("\n")).alias("label_lines"))
+
+
+@query("""SELECT s_suppkey, sha256(s_name) AS sha256, octet_length(encode(s_name)) AS size, 'written' AS first, 'reused_identical' AS again, CASE WHEN s_suppkey % 3 = 0 THEN 'overwritten' ELSE 'reused_identical' END AS other FROM supplier""")
+def files_of_rows(spark, d):
+    """A file a supplier, written three times by executors: new, the same again, and with some other contents."""
+    root = sinks.new_path(spark, "derived")
+    key = F.col("s_suppkey").cast("string")
+    rows = t(spark, d, "supplier").select("s_suppkey", F.concat((F.col("s_suppkey") % 7).cast("string"), F.lit("/"), key, F.lit(".txt")).alias("path"), F.col("s_name").alias("content"))
+    other = rows.withColumn("content", F.when(F.col("s_suppkey") % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    first, again, third = (sinks.write_files(x, f"{root}/files", replace=replace, report=f"{root}/{n}") for n, (x, replace) in enumerate(((rows, False), (rows, False), (other, True))))
+    out = first.withColumnRenamed("state", "first").join(again.select("path", F.col("state").alias("again")), "path").join(third.select("path", F.col("state").alias("other")), "path")
+    return rows.select("s_suppkey", "path").join(out, "path").select("s_suppkey", "sha256", "size", "first", "again", "other")
 
 
 @query("""SELECT count(*) AS files, 'written' AS first, 'reused_identical' AS again, 'overwritten' AS other FROM region""")

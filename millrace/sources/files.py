@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import shard_split, stem
-
-_MEMBER = "archive string, ordinal int, member string, is_dir boolean, size bigint, payload binary"
+from . import ranges
 
 
 def csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -21,8 +18,11 @@ def csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
 
 
 def last_row(rows: DataFrame, order: str) -> DataFrame:
-    """The row of greatest order; no row of an empty table."""
-    return rows.agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("r")).where("r is not null").select("r.*")
+    """The row of greatest order; a table without rows raises when it is read."""
+    best = rows.agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("r"), F.count(F.lit(1)).alias("n"))
+    kind = best.schema["r"].dataType
+    some = F.when(F.col("n") > 0, F.col("r")).otherwise(F.raise_error(F.lit("no rows to take the last of")).cast(kind))
+    return best.select(some.alias("r")).select("r.*")
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -62,15 +62,8 @@ def parquet_with_position(spark: SparkSession, path: str, columns: list[str]) ->
 
 
 def parquet_lookup(spark: SparkSession, path: str, columns: list[str], wanted: DataFrame) -> DataFrame:
-    """Rows at wanted(file_name, row_index); places that the files do not have raise."""
-    want = wanted.select("file_name", "row_index").distinct()
-    low, high = want.agg(F.min("row_index"), F.max("row_index")).first()
-    at = parquet_with_position(spark, path, columns)
-    found = at.where(F.col("row_index").between(F.lit(low), F.lit(high))) if low is not None else at.limit(0)
-    absent = want.join(found.select("file_name", "row_index"), ["file_name", "row_index"], "left_anti").limit(5).collect()
-    if absent:
-        raise LookupError(f"no rows at {[tuple(r) for r in absent]}")
-    return found.join(want, ["file_name", "row_index"])
+    """Rows at wanted(file_name, row_index): only row groups that hold one are read. Places that the files do not have raise."""
+    return ranges.rows_at(spark, path, columns, wanted)
 
 
 def row_count(spark: SparkSession, path: str) -> int:
@@ -84,8 +77,8 @@ def rows_by_shard(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_rows(spark: SparkSession, path: str, columns: list[str], n: int) -> DataFrame:
-    """The first n rows of Parquet files by file and place; a limit ends the scan early."""
-    return parquet_with_position(spark, path, columns).orderBy("file_name", "row_index").limit(n)
+    """The first n rows of Parquet files by file and place: only the row groups that hold them are read."""
+    return ranges.first_rows(spark, path, columns, n)
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -130,22 +123,12 @@ def literal_sources(spark: SparkSession, rows: list[tuple], schema: str, folders
 def zip_members(spark: SparkSession, path: str, *, prefix: str = "", suffix: str = "", payload: bool = True) -> DataFrame:
     """Members of ZIP files as rows; suffix without regard to case; resource forks are left out.
 
-    An archive is one row of bytes in a task, its members go out one by one.
+    Directories are read first; members are dealt over tasks, each of which reads its own by ranges.
     """
-    def run(batches):
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for n, info in enumerate(z.infolist()):
-                        parts = info.filename.split("/")
-                        if info.filename.startswith(prefix) and info.filename.lower().endswith(suffix.lower()) and "__MACOSX" not in parts and not parts[-1].startswith("._"):
-                            data = z.read(info) if payload and not info.is_dir() else None
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([name]), pa.array([n], pa.int32()), pa.array([info.filename]), pa.array([info.is_dir()]), pa.array([info.file_size], pa.int64()), pa.array([data], pa.binary())],
-                                names=["archive", "ordinal", "member", "is_dir", "size", "payload"],
-                            )
-
-    return files(spark, path, "*.zip").select("path", "content").mapInArrow(run, _MEMBER)
+    kept = ranges.zip_directory(spark, path).where(ranges.kept_members(prefix, suffix))
+    if payload:
+        return ranges.read_members(kept)
+    return kept.select("archive", "ordinal", "member", "is_dir", "size", F.lit(None).cast("binary").alias("payload"))
 
 
 def members_by_stem(members: DataFrame) -> DataFrame:
@@ -180,6 +163,27 @@ def links(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1))
 
 
+def local_links(documents: DataFrame, path: str, text: str) -> DataFrame:
+    """path, target, resolved: links of Markdown documents to other files. Web and mail addresses and bare fragments are left
+    out; a target is taken from its document's folder, with escapes decoded and `.` and `..` followed."""
+    every = F.regexp_extract_all(F.col(text), F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1))
+    each = documents.select(F.col(path).alias("path"), F.explode(every).alias("raw"))
+    target = F.regexp_replace(F.split(F.regexp_replace(F.trim("raw"), "^[<>]+|[<>]+$", ""), "#", 2)[0], "^$", "")
+    each = each.select("path", target.alias("target")).where("target <> '' and not target rlike '^(https?://|mailto:)'")
+    decoded = F.url_decode(F.replace("target", F.lit("+"), F.lit("%2B")))
+    whole = F.when(decoded.startswith("/"), decoded).otherwise(F.concat(F.regexp_extract("path", r"^(.*/)?", 0), decoded))
+    step = lambda at, x: F.when(x.isin("", "."), at).when(x == "..", F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.concat(at, F.array(x)))
+    parts = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)
+    return each.withColumn("resolved", F.concat(F.when(whole.startswith("/"), "/").otherwise(""), F.array_join(parts, "/")))
+
+
+def missing_links(documents: DataFrame, path: str, text: str, listing: DataFrame) -> DataFrame:
+    """path, target of local links to what is neither a file of listing(path) nor a folder above one."""
+    up = lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda n: F.array_join(F.slice(p, F.lit(1), n), "/"))
+    there = listing.select(F.explode(up(F.split("path", "/"))).alias("resolved")).distinct()
+    return local_links(documents, path, text).join(there, "resolved", "left_anti").select("path", "target")
+
+
 _PART = "request string, ordinal int, field string, filename string, content binary"
 
 

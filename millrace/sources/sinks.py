@@ -2,39 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a local one is made, which only local mode may use."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has yet."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .file_writer import write_files
+from .stash import new_path, stash, work_dir  # noqa: F401
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -86,20 +60,22 @@ def write_template(rows: DataFrame, path: str) -> None:
     rows.write.mode("ignore").option("header", True).csv(path)
 
 
-def write_label_files(lines: DataFrame, path: str, sample: str, order: str, line: str, split: str) -> None:
-    """One text row a sample (its lines in order), in folders by split."""
+def label_files(lines: DataFrame, sample: str, order: str, line: str, split: str) -> DataFrame:
+    """split, sample, label_lines, and path and content of one file a sample: `labels/<split>/<sample>.txt`, lines in order."""
     each = F.struct(F.col(order).alias("o"), F.col(line).alias("l"))
-    packed = lines.groupBy(split, sample).agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["l"]), "\n").alias("value"))
-    packed.select(split, "value").write.mode("overwrite").partitionBy(split).text(path)
+    packed = lines.groupBy(split, sample).agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["l"]), "\n").alias("label_lines"))
+    path = F.concat(F.lit("labels/"), F.col(split), F.lit("/"), F.col(sample).cast("string"), F.lit(".txt"))
+    return packed.withColumns({"path": path, "content": F.concat("label_lines", F.lit("\n")).cast("binary")})
 
 
 def label_dataset(lines: DataFrame, root: str, sample: str, order: str, line: str, split: str, names: Sequence[str]) -> DataFrame:
-    """A detector's data set below root: label files by split and sample, a list of samples for each split, and data.yaml.
-    Returns split, sample, label_lines."""
-    each = F.struct(F.col(order).alias("o"), F.col(line).alias("l"))
-    packed = lines.groupBy(split, sample).agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["l"]), "\n").alias("label_lines"))
-    kept = stash(packed, "labels")
-    kept.select(F.col(split).alias("split"), F.col(sample).cast("string").alias("sample"), F.col("label_lines").alias("value")).repartition("split", "sample").write.mode("overwrite").partitionBy("split", "sample").text(f"{root}/labels")
+    """A detector's data set below root: a label file a sample, a list of samples for each split, and data.yaml.
+    Returns split, sample, label_lines.
+
+    Executors write the label files and the commit puts them in place; files that are there with the same lines are kept.
+    """
+    kept = stash(label_files(lines, sample, order, line, split), "labels")
+    write_files(kept, root, replace=True)
     kept.select(F.col(split).alias("split"), F.concat(F.lit("images/"), F.col(split), F.lit("/"), F.col(sample).cast("string")).alias("value")).repartition("split").sortWithinPartitions("value").write.mode("overwrite").partitionBy("split").text(f"{root}/lists")
     spark = lines.sparkSession
     splits = sorted(r[0] for r in kept.select(split).distinct().collect())  # a few splits

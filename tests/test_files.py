@@ -94,3 +94,104 @@ def test_streaming_matches_batch(spark, tmp_path):
     assert n.agg(F.sum("n")).first()[0] == rows.count()
     assert reviews.sessions(rows, "ts", "user_id").count() > 0
     assert reviews.distinct_events(stream, "event_id", "ts").isStreaming
+
+
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, path):
+        self.f, self.read_bytes = open(path, "rb"), 0
+
+    def read(self, n=-1):
+        out = self.f.read(n)
+        self.read_bytes += len(out)
+        return out
+
+    def __getattr__(self, name):
+        return getattr(self.f, name)
+
+
+def test_only_wanted_row_groups_are_read(spark, tmp_path):
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from millrace.sources import ranges
+
+    os.makedirs(tmp_path / "p")
+    for k in range(3):
+        rows = 10_000
+        ids = [k * rows + i for i in range(rows)]
+        pq.write_table(pa.table({"id": ids, "text": [f"{i * 7919 % 10007:x}" * 20 for i in ids]}), tmp_path / "p" / f"f{k}.parquet", row_group_size=1000)
+    path = str(tmp_path / "p")
+    groups = ranges.row_groups(spark, path)
+    assert groups.count() == 30 and groups.agg(F.sum("rows")).first()[0] == 30_000
+    want = [("f0.parquet", 0), ("f0.parquet", 999), ("f2.parquet", 5000), ("f2.parquet", 5000), ("f2.parquet", 9999)]
+    wanted = spark.createDataFrame(want, "file_name string, row_index bigint")
+    got = files.parquet_lookup(spark, path, ["id"], wanted).collect()
+    assert sorted((r["id"], r["file_name"], r["row_index"]) for r in got) == [(0, "f0.parquet", 0), (999, "f0.parquet", 999), (25_000, "f2.parquet", 5000), (29_999, "f2.parquet", 9999)]
+    with pytest.raises(LookupError):
+        files.parquet_lookup(spark, path, ["id"], spark.createDataFrame([("f0.parquet", 10_000)], wanted.schema))
+    assert files.parquet_lookup(spark, path, ["id"], wanted.limit(0)).count() == 0
+    # bytes: a column of one row group, and not the file
+    one = Counted(tmp_path / "p" / "f1.parquet")
+    assert ranges.read_rows(one, 3, ["id"], [5, 0]).column("id").to_pylist() == [13_005, 13_000]
+    size = os.path.getsize(tmp_path / "p" / "f1.parquet")
+    footer = int.from_bytes(open(tmp_path / "p" / "f1.parquet", "rb").read()[-8:-4], "little") + 8
+    column = pq.read_metadata(tmp_path / "p" / "f1.parquet").row_group(3).column(0).total_compressed_size
+    assert one.read_bytes < max(footer, 65536) + footer + column + 1024 and one.read_bytes < size / 2
+    first = files.first_rows(spark, path, ["id"], 1500)
+    assert sorted(r["id"] for r in first.collect()) == list(range(1500))
+    assert files.first_rows(spark, path, ["id"], 50_000).count() == 30_000
+
+
+def test_members_are_dealt_over_tasks(spark, tmp_path):
+    import random
+
+    r = random.Random(1)
+    want = {}
+    with zipfile.ZipFile(tmp_path / "big.zip", "w") as z:
+        for i in range(200):
+            data = r.randbytes(20_000)
+            z.writestr(zipfile.ZipInfo(f"d/{i:03d} é.bin"), data, zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED)
+            want[f"d/{i:03d} é.bin"] = data
+        z.mkdir("empty")
+    m = files.zip_members(spark, str(tmp_path))
+    sizes = [len(p) for p in m.rdd.glom().collect()]
+    assert sum(sizes) == 201 and max(sizes) < 120 and sum(s > 0 for s in sizes) > 1
+    assert {x["member"]: bytes(x["payload"]) for x in m.where("not is_dir").collect()} == want
+    assert [x["payload"] for x in m.where("is_dir").collect()] == [None]
+    raw = bytearray((tmp_path / "big.zip").read_bytes())
+    raw[200] ^= 1
+    (tmp_path / "big.zip").write_bytes(raw)
+    with pytest.raises(Exception, match="checksum|BadZip"):
+        files.zip_members(spark, str(tmp_path)).collect()
+
+
+def test_files_are_put_in_place_by_the_commit(spark, tmp_path):
+    root = str(tmp_path / "out")
+    rows = spark.createDataFrame([(f"a/{i}.txt", f"text {i}") for i in range(20)], "path string, content string").repartition(4)
+    state = lambda df: sorted((r["state"], r["path"]) for r in df.collect())
+    assert {s for s, _ in state(sinks.write_files(rows, root, report=f"{tmp_path}/r1"))} == {"written"}
+    assert {s for s, _ in state(sinks.write_files(rows, f"file://{root}", report=f"{tmp_path}/r2"))} == {"reused_identical"}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a"] and (tmp_path / "out/a/7.txt").read_text() == "text 7"
+    changed = rows.withColumn("content", F.when(F.col("path") == "a/3.txt", "new").otherwise(F.col("content"))).unionAll(spark.createDataFrame([("b.txt", "b")], rows.schema))
+    with pytest.raises(Exception, match="other bytes"):
+        sinks.write_files(changed, root)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a"] and (tmp_path / "out/a/3.txt").read_text() == "text 3"
+    got = state(sinks.write_files(changed, root, replace=True, report=f"{tmp_path}/r3"))
+    assert [x for x in got if x[0] != "reused_identical"] == [("overwritten", "a/3.txt"), ("written", "b.txt")] and (tmp_path / "out/a/3.txt").read_text() == "new"
+    with pytest.raises(Exception, match="leaves the folder"):
+        sinks.write_files(spark.createDataFrame([("../x", "x")], rows.schema), root)
+    fails = F.when(F.col("path") == "b.txt", F.raise_error(F.lit("task failed"))).otherwise(F.col("path"))
+    with pytest.raises(Exception, match="task failed"):
+        sinks.write_files(changed.withColumn("path", F.concat(fails, F.lit(".new"))), root)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "b.txt"] and len(list((tmp_path / "out/a").iterdir())) == 20
+
+
+def test_label_files_of_samples(spark, tmp_path):
+    rows = spark.createDataFrame([("train", "s1", 2, "1 0.5"), ("train", "s1", 1, "0 0.25"), ("val", "s2", 1, "1 1")], "split string, sample string, n int, line string")
+    sinks.label_dataset(rows, str(tmp_path / "set"), "sample", "n", "line", "split", ["crack", "rust"])
+    assert (tmp_path / "set/labels/train/s1.txt").read_text() == "0 0.25\n1 0.5\n" and (tmp_path / "set/labels/val/s2.txt").read_text() == "1 1\n"
+    assert "names: [crack, rust]" in (tmp_path / "set/data.yaml").read_text()

@@ -109,6 +109,74 @@ def test_hamming_pairs_are_all_pairs(spark, radius):
     assert {tuple(x) for x in got} == want
 
 
+@pytest.mark.parametrize("tile", [8, 64, 2048])
+@pytest.mark.parametrize("radius", [0, 3, 20])
+def test_tiles_and_bands_find_the_same_codes(spark, radius, tile):
+    """Codes in clusters and far ones, in many blocks of a few pivots' cells."""
+    r = random.Random(radius)
+    codes = {r.getrandbits(63) for _ in range(60)}
+    for c in list(codes)[:12]:
+        for _ in range(25):
+            codes.add(c ^ sum(1 << b for b in r.sample(range(63), r.randint(1, 9))))
+    codes = sorted(codes) + [0, (1 << 63) - 1]
+    want = {(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= radius}
+    df = spark.createDataFrame([(c,) for c in codes], "c bigint")
+    blocks = dedup.blocks_of(df, len(codes), 63, tile)[0].collect()
+    assert sorted(c for x in blocks for c in x["codes"]) == sorted(codes) and len(blocks) >= len(codes) / tile
+    assert sorted(tuple(x) for x in dedup._by_tiles(df, len(codes), radius, 63, tile).collect()) == sorted(want)
+    if tile == 8:
+        n, flips, _ = dedup.banding(len(codes), radius, 63)
+        assert sorted(tuple(x) for x in dedup._by_bands(df, radius, 63, n, flips).collect()) == sorted(want)
+
+
+def test_a_class_of_equal_codes_is_one_row(spark):
+    rows = [(i, 5) for i in range(500)] + [(500 + i, 7) for i in range(40)] + [(4000, 1 << 40), (4001, None)]
+    df = spark.createDataFrame(rows, "id int, c bigint")
+    got = dedup.class_pairs(dedup.code_members(df, "id", "c"), 1).collect()
+    assert {tuple(x) for x in got} == {(5, 5, 0, 500, 500), (7, 7, 0, 40, 40), (5, 7, 1, 500, 40)}
+    assert len(got) == 3
+    pairs = dedup.hamming_pairs(df, "id", "c", 1)
+    assert pairs.count() == 500 * 499 // 2 + 40 * 39 // 2 + 500 * 40 == pairs.where("left_id < right_id").distinct().count()
+    sizes = [len(x) for x in pairs.rdd.glom().collect()]
+    assert len(sizes) > 1 and max(sizes) < sum(sizes) * 2 / len(sizes)
+
+
+@pytest.mark.parametrize("few", [0, 100, 1000])
+@pytest.mark.parametrize("least", [0.0, 0.3, 0.85])
+def test_overlaps_meet_once(spark, least, few):
+    r = random.Random(9)
+    rows = []
+    for i in range(150):
+        w, h = 2.0 ** r.uniform(-6, 9), 2.0 ** r.uniform(-6, 9)
+        x, y = r.choice([r.uniform(-300, 300), 0.0, 64.0]), r.choice([r.uniform(-300, 300), 0.0, -128.0])
+        rows.append((i % 2, i, [x, y, x + w, y + h]))
+    for i in range(150, 300):
+        a = rows[r.randrange(150)][2]
+        rows.append((i % 2, i, [v + r.uniform(-0.02, 0.02) * (a[2] - a[0]) for v in a]))
+    rows += [(0, 300, [0.0, 0.0, 0.0, 5.0]), (None, 305, [0.0, 0.0, 9.0, 9.0]), (0, 301, [5.0, 5.0, 1.0, 9.0]), (0, 302, [0.0, None, 1.0, 1.0]), (0, 303, [float("nan"), 0.0, 1.0, 1.0]), (0, 304, None)]
+    df = spark.createDataFrame(rows, "g int, n int, b array<double>").selectExpr("g", "struct(n, b) as v")
+    left, right = df.where("v.n % 3 <> 0"), df.where("v.n % 3 <> 1")
+    got = evaluation.overlaps(left, right, ["g"], least, few).select("l.n", "r.n").collect()
+    good = [x for x in rows if x[2] and None not in x[2] and all(v == v for v in x[2])]
+    want = {(a, b) for g, a, p in good for k, b, q in good if g == k is not None and a % 3 != 0 and b % 3 != 1 and 0 < iou(p, q) >= least}
+    assert sorted(tuple(x) for x in got) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [0, 50, 10**6])
+def test_suppression_by_rounds_is_greedy(spark, most):
+    """Chains of overlaps, heaps of equal boxes, one image with nearly all."""
+    r = random.Random(most)
+    rows = [(0, "a", float(i), 0.0, i + 4.0, 4.0, r.randint(0, 3) / 3, i) for i in range(120)]
+    rows += [(0, "a", 500.0, 500.0, 510.0, 510.0, 0.5, i) for i in range(120, 180)]
+    rows += [(1, "b", 0.0, 0.0, 0.0, 4.0, 0.5, i) for i in range(180, 184)] + [(r.randint(0, 1), None, *(x := [float(r.randint(0, 9)), float(r.randint(0, 9))]), x[0] + 5, x[1] + 5, 0.1, i) for i in range(184, 220)]
+    kept = []
+    for b in sorted(rows, key=lambda x: (-x[6], x[7])):
+        if not any(k[:2] == b[:2] and iou(k[2:6], b[2:6]) >= 0.4 for k in kept):
+            kept.append(b)
+    got = evaluation.suppress(spark.createDataFrame(rows, COLS), "image", "label", ["x1", "y1", "x2", "y2"], "score", ["n"], 0.4, most).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == sorted(kept, key=repr)
+
+
 def test_splits_agree_and_hold_groups(spark):
     rows = spark.range(3000).select((F.col("id") % 211).alias("g"))
     import hashlib
