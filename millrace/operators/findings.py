@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geometry
+
 # What a review does to a finding's state.
 ACTIONS = {"approve": "approved", "reject": "rejected", "relabel": "relabelled"}
 
@@ -19,6 +22,89 @@ def uuid5(name: pd.Series) -> pd.Series:
     return name.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
 
 
+# Fixed values of finding records.
+SCHEMA_VERSION = "1.0.0-beta"
+TAXONOMY = "BDI-TAX-001@0.1.0-beta"
+CAPTURE_MODES = ("handheld", "UAV", "fixed_camera", "unknown")
+LIMITATIONS = ("candidate_only", "manual_review_required", "not_structural_safety_determination")
+
+
+@F.pandas_udf(T.StringType())
+def finding_id(run: pd.Series, sample: pd.Series, family: pd.Series, subtype: pd.Series, box: pd.Series) -> pd.Series:
+    """`finding-` and the name-based UUID of the compact JSON of the five."""
+    keys = (json.dumps([r, s, f, t, [float(v) for v in b]], separators=(",", ":")) for r, s, f, t, b in zip(run, sample, family, subtype, box))
+    return pd.Series([f"finding-{uuid.uuid5(uuid.NAMESPACE_URL, k)}" for k in keys])
+
+
+def finding_records(detections: DataFrame, run: str, project: str, created_at: Column, provenance: dict[str, str]) -> DataFrame:
+    """One nested record a detection, with the whole content of the finding schema.
+
+    detections: sample_id, source_image_id, parent_image_id, group_id, source_dataset, capture_mode, uri, sha256,
+    width_pixels, height_pixels, defect_family, subtype, box_xyxy, confidence, pipeline_route (array), escalation_state,
+    quality (struct decision, flags, notes), calibration (null, or struct method, unit, mm_per_pixel, uncertainty) and
+    unavailable_scale_status. provenance: model_id, checkpoint_sha256, pipeline_version, dataset_manifest_version, runtime.
+    The box is clipped to the image; one that leaves nothing raises.
+    """
+    c, text = F.col, lambda v: F.lit(v).cast("string")
+    w, h = c("width_pixels").cast("double"), c("height_pixels").cast("double")
+    clipped = geometry.clamp_box(*[c("box_xyxy")[i].cast("double") for i in range(4)], w, h)
+    bad = F.raise_error(F.concat(F.lit("no area is left of the box of "), c("sample_id"))).cast("array<double>")
+    rows = detections.withColumn("_box", F.transform(F.coalesce(clipped, bad), lambda v: F.round(v, 4)))
+    box, cal = c("_box"), c("calibration")
+    rounded = lambda s, names: F.struct(*[F.round(s[n], 4).alias(n) for n in names])
+    sizes = ("length", "max_width", "area")
+    scaled = geometry.measure_scaled(box, cal["mm_per_pixel"], cal["unit"], cal["uncertainty"])
+    physical = F.when(cal.isNotNull(), F.struct(cal["unit"].alias("unit"), *[F.round(scaled[n], 4).alias(n) for n in (*sizes, "uncertainty")]))
+    off = F.when(c("unavailable_scale_status").isin("invalid", "out_of_plane"), c("unavailable_scale_status")).otherwise("not_provided")
+    measurement = F.struct(
+        F.when(cal.isNotNull(), "valid").otherwise(off).alias("scale_status"), F.coalesce(cal["method"], F.lit("none")).alias("scale_method"),
+        rounded(geometry.measure_pixels(box), sizes).alias("pixel"), physical.alias("physical"),
+    )
+    limits = F.array_compact(F.array(*[F.lit(x) for x in LIMITATIONS], F.when(cal.isNull(), "uncalibrated_measurement"), F.when(c("quality.decision") != "accepted", "low_image_quality")))
+    return rows.select(
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        finding_id(F.lit(run), c("sample_id"), c("defect_family"), c("subtype"), box).alias("finding_id"),
+        F.lit(project).alias("project_id"),
+        F.lit(run).alias("inspection_id"),
+        created_at.alias("created_at"),
+        F.struct(
+            "source_image_id", F.when(c("parent_image_id") != "", c("parent_image_id")).alias("parent_image_id"), "uri", "sha256", "width_pixels", "height_pixels", text(None).alias("captured_at"),
+            F.when(c("capture_mode").isin(*CAPTURE_MODES), c("capture_mode")).otherwise("unknown").alias("capture_mode"), text(None).alias("camera_id"), "quality",
+        ).alias("image"),
+        F.struct(
+            F.concat(F.lit("dataset:"), "source_dataset").alias("site_id"), F.coalesce(F.when(c("group_id") != "", c("group_id")), c("source_image_id")).alias("building_id"), text(None).alias("elevation_or_facade"),
+            text(None).alias("floor"), text(None).alias("room_or_zone"), F.lit("unknown").alias("element_type"), F.lit(None).cast("struct<latitude:double,longitude:double>").alias("gps"),
+        ).alias("location"),
+        F.struct(
+            F.lit(True).alias("immutable"), "defect_family", "subtype", F.round(F.greatest(F.lit(0.0), F.least(c("confidence"), F.lit(1.0))), 6).alias("confidence"),
+            F.struct(F.lit("source_image_pixels").alias("coordinate_space"), box.alias("box_xywh"), text(None).alias("centerline_uri")).alias("geometry"), "pipeline_route", "escalation_state",
+        ).alias("prediction"),
+        measurement.alias("measurement"),
+        F.struct(F.lit("unreviewed").alias("state"), *[text(None).alias(n) for n in ("reviewer_id", "reviewed_at", "reviewer_label", "notes")]).alias("review"),
+        F.struct(*[F.lit(provenance[n]).alias(n) for n in ("model_id", "checkpoint_sha256", "pipeline_version")], F.lit(TAXONOMY).alias("taxonomy_version"), *[F.lit(provenance[n]).alias(n) for n in ("dataset_manifest_version", "runtime")]).alias("provenance"),
+        F.array(F.struct(F.lit("RGB").alias("modality"), c("uri").alias("uri"), F.lit("source").alias("status"))).alias("evidence_links"),
+        limits.alias("limitation_codes"),
+    )
+
+
+def record_json(records: DataFrame) -> Column:
+    """A record as JSON: nulls are stated, but a measurement without calibration has no `physical`."""
+    whole = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"})
+    return F.replace(whole, F.lit(',"physical":null'), F.lit(""))
+
+
+# An image with a shorter side is of low resolution; least and greatest mean brightness; least variance of edges.
+LOW_SIDE, DARK, BRIGHT, FLAT = 512, 35, 220, 45
+
+
+def image_quality(width: Column, height: Column, luma: Column, edges: Column) -> Column:
+    """struct(decision, flags, notes) of an image's size, mean brightness and variance of edges. Warnings never reject."""
+    flags = F.array_compact(F.array(F.when(F.least(width, height) < LOW_SIDE, "low_resolution"), F.when(luma < DARK, "underexposed").when(luma > BRIGHT, "overexposed"), F.when(edges < FLAT, "blur")))
+    note = F.format_string("Automated feasibility warning; thresholds require target-domain calibration. mean_luma=%.2f, edge_variance=%.2f", luma, edges)
+    some = F.size(flags) > 0
+    return F.struct(F.when(some, "accepted_with_warning").otherwise("accepted").alias("decision"), flags.alias("flags"), F.when(some, note).alias("notes"))
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """The latest row of each key over both tables; the new one of equals."""
     both = stored.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)), allowMissingColumns=True)

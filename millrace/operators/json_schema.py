@@ -39,6 +39,11 @@ def _number(v: Column) -> Column:
     return F.try_variant_get(v, "$", "double")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.flatten(F.transform(F.array(value), f))
+
+
 def _items(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
 
@@ -57,13 +62,21 @@ def _same(v: Column, value: Any) -> Column:
 class Compiler:
     def __init__(self, schema: dict):
         self.root = schema
+        self._k: Column | None = None  # kind of the value whose keywords are being compiled
 
     def errors(self, v: Column, schema: dict | bool, path: Column) -> Column:
         """What is wrong with a variant that is there, as an array."""
         if isinstance(schema, bool):
             return _none() if schema else self._one(F.lit(True), path, "not allowed")
-        found = [getattr(self, "_" + self._name(k))(v, schema, path) for k in schema if k not in NOTES]
-        return F.concat(_none(), *found) if found else _none()
+        keywords = [getattr(self, "_" + self._name(k)) for k in schema if k not in NOTES]
+
+        def judged(x: Column) -> Column:
+            before, self._k = self._k, x["kind"]
+            found = [check(x["v"], schema, path) for check in keywords]
+            self._k = before
+            return F.concat(_none(), *found)
+
+        return _once(F.struct(v.alias("v"), _kind(v).alias("kind")), judged) if keywords else _none()
 
     def _name(self, keyword: str) -> str:
         name = {"$ref": "ref", "if": "if_then", "not": "is_not", "type": "is_type", "format": "of_format"}.get(keyword, keyword)
@@ -81,6 +94,10 @@ class Compiler:
         step = F.lit(name) if isinstance(name, str) else name
         return F.when(path == "", step).otherwise(F.concat(path, F.lit("."), step))
 
+    def _part(self, value: Column, schema: dict | bool, path: Column) -> Column:
+        """What is wrong with a part of a document, where it has one."""
+        return _once(value, lambda x: F.when(x.isNotNull(), self.errors(x, schema, path)).otherwise(_none()))
+
     def _valid(self, v: Column, schema: dict | bool) -> Column:
         return F.size(self.errors(v, schema, F.lit(""))) == 0
 
@@ -94,10 +111,10 @@ class Compiler:
 
     def _is_type(self, v, schema, path):
         types = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
-        whole = (_kind(v) == "number") & (_number(v) == F.floor(_number(v)))
+        whole = (self._k == "number") & (_number(v) == F.floor(_number(v)))
         fits = F.lit(False)
         for t in types:
-            fits = fits | (whole if t == "integer" else _kind(v) == t)
+            fits = fits | (whole if t == "integer" else self._k == t)
         return self._one(~fits, path, "is not of type " + ", ".join(types))
 
     def _const(self, v, schema, path):
@@ -114,14 +131,13 @@ class Compiler:
     def _required(self, v, schema, path):
         absent = F.filter(F.array(*[F.when(_field(v, n).isNull(), F.lit(n)) for n in schema["required"]], F.lit(None).cast("string")), lambda x: x.isNotNull())
         each = F.transform(absent, lambda n: F.struct(path.alias("path"), F.concat(n, F.lit(" is required")).alias("message")))
-        return F.when(_kind(v) == "object", each).otherwise(_none())
+        return F.when(self._k == "object", each).otherwise(_none())
 
     def _properties(self, v, schema, path):
         found = []
         for name, below in schema["properties"].items():
-            child = _field(v, name)
-            found.append(F.when(child.isNotNull(), self.errors(child, below, self._below(path, name))).otherwise(_none()))
-        return F.when(_kind(v) == "object", F.concat(_none(), *found)).otherwise(_none())
+            found.append(self._part(_field(v, name), below, self._below(path, name)))
+        return F.when(self._k == "object", F.concat(_none(), *found)).otherwise(_none())
 
     def _additionalProperties(self, v, schema, path):  # noqa: N802
         below, known = schema["additionalProperties"], list(schema.get("properties", {}))
@@ -133,35 +149,34 @@ class Compiler:
             each = F.transform(more, lambda e: F.struct(path.alias("path"), F.concat(e["key"], F.lit(" is not allowed")).alias("message")))
         else:
             each = F.flatten(F.transform(more, lambda e: self.errors(e["value"], below, self._below(path, e["key"]))))
-        return F.when(_kind(v) == "object", each).otherwise(_none())
+        return F.when(self._k == "object", each).otherwise(_none())
 
     def _minProperties(self, v, schema, path):  # noqa: N802
-        return self._one((_kind(v) == "object") & (F.size(F.try_variant_get(v, "$", "map<string,variant>")) < schema["minProperties"]), path, f"has under {schema['minProperties']} properties")
+        return self._one((self._k == "object") & (F.size(F.try_variant_get(v, "$", "map<string,variant>")) < schema["minProperties"]), path, f"has under {schema['minProperties']} properties")
 
     def _items(self, v, schema, path):
         first = len(schema.get("prefixItems", ()))
         each = F.transform(_items(v), lambda x, i: F.when(i >= first, self.errors(x, schema["items"], self._below(path, i.cast("string")))).otherwise(_none()))
-        return F.when(_kind(v) == "array", F.flatten(each)).otherwise(_none())
+        return F.when(self._k == "array", F.flatten(each)).otherwise(_none())
 
     def _prefixItems(self, v, schema, path):  # noqa: N802
         found = []
         for i, below in enumerate(schema["prefixItems"]):
-            child = F.get(_items(v), i)
-            found.append(F.when(child.isNotNull(), self.errors(child, below, self._below(path, str(i)))).otherwise(_none()))
-        return F.when(_kind(v) == "array", F.concat(_none(), *found)).otherwise(_none())
+            found.append(self._part(F.get(_items(v), i), below, self._below(path, str(i))))
+        return F.when(self._k == "array", F.concat(_none(), *found)).otherwise(_none())
 
     def _minItems(self, v, schema, path):  # noqa: N802
-        return self._one((_kind(v) == "array") & (F.size(_items(v)) < schema["minItems"]), path, f"has under {schema['minItems']} items")
+        return self._one((self._k == "array") & (F.size(_items(v)) < schema["minItems"]), path, f"has under {schema['minItems']} items")
 
     def _maxItems(self, v, schema, path):  # noqa: N802
-        return self._one((_kind(v) == "array") & (F.size(_items(v)) > schema["maxItems"]), path, f"has over {schema['maxItems']} items")
+        return self._one((self._k == "array") & (F.size(_items(v)) > schema["maxItems"]), path, f"has over {schema['maxItems']} items")
 
     def _uniqueItems(self, v, schema, path):  # noqa: N802
         texts = F.transform(_items(v), lambda x: F.to_json(x))
         return self._one(F.lit(bool(schema["uniqueItems"])) & (F.size(F.array_distinct(texts)) < F.size(texts)), path, "has equal items")
 
     def _bound(self, v, path, wrong: Callable[[Column], Column], message: str):
-        return self._one((_kind(v) == "number") & wrong(_number(v)), path, message)
+        return self._one((self._k == "number") & wrong(_number(v)), path, message)
 
     def _minimum(self, v, schema, path):
         return self._bound(v, path, lambda x: x < schema["minimum"], f"is below {schema['minimum']}")
@@ -176,7 +191,7 @@ class Compiler:
         return self._bound(v, path, lambda x: x >= schema["exclusiveMaximum"], f"is not below {schema['exclusiveMaximum']}")
 
     def _text(self, v, path, wrong: Callable[[Column], Column], message: str):
-        return self._one((_kind(v) == "string") & wrong(F.try_variant_get(v, "$", "string")), path, message)
+        return self._one((self._k == "string") & wrong(F.try_variant_get(v, "$", "string")), path, message)
 
     def _minLength(self, v, schema, path):  # noqa: N802
         return self._text(v, path, lambda x: F.char_length(x) < schema["minLength"], f"is shorter than {schema['minLength']}")
@@ -218,10 +233,9 @@ class Compiler:
 def schema_errors(document: Column, schema: dict, show: int = 5) -> Column:
     """The first `show` errors of a JSON text, ordered by path and message, as structs (path, message); an empty array if it
     is valid. The path of the document itself is empty. A text that is null or no JSON has the one error `is no JSON`."""
-    v = F.try_parse_json(document)
-    found = F.array_sort(Compiler(schema).errors(v, schema, F.lit("")))
     broken = F.array(F.struct(F.lit("").alias("path"), F.lit("is no JSON").alias("message")))
-    return F.slice(F.when(v.isNull(), broken).otherwise(found).cast(ERROR), 1, show)
+    judged = lambda v: F.when(v.isNull(), broken).otherwise(Compiler(schema).errors(v, schema, F.lit("")))
+    return F.slice(F.sort_array(_once(F.try_parse_json(document), judged)).cast(ERROR), 1, show)
 
 
 def invalid_documents(rows: DataFrame, key: str, document: str, schema: dict, show: int = 5) -> DataFrame:

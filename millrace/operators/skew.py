@@ -17,13 +17,14 @@ def join_often(rows: DataFrame, once: DataFrame, keys: Sequence[str], size: str
     """rows left join once, which has one row a key; null keys are equal.
 
     Keys that hold more than one in OFTEN of the rows, fewer than OFTEN keys, are joined by broadcast: no task gets a hot
-    key's rows. They are counted first, unless once's column `size` says how many rows a key has.
+    key's rows, and one that `once` lacks gets its nulls there too. They are counted first, unless once's column `size` says
+    how many rows a key has (then once has every key).
     """
     if size is None:
         counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         total = rows.count()
         often = counted.where(F.col("_n") > total / OFTEN).drop("_n")
-        hot = stash(_equal(often, once, keys, "inner"), "often")
+        hot = stash(_equal(often, once, keys, "left"), "often")
     else:
         total = once.agg(F.sum(size)).first()[0] or 0
         hot = stash(once.where(F.col(size) > total / OFTEN), "often")

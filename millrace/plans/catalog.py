@@ -114,6 +114,14 @@ def near_dup_prefill(spark, d):
     return q.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {CODE_SQL}, k AS (SELECT code & 8191 AS code, count(*) AS n FROM codes GROUP BY 1) SELECT x.code AS left_code, y.code AS right_code, CAST(bit_count(xor(x.code, y.code)) AS INTEGER) AS distance, x.n AS n_left, y.n AS n_right
+FROM k x JOIN k y ON x.code < y.code AND bit_count(xor(x.code, y.code)) <= 2 UNION ALL SELECT code, code, 0, n, n FROM k WHERE n > 1""")
+def near_dup_classes(spark, d):
+    """Classes of equal codes of 13 bits, and which of them are within 2 of each other."""
+    rows = coded(spark, d).select("vec_id", F.col("code").bitwiseAND(F.lit(8191)).alias("code"))
+    return dedup.class_pairs(dedup.code_members(rows, "vec_id", "code"), 2, 13)
+
+
 @query(f"""WITH {QUEUE_SQL} SELECT DISTINCT id FROM (SELECT left_id AS id, left_split AS split FROM queue UNION ALL SELECT right_id, right_split FROM queue) WHERE split <> 'test'""")
 def blocked_ids(spark, d):
     return dedup.blocked_ids(queued(spark, d).withColumn("decision", F.lit("pending_human_review")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, labels
-from ..operators import annotations, checks, dedup, evaluation, findings, images, inference, registry, sampling
+from ..operators import annotations, checks, dedup, evaluation, findings, images, inference, json_schema, registry, sampling
 from ..sources import files, sinks
 from .catalog import BOX_SQL, CODE_SQL, RADIUS, boxes, coded, docs_split, query, t
 
@@ -245,6 +245,78 @@ def training_pair_rows(spark, d):
     return rows.select("doc_id", "annotation_index", F.col("box_xywh")[0].alias("x"), F.col("polygon")[0][0].alias("corner"))
 
 
+@query("""WITH o AS (SELECT doc_id, source, n_chars % 8 AS c, n_chars % 700 AS x FROM documents)
+SELECT doc_id, CASE c WHEN 0 THEN 'unknown_0' WHEN 2 THEN 'Crack' WHEN 3 THEN 'Net-Crack' WHEN 4 THEN 'Crack with Precipitation' WHEN 5 THEN 'Rust' WHEN 6 THEN 'Spalling' ELSE 'unknown_7' END AS native_label,
+CASE WHEN c IN (0, 7) THEN 'unknown_review' WHEN c = 5 THEN 'rust_staining' WHEN c = 6 THEN 'spalling' ELSE 'crack' END AS canonical_label, CASE WHEN c IN (0, 7) THEN 'unknown' WHEN c = 5 THEN 'direct_visual' ELSE 'direct' END AS mapping_strength,
+CASE WHEN x < 640 THEN least(x + 50, 640)::DOUBLE - x END AS w, CASE WHEN c % 2 = 0 THEN 'native_polygon' ELSE 'unavailable_after_geometry_qc' END AS segmentation_provenance, CAST(c % 2 AS INTEGER) AS rejected_geometry_count FROM o WHERE c <> 1""")
+def class_number_annotations(spark, d):
+    n = F.col("n_chars")
+    x = (n % 700).cast("double")
+    flat = F.when(n % 2 == 0, F.array(x, F.lit(0.0), x + 9, F.lit(0.0), x, F.lit(9.0))).otherwise(F.array(x, F.lit(0.0), x))
+    objects = F.struct(F.array((n % 8).cast("int")).alias("category_id"), F.array(F.array(x, F.lit(1.0), F.lit(50.0), F.lit(60.0))).alias("bbox"), F.array(F.array(flat)).alias("segmentation"), F.array("doc_id").alias("id"))
+    got = annotations.from_class_numbers(t(spark, d, "documents").select("doc_id", "n_chars", objects.alias("o")), "doc_id", "o", F.lit(640), F.lit(480))
+    return got.select("doc_id", "native_label", "canonical_label", "mapping_strength", F.col("box_xywh")[2].alias("w"), "segmentation_provenance", "rejected_geometry_count")
+
+
+UUID_SQL = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-5' || substr({0}, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr({0}, 17, 1))::INTEGER % 4, 1) || substr({0}, 18, 3) || '-' || substr({0}, 21, 12)"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type, value, user_id % 200 AS x FROM events), k AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('["run-1","s' || event_id || '","crack","unspecified",[' || x || '.0,10.0,' || least(100, 250 - x) || '.0,30.5]]')) AS h FROM e)
+SELECT event_id, 'finding-' || {UUID_SQL.format('h')} AS finding_id, round(least(value / 50, 1), 6) AS confidence, CAST(greatest(least(100, 250 - x), 30.5) AS DOUBLE) AS length, CASE WHEN event_type = 'click' THEN 5 ELSE 4 END - CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS limitations,
+CASE WHEN event_id % 2 = 0 THEN 'valid' WHEN event_type = 'view' THEN 'invalid' ELSE 'not_provided' END AS scale_status FROM k""")
+def finding_record_content(spark, d):
+    """Whole finding records, each of which fits the schema of findings (no error is left), in a few of their fields."""
+    x = (F.col("user_id") % 200).cast("double")
+    quality = F.when(F.col("event_type") == "click", findings.image_quality(F.lit(100), F.lit(600), F.lit(100.0), F.lit(99.0))).otherwise(findings.image_quality(F.lit(600), F.lit(600), F.lit(100.0), F.lit(99.0)))
+    calibration = F.when(F.col("event_id") % 2 == 0, F.struct(F.lit("reference_marker").alias("method"), F.lit("mm").alias("unit"), F.lit(0.5).alias("mm_per_pixel"), F.lit(1.0).alias("uncertainty")))
+    key = F.col("event_id").cast("string")
+    rows = t(spark, d, "events").select(
+        F.concat(F.lit("s"), key).alias("sample_id"), key.alias("source_image_id"), F.lit("").alias("parent_image_id"), F.lit("").alias("group_id"), F.lit("events").alias("source_dataset"), F.lit("drone").alias("capture_mode"),
+        F.concat(F.lit("images/"), key).alias("uri"), F.sha2(key, 256).alias("sha256"), F.lit(250).alias("width_pixels"), F.lit(600).alias("height_pixels"), F.lit("crack").alias("defect_family"), F.lit("unspecified").alias("subtype"),
+        F.array(x, F.lit(10.0), x + 100, F.lit(40.5)).alias("box_xyxy"), (F.col("value") / 50).alias("confidence"), F.array(F.lit("base")).alias("pipeline_route"), F.lit("not_required").alias("escalation_state"), quality.alias("quality"),
+        calibration.alias("calibration"), F.when(F.col("event_type") == "view", "invalid").alias("unavailable_scale_status"),
+    )
+    built = findings.finding_records(rows, "run-1", "p", F.lit("2026-01-01T00:00:00Z"), {"model_id": "m", "checkpoint_sha256": "0" * 64, "pipeline_version": "1", "dataset_manifest_version": "1", "runtime": "r"})
+    whole = built.withColumn("errors", json_schema.schema_errors(findings.record_json(built), FINDING_RULES))
+    return whole.where(F.size("errors") == 0).select(F.substring("image.source_image_id", 1, 99).cast("bigint").alias("event_id"), "finding_id", F.col("prediction.confidence").alias("confidence"), F.col("measurement.pixel.length").alias("length"), F.size("limitation_codes").alias("limitations"), "measurement.scale_status")
+
+
+# The rules of the finding schema that concern what is derived here, in the form of JSON Schema.
+FINDING_RULES = {
+    "type": "object",
+    "required": ["finding_id", "image", "prediction", "measurement", "review", "limitation_codes"],
+    "properties": {
+        "finding_id": {"type": "string", "minLength": 1},
+        "created_at": {"type": "string", "format": "date-time"},
+        "image": {"type": "object", "required": ["sha256", "width_pixels", "quality"], "properties": {"sha256": {"type": "string", "pattern": "^[a-f0-9]{64}$"}, "width_pixels": {"type": "integer", "minimum": 1}, "parent_image_id": {"type": ["string", "null"]}, "capture_mode": {"enum": list(findings.CAPTURE_MODES)}}},
+        "prediction": {
+            "type": "object",
+            "properties": {
+                "immutable": {"const": True},
+                "confidence": {"type": "number", "minimum": 0, "maximum": 1},
+                "geometry": {"properties": {"box_xywh": {"type": "array", "prefixItems": [{"minimum": 0}, {"minimum": 0}, {"exclusiveMinimum": 0}, {"exclusiveMinimum": 0}], "minItems": 4, "maxItems": 4}}},
+                "pipeline_route": {"type": "array", "minItems": 1, "items": {"type": "string", "minLength": 1}},
+            },
+        },
+        "measurement": {"type": "object", "allOf": [{"if": {"required": ["physical"]}, "then": {"properties": {"scale_status": {"const": "valid"}}, "required": ["scale_method"]}}]},
+        "review": {"additionalProperties": False, "properties": {"state": {"enum": ["unreviewed", "approved", "rejected", "relabelled", "escalated"]}, "reviewer_id": {}, "reviewed_at": {}, "reviewer_label": {}, "notes": {}}},
+    },
+}
+
+# Rules of the events' properties, with errors that some of them have.
+PROPS_RULES = {"type": "object", "required": ["k", "type"], "additionalProperties": False, "properties": {"k": {"type": "integer", "maximum": 89}, "type": {"enum": ["click", "view", "purchase"]}, "note": {"type": "string"}}, "if": {"properties": {"type": {"const": "view"}}}, "then": {"properties": {"k": {"minimum": 10}}}}
+
+
+@query("""WITH e AS (SELECT event_id, event_type AS t, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE props IS NOT NULL),
+x AS (SELECT event_id, unnest([CASE WHEN k > 89 THEN 'k: is above 89' END, CASE WHEN t = 'view' AND k < 10 THEN 'k: is below 10' END, CASE WHEN t NOT IN ('click', 'view', 'purchase') THEN 'type: is not one of ["click", "view", "purchase"]' END, CASE WHEN t = 'signup' THEN ': more is not allowed' END, CASE WHEN t = 'error' THEN 'note: is not of type string' END]) AS m FROM e)
+SELECT event_id, string_agg(m, '; ' ORDER BY m) AS errors FROM x WHERE m IS NOT NULL GROUP BY 1""")
+def schema_errors_of_props(spark, d):
+    more = F.when(F.col("event_type") == "signup", ', "more": [1]').when(F.col("event_type") == "error", ', "note": 1').otherwise("")
+    text = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "type": "'), "event_type", F.lit('"'), more, F.lit("}"))
+    found = json_schema.invalid_documents(t(spark, d, "events").where("props is not null").select("event_id", text.alias("text")), "event_id", "text", PROPS_RULES)
+    return found.select("event_id", F.array_join(F.transform("errors", lambda e: F.concat(e["path"], F.lit(": "), e["message"])), "; ").alias("errors"))
+
+
 # --- checks -------------------------------------------------------------------------------------------------------
 
 

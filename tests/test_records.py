@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import labels
-from millrace.operators import annotations, checks, dedup, evaluation, images, inference, registry, sampling, skew
+from millrace.operators import annotations, checks, dedup, evaluation, findings, images, inference, registry, sampling, skew
 from millrace.operators.checks import ConstraintError
 from millrace.sources import files, sinks
 
@@ -205,3 +205,121 @@ def test_heat_and_boxes():
     assert out[0, 1].tolist() == [127, 0, 0] and out[1, 0].tolist() == [127, 255, 127] and out[0, 0].tolist() == [0, 0, 127]
     d = images.draw_boxes(np.zeros((8, 8, 3), np.uint8), [[1, 1, 6, 5]], width=1)
     assert (d[..., 0] == 255).sum() == 18 and d[1, 1, 0] == 255 and d[3, 3, 0] == 0
+
+
+def test_schema_errors(spark):
+    from millrace.operators import json_schema
+
+    schema = {
+        "$defs": {"name": {"type": "string", "minLength": 1}},
+        "type": "object",
+        "required": ["id", "tags"],
+        "additionalProperties": False,
+        "properties": {
+            "id": {"$ref": "#/$defs/name"},
+            "n": {"type": "integer", "minimum": 0, "exclusiveMaximum": 9},
+            "at": {"type": ["string", "null"], "format": "date-time"},
+            "tags": {"type": "array", "uniqueItems": True, "maxItems": 3, "items": {"enum": ["a", "b", 1, None]}},
+            "pair": {"prefixItems": [{"type": "number"}, {"type": "boolean"}], "items": {"type": "object", "required": ["x"]}},
+            "one": {"oneOf": [{"type": "string"}, {"const": "z"}, {"type": "null"}]},
+            "any": {"anyOf": [{"maximum": 3}, {"minimum": 7}], "not": {"const": 8}},
+        },
+        "if": {"required": ["n"]},
+        "then": {"required": ["at"]},
+        "else": {"properties": {"id": {"pattern": "^x"}}},
+    }
+    good = ['{"id": "x", "tags": []}', '{"id": "é", "n": 2.0, "at": null, "tags": ["a", 1, null], "pair": [1.5, true, {"x": null}], "one": "y", "any": 7}', '{"id": "i", "n": 8, "at": "2026-01-31T10:00:00.5+02:00", "tags": []}']
+    bad = {
+        "{": [("", "is no JSON")],
+        None: [("", "is no JSON")],
+        "[]": [("", "is not of type object")],
+        "{}": [("", "id is required"), ("", "tags is required")],
+        '{"id": "", "n": 1.5, "tags": ["a", "a", "c", 2], "zz": 1}': [("", "at is required"), ("", "zz is not allowed"), ("id", "is shorter than 1"), ("n", "is not of type integer"), ("tags", "has equal items")],
+        '{"id": "y", "tags": [], "pair": ["s", 1, {"y": 1}], "one": "z"}': [("id", "does not match ^x"), ("one", "does not fit exactly one of the forms"), ("pair.0", "is not of type number"), ("pair.1", "is not of type boolean"), ("pair.2", "x is required")],
+        '{"id": "x", "n": 9, "at": "2026-13-01T10:00:00Z", "tags": null, "any": 8}': [("any", "has a form that is not allowed"), ("at", "is not a date-time"), ("n", "is not below 9"), ("tags", "is not of type array")],
+        '{"id": "x", "tags": [], "any": 5}': [("any", "fits none of the forms")],
+    }
+    rows = spark.createDataFrame([(x,) for x in [*good, *bad]], "t string")
+    got = rows.select("t", json_schema.schema_errors(F.col("t"), schema).alias("e")).collect()
+    assert {r["t"]: [tuple(e) for e in r["e"]] for r in got} == {**{g: [] for g in good}, **bad}
+    with pytest.raises(ValueError, match="dependentRequired"):
+        json_schema.schema_errors(F.lit("{}"), {"dependentRequired": {}})
+
+
+def test_errors_are_raised(spark):
+    with pytest.raises(checks.ConstraintError, match="all are in validation"):
+        sampling.group_safe_split_large(spark.createDataFrame([("g",)] * 5, "g string"), "g", 0.2, "s")
+    with pytest.raises(checks.ConstraintError, match="3 rows for 12 places"):
+        sampling.evenly_spaced(spark.range(3), ["id"], 12)
+    with pytest.raises(Exception, match="no rows to take the last of"):
+        files.last_row(spark.createDataFrame([], "epoch int, loss double"), "epoch").collect()
+    scores = spark.createDataFrame([("a", 1, 0.5), ("b", 0, 0.5)], "label string, target int, score double")
+    with pytest.raises(Exception, match="no threshold for label b"):
+        evaluation.micro_metrics_own(scores, "target", "score", spark.createDataFrame([("a", 0.4)], "label string, threshold double"), "label").collect()
+    one = "struct<canonical_label:string,annotation_status:string,box_xywh:array<double>>"
+    rows = spark.createDataFrame([(7, [("crack", "positive", [1.0, 2.0, 3.0, 4.0])]), (8, [("crack", "unknown", [1.0, 2.0, 3.0, 4.0])])], f"s int, a array<{one}>")
+    assert annotations.with_targets(rows.where("s = 7"), "s", "a", ["crack"]).first()["targets"][0]["box_xyxy"] == [1.0, 2.0, 4.0, 6.0]
+    with pytest.raises(Exception, match="no targets for 8"):
+        annotations.with_targets(rows, "s", "a", ["crack"]).collect()
+
+
+def test_unknown_is_not_verified(spark):
+    kind = "k int, bytes bigint, sha256 string, md5 string"
+    want = spark.createDataFrame([(1, 100, None, None), (2, None, "a", None), (3, 100, "a", "b"), (4, None, None, None), (5, 3_000_000_000, None, None), (6, 100, None, "B")], kind)
+    have = spark.createDataFrame([(1, None, "x", "x"), (2, 5, None, None), (3, 100, "A", None), (4, 1, None, None), (5, None, None, None), (6, 100, None, "b")], kind)
+    assert {r["k"]: r["state"] for r in checks.download_state(want, have, "k").collect()} == {1: "unknown", 2: "unknown", 3: "unknown", 4: "verified", 5: "unknown", 6: "verified"}
+    one = lambda name, head: spark.range(1).select(checks.format_error(F.lit(name), F.unhex(F.lit(head)))).first()[0]
+    assert [one("a.tiff", "4D4D002A00"), one("a.TIF", "49492A00"), one("a.bmp", "424D"), one("a.tiff", "00")] == [None, None, "unsupported_format", "broken_image"]
+
+
+def test_keepers_are_told_by_their_split(spark):
+    rows = spark.createDataFrame([(1, "train", "h"), (1, "test", "h"), (2, None, "i")], "id int, split string, h string")
+    got = dedup.exact_keeper(rows, "h", "split", "id").collect()
+    assert sorted((r["id"], str(r["split"])) for r in got if r["selected"]) == [(1, "test"), (2, "None")]
+
+
+def test_links_to_files(spark):
+    docs = [("docs/a.md", "[x](b.md) [y](<../img/p q.png#top>) [z](../img/p%20q.png) [w](http://x/y.md) [m](mailto:a@b) [f](#here) [g](./sub/../gone+1.md) [d](..)")]
+    there = spark.createDataFrame([("docs/b.md",), ("img/p q.png",), ("README.md",)], "path string")
+    rows = spark.createDataFrame(docs, "path string, text string")
+    assert sorted(r["resolved"] for r in files.local_links(rows, "path", "text").collect()) == ["", "docs/b.md", "docs/gone+1.md", "img/p q.png", "img/p q.png"]
+    assert [r["target"] for r in files.missing_links(rows.withColumn("text", F.replace("text", F.lit("[d](..)"), F.lit("[d](../docs)"))), "path", "text", there).collect()] == ["./sub/../gone+1.md"]
+
+
+def test_numbers_within_a_hot_group(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).otherwise("hot").alias("source"))
+    got = sampling.numbered(rows, "source", ["id"])
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: r["id"]):
+        want.setdefault(r["source"], []).append(r["id"])
+    assert {r["sample_id"]: r["id"] for r in got.collect()} == {f"{s}_{i:04d}": x for s, ids in want.items() for i, x in enumerate(ids, 1)}
+
+
+def test_prefill_and_quality_say_why(spark):
+    q = spark.createDataFrame([(0, 0.95, 0.01), (1, 0.95, 0.06), (9, 0.1, 0.5)], "distance int, correlation double, mae double")
+    assert [(r["machine_decision"], r["machine_review_notes"]) for r in dedup.prefilled(q).orderBy("distance").collect()] == list(dedup.NOTES.items())
+    i = spark.createDataFrame([(100, 900, 20.0, 10.0), (900, 900, 100.0, 99.0)], "w int, h int, l double, e double").select(findings.image_quality(*[F.col(c) for c in "whle"]).alias("q")).collect()
+    assert (i[0]["q"]["decision"], i[0]["q"]["flags"]) == ("accepted_with_warning", ["low_resolution", "underexposed", "blur"]) and i[0]["q"]["notes"].endswith("mean_luma=20.00, edge_variance=10.00")
+    assert tuple(i[1]["q"]) == ("accepted", [], None)
+
+
+def test_mask_colours(spark):
+    c = spark.createDataFrame([("s", [255, 0, 0, 255], 9, [0.0, 0.0, 3.0, 3.0]), ("s", [1, 2, 3, 255], 9, None), ("s", [255, 255, 255, 255], 0, None)], "s string, rgba array<int>, pixel_count bigint, box_xywh array<double>")
+    got = annotations.from_mask_colours(c, "s").collect()
+    assert [(r["annotation_id"], r["canonical_label"], r["mapping_strength"], r["pixel_count"]) for r in got] == [("color-255-0-0-255", "spalling", "direct", 9)]
+
+
+def test_a_hot_key_without_partner_is_spread(spark):
+    rows = spark.range(20_000).repartition(8).select("id", F.when(F.col("id") % 2 == 0, F.lit(None)).when(F.col("id") % 4 == 1, F.lit(-1)).otherwise(F.col("id")).cast("bigint").alias("k"))
+    once = spark.range(0, 20_000, 7).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = skew.join_often(rows, once, ["k"])
+        sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1))).collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / 8
+        want = {i: (None if i % 2 == 0 or i % 4 == 1 or i % 7 else f"v{i}") for i in range(20_000)}
+        assert {r["id"]: r["v"] for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
