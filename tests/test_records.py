@@ -316,7 +316,7 @@ def test_a_hot_key_without_partner_is_spread(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         got = skew.join_often(rows, once, ["k"])
-        sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1))).collect()]
+        sizes = [r[1] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1))).collect()]
         assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / 8
         want = {i: (None if i % 2 == 0 or i % 4 == 1 or i % 7 else f"v{i}") for i in range(20_000)}
         assert {r["id"]: r["v"] for r in got.collect()} == want
