@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry
+from ..sources.files import optional
+from ..sources.stash import stash
 
 # What a review does to a finding's state.
 ACTIONS = {"approve": "approved", "reject": "rejected", "relabel": "relabelled"}
@@ -112,6 +114,24 @@ def upsert(stored: DataFrame, new: DataFrame, key: str, version: str) -> DataFra
     return both.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(version, "_n")).alias("r")).select("r.*")
 
 
+def upsert_table(spark, path: str, new: DataFrame, key: str, version: str, buckets: int = 64) -> int:
+    """Upsert into a table of files below path, in `buckets` folders by hash of the key; returns how many were rewritten.
+
+    Only buckets that new rows fall into are read and written again; the files of the others stay. An upsert that is run
+    again, or rows that come a second time, change nothing: the greatest version of a key wins, the new row of equals.
+    """
+    at = (F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+    fresh = new.withColumn("bucket", at)
+    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most `buckets`
+    if not touched:
+        return 0
+    stored, there = optional(spark, path, fresh.schema.simpleString()[7:-1], lambda: spark.read.schema(fresh.schema).parquet(path))
+    merged = upsert(stored.where(F.col("bucket").isin(*touched)), fresh, key, version) if there else upsert(fresh.limit(0), fresh, key, version)
+    kept = stash(merged, "merged")  # what is read is not overwritten while it is read
+    kept.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(touched)
+
+
 def review_state(findings: DataFrame, events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """findings with review_state and review_label of their last valid event(key, action, label, order...); else pending.
     Events of unknown actions count for nothing."""

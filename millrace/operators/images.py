@@ -225,27 +225,3 @@ def map_images(rows: DataFrame, content: str, decode: Decoder, kernel: Callable[
             yield pd.Series(got, dtype=object)
 
     return rows.withColumn(out, run(F.col(content)))
-
-
-def heat(values: np.ndarray) -> np.ndarray:
-    """A map brought to 0..1 by its least and greatest value; zeros if they are equal."""
-    low, high = float(values.min()), float(values.max())
-    return (values - low) / (high - low) if high > low else np.zeros(values.shape)
-
-
-def heat_overlay(rgb: np.ndarray, values: np.ndarray, alpha: float = 0.5) -> np.ndarray:
-    """An image blended with a map of its size in 0..1, from blue over green to red."""
-    bands = [np.clip(1.5 - np.abs(4.0 * values - k), 0, 1) for k in (3, 2, 1)]
-    return np.floor(rgb[..., :3] * (1 - alpha) + np.floor(np.stack(bands, axis=-1) * 255) * alpha).astype(np.uint8)
-
-
-def draw_boxes(rgb: np.ndarray, boxes: list[list[float]], colour: tuple[int, int, int] = (255, 0, 0), width: int = 2) -> np.ndarray:
-    """An image with the outlines of x, y, w, h boxes."""
-    out = rgb[..., :3].copy()
-    for x, y, w, h in boxes:
-        inside = np.zeros(out.shape[:2], bool)
-        a, b, c, d = max(0, int(x)), max(0, int(y)), int(x + w), int(y + h)
-        inside[b:d, a:c] = True
-        inside[b + width : max(d - width, 0), a + width : max(c - width, 0)] = False
-        out[inside] = colour
-    return out

@@ -18,25 +18,43 @@ def quota_select(rows: DataFrame, key: str, group: str, label: str, quotas: Sequ
     """key, group, label, step of rows chosen: for each (label, count) in order the rows of least rank whose group is not
     yet used, one a group; then any until total. step is the quota's number, or one past the last for the fill.
 
-    A step takes the least row of each free group and of those the least `count` (a top-k, no full sort).
+    One pass: the least row of each label and group is enough, and of those as many of least rank as this label's quotas and
+    all quotas before them, for earlier steps can use up no more groups. The steps are then taken over these rows, whose
+    number the quotas bound.
     """
     spark = rows.sparkSession
-    ranked = rows.select(key, group, label, seeded_rank(F.col(key), seed).alias("_rank"))
-    chosen = ranked.limit(0).withColumn("step", F.lit(0))
+    ranked = rows.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(label).alias("l"), seeded_rank(F.col(key), seed).alias("r"))
+    need, before = {}, 0
+    for name, count in quotas:
+        before += max(count, 0)
+        need[name] = before
+    least = F.min_by(F.struct("k", "g", "l", "r"), F.struct("r", "k"))
+    of_label = ranked.where(F.col("l").isin(*need)).groupBy("l", "g").agg(least.alias("b")) if need else None
+    of_any = ranked.groupBy("g").agg(least.alias("b")).select(F.lit(None).cast(ranked.schema["l"].dataType).alias("l"), "b").orderBy("b.r", "b.k").limit(max(total, before))
+    if of_label is not None:
+        most = F.element_at(F.create_map(*[F.lit(x) for kv in need.items() for x in kv]), F.col("l"))
+        place = F.row_number().over(W.partitionBy("l").orderBy("b.r", "b.k"))
+        some = of_label.withColumn("n", place).where(F.col("n") <= max(need.values())).where(F.col("n") <= most).select("l", "b")
+        of_any = some.select("l", "b").withColumn("fill", F.lit(False)).unionByName(of_any.withColumn("fill", F.lit(True)))
+    else:
+        of_any = of_any.withColumn("fill", F.lit(True))
+    held = sorted(of_any.select("fill", F.col("l").alias("of"), "b.*").collect(), key=lambda r: (r["r"], r["k"]))  # bounded by the quotas
+    used, chosen = set(), []
     for step, (name, count) in enumerate([*quotas, (None, total)]):
-        if name is None:
-            count = total - chosen.count()
-        free = ranked.join(chosen.select(group), group, "left_anti")
-        if name is not None:
-            free = free.where(F.col(label) == name)
-        best = free.groupBy(group).agg(F.min_by(F.struct(key, label, "_rank"), F.struct("_rank", key)).alias("b")).select(F.col(f"b.{key}").alias(key), group, F.col(f"b.{label}").alias(label), "b._rank")
-        taken = best.orderBy("_rank", key).limit(max(count, 0)).withColumn("step", F.lit(step))
-        held = taken.collect()  # at most `count` rows, which the caller states
-        if len(held) < count:
-            raise ValueError(f"only {len(held)} of {count} rows for {name or 'the fill'}")
-        if held:
-            chosen = chosen.unionByName(spark.createDataFrame(held, taken.schema))
-    return chosen.drop("_rank")
+        fill = step == len(quotas)
+        wanted = total - len(chosen) if fill else count
+        taken = []
+        for r in held:
+            if len(taken) >= wanted:
+                break
+            if r["g"] not in used and (r["fill"] if fill else not r["fill"] and r["of"] == name):
+                used.add(r["g"])
+                taken.append((r["k"], r["g"], r["l"], step))
+        if len(taken) < wanted:
+            raise ValueError(f"only {len(taken)} of {wanted} rows for {'the fill' if fill else name}")
+        chosen += taken
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, group, label)]
+    return spark.createDataFrame(chosen, ", ".join([*kinds, "step int"]))
 
 
 def group_safe_split_large(rows: DataFrame, group: str, fraction: float, seed: str, bins: int = 4096) -> DataFrame:

@@ -174,6 +174,16 @@ def idempotent_writes(spark, d):
     return spark.createDataFrame(states, "first string, again string, other string").groupBy("first", "again", "other").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1""")
+def upserted_table(spark, d):
+    """The last event of each user, from a table that is brought up to date three times, once with what it had."""
+    root = sinks.new_path(spark, "upserts")
+    e = t(spark, d, "events").select("user_id", "event_id", "event_type")
+    for part in (e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0")):
+        findings.upsert_table(spark, root, part, "user_id", "event_id", 16)
+    return spark.read.parquet(root).select("user_id", "event_id", "event_type")
+
+
 @query("""SELECT sha256(text) || '  docs/' || CAST(doc_id AS VARCHAR) || '.txt' AS line, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE doc_id % 10 <> 3""")
 def hash_manifest(spark, d):
     x = t(spark, d, "documents").select(F.concat(F.when(F.col("doc_id") % 2 == 0, "docs/").otherwise("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")

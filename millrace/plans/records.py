@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, labels
-from ..operators import annotations, checks, dedup, evaluation, findings, images, inference, json_schema, registry, sampling
+from ..operators import annotations, checks, dedup, evaluation, findings, images, inference, json_schema, masks, registry, sampling
 from ..sources import files, sinks
 from .catalog import BOX_SQL, CODE_SQL, RADIUS, boxes, coded, docs_split, query, t
 
@@ -258,6 +258,19 @@ def class_number_annotations(spark, d):
     return got.select("doc_id", "native_label", "canonical_label", "mapping_strength", F.col("box_xywh")[2].alias("w"), "segmentation_provenance", "rejected_geometry_count")
 
 
+@query("""WITH p AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings),
+m AS (SELECT vec_id, i, i % 8 AS col, i // 8 AS row, x > 0 AS a, x > -0.05 AND x < 0.1 AS b FROM p)
+SELECT vec_id, CAST(sum(CASE WHEN a THEN 1 ELSE 0 END) AS BIGINT) AS area, CAST(sum(CASE WHEN a AND b THEN 1 ELSE 0 END) AS BIGINT) AS "both", CAST(sum(CASE WHEN a OR b THEN 1 ELSE 0 END) AS BIGINT) AS either,
+CAST(max(CASE WHEN a THEN col END) - min(CASE WHEN a THEN col END) + 1 AS BIGINT) AS box_w, CAST(min(CASE WHEN a THEN row END) AS BIGINT) AS box_y FROM m GROUP BY 1""")
+def mask_overlaps(spark, d):
+    """Masks of 8 by 8 pixels, one a component, as runs: area, box and overlap of two."""
+    x = F.col("embedding")
+    rows = t(spark, d, "embeddings").select("vec_id", masks.runs_of(F.transform(x, lambda v: v > 0)).alias("a"), masks.runs_of(F.transform(x, lambda v: (v > -0.05) & (v < 0.1))).alias("b"))
+    around = masks.box(F.col("a"), F.lit(8))
+    one = rows.select("vec_id", masks.area(F.col("a")).alias("area"), around[2].alias("box_w"), around[1].alias("box_y"))
+    return one.join(masks.overlap(rows, ["vec_id"], "a", "b").select("vec_id", "both", "either"), "vec_id")
+
+
 UUID_SQL = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-5' || substr({0}, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr({0}, 17, 1))::INTEGER % 4, 1) || substr({0}, 18, 3) || '-' || substr({0}, 21, 12)"
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from ..operators.findings import upsert_table
 
 
 def distinct_events(events: DataFrame, key: str, time: str, late: str = "10 minutes") -> DataFrame:
@@ -24,3 +27,8 @@ def sessions(events: DataFrame, time: str, user: str, gap: str = "30 minutes", l
 def latest_by_key(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last event of each key, for update or complete output."""
     return events.groupBy(key).agg(F.max_by(F.struct(*events.columns), F.struct(*order)).alias("e")).select("e.*")
+
+
+def upserts(events: DataFrame, path: str, key: str, version: str, buckets: int = 64) -> DataStreamWriter:
+    """A stream that keeps the table at path up to date, batch by batch; a batch that is replayed changes nothing."""
+    return events.writeStream.foreachBatch(lambda batch, _: upsert_table(batch.sparkSession, path, batch, key, version, buckets) and None)

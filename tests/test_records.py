@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import labels
-from millrace.operators import annotations, checks, dedup, evaluation, findings, images, inference, registry, sampling, skew
+from millrace.operators import annotations, checks, dedup, evaluation, findings, images, inference, masks, registry, sampling, skew
 from millrace.operators.checks import ConstraintError
 from millrace.sources import files, sinks
 
@@ -198,15 +198,6 @@ def test_bands_hold_every_pair():
             assert bands * (flips + 1) > radius
 
 
-def test_heat_and_boxes():
-    h = images.heat(np.array([[1.0, 3.0], [2.0, 1.0]]))
-    assert h.tolist() == [[0, 1], [0.5, 0]] and images.heat(np.ones((2, 2))).tolist() == [[0, 0], [0, 0]]
-    out = images.heat_overlay(np.zeros((2, 2, 3), np.uint8), h, 1.0)
-    assert out[0, 1].tolist() == [127, 0, 0] and out[1, 0].tolist() == [127, 255, 127] and out[0, 0].tolist() == [0, 0, 127]
-    d = images.draw_boxes(np.zeros((8, 8, 3), np.uint8), [[1, 1, 6, 5]], width=1)
-    assert (d[..., 0] == 255).sum() == 18 and d[1, 1, 0] == 255 and d[3, 3, 0] == 0
-
-
 def test_schema_errors(spark):
     from millrace.operators import json_schema
 
@@ -323,3 +314,50 @@ def test_a_hot_key_without_partner_is_spread(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_masks_by_runs(spark):
+    import random
+
+    r = random.Random(2)
+    width, height = 7, 6
+    rows = []
+    for i in range(40):
+        p = r.choice([0.0, 0.2, 0.6, 1.0])
+        rows.append((i, [r.random() < p for _ in range(width * height)], [r.random() < 0.5 for _ in range(width * height)]))
+    df = spark.createDataFrame(rows, "i int, a array<boolean>, b array<boolean>").select("i", masks.runs_of(F.col("a")).alias("a"), masks.runs_of(F.col("b")).alias("b"))
+    one = {x["i"]: x for x in df.select("i", masks.area(F.col("a")).alias("area"), masks.box(F.col("a"), F.lit(width)).alias("box")).collect()}
+    two = {x["i"]: x for x in masks.overlap(df, ["i"], "a", "b").collect()}
+    for i, a, b in rows:
+        on = [(p % width, p // width) for p, v in enumerate(a) if v]
+        xs, ys = [x for x, _ in on], [y for _, y in on]
+        assert one[i]["area"] == len(on) and one[i]["box"] == ([min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1] if on else None)
+        both, either = sum(x and y for x, y in zip(a, b)), sum(x or y for x, y in zip(a, b))
+        assert (two[i]["area_a"], two[i]["area_b"], two[i]["both"], two[i]["either"]) == (sum(a), sum(b), both, either)
+        assert two[i]["iou"] == (both / either if either else 0) and abs(two[i]["dice_loss"] - (1 - (2 * both + 1) / (sum(a) + sum(b) + 1))) < 1e-12
+
+
+def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    names = lambda: {str(p.relative_to(path)) for p in (tmp_path / "t").rglob("*.parquet")}
+    rows = spark.range(500).select(F.col("id").alias("k"), F.lit(1).alias("v"), F.lit("a").alias("x"))
+    assert findings.upsert_table(spark, path, rows, "k", "v", 16) == 16
+    before = names()
+    some = spark.createDataFrame([(3, 2, "new"), (3, 1, "old"), (9999, 1, "more")], "k bigint, v int, x string")
+    touched = findings.upsert_table(spark, path, some, "k", "v", 16)
+    assert touched <= 2 and len(before & names()) == 16 - touched
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v", "x").collect())
+    want = sorted([(i, 1, "a") for i in range(500) if i != 3] + [(3, 2, "new"), (9999, 1, "more")])
+    assert read() == want
+    findings.upsert_table(spark, path, some, "k", "v", 16)
+    assert read() == want and findings.upsert_table(spark, path, some.limit(0), "k", "v", 16) == 0
+    # the same by a stream, in batches of one file
+    src = str(tmp_path / "src")
+    for part in (rows, some, some):
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    from millrace.streaming import reviews
+
+    q = reviews.upserts(stream, str(tmp_path / "s"), "k", "v", 16).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "s")).select("k", "v", "x").collect()) == want
