@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import findings
+from ..operators import annotations, findings
 from ..sources import files, sinks
 from .catalog import SPLIT_SQL, docs_split, query, t
 
@@ -256,3 +256,22 @@ def names_of_paths(spark, d):
     folder = F.when(m == 0, "data/val/").when(m == 1, "data/other/train_").otherwise("data/other/")
     rows = t(spark, d, "part").select("p_partkey", F.concat(F.lit("a"), F.col("p_size").cast("string"), F.lit("_crop_"), F.col("p_partkey").cast("string")).alias("crop"), F.concat(folder, F.lit("X_1.JPG")).alias("path"))
     return rows.select("p_partkey", labels.parent_name(F.col("crop")).alias("parent"), F.replace(labels.stem(F.col("path")), F.lit("train_")).alias("stem"), labels.split_of_path(F.col("path"), ["train", "val"]).alias("split"))
+
+
+@query("""SELECT 'docs/' || doc_id || '.md' AS path, '../docs/' || (doc_id + 1) || '.md' AS target FROM documents WHERE doc_id + 1 NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)""")
+def missing_links(spark, d):
+    """Each document links to the next one, to the web and to a place in itself; every third is no file."""
+    key, after = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    docs = t(spark, d, "documents").select(F.concat(F.lit("docs/"), key, F.lit(".md")).alias("path"), F.concat(F.lit("see [next](../docs/"), after, F.lit(".md), [web](https://x.example/a.md) and [top](#top)")).alias("text"))
+    there = t(spark, d, "documents").where("doc_id % 3 <> 0").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    return files.missing_links(docs, "path", "text", there)
+
+
+@query("""WITH r AS (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN '255-255-255-255' WHEN 1 THEN '255-0-0-255' WHEN 2 THEN '255-255-0-255' END AS c, vec_id % 5 AS n FROM embeddings)
+SELECT vec_id, 'color-' || c AS annotation_id, CASE vec_id % 4 WHEN 0 THEN 'crack' WHEN 1 THEN 'spalling' ELSE 'rust_staining' END AS canonical_label, CASE WHEN vec_id % 4 = 2 THEN 'weak' ELSE 'direct' END AS mapping_strength, n AS pixel_count FROM r WHERE c IS NOT NULL AND n > 0""")
+def mask_colour_annotations(spark, d):
+    m = F.col("vec_id") % 4
+    rgba = lambda *v: F.array(*[F.lit(x) for x in v])
+    colour = F.when(m == 0, rgba(255, 255, 255, 255)).when(m == 1, rgba(255, 0, 0, 255)).when(m == 2, rgba(255, 255, 0, 255)).otherwise(rgba(0, 0, 1, 255))
+    rows = t(spark, d, "embeddings").select("vec_id", colour.alias("rgba"), (F.col("vec_id") % 5).alias("pixel_count"), F.lit(None).cast("array<double>").alias("box_xywh"))
+    return annotations.from_mask_colours(rows, "vec_id").select("vec_id", "annotation_id", "canonical_label", "mapping_strength", "pixel_count")
