@@ -30,13 +30,15 @@ HONORIFICS = {
 }
 _TITLES = "|".join(sorted((x for v in HONORIFICS.values() for x in v), key=lambda x: (-len(x), x)))
 TITLE = rf"(?:(?:{_TITLES})\.?[  ])"
+# What comes before a secret: a keyword, alone or in a longer name of a variable, quoted as in JSON or not.
+NAMED = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)(?i:(?:[_-](?:access|auth|api))?[_-](?:key|token|value))?[\"']?\s?[=:]\s?"
 # Patterns of the types, tried in this order at each position. No pattern holds a group that captures, and
 # none repeats a group without a bound, for such a repeat takes stack by the text's length. A domain has 127 labels at
 # most. A value of masking marks only is no secret.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b",
-    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?(?!\"?[*•.#_xX-]+\"?(?:\s|$))(?:\"[^\"\s]{6,}\"|[^\s\"]{6,})",
+    "secret": rf"(?<![A-Za-z0-9]){NAMED}" r"(?!\"?[*•.#_xX-]+\"?(?:\s|$))(?:\"[^\"\s]{6,}\"|[^\s\"]{6,})",
     "iban": r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}(?:\s?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d.])(?:\d{4}[ -]?){3}\d{4}(?![\d.]\d|\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -129,7 +131,7 @@ def normal(kind: Column, m: Column) -> Column:
     """What must agree for two mentions to be of one entity. A secret's entity is its value, a name's its name without honorifics."""
     return (
         F.when(kind == "email", F.lower(m))
-        .when(kind == "secret", F.regexp_replace(m, r"^[A-Za-z_-]+\s?[=:]\s?\"?|\"$", ""))
+        .when(kind == "secret", F.regexp_replace(m, rf"^{NAMED}\"?|\"$", ""))
         .when(kind.isin("card", "ssn", "iban"), F.regexp_replace(m, r"[^0-9A-Za-z]", ""))
         .when(kind == "phone", F.regexp_replace(m, r"[^0-9+]", ""))
         .when(kind == "name", F.regexp_replace(m, f"^{TITLE}+", ""))
@@ -284,7 +286,7 @@ def dressed(kind: Column, m: Column, new: Column) -> Column:
         return F.struct((acc["i"] + own.cast("int")).alias("i"), F.concat(acc["s"], F.when(own, F.substr(new, acc["i"] + 1, F.lit(1))).otherwise(c)).alias("s"))
 
     spaced = F.aggregate(F.split(m, ""), start, step, lambda acc: F.concat(acc["s"], F.substr(new, acc["i"] + 1)))  # of bounded types only
-    quoted = F.concat(F.regexp_extract(m, r"^([A-Za-z_-]+\s?[=:]\s?\"?)", 1), new, F.when(m.endswith('"'), '"').otherwise(""))
+    quoted = F.concat(F.regexp_extract(m, rf"^({NAMED}\"?)", 1), new, F.when(m.endswith('"'), '"').otherwise(""))
     return F.when(kind == "secret", quoted).when(kind.isin("card", "ssn", "iban", "phone"), spaced).otherwise(new)
 
 

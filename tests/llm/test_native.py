@@ -194,3 +194,20 @@ def test_pii_keeps_entities_apart(spark):
     rows = [re.match(r"Mrs (\S+) (\S+), (.{17}), (.{19}), (\S+), password=(\S+)", r["text"]).groups() for r in surrogates.replace_pii(d, key="k").collect()]
     assert len({r[0] for r in rows}) == len(given) and len({r[1] for r in rows}) == 1 and all(len({r[i] for r in rows}) == len(rows) for i in (2, 4, 5))
     assert not {r[0] for r in rows} & set(given) and all(r[0] in surrogates.GIVEN[("latin", "f")] or r[0].endswith("a") for r in rows)
+
+
+def test_secrets_in_json_and_in_longer_names(spark):
+    texts = [
+        '{"password": "hunter22", "user": "u"}',
+        "AWS_SECRET_ACCESS_KEY=abcDEF123456 and api-key-value: q1w2e3r4",
+        "DB_PASSWORD=hunter22 again",
+        "{'token': 'zz99yy88xx'}",
+        "the secret key is kept; a token count: 123456789; password policy: unchanged",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["text"] for r in surrogates.replace_pii(df, key="k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r'\{"password": "[a-z]{6}\d\d", "user": "u"\}', got[0]) and "hunter22" not in got[0]
+    assert re.fullmatch(r"AWS_SECRET_ACCESS_KEY=[a-z]{3}[A-Z]{3}\d{6} and api-key-value: ([a-z]\d){4}", got[1]) and "abcDEF123456" not in got[1] and "q1w2e3r4" not in got[1]
+    assert got[2].removeprefix("DB_PASSWORD=").split()[0] == re.search(r'"password": "([^"]+)"', got[0])[1]
+    assert "zz99yy88xx" not in got[3] and got[3].startswith("{'token': ")
+    assert got[4] == texts[4]
