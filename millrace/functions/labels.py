@@ -211,3 +211,12 @@ def archive_report(output: Column, code: Column) -> Column:
     number = lambda k: F.regexp_extract(output, rf"(?m)^{k}:\s+(\d+)\s*$", 1).try_cast("bigint")
     ok = (code == 0) & output.contains("Everything is Ok")
     return F.struct(ok.alias("everything_ok"), *[number(k).alias(k.lower()) for k in ("Folders", "Files", "Size", "Compressed")], F.when(~ok, F.right(output, F.lit(2000))).alias("diagnostic"))
+
+
+def json_text(document: Column, field: str, default: str | None = None) -> Column:
+    """A field of a JSON object as text; default where the object lacks it or is none."""
+    return F.coalesce(F.get_json_object(document, f"$.{field}"), F.lit(default).cast("string"))
+
+
+def broken_json(document: Column) -> Column:
+    return F.try_parse_json(document).isNull()

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .boxes import greedy_match, overlaps, suppress  # noqa: F401
+from .sampling import ordinals
 from .skew import running_sums
 
 
@@ -94,3 +95,11 @@ def early_stopping(epochs: DataFrame, run: str, epoch: str, loss: str, patience:
     best = epochs.withColumn("best", F.min(loss).over(w)).withColumn("_new", F.when(F.col(loss) == F.col("best"), F.col(epoch)))
     since = F.col(epoch) - F.min_by(F.col(epoch), F.struct(F.col(loss), F.col(epoch))).over(w)
     return best.withColumn("since", since).withColumn("stopped", F.col("since") >= patience).drop("_new")
+
+
+def rank_groups(rows: DataFrame, by: str, metric: str, target: float = 0.85) -> DataFrame:
+    """by, metric (the mean of those that are not null), n (how many), rank from 1 by falling mean (none counts as 0), then
+    by name, and priority: high below target, review otherwise or without a mean. Any number of groups."""
+    means = rows.groupBy(by).agg(F.avg(metric).alias("metric"), F.count(metric).alias("n"))
+    ranked = ordinals(means.withColumn("_m", F.coalesce("metric", F.lit(0.0))), [F.desc("_m"), F.col(by)], "rank")
+    return ranked.withColumn("priority", F.when(F.col("metric") < target, "high").otherwise("review")).select(by, "metric", "n", "rank", "priority")

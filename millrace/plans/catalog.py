@@ -305,7 +305,8 @@ def parent_from_name(spark, d):
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing, CASE WHEN json_valid(props) THEN false ELSE true END AS broken FROM events""")
 def json_props_extract(spark, d):
-    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("missing"), F.expr("try_parse_json(props) is null").alias("broken"))
+    props = F.col("props")
+    return t(spark, d, "events").select("event_id", labels.json_text(props, "k").alias("k"), labels.json_text(props, "missing", "none").alias("missing"), labels.broken_json(props).alias("broken"))
 
 
 @query("""WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS link FROM pages) SELECT page_id, link, count(*) AS n FROM x GROUP BY 1, 2""")
@@ -483,12 +484,8 @@ def operating_point(spark, d):
 @query("""WITH m AS (SELECT d.source, avg(CAST(l.quality AS DOUBLE)) AS metric, count(l.doc_id) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1)
 SELECT source, metric, n, CAST(row_number() OVER (ORDER BY coalesce(metric, 0) DESC, source) AS INTEGER) AS rank, CASE WHEN coalesce(metric, 1.0) < 0.85 THEN 'high' ELSE 'review' END AS priority FROM m""")
 def source_ranking(spark, d):
-    from pyspark.sql import Window as W
-
-    rows = t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels").select("doc_id", "quality", F.lit(1).alias("has")), "doc_id", "left")
-    m = rows.groupBy("source").agg(F.avg(F.col("quality").cast("double")).alias("metric"), F.count("has").alias("n"))
-    order = W.partitionBy(F.lit(0)).orderBy(F.desc(F.coalesce("metric", F.lit(0.0))), "source")  # one row a source
-    return m.select("source", "metric", "n", F.row_number().over(order).alias("rank"), F.when(F.coalesce("metric", F.lit(1.0)) < 0.85, "high").otherwise("review").alias("priority"))
+    rows = t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id", "left")
+    return evaluation.rank_groups(rows, "source", "quality").withColumn("rank", F.col("rank").cast("int"))
 
 
 # --- views, unions, constraints -----------------------------------------------------------------------------------
