@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_often, mix, small_batches, splitmix, spread, stash
+from .common import SENT, join_often, mix, small_batches, splitmix, spread, stash
 
 TREES, DEPTH = 20, 8
 CELL = 256
@@ -292,7 +292,9 @@ class Forest:
         every, found = None, {}
         for depth in range(self.depth, self.least - 1, -1):
             need = stash(self.needed(tries, classes, depth), "nd-need")
-            part = stash(self.links(need.join(texts, "cls"), depth), "nd-links")
+            # few texts are needed at a depth: what names them goes to the texts, if it is small, and not all texts by shuffle
+            met = texts.join(F.broadcast(need), "cls") if need.count() <= SENT else need.join(texts, "cls")
+            part = stash(self.links(met, depth), "nd-links")
             every = part if every is None else every.unionByName(part)
             for r in part.where("alike is not null").groupBy("alike").agg(F.sum("n").alias("n")).collect():  # at most BINS rows
                 s = max(r["alike"] / BINS, self.threshold)
