@@ -360,7 +360,10 @@ def _resolve(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, forest:
     known = stash(known, "nd-known")
     heads = known.groupBy("root").agg(F.min("least").alias("head"))
     known = stash(known.join(heads, "root").select("cls", "size", "more", "head"), "nd-known")
-    return join_often(signed.select("r1", "r2", "cls"), known, ["cls"], "size").select(
+    rows = signed.select("r1", "r2", "cls")
+    joined = join_often(rows.where("cls is not null"), known, ["cls"], "size")
+    joined = joined.unionByName(rows.where("cls is null"), allowMissingColumns=True)  # texts without a word meet nothing
+    return joined.select(
         F.col("r1").alias("doc_id"),
         F.when(F.col("cls").isNull(), F.col("r1")).otherwise(F.col("head.id")).alias("class_id"),
         F.coalesce(F.col("more") + F.col("size") - 1, F.lit(0)).cast("bigint").alias("n_links"),
