@@ -94,12 +94,28 @@ def pairs_by_stem(listing: DataFrame, left: str, right: str) -> DataFrame:
     return one(left, "left_path").join(one(right, "right_path"), "stem", "full_outer")
 
 
+# First bytes of image formats, and modes by number of channels.
+FORMATS = (("89504E470D0A1A0A", "PNG"), ("FFD8FF", "JPEG"), ("49492A00", "TIFF"), ("4D4D002A", "TIFF"), ("424D", "BMP"), ("474946", "GIF"))
+MODES = {1: "L", 3: "RGB", 4: "RGBA"}
+
+
 def image_headers(spark: SparkSession, path: str) -> DataFrame:
-    """path, width, height, channels, readable of image files, each decoded whole; unreadable ones have nulls."""
+    """path, width, height, channels, mode, format, readable of image files, each decoded whole; what cannot be decoded has
+    nulls but for the format that its first bytes tell (null if they tell none)."""
     i = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
     ok = F.col("width") > 0
     size = lambda c: F.when(ok, F.col(c))
-    return i.select(F.col("origin").alias("path"), size("width").alias("width"), size("height").alias("height"), size("nChannels").alias("channels"), F.coalesce(ok, F.lit(False)).alias("readable"))
+    plain = lambda p: F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
+    one = lambda p: F.regexp_replace(plain(p), "^file:/*", "file:///")
+    read = i.select(one(F.col("origin")).alias("path"), size("width").alias("width"), size("height").alias("height"), size("nChannels").alias("channels"), F.coalesce(ok, F.lit(False)).alias("readable"))
+    head = F.hex(F.substring("content", 1, 8))
+    kind, mode = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for first, name in FORMATS:
+        kind = F.when(head.startswith(first), name).otherwise(kind)
+    for channels, name in MODES.items():
+        mode = F.when(F.col("channels") == channels, name).otherwise(mode)
+    formats = files(spark, path).select(one(F.col("path")).alias("path"), kind.alias("format"))
+    return read.join(formats, "path", "left").select("path", "width", "height", "channels", mode.alias("mode"), "format", "readable")
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:

@@ -361,3 +361,16 @@ def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
     q = reviews.upserts(stream, str(tmp_path / "s"), "k", "v", 16).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "s")).select("k", "v", "x").collect()) == want
+
+
+def test_image_headers(spark, tmp_path):
+    rgba = np.zeros((4, 6, 4), np.uint8)
+    rgba[..., 3] = 255
+    (tmp_path / "a b.png").write_bytes(png(rgba))
+    (tmp_path / "broken.jpg").write_bytes(bytes.fromhex("FFD8FFE0") + b"nothing")
+    (tmp_path / "none.tif").write_bytes(b"text")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.image_headers(spark, str(tmp_path)).collect()}
+    p = got["a b.png"] if "a b.png" in got else got["a%20b.png"]
+    assert (p["width"], p["height"], p["mode"], p["format"], p["readable"]) == (6, 4, "RGBA", "PNG", True)
+    assert (got["broken.jpg"]["format"], got["broken.jpg"]["width"], got["broken.jpg"]["readable"]) == ("JPEG", None, False)
+    assert (got["none.tif"]["format"], got["none.tif"]["readable"]) == (None, False)
