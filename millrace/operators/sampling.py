@@ -144,7 +144,9 @@ def relabel(split: Column, names: Mapping[str, str]) -> Column:
 
 
 def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """rows with sample_id: the group's name and a four-digit number from 1 in the order given, which has no ties. A group is
-    numbered by ranges of the order, so that one with nearly all rows is spread over the tasks."""
+    """rows with sample_id: the group's name and a number from 1, of four digits at least, in the order given, which has no
+    ties; null without a group. A group is numbered by ranges of the order, so that one with nearly all rows is spread over
+    the tasks."""
     placed = running_sums(rows, [group], [F.col(c) for c in order], {"_place": F.lit(1).cast("bigint")})
-    return placed.withColumn("sample_id", F.format_string("%s_%04d", F.col(group), F.col("_place"))).drop("_place")
+    named = F.format_string("%s_%04d", F.col(group), F.col("_place"))
+    return placed.withColumn("sample_id", F.when(F.col(group).isNotNull(), named)).drop("_place")

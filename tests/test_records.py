@@ -286,6 +286,11 @@ def test_numbers_within_a_hot_group(spark):
     assert {r["sample_id"]: r["id"] for r in got.collect()} == {f"{s}_{i:04d}": x for s, ids in want.items() for i, x in enumerate(ids, 1)}
 
 
+def test_numbers_without_a_group_and_of_five_digits(spark):
+    got = {r["id"]: r["sample_id"] for r in sampling.numbered(spark.range(10_003).select("id", F.when(F.col("id") > 1, "s").alias("source")), "source", ["id"]).collect()}
+    assert got[0] is None and got[1] is None and got[2] == "s_0001" and got[10_002] == "s_10001"
+
+
 def test_prefill_and_quality_say_why(spark):
     q = spark.createDataFrame([(0, 0.95, 0.01), (1, 0.95, 0.06), (9, 0.1, 0.5)], "distance int, correlation double, mae double")
     assert [(r["machine_decision"], r["machine_review_notes"]) for r in dedup.prefilled(q).orderBy("distance").collect()] == list(dedup.NOTES.items())
