@@ -131,14 +131,15 @@ def shard_rows(spark, d):
 
 @query("""SELECT doc_id, quality, toxic FROM (SELECT *, file_row_number AS n FROM read_parquet('{labels}', file_row_number = true)) WHERE n % 7 = 0""".replace("read_parquet('{labels}', file_row_number = true)", "(SELECT *, row_number() OVER () - 1 AS file_row_number FROM labels)"))
 def row_point_lookup(spark, d):
-    at = files.parquet_with_position(spark, f"{d}/labels.parquet", ["doc_id"])
-    wanted = at.where("row_index % 7 = 0").select("file_name", "row_index")
+    at = files.table_places(spark, f"{d}/labels.parquet", files.parquet_with_position(spark, f"{d}/labels.parquet", []))
+    wanted = at.where("place % 7 = 0").select("file_name", "row_index")
     return files.parquet_lookup(spark, f"{d}/labels.parquet", ["doc_id", "quality", "toxic"], wanted).select("doc_id", "quality", "toxic")
 
 
 @query("SELECT doc_id, CAST(row_index AS BIGINT) AS row_index FROM (SELECT doc_id, row_number() OVER () - 1 AS row_index FROM labels) WHERE row_index < 32")
 def first_rows(spark, d):
-    return files.first_rows(spark, f"{d}/labels.parquet", ["doc_id"], 32).select("doc_id", "row_index")
+    first = files.first_rows(spark, f"{d}/labels.parquet", ["doc_id"], 32)
+    return files.table_places(spark, f"{d}/labels.parquet", first).select("doc_id", F.col("place").alias("row_index"))
 
 
 @query(f"""WITH l AS (SELECT {SPLIT_SQL} AS split, source, string_agg(CAST(doc_id AS VARCHAR) || ' ' || lang, chr(10) ORDER BY doc_id) AS label_lines FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2) SELECT split, source, label_lines FROM l""")

@@ -6,6 +6,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import shard_split, stem
@@ -66,6 +67,14 @@ def parquet_lookup(spark: SparkSession, path: str, columns: list[str], wanted: D
     return ranges.rows_at(spark, path, columns, wanted)
 
 
+def table_places(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """rows(file_name, row_index) with `place`: the row's place from 0 in the whole table, whose files follow each other by
+    name. What the files before hold comes from footers."""
+    sizes = ranges.row_groups(spark, path).groupBy("file_name").agg(F.sum("rows").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("file_name").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a file
+    return rows.join(F.broadcast(sizes.select("file_name", before.alias("_before"))), "file_name").withColumn("place", F.col("_before") + F.col("row_index")).drop("_before")
+
+
 def row_count(spark: SparkSession, path: str) -> int:
     """Rows of Parquet files: no column is read, the footers' counts are added."""
     return spark.read.parquet(path).count()

@@ -62,6 +62,25 @@ def test_parquet_lookup(spark, tmp_path):
     assert sorted(r["id"] for r in files.parquet_lookup(spark, str(tmp_path / "p"), ["id"], want).collect()) == [3, 50]
 
 
+def test_places_in_a_table_of_files(spark, tmp_path):
+    from millrace.plans import catalog, exchange  # noqa: F401
+
+    sizes = [10, 0, 3, 25, 1]
+    rows, first = [], 0
+    for n, many in enumerate(sizes):
+        rows += [(i, i % 2, i % 3) for i in range(first, first + many)]
+        part = spark.createDataFrame(rows[first : first + many], "doc_id bigint, quality int, toxic int").coalesce(1)
+        at = str(tmp_path / f"raw-{n}")
+        part.write.parquet(at)
+        for i, f in enumerate(sorted((tmp_path / f"raw-{n}").glob("*.parquet"))):
+            (tmp_path / "labels.parquet").mkdir(exist_ok=True)
+            f.rename(tmp_path / "labels.parquet" / f"part-{n:04d}-{i}.parquet")
+        first += many
+    q = catalog.QUERIES
+    assert sorted(tuple(r) for r in q["row_point_lookup"](spark, str(tmp_path)).collect()) == [r for r in rows if r[0] % 7 == 0]
+    assert sorted(tuple(r) for r in q["first_rows"](spark, str(tmp_path)).collect()) == [(i, i) for i in range(32)]
+
+
 def test_overlay_and_views(spark):
     a = annotations.normalise(spark.createDataFrame([(1, 0, "Rust"), (1, 1, "Cavity")], "s int, a int, native string"), "native")
     led = spark.createDataFrame([(1, 1, "crack", "positive")], "s int, a int, canonical_label string, annotation_status string")
