@@ -69,17 +69,18 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
-def banding(codes: int, radius: int, bits: int) -> tuple[int, int, float]:
-    """(bands, flips, work) of least work by estimate: two codes within radius agree on one of the bands but for `flips` bits,
-    bands * (flips + 1) > radius. A code is looked up by all values within flips of its band's."""
+def band_work(codes: int, bands: int, flips: int, bits: int) -> float:
+    """Rows that the join of bands makes, by estimate."""
+    width = bits / bands
+    probes = sum(comb(ceil(width), i) for i in range(flips + 1))
+    return bands * probes * (codes * 4 + codes * codes / 2 / 2**width)
 
-    def work(bands: int, flips: int) -> float:
-        width = bits / bands
-        probes = sum(comb(ceil(width), i) for i in range(flips + 1))
-        return bands * probes * (codes * 4 + codes * codes / 2 / 2**width)
 
+def banding(codes: int, radius: int, bits: int) -> tuple[int, int]:
+    """(bands, flips) of least work by estimate: two codes within radius agree on one of the bands but for `flips` bits,
+    bands * (flips + 1) > radius. A code is looked up by all values within flips of its band's."""
     options = [(m, radius // m) for m in range(1, radius + 2) if sum(comb(ceil(bits / m), i) for i in range(radius // m + 1)) <= 4096]
-    return min(((*o, work(*o)) for o in options), key=lambda o: o[2])
+    return min(options, key=lambda o: band_work(codes, *o, bits))
 
 
 def _by_bands(codes: DataFrame, radius: int, bits: int, n: int, flips: int) -> DataFrame:
@@ -186,8 +187,8 @@ def class_pairs(members: DataFrame, radius: int, bits: int = 63) -> DataFrame:
     classes = members.groupBy("c").agg(F.sum(F.size("ids")).alias("n"))
     codes = classes.select("c")
     many = max(codes.count(), 1)
-    n, flips, work = banding(many, radius, bits)
-    near = _by_bands(codes, radius, bits, n, flips) if work < many * many / 2 * COMPARED else _by_tiles(codes, many, radius, bits)
+    n, flips = banding(many, radius, bits)
+    near = _by_bands(codes, radius, bits, n, flips) if band_work(many, n, flips, bits) < many * many / 2 * COMPARED else _by_tiles(codes, many, radius, bits)
     sizes = lambda side: classes.select(F.col("c").alias(side), F.col("n").alias(f"n_{side}"))
     both = near.join(sizes("a"), "a").join(sizes("b"), "b").unionByName(classes.where("n > 1").select(F.col("c").alias("a"), F.col("c").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b")))
     return both.select(F.col("a").alias("left_code"), F.col("b").alias("right_code"), hamming(F.col("a"), F.col("b")).alias("distance"), F.col("n_a").alias("n_left"), F.col("n_b").alias("n_right"))
@@ -220,25 +221,54 @@ def array_likeness(a: Column, b: Column) -> Column:
     """struct(correlation, mae, rmse) of two arrays of doubles; without variance the correlation is 1 if equal else 0."""
     n = F.size(a).cast("double")
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    ma, mb = total(a) / n, total(b) / n
-    cov = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    va, vb = total(F.transform(a, lambda x: (x - ma) * (x - ma))), total(F.transform(b, lambda y: (y - mb) * (y - mb)))
-    corr = F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).otherwise(F.when(a == b, 1.0).otherwise(0.0))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+    # means are bound first: inside a step they would be summed again for each value
+    means = F.struct((total(a) / n).alias("a"), (total(b) / n).alias("b"))
+    spread = lambda m: F.struct(
+        total(F.zip_with(a, b, lambda x, y: (x - m["a"]) * (y - m["b"]))).alias("both"),
+        total(F.transform(a, lambda x: (x - m["a"]) * (x - m["a"]))).alias("a"),
+        total(F.transform(b, lambda y: (y - m["b"]) * (y - m["b"]))).alias("b"),
+    )
+    like = lambda v: F.when((v["a"] > 0) & (v["b"] > 0), v["both"] / F.sqrt(v["a"] * v["b"])).otherwise(F.when(a == b, 1.0).otherwise(0.0))
+    corr = once(once(means, spread), like)
     return F.struct(corr.alias("correlation"), (total(F.zip_with(a, b, lambda x, y: F.abs(x - y))) / n).alias("mae"), F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))) / n).alias("rmse"))
 
 
-def review_queue(pairs: DataFrame, rows: DataFrame, record: str, split: str, vector: str) -> DataFrame:
-    """Pairs across splits of rows, with likeness of their vectors, ranked: distance, correlation (greatest first), mae,
-    ids. Only pairs both of whose ends are in rows are kept."""
-    side = lambda s: rows.select(F.col(record).alias(f"{s}_id"), F.col(split).alias(f"{s}_split"), F.col(vector).cast("array<double>").alias(f"{s}_v"))
+def measured_pairs(pairs: DataFrame, rows: DataFrame, record: str, split: str, vector: str, size: str | None = None) -> DataFrame:
+    """Pairs across splits of rows, with likeness of their vectors, in no order. Only pairs both of whose ends are in rows are
+    kept. Where a row stands for as many as its column `size` says, `n` is the number of pairs that a pair stands for."""
+    own = {"split": F.col(split), "v": F.col(vector).cast("array<double>"), "n": F.col(size) if size else F.lit(1)}
+    side = lambda s: rows.select(F.col(record).alias(f"{s}_id"), *[c.alias(f"{s}_{k}") for k, c in own.items()])
     both = pairs.join(side("left"), "left_id").join(side("right"), "right_id").where("left_split <> right_split")
-    like = both.withColumn("k", array_likeness(F.col("left_v"), F.col("right_v"))).select(
-        "left_id", "right_id", "left_split", "right_split", "distance", F.round("k.correlation", 6).alias("correlation"), F.round("k.mae", 6).alias("mae"), F.round("k.rmse", 6).alias("rmse")
+    many = [(F.col("left_n") * F.col("right_n")).alias("n")] if size else []
+    return both.withColumn("k", array_likeness(F.col("left_v"), F.col("right_v"))).select(
+        "left_id", "right_id", "left_split", "right_split", "distance", F.round("k.correlation", 6).alias("correlation"), F.round("k.mae", 6).alias("mae"), F.round("k.rmse", 6).alias("rmse"), *many
     )
+
+
+def review_queue(pairs: DataFrame, rows: DataFrame, record: str, split: str, vector: str) -> DataFrame:
+    """Pairs across splits of rows, with likeness of their vectors, ranked: distance, correlation (greatest first), mae,
+    ids. Only pairs both of whose ends are in rows are kept. Pairs are measured once and kept, since ranges of their order are
+    found from them first."""
+    like = stash(measured_pairs(pairs, rows, record, split, vector), "measured")
     order = [F.col("distance"), F.desc("correlation"), F.col("mae"), F.col("left_id"), F.col("right_id")]
     return ordinals(like, order, "review_rank").withColumn("review_rank", F.col("review_rank").cast("int"))
 
 
+def crossing_ids(rows: DataFrame, record: str, split: str, code: str, radius: int, bits: int = 63) -> DataFrame:
+    """id, split of the rows that have a row of another split within radius; ids are unique.
+
+    Codes tell: the splits that a code and those near it have, not the pairs of their records, which no row needs.
+    """
+    known = rows.select(F.col(code).alias("c"), F.col(split).alias("split"), F.col(record).alias("id")).where("c is not null and id is not null and split is not null")
+    near = class_pairs(code_members(rows, record, code), radius, bits).where("left_code <> right_code").select(F.col("left_code").alias("a"), F.col("right_code").alias("b"))
+    splits = stash(known.groupBy("c").agg(F.min("split").alias("low"), F.max("split").alias("high")), "splits")
+    ways = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = ways.join(splits.withColumnRenamed("c", "b"), "b").select(F.col("a").alias("c"), "low", "high").unionByName(splits)
+    around = beside.groupBy("c").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    return join_often(known, stash(around, "around"), ["c"]).where("low <> high").select("id", "split")
+
+
 # Least correlation, and greatest mean error of a duplicate and of a near duplicate, for a first decision.
 ALIKE, SAME, CLOSE = 0.90, 0.05, 0.08
 

@@ -191,6 +191,22 @@ def test_small_functions(spark):
     assert annotations.normalise_sources(cif=broken, voc=broken, uav=broken).count() == 0
 
 
+def test_ids_of_pairs_across_splits_without_pairs(spark):
+    near = [(i, "train", 7 << 20) for i in range(600)] + [(600, "val", (7 << 20) + 1), (601, "val", 1 << 40), (602, "val", (1 << 40) + 2), (603, "test", 5 << 50), (604, "test", 5 << 50), (605, "val", None)]
+    rows = spark.createDataFrame(near, "id bigint, split string, code bigint")
+    found = dedup.crossing_ids(rows, "id", "split", "code", 2)
+    pairs = dedup.hamming_pairs(rows, "id", "code", 2).join(rows.select(F.col("id").alias("left_id"), F.col("split").alias("l")), "left_id").join(rows.select(F.col("id").alias("right_id"), F.col("split").alias("r")), "right_id").where("l <> r")
+    want = {i for p in pairs.collect() for i in (p["left_id"], p["right_id"])}
+    assert sorted(r["id"] for r in found.collect()) == sorted(want) == list(range(601))
+
+
+def test_likeness_takes_time_in_proportion_to_length(spark):
+    v = lambda n, k: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: ((i * k) % 97).cast("double"))
+    got = spark.range(1).select(v(20_000, 31).alias("a"), v(20_000, 57).alias("b")).select(dedup.array_likeness(F.col("a"), F.col("b")).alias("k")).first()["k"]
+    a, b = (np.arange(1, 20_001) * k % 97 for k in (31, 57))
+    assert got["correlation"] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9) and got["mae"] == pytest.approx(abs(a - b).mean()) and got["rmse"] == pytest.approx(((a - b) ** 2).mean() ** 0.5)
+
+
 def test_bands_hold_every_pair():
     for n in (10, 5000, 10**6, 10**9):
         for radius in range(17):
