@@ -285,6 +285,27 @@ def test_keepers_are_told_by_their_split(spark):
     assert sorted((r["id"], str(r["split"])) for r in got if r["selected"]) == [(1, "test"), (2, "None")]
 
 
+def test_findings_are_made_once_before_their_check(spark):
+    import __spark_entry__ as e
+
+    found = e.queries()["finding_record_content"](spark, e.SMALLEST)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_walk_of_a_document_is_not_repeated_for_its_kind(spark):
+    from millrace.operators import json_schema
+
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": "integer"}, "minItems": 1}, "b": {}}}
+    one = spark.createDataFrame([('{"a": [1, 2]}',), ('{"a": [1, "x"]}',), ('{"b": 1}',), ("[1]",), ("{}",), ("null",), (None,)], "t string")
+    column = json_schema.schema_errors(F.col("t"), schema)
+    got = [[f"{e['path']}: {e['message']}" for e in r["e"]] for r in one.select(column.alias("e")).collect()]
+    assert got == [[], ["a.1: is not of type integer"], [": a is required"], [": is not of type object"], [": a is required"], [": is not of type object"], [": is no JSON"]]
+    quick = json_schema.Compiler(schema, quick=True).errors(F.try_parse_json("t"), schema, F.lit(""))
+    assert one.where("t is not null").select(quick.alias("wrong")).collect() == [(bool(g),) for g in got[:-1]]
+    assert json_schema._kind(F.try_parse_json("t"))._jc.toString().count("schema_of_variant") == 1
+
+
 def test_links_to_files(spark):
     docs = [("docs/a.md", "[x](b.md) [y](<../img/p q.png#top>) [z](../img/p%20q.png) [w](http://x/y.md) [m](mailto:a@b) [f](#here) [g](./sub/../gone+1.md) [d](..)")]
     there = spark.createDataFrame([("docs/b.md",), ("img/p q.png",), ("README.md",)], "path string")
