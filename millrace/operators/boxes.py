@@ -143,8 +143,8 @@ def greedy_match(predicted: DataFrame, true: DataFrame, image: str, label: str,
 
     Overlaps come from the grid; a task then sees them in order and holds the true boxes taken of one image and label.
     """
-    side = lambda rows: rows.select(image, label, F.struct(F.col(order).alias("o"), F.array(*[F.col(c).cast("double") for c in box]).alias("b")).alias("v"))
-    met = overlaps(side(predicted), side(true), [image, label], max(threshold, 0.0)).select(image, label, F.col("l.o").alias("_p"), F.col("r.o").alias("_t"), "iou")
+    side = lambda rows: rows.select(F.col(image).alias("_i"), F.col(label).alias("_k"), F.struct(F.col(order).alias("o"), F.array(*[F.col(c).cast("double") for c in box]).alias("b")).alias("v"))
+    met = overlaps(side(predicted), side(true), ["_i", "_k"], max(threshold, 0.0)).select(F.col("_i").alias(image), F.col("_k").alias(label), F.col("l.o").alias("_p"), F.col("r.o").alias("_t"), "iou")
     choice = [F.desc("iou"), F.col("_t") if tie == "lowest" else F.desc("_t")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
