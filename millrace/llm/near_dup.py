@@ -8,14 +8,19 @@ pair of similarity s was to be found at depth d with probability 1 - (1 - s ** d
 how many were missed; shortening ends when that share is within the target, or at the depth where even a pair at the
 threshold would be found almost surely.
 
-A pair belongs to the first tree in which it has its longest common prefix. A prefix's members are dealt to cells, pairs
-of blocks of bounded size, before they are brought together; labels tell which members of a cell have new pairs there;
-only their texts travel. A cell gives link counts and a spanning forest of its links, never the pairs, so that results
-stay linear in the input; links become groups by star contraction.
+A pair belongs to the first tree in which it has its longest common prefix. Labels tell which members of a prefix have
+new pairs there; only their texts travel. Prefixes of the least depth with more than a cell's members are joined to
+clusters first, for many near copies meet under each prefix of most trees. A cluster's pairs are verified once, all of
+them, on shingles made once: its members are dealt to the cells of a square grid whose side is bounded by the root of
+the number of tasks, or by the memory of a cell. What remains are prefixes within a cell, without the pairs inside a
+cluster. Both give link counts and a spanning forest of links, never the pairs, so that results stay linear in the
+input; links become groups by star contraction.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,16 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENT, join_often, mix, small_batches, splitmix, spread, stash
+from .common import SENT, join_often, join_sized, mix, small_batches, splitmix, spread, stash
 
 TREES, DEPTH = 20, 8
 CELL = 256
 CACHE = 400_000
 _SIGNED = "r1 bigint, r2 bigint, cls binary, sig binary"
-_CELL = ["tree", "prefix", "x", "y"]
-_NEED = "tree int, prefix binary, x int, y int, side int, cls binary"
+_MET = ["tree", "prefix"]
+_CELL = ["root", "x", "y"]
+_NEED = "tree int, prefix binary, cls binary, root binary"
+_SETS = "root binary, cls binary, size bigint, shingles binary"
 _LINKS = "a binary, b binary, n bigint, alike int"
 BINS = 1000
+HELD = 64 << 20  # bytes of shingles in a block of a cluster
 
 
 def found_share(similarity: float, trees: int, depth: int) -> float:
@@ -168,6 +176,16 @@ def _whole_groups(batches, keys: list[str]):
         yield held, np.array([0, held.num_rows])
 
 
+def _numbered(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that stand for a column's values; -1 for null."""
+    return pc.dictionary_encode(pa.array(column.to_pylist(), pa.binary())).indices.fill_null(-1).to_numpy()
+
+
+def apart(roots: np.ndarray) -> np.ndarray:
+    """Which pairs are not of one cluster, by numbers of clusters (-1: of none)."""
+    return (roots[:, None] != roots[None, :]) | (roots[:, None] < 0)
+
+
 class Forest:
     """Parameters of one join and its steps."""
 
@@ -207,60 +225,127 @@ class Forest:
         often = stash(keyed.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nd-often")
         return join_often(keyed, often, ["tree", "prefix"], "n").where("n is not null")
 
-    def needed(self, tries: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
-        """tree, prefix, x, y, side, cls: the classes whose texts each cell needs to verify the new pairs at that depth.
+    def clusters(self, tries: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """cls, root of the classes under prefixes with more than a cell's members, joined where such prefixes share a
+        class (None without such prefixes); and the tries under the others."""
+        keyed = tries.withColumn("prefix", F.substring("label", 1, 2 * self.least))
+        many = keyed.groupBy(*_MET).agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("head")).where(F.col("n") > self.cell)
+        many = stash(many, "nd-many")
+        if many.isEmpty():
+            return None, tries
+        met = join_often(keyed, many, _MET, "n")
+        roots = groups_of(met.where("head is not null").select(F.col("cls").alias("a"), F.col("head").alias("b")))
+        few = met.where("head is null").select("tree", "label", "cls").sortWithinPartitions("tree", "label")
+        return stash(roots.select(F.col("node").alias("cls"), "root"), "nd-clusters"), stash(few, "nd-tries")
+
+    def sets(self, texts: DataFrame, roots: DataFrame) -> DataFrame:
+        """root, cls, size, shingles of the members of clusters(cls, root)."""
+        words = self.words
+
+        def run(batches):
+            shingle = Shingler(words)
+            for b in batches:
+                made = [shingle(t).tobytes() for t in b.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.binary())], names=["root", "cls", "size", "shingles"])
+
+        met = texts.join(F.broadcast(roots) if roots.count() <= SENT else roots, "cls")
+        return met.select("root", "cls", "size", "text").mapInArrow(run, _SETS)
+
+    def grid(self, sets: DataFrame) -> DataFrame:
+        """root, x, y, side, cls, size, shingles: the members of each cell, a pair of blocks of a cluster.
 
-        A cell is a pair of blocks, x and y, of a prefix's members; side tells the blocks apart.
+        A member travels to as many cells as the cluster has blocks: of about self.cell members, but no more than the root
+        of twice the tasks, unless a block's shingles went beyond HELD bytes. side tells the blocks apart.
         """
+        tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = F.greatest(F.least(F.ceil(F.col("n") / self.cell), F.lit(math.ceil(math.sqrt(2 * tasks)))), F.ceil(F.col("bytes") / HELD)).cast("int")
+        sums = stash(sets.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes")), "nd-sums")
+        dealt = join_often(sets, sums, ["root"], "n").withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), blocks).cast("int"))
+        dealt = dealt.select("root", "cls", "size", "shingles", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        return dealt.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "size", "shingles")
+
+    def within(self, cells: DataFrame) -> DataFrame:
+        """a, b, n, alike, as of `links`, for all pairs of cells(root, x, y, side, cls, size, shingles); alike is null."""
+        threshold, cell = self.threshold, self.cell
+
+        def verify(batches):
+            for table, cuts in _whole_groups(batches, _CELL):
+                for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                    yield pairs(table.slice(a, b - a))
+
+        def pairs(rows):
+            cls, side, weight = rows.column("cls").to_pylist(), rows.column("side").to_numpy(), rows.column("size").to_numpy()
+            sets = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
+            sizes, count = np.array([len(s) for s in sets]), len(sets)
+            alone = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
+            first = count if alone else int((side == 0).sum())
+            gain, group, edges = np.zeros(count, np.int64), np.arange(count), []
+            for i in range(0, first, cell):
+                u = slice(i, min(i + cell, first))
+                for j in range(i if alone else first, count, cell):
+                    v = slice(j, min(j + cell, count))
+                    both = common(sets[u], sets[v])
+                    near = both >= threshold * (sizes[u, None] + sizes[None, v] - both) - 1e-6
+                    if alone and i == j:
+                        np.fill_diagonal(near, False)
+                    else:
+                        gain[v] += near.T.astype(np.int64) @ weight[u]
+                    gain[u] += near.astype(np.int64) @ weight[v]
+                    for r in np.flatnonzero(near.any(axis=1)) + i:
+                        met = group[v][near[r - i]]
+                        for o in np.unique(met[met != group[r]]).tolist():
+                            edges.append((cls[o], cls[r], 0))
+                            group[group == o] = group[r]
+            out = [(cls[i], None, int(gain[i])) for i in np.flatnonzero(gain)] + edges
+            cols = [pa.array(c, k) for c, k in zip(zip(*out) if out else ([], [], []), (pa.binary(), pa.binary(), pa.int64()))]
+            return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(out), pa.int32())], names=["a", "b", "n", "alike"])
+
+        n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cells.repartition(n, *_CELL).sortWithinPartitions(*_CELL, "side").mapInArrow(verify, _LINKS)
+
+    def needed(self, tries: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+        """tree, prefix, cls, root: the classes(cls, sig, root) whose texts each prefix needs to verify the new pairs at that
+        depth, but for those of equal roots. The tries have no prefix with more than a cell's members."""
         trees = self.trees
         keyed = tries.select("tree", "cls", F.substring("label", 1, 2 * depth).alias("prefix"))
-        blocks = F.ceil(F.col("n") / self.cell).cast("int")
-        dealt = self._often(keyed).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), blocks).cast("int"))
-        dealt = dealt.select("tree", "prefix", "cls", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        cells = dealt.select("tree", "prefix", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls").join(classes.select("cls", "sig"), "cls")
+        met = self._often(keyed).select(*_MET, "cls").join(classes.select("cls", "sig", "root"), "cls")
 
         def pick(batches):
-            for table, cuts in _whole_groups(batches, _CELL):
+            for table, cuts in _whole_groups(batches, _MET):
                 labels = labels_of(table.column("sig").to_pylist(), trees)
                 p, q = prefixes(labels, depth), prefixes(labels, depth + 1)
-                tree, side, x, y = (table.column(c).to_numpy() for c in ("tree", "side", "x", "y"))
+                tree, root = table.column("tree").to_numpy(), _numbered(table.column("root"))
                 use, size = np.zeros(len(p), bool), np.diff(cuts)
                 at = cuts[:-1][size == 2]  # most groups: all at once
                 same = p[at] == p[at + 1]
-                pair = same.any(axis=1) & (same.argmax(axis=1) == tree[at]) & (q[at] != q[at + 1]).all(axis=1) & ((x[at] == y[at]) | (side[at] != side[at + 1]))
+                pair = same.any(axis=1) & (same.argmax(axis=1) == tree[at]) & (q[at] != q[at + 1]).all(axis=1) & ((root[at] < 0) | (root[at] != root[at + 1]))
                 use[at] = use[at + 1] = pair
                 for a, n in zip(cuts[:-1][size > 2].tolist(), size[size > 2].tolist()):
-                    mine = new_pairs(p[a : a + n], q[a : a + n], tree[a])
+                    mine = new_pairs(p[a : a + n], q[a : a + n], tree[a]) & apart(root[a : a + n])
                     np.fill_diagonal(mine, False)
-                    if x[a] != y[a]:  # pairs within a block belong to that block's own cell
-                        mine &= side[a : a + n, None] != side[None, a : a + n]
                     use[a : a + n] = mine.any(axis=1)
-                yield from table.filter(pa.array(use)).select([*_CELL, "side", "cls"]).to_batches()
+                yield from table.filter(pa.array(use)).select([*_MET, "cls", "root"]).to_batches()
 
         n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return cells.select(*_CELL, "side", "cls", "sig").repartition(n, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(pick, _NEED)
+        return met.select(*_MET, "cls", "root", "sig").repartition(n, *_MET).sortWithinPartitions(*_MET).mapInArrow(pick, _NEED)
 
     def links(self, cells: DataFrame, depth: int) -> DataFrame:
-        """a, b, n, alike of cells(tree, prefix, x, y, side, cls, size, sig, text): n more linked rows for class a; edges a - b, n 0;
-        and, without a and b, n pairs of a similarity in thousandths."""
+        """a, b, n, alike of cells(tree, prefix, cls, root, size, sig, text): n more linked rows for class a; edges a - b, n 0; and, without a and b, n pairs of a similarity in thousandths."""
         threshold, words, trees = self.threshold, self.words, self.trees
 
         def verify(batches):
             shingle = Shingler(words)
-            for table, cuts in _whole_groups(batches, _CELL):
+            for table, cuts in _whole_groups(batches, _MET):
                 labels = labels_of(table.column("sig").to_pylist(), trees)
-                p, q = prefixes(labels, depth), prefixes(labels, depth + 1)
+                p, q, root = prefixes(labels, depth), prefixes(labels, depth + 1), _numbered(table.column("root"))
                 for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
                     rows = table.slice(a, b - a).to_pylist()
                     sets = [shingle(r["text"]) for r in rows]
                     sizes, weight = np.array([len(s) for s in sets]), np.array([r["size"] for r in rows], np.int64)
                     both = common(sets, sets)
                     union = sizes[:, None] + sizes[None, :] - both
-                    near = (both >= threshold * union - 1e-6) & new_pairs(p[a:b], q[a:b], rows[0]["tree"])
+                    near = (both >= threshold * union - 1e-6) & new_pairs(p[a:b], q[a:b], rows[0]["tree"]) & apart(root[a:b])
                     np.fill_diagonal(near, False)
-                    side = np.array([r["side"] for r in rows])
-                    if rows[0]["x"] != rows[0]["y"]:
-                        near &= side[:, None] != side[None, :]
                     yield from self_rows(rows, near, weight)
                     i, j = np.nonzero(np.triu(near))
                     alike, n = np.unique((both[i, j] * BINS // union[i, j]).astype(np.int32), return_counts=True)
@@ -285,11 +370,17 @@ class Forest:
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(out), pa.int32())], names=["a", "b", "n", "alike"])
 
         n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return cells.select(*_CELL, "side", "cls", "size", "sig", "text").repartition(n, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(verify, _LINKS)
+        return cells.select(*_MET, "cls", "root", "size", "sig", "text").repartition(n, *_MET).sortWithinPartitions(*_MET).mapInArrow(verify, _LINKS)
 
     def join(self, classes: DataFrame, texts: DataFrame, tries: DataFrame) -> DataFrame:
         """Links (a, b, n) of classes(cls, sig): prefixes are shortened until the target recall."""
         every, found = None, {}
+        roots, tries = self.clusters(tries)
+        if roots is None:
+            classes = classes.withColumn("root", F.lit(None).cast("binary"))
+        else:
+            every = stash(self.within(self.grid(stash(self.sets(texts, roots), "nd-sets"))), "nd-links")
+            classes = stash(join_sized(classes, roots, ["cls"]), "nd-rooted")
         for depth in range(self.depth, self.least - 1, -1):
             need = stash(self.needed(tries, classes, depth), "nd-need")
             # few texts are needed at a depth: what names them goes to the texts, if it is small, and not all texts by shuffle

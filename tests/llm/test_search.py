@@ -379,3 +379,30 @@ def test_corpus_axes_by_hand(spark):
     d = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "doc_id bigint, words binary").repartition(5)
     got = decontaminate.corpus_axes(d, np.arange(many + 1), idf, 4, 3)
     assert got.shape == (many, 4) and abs(got[:, 0] @ want) > 0.99
+
+
+def test_near_copies_travel_in_proportion(spark):
+    """Rows sent to be verified grow no faster than a group of near copies, and each pair counts once."""
+    r, sent, links = random.Random(8), {}, {}
+    base = words(r, 300, 5000).split()
+    needed, grid = near_dup.Forest.needed, near_dup.Forest.grid
+
+    def counted(f, *args):
+        made = f(*args)
+        sent[m] = sent.get(m, 0) + made.count()
+        return made
+
+    near_dup.Forest.needed = lambda *args: counted(needed, *args)
+    near_dup.Forest.grid = lambda *args: counted(grid, *args)
+    try:
+        for m in (100, 200):
+            texts = [" ".join([*base[: i % 290], f"n{i}", *base[i % 290 + 1 :]]) for i in range(m)] + [words(r, 40, 5000), " ".join(base[:280])]
+            d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+            got = near_dup.near_duplicates(d, forest=near_dup.Forest(cell=4)).collect()
+            sets = [shingles(t) for t in texts]
+            links[m] = {x["doc_id"]: x["n_links"] for x in got}
+            assert links[m] == {i: sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+            assert {x["class_id"] for x in got} == {0, m}
+    finally:
+        near_dup.Forest.needed, near_dup.Forest.grid = needed, grid
+    assert sent[200] <= 2.5 * sent[100]
