@@ -4,12 +4,13 @@ Terms are words and the starts of words. All terms of the examples are indexed,
 (1 + log of its count in the text) times its IDF, times the root of its likelihood ratio between the classes, so that
 words that matter for the label count most; both are counted over all labelled texts. A bounded number of labelled
 examples is indexed: postings by term, with the largest weight of each block of examples. A query's blocks are taken by their upper bounds until none can beat the k-th best,
-which makes the search exact. Votes weigh by distance; a logistic map of the vote, fitted on the examples themselves
+which makes the search exact; texts are searched together, so that a block's long lists are read once for many. Votes weigh by distance; a logistic map of the vote, fitted on the examples themselves
 with each left out of its own vote, gives the score. The neighbours found are the evidence.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,16 +25,20 @@ STARTS = (4, 5)
 BLOCK = 64
 CACHE, AT_ONCE = 400_000, 1_000_000
 FLOOR = 0.1
+LONG, TEXTS = 12, 250
 _TERMS = "term bigint, y int, n bigint"
 _SCORED = "doc_id bigint, score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>"
 
 
 def words_of(text: str | None) -> dict[str, int]:
     """Lower-cased words, without marks at their ends, and how often each occurs."""
+    found: Counter[str] = Counter()
+    for part in stretches(text or "", AT_ONCE):
+        found.update(part.lower().split())
     out: dict[str, int] = {}
-    for w in (w for part in stretches(text or "", AT_ONCE) for w in part.lower().split()):
+    for w, n in found.items():
         if x := w.strip("\"'.,;:!?()[]{}<>|*&%$#@~^_-+=/\\"):
-            out[x] = out.get(x, 0) + 1
+            out[x] = out.get(x, 0) + n
     return out
 
 
@@ -57,30 +62,70 @@ class Index:
     shift: float = 0.0
     rate: float = 0.0
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_long"}  # made anew where it is used
+
+    @property
+    def long(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row by term of the terms that a LONG-th of the examples hold (-1: of the others), block by block their weights of
+        its examples (zeros for those without a term), and their block maxima."""
+        if not hasattr(self, "_long"):
+            blocks = self.peak.shape[1]
+            terms = np.flatnonzero((self.into[:, -1] - self.into[:, 0]) * LONG >= max(blocks, 1) * BLOCK)
+            row, tiles = np.full(len(self.into), -1, np.int32), np.zeros((blocks, len(terms), BLOCK))
+            row[terms] = np.arange(len(terms))
+            for r, t in enumerate(terms.tolist()):
+                at = self.at[self.into[t, 0] : self.into[t, -1]]
+                tiles[at // BLOCK, r, at % BLOCK] = self.w[self.into[t, 0] : self.into[t, -1]]
+            self._long = row, tiles, np.ascontiguousarray(self.peak[terms])
+        return self._long
+
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k best with a common term; ties to the smaller example. skip: left out."""
-        bound = weights @ self.peak[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, found = np.empty(0), np.empty(0, np.int64)
-        at, step = 0, 4
-        while at < len(order) and (len(best) < k or bound[order[at]] >= best[-1] - 1e-12):
-            batch = order[at : at + step]
-            if len(best) >= k:
-                batch = batch[bound[batch] >= best[-1] - 1e-12]
-            first = self.into[terms[:, None], batch]
-            n = (self.into[terms[:, None], batch + 1] - first).ravel()
+        return self.search_all([(terms, weights)], k, np.array([skip]))[0]
+
+    def search_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What `search` gives for each of vectors, together.
+
+        Rare terms' lists are added up first. What they give at most in a block, and the maxima of the long lists there,
+        bound the block; a text's blocks are taken by these bounds until none can beat the k-th best, and a block's long
+        lists are read once for all texts that want it.
+        """
+        row, tiles, peak = self.long
+        many, blocks = len(vectors), peak.shape[1]
+        score, long = np.zeros((many, blocks, BLOCK)), np.zeros((many, peak.shape[0]))
+        for i, (terms, weights) in enumerate(vectors):
+            at = row[terms]
+            rare = at < 0
+            long[i, at[~rare]] = weights[~rare]
+            first = self.into[terms[rare], 0]
+            n = self.into[terms[rare], -1] - first
             ends = np.cumsum(n)
-            flat = np.arange(ends[-1]) + np.repeat(first.ravel() - ends + n, n)
-            place = np.repeat(np.tile((np.arange(len(batch)) - batch) * BLOCK, len(terms)), n)  # from example to place in batch
-            score = np.bincount(self.at[flat] + place, weights=self.w[flat] * np.repeat(np.repeat(weights, len(batch)), n), minlength=len(batch) * BLOCK)
-            ids = (batch[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            hit = np.flatnonzero((score > 0) & (ids != skip))
-            best, found = np.concatenate([best, score[hit]]), np.concatenate([found, ids[hit]])
-            by = np.lexsort((found, -best))[:k]
-            best, found = best[by], found[by]
-            at, step = at + step, len(order)
-        return found, best
+            flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + n, n)
+            score[i] = np.bincount(self.at[flat], weights=self.w[flat] * np.repeat(weights[rare], n), minlength=blocks * BLOCK).reshape(blocks, BLOCK)
+        bound = score.max(axis=2, initial=0) + long @ peak
+        done, least = np.zeros((many, blocks), bool), np.zeros(many)
+        want = np.zeros((many, blocks), bool)
+        np.put_along_axis(want, np.argsort(-bound, axis=1, kind="stable")[:, :4], True, axis=1)
+        for _ in range(2):
+            want &= bound > 0
+            for b in np.flatnonzero(want.any(axis=0)).tolist():
+                who = np.flatnonzero(want[:, b])
+                score[who, b] += (long if len(who) == many else long[who]) @ tiles[b]
+            done |= want
+            flat = np.where(done[:, :, None], score, 0.0).reshape(many, -1)
+            if skip is not None:
+                out = np.flatnonzero(skip >= 0)
+                flat[out, skip[out]] = 0
+            if flat.shape[1] >= k:
+                least = np.partition(flat, -k, axis=1)[:, -k]
+            want = ~done & (bound >= least[:, None] - 1e-12)
+        found = []
+        for one, low in zip(flat, least):
+            hit = np.flatnonzero((one > 0) & (one >= low - 1e-12))
+            hit = hit[np.lexsort((hit, -one[hit].round(12)))][:k]  # sums in another order differ in the last digits
+            found.append((hit, one[hit]))
+        return found
 
     def vector(self, words: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """A text's terms and unit weights."""
@@ -215,7 +260,8 @@ def fit(labelled: DataFrame, *, per_label: int = 1500, k: int = 15) -> Index | N
     index.label = np.array([r["y"] for r in got], float)
     true = sizes[1] / sum(sizes.values())
     index.rate = true
-    votes = np.array([index.vote(*index.search(t, v, k, skip=i)) for i, (t, v) in enumerate(vecs)])
+    parts = (index.search_all(vecs[i : i + TEXTS], k, np.arange(i, min(i + TEXTS, len(vecs)))) for i in range(0, len(vecs), TEXTS))
+    votes = np.array([index.vote(*one) for part in parts for one in part])
     share1 = index.label.mean() if len(vecs) else true
     weight = np.where(index.label == 1, true / max(share1, 1e-9), (1 - true) / max(1 - share1, 1e-9))
     x = np.log(np.maximum(votes, 1e-6) / np.maximum(1 - votes, 1e-6))
@@ -239,22 +285,18 @@ def score_toxicity(docs: DataFrame, index: Index | None, *, k: int = 15, doc_id:
         known: dict[str, tuple[int, ...]] = {}
         memo: dict[bytes, tuple[float, list]] = {}
         for b in batches:
-            score, why = [], []
-            for t in b.column(1).to_pylist():
-                if ix is None:
-                    score.append(0.0)
-                    why.append([])
-                    continue
-                terms, weights = ix.vector(words_of(t), known)
-                key = terms.tobytes() + weights.tobytes()
-                if key not in memo:
-                    if len(memo) >= 2_000:  # keys of whole texts
-                        memo.clear()
-                    found, best = ix.search(terms, weights, k)
+            texts = b.column(1).to_pylist()
+            score, why = [0.0] * len(texts), [[] for _ in texts]
+            for first in range(0, len(texts) if ix else 0, TEXTS):
+                vectors = [ix.vector(words_of(t), known) for t in texts[first : first + TEXTS]]
+                keys = [terms.tobytes() + weights.tobytes() for terms, weights in vectors]
+                if len(memo) >= 2_000:  # keys of whole texts
+                    memo.clear()
+                new = {key: v for key, v in zip(keys, vectors) if key not in memo}
+                for key, (found, best) in zip(new, ix.search_all(list(new.values()), k)):
                     memo[key] = ix.score(ix.vote(found, best)), [{"doc_id": ix.doc_id[i], "label": int(ix.label[i]), "cosine": float(c)} for i, c in zip(found, best)]
-                s, e = memo[key]
-                score.append(s)
-                why.append(e)
+                for i, key in enumerate(keys, first):
+                    score[i], why[i] = memo[key]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(why, kind)], names=["doc_id", "score", "evidence"])
 

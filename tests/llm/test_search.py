@@ -406,3 +406,30 @@ def test_near_copies_travel_in_proportion(spark):
     finally:
         near_dup.Forest.needed, near_dup.Forest.grid = needed, grid
     assert sent[200] <= 2.5 * sent[100]
+
+
+def test_toxic_search_together_is_exact_and_reads_long_lists_by_blocks():
+    """Lists that most examples have, as common words do, are read once a block for all texts, and not one by one for each."""
+    rng = np.random.default_rng(4)
+    terms, n = 300, 1000
+    vecs = []
+    for _ in range(n):
+        t = np.unique(np.concatenate([np.flatnonzero(rng.random(40) < 0.7), rng.integers(40, terms, rng.integers(1, 8))]))
+        v = rng.random(len(t))
+        vecs.append((t, v / np.linalg.norm(v)))
+    term, who, w = np.concatenate([t for t, _ in vecs]), np.repeat(np.arange(n), [len(t) for t, _ in vecs]), np.concatenate([v for _, v in vecs])
+    by = np.lexsort((who, term))
+    blocks = -(-n // toxicity.BLOCK)
+    peak = np.zeros((terms, blocks))
+    np.maximum.at(peak, (term, who // toxicity.BLOCK), w)
+    into = np.searchsorted(term[by] * blocks + who[by] // toxicity.BLOCK, np.arange(terms)[:, None] * blocks + np.arange(blocks + 1))
+    ix = toxicity.Index({}, np.ones(terms), into, who[by], w[by], peak, np.arange(n), np.zeros(n))
+    dense = np.zeros((n, terms))
+    dense[who, term] = w
+    got = ix.search_all([*vecs, (np.empty(0, np.int64), np.empty(0))], 10, np.append(np.arange(n), -1))
+    assert 30 < (ix.long[0] >= 0).sum() < 60 and len(got[n][0]) == 0
+    for i in range(0, n, 7):
+        s = dense @ dense[i]
+        s[i] = 0
+        want = sorted((-x.round(12), j) for j, x in enumerate(s) if x > 0)[:10]
+        assert got[i][0].tolist() == [j for _, j in want] and np.allclose(got[i][1], [-x for x, _ in want])
